@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The analysed workload reads a fixed historical file: it has no watermark,
+event-time window, state store or late-data handling, and its chunked reading
+is bounded-memory batch (re-aimed here as partitioned batch scans).  Nothing is
+added here so as not to invent operators the workload does not have.
+"""
