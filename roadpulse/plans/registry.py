@@ -187,3 +187,618 @@ def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: candidate bottleneck ranking on the sparse fixture."""
     return S.candidate_bottlenecks(D.daily_segment_hour(_sparse(spark, sf_dir), 1), min_days=3, min_obs=3,
                                    n=30, digits=2)
+
+
+# ==========================================================================
+# Wider coverage.  Imports kept here so each family reads top to bottom.
+# ==========================================================================
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.types import DoubleType  # noqa: E402
+
+from roadpulse.operators import cluster as C  # noqa: E402
+from roadpulse.operators import features as FE  # noqa: E402
+from roadpulse.operators import insights as IN  # noqa: E402
+from roadpulse.operators import profiles as P  # noqa: E402
+from roadpulse.operators import quality as Q  # noqa: E402
+from roadpulse.params import ClusterParams  # noqa: E402
+from roadpulse.sources import raw as RAW  # noqa: E402
+
+rnd = O.rnd
+
+
+def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*[rounded(f.name, digits).alias(f.name) if isinstance(f.dataType, DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def _raw(spark, sf):
+    return X.raw_text(spark, sf)
+
+
+def _clean(spark, sf):
+    return RAW.clean(X.raw_text(spark, sf))
+
+
+OBS_D = O.obs_cte("dense")
+OBS_S = O.obs_cte("sparse")
+RAWC = O.RAW_CTE
+CLEANC = f"{O.RAW_CTE}, {O.CLEAN_CTE}"
+
+
+# -------------------------------- profiles (G1-G6, G10, G12, G28-G31) -----
+@query("table_summary", f"""
+WITH {OBS_D}
+SELECT COUNT(*) AS total_row_count, MIN(timestamp) AS min_timestamp, MAX(timestamp) AS max_timestamp
+FROM observations""")
+def q_table_summary(spark, sf):
+    return P.table_summary(_dense(spark, sf))
+
+
+@query("hourly_profile", f"""
+WITH {OBS_D}
+SELECT hour, COUNT(*) AS total_row_count, {rnd('AVG(velocity)')} AS average_velocity
+FROM observations GROUP BY hour ORDER BY hour""")
+def q_hourly_profile(spark, sf):
+    return P.hourly_profile(_dense(spark, sf), digits=DIGITS)
+
+
+_SEG_PROFILE = """
+WITH {obs}
+SELECT osm_id, COUNT(*) AS total_row_count, {avg} AS average_velocity,
+       {mn} AS minimum_velocity, {mx} AS maximum_velocity
+FROM observations GROUP BY osm_id {having}
+ORDER BY {order}, osm_id LIMIT 20"""
+
+
+@query("segment_profile", _SEG_PROFILE.format(obs=OBS_D, avg=rnd("AVG(velocity)"), mn=rnd("MIN(velocity)"),
+                                              mx=rnd("MAX(velocity)"), having="",
+                                              order="total_row_count DESC"))
+def q_segment_profile(spark, sf):
+    return P.segment_profile(_dense(spark, sf), n=20, digits=DIGITS)
+
+
+@query("low_velocity_screen", _SEG_PROFILE.format(obs=OBS_D, avg=rnd("AVG(velocity)"), mn=rnd("MIN(velocity)"),
+                                                  mx=rnd("MAX(velocity)"), having="HAVING COUNT(*) >= 400",
+                                                  order="AVG(velocity) ASC"))
+def q_low_velocity_screen(spark, sf):
+    return P.low_velocity_screen(_dense(spark, sf), min_obs=400, n=20, digits=DIGITS)
+
+
+@query("segment_baseline", f"""
+WITH {OBS_D}
+SELECT osm_id, {rnd('AVG(velocity)')} AS baseline_velocity FROM observations GROUP BY osm_id""")
+def q_segment_baseline(spark, sf):
+    return round_doubles(S.observation_baseline(_dense(spark, sf)))
+
+
+@query("date_weighted_baseline", f"""
+WITH {OBS_D}, {O.daily_cte(2)}
+SELECT osm_id, {rnd('AVG(daily_average_velocity)')} AS baseline_velocity FROM daily_segment_hour GROUP BY osm_id""")
+def q_date_weighted_baseline(spark, sf):
+    return round_doubles(S.date_weighted_baseline(D.daily_segment_hour(_dense(spark, sf), 2)))
+
+
+@query("day_type_profile", f"""
+WITH {OBS_D}, {O.daily_cte(2)}
+SELECT osm_id, hour,
+       CASE WHEN strftime(observation_date, '%w') IN ('0', '6') THEN 'weekend' ELSE 'weekday' END AS day_type,
+       COUNT(*) AS observed_days, {rnd('AVG(daily_average_velocity)')} AS average_daily_velocity
+FROM daily_segment_hour GROUP BY ALL HAVING COUNT(*) >= 2""")
+def q_day_type_profile(spark, sf):
+    return round_doubles(S.day_type_profile(D.daily_segment_hour(_dense(spark, sf), 2), min_days=2))
+
+
+@query("hourly_date_stats", f"""
+WITH {OBS_D}
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date, hour, day_of_week,
+       COUNT(velocity) AS observation_count, {rnd('SUM(velocity)')} AS velocity_sum,
+       {rnd('MIN(velocity)')} AS velocity_min, {rnd('MAX(velocity)')} AS velocity_max,
+       {rnd('SUM(velocity) / COUNT(velocity)')} AS velocity_mean
+FROM observations GROUP BY ALL""")
+def q_hourly_date_stats(spark, sf):
+    return present(round_doubles(P.hourly_date_stats(_dense(spark, sf))))
+
+
+@query("segment_stats", f"""
+WITH {OBS_D}
+SELECT osm_id, COUNT(velocity) AS observation_count, {rnd('SUM(velocity)')} AS velocity_sum,
+       {rnd('MIN(velocity)')} AS velocity_min, {rnd('MAX(velocity)')} AS velocity_max,
+       {rnd('SUM(velocity) / COUNT(velocity)')} AS velocity_mean
+FROM observations GROUP BY osm_id""")
+def q_segment_stats(spark, sf):
+    return round_doubles(P.segment_stats(_dense(spark, sf)))
+
+
+@query("hour_date_rollup", f"""
+WITH {OBS_D},
+hourly AS (SELECT CAST(timestamp AS DATE) AS date, hour, day_of_week, COUNT(velocity) AS observation_count,
+                  SUM(velocity) AS velocity_sum FROM observations GROUP BY ALL)
+SELECT CASE WHEN GROUPING(hour) = 0 THEN 'hour' ELSE 'date' END AS level, hour,
+       CAST(date AS VARCHAR) AS date, CAST(SUM(observation_count) AS BIGINT) AS observation_count,
+       {rnd('SUM(velocity_sum)')} AS velocity_sum, {rnd('SUM(velocity_sum) / SUM(observation_count)')} AS velocity_mean
+FROM hourly GROUP BY GROUPING SETS ((hour), (date))""")
+def q_hour_date_rollup(spark, sf):
+    return present(round_doubles(P.hour_date_rollup(P.hourly_date_stats(_dense(spark, sf)))))
+
+
+@query("top_segment_share", f"""
+WITH {OBS_D}, c AS (SELECT osm_id, COUNT(*) AS c FROM observations GROUP BY osm_id),
+top AS (SELECT c FROM c ORDER BY c DESC, osm_id LIMIT 20)
+SELECT 20 AS top_n, CAST((SELECT SUM(c) FROM top) AS BIGINT) AS top_rows,
+       CAST((SELECT SUM(c) FROM c) AS BIGINT) AS total_rows,
+       {rnd('CAST((SELECT SUM(c) FROM top) AS DOUBLE) / (SELECT SUM(c) FROM c)')} AS share""")
+def q_top_segment_share(spark, sf):
+    return round_doubles(P.top_segment_share(_dense(spark, sf), n=20))
+
+
+# -------------------------------- cleaning and quality (raw text view) ----
+@query("clean_observations", f"""
+WITH {CLEANC}
+SELECT timestamp, CAST(date AS VARCHAR) AS date, year, month, day_of_week, hour, longitude, latitude,
+       course, velocity, osm_id FROM clean""")
+def q_clean_observations(spark, sf):
+    return present(_clean(spark, sf))
+
+
+@query("validity_report", f"""
+WITH {RAWC}
+SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE _ts IS NULL) AS invalid_timestamp_rows,
+       COUNT(*) FILTER (WHERE _lon IS NULL OR _lat IS NULL OR abs(_lon) > 180 OR abs(_lat) > 90)
+           AS invalid_coordinate_rows,
+       MIN(_ts) AS min_timestamp, MAX(_ts) AS max_timestamp
+FROM parsed""")
+def q_validity_report(spark, sf):
+    return Q.validity_report(_raw(spark, sf))
+
+
+_RAW_COLS = ["Date", "Time", "Coordinate (Lon, Lat)", "Course", "Velocity", "OSM ID"]
+
+
+@query("null_audit", f"""
+WITH {RAWC}, t AS (SELECT COUNT(*) AS n FROM raw),
+m AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE \"{c}\" IS NULL) AS missing_count FROM raw" for c in _RAW_COLS)})
+SELECT column_name, missing_count, {rnd('missing_count * 100.0 / n')} AS pct_missing FROM m, t""")
+def q_null_audit(spark, sf):
+    return Q.null_audit(_raw(spark, sf), digits=DIGITS)
+
+
+@query("velocity_moments", f"""
+WITH {RAWC}
+SELECT COUNT(_velocity) AS velocity_count, {rnd('AVG(_velocity)')} AS velocity_mean,
+       {rnd('STDDEV_POP(_velocity)')} AS velocity_std, {rnd('MIN(_velocity)')} AS velocity_min,
+       {rnd('MAX(_velocity)')} AS velocity_max FROM parsed""")
+def q_velocity_moments(spark, sf):
+    return round_doubles(Q.velocity_moments(_raw(spark, sf)))
+
+
+@query("distinct_counts", f"""
+WITH {RAWC}
+{' UNION ALL '.join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT \"{c}\") AS distinct_count FROM parsed" for c in _RAW_COLS)}
+UNION ALL SELECT 'valid date', COUNT(DISTINCT CAST(_ts AS DATE)) FROM parsed""")
+def q_distinct_counts(spark, sf):
+    return Q.distinct_counts(_raw(spark, sf))
+
+
+@query("date_counts", f"""
+WITH {CLEANC}
+SELECT CAST(date AS VARCHAR) AS date, COUNT(*) AS row_count FROM clean WHERE date IS NOT NULL
+GROUP BY date ORDER BY date""")
+def q_date_counts(spark, sf):
+    return present(Q.date_counts(_clean(spark, sf)))
+
+
+@query("segment_counts", f"""
+WITH {CLEANC}
+SELECT osm_id, COUNT(*) AS row_count FROM clean WHERE osm_id IS NOT NULL GROUP BY osm_id
+ORDER BY row_count DESC, osm_id""")
+def q_segment_counts(spark, sf):
+    return Q.segment_counts(_clean(spark, sf))
+
+
+def _describe_sql(source: str, cols: list[str], by: str | None = None) -> str:
+    byc = f"{by}, " if by else ""
+    unp = " UNION ALL ".join(f"SELECT {byc}'{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM {source}"
+                             for c in cols)
+    return f"""long AS ({unp})
+SELECT {byc}column_name, COUNT(value) AS count, {rnd('AVG(value)')} AS mean, {rnd('STDDEV_SAMP(value)')} AS std,
+       {rnd('MIN(value)')} AS min, {rnd('quantile_cont(value, 0.25)')} AS p25,
+       {rnd('quantile_cont(value, 0.5)')} AS p50, {rnd('quantile_cont(value, 0.75)')} AS p75,
+       {rnd('MAX(value)')} AS max
+FROM long GROUP BY {byc}column_name"""
+
+
+@query("numeric_summary", f"WITH {CLEANC}, {_describe_sql('clean', ['course', 'velocity'])}")
+def q_numeric_summary(spark, sf):
+    return Q.numeric_summary(_clean(spark, sf), ["course", "velocity"], digits=DIGITS)
+
+
+@query("duplicate_report", f"""
+WITH {RAWC}, g AS (SELECT "Date", "Time", "Coordinate (Lon, Lat)", "Course", "Velocity", "OSM ID", COUNT(*) AS c
+                   FROM raw GROUP BY ALL HAVING COUNT(*) > 1)
+SELECT COUNT(*) AS duplicate_groups, CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_rows_beyond_first FROM g""")
+def q_duplicate_report(spark, sf):
+    return Q.duplicate_report(_raw(spark, sf))
+
+
+_DATES = "d AS (SELECT DISTINCT date FROM clean WHERE date IS NOT NULL)"
+_GAPS = "gaps AS (SELECT date, lag(date) OVER (ORDER BY date) AS previous_date FROM d)"
+
+
+@query("coverage_summary", f"""
+WITH {CLEANC}, {_DATES}, {_GAPS},
+b AS (SELECT MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS n FROM d),
+g AS (SELECT MAX(date - previous_date) AS largest, COUNT(*) FILTER (WHERE date - previous_date > 1) AS longer
+      FROM gaps WHERE previous_date IS NOT NULL)
+SELECT CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date,
+       CAST(last_date - first_date + 1 AS BIGINT) AS calendar_days_in_range, n AS dates_with_observations,
+       CAST(last_date - first_date + 1 - n AS BIGINT) AS missing_calendar_dates,
+       n / CAST(last_date - first_date + 1 AS DOUBLE) AS coverage_rate,
+       CAST(COALESCE(largest, 0) AS BIGINT) AS largest_gap_between_observed_dates,
+       longer AS gaps_longer_than_one_day
+FROM b, g""")
+def q_coverage_summary(spark, sf):
+    return present(Q.coverage_summary(_clean(spark, sf)))
+
+
+@query("missing_dates", f"""
+WITH {CLEANC}, {_DATES},
+cal AS (SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d)
+SELECT CAST(date AS VARCHAR) AS missing_date FROM cal WHERE date NOT IN (SELECT date FROM d) ORDER BY 1""")
+def q_missing_dates(spark, sf):
+    return present(Q.missing_dates(_clean(spark, sf)))
+
+
+@query("date_gaps", f"""
+WITH {CLEANC}, {_DATES}, {_GAPS}
+SELECT CAST(date AS VARCHAR) AS date, CAST(previous_date AS VARCHAR) AS previous_date,
+       CAST(date - previous_date AS BIGINT) AS gap_days
+FROM gaps WHERE previous_date IS NOT NULL""")
+def q_date_gaps(spark, sf):
+    return present(Q.date_gaps(_clean(spark, sf)))
+
+
+@query("timestamp_gaps", f"""
+WITH {CLEANC},
+g AS (SELECT epoch(timestamp) - epoch(lag(timestamp) OVER (ORDER BY timestamp)) AS gap
+      FROM clean WHERE timestamp IS NOT NULL)
+SELECT COUNT(gap) AS count, {rnd('AVG(gap)')} AS mean, {rnd('STDDEV_SAMP(gap)')} AS std, {rnd('MIN(gap)')} AS min,
+       {rnd('quantile_cont(gap, 0.25)')} AS p25, {rnd('quantile_cont(gap, 0.5)')} AS p50,
+       {rnd('quantile_cont(gap, 0.75)')} AS p75, {rnd('MAX(gap)')} AS max
+FROM g""")
+def q_timestamp_gaps(spark, sf):
+    return Q.timestamp_gaps(_clean(spark, sf), digits=DIGITS)
+
+
+# -------------------------------- near-zero velocities (G32, F9, W4) ------
+@query("near_zero_report", f"""
+WITH {OBS_D}, a AS (
+    SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE velocity = 0) AS zero_exact,
+           COUNT(*) FILTER (WHERE velocity < 0.1) AS near_zero, COUNT(*) FILTER (WHERE velocity < 1.0) AS below_slow,
+           MIN(velocity) AS min_velocity FROM observations)
+SELECT total_rows, zero_exact, {rnd('zero_exact * 100.0 / total_rows')} AS pct_zero_exact,
+       near_zero, {rnd('near_zero * 100.0 / total_rows')} AS pct_near_zero,
+       below_slow, {rnd('below_slow * 100.0 / total_rows')} AS pct_below_slow, min_velocity FROM a""")
+def q_near_zero_report(spark, sf):
+    return Q.near_zero_report(_dense(spark, sf), digits=DIGITS)
+
+
+@query("near_zero_by_hour", f"""
+WITH {OBS_D}, h AS (SELECT hour, COUNT(*) AS near_zero_count FROM observations WHERE velocity < 0.1 GROUP BY hour)
+SELECT hour, near_zero_count, {rnd('near_zero_count * 100.0 / (SELECT SUM(near_zero_count) FROM h)')}
+       AS pct_of_all_near_zeros FROM h ORDER BY hour""")
+def q_near_zero_by_hour(spark, sf):
+    return Q.near_zero_by_hour(_dense(spark, sf), digits=DIGITS)
+
+
+@query("near_zero_by_segment", f"""
+WITH {OBS_D}, s AS (SELECT osm_id, COUNT(*) AS near_zero_count FROM observations WHERE velocity < 0.1 GROUP BY osm_id)
+SELECT osm_id, near_zero_count, {rnd('near_zero_count * 100.0 / (SELECT SUM(near_zero_count) FROM s)')}
+       AS pct_of_all_near_zeros FROM s ORDER BY near_zero_count DESC, osm_id LIMIT 20""")
+def q_near_zero_by_segment(spark, sf):
+    return Q.near_zero_by_segment(_dense(spark, sf), n=20, digits=DIGITS)
+
+
+# -------------------------------- features (C5, C11, G13-G18, G34, G41) ---
+# sparse fixture: one segment per user.  Feature table: daily >= 2 rows,
+# >= 60 observations and >= 25 active days (exercises the NULL path: few
+# segments have every peak column).  Clustering fixture: daily >= 1, 40 / 20.
+FEAT = dict(min_daily=2, min_obs=60, min_days=25)
+CLUS = dict(min_daily=1, min_obs=40, min_days=20)
+
+
+def _features(spark, sf, min_daily, min_obs, min_days):
+    obs = _sparse(spark, sf)
+    return FE.segment_features(obs, D.daily_segment_hour(obs, min_daily), min_obs=min_obs,
+                               min_active_days=min_days, digits=DIGITS)
+
+
+_COV_SQL = f"""{OBS_S}, cov AS (
+    SELECT osm_id, COUNT(*) AS observation_count, COUNT(DISTINCT CAST(timestamp AS DATE)) AS active_days,
+           CAST(SUM(CASE WHEN velocity < 0.1 THEN 1 ELSE 0 END) AS BIGINT) AS zero_velocity_observation_count
+    FROM observations GROUP BY osm_id)"""
+
+
+@query("segment_coverage", f"WITH {_COV_SQL} SELECT osm_id, observation_count, active_days FROM cov")
+def q_segment_coverage(spark, sf):
+    return FE.segment_coverage(_sparse(spark, sf)).select("osm_id", "observation_count", "active_days")
+
+
+@query("segment_counts_diag", f"WITH {_COV_SQL} SELECT * FROM cov")
+def q_segment_counts_diag(spark, sf):
+    return FE.segment_coverage(_sparse(spark, sf))
+
+
+@query("threshold_grid", f"""
+WITH {_COV_SQL}, grid AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b})' for a in (50, 100, 200, 500) for b in (5, 10, 20, 30))})
+                             AS t(min_observations, min_active_days))
+SELECT min_observations, min_active_days,
+       (SELECT COUNT(*) FROM cov WHERE observation_count >= min_observations AND active_days >= min_active_days)
+           AS surviving_segments,
+       {rnd('(SELECT COUNT(*) FROM cov WHERE observation_count >= min_observations AND active_days >= min_active_days) * 100.0 / (SELECT COUNT(*) FROM cov)')}
+           AS pct_of_total
+FROM grid""")
+def q_threshold_grid(spark, sf):
+    return FE.threshold_grid(FE.segment_coverage(_sparse(spark, sf)), digits=DIGITS)
+
+
+@query("coverage_histogram", f"""
+WITH {_COV_SQL},
+m AS (SELECT 'observation_count' AS measure, CAST(observation_count AS DOUBLE) AS x FROM cov
+      UNION ALL SELECT 'active_days', CAST(active_days AS DOUBLE) FROM cov),
+e AS (SELECT measure, CASE WHEN MAX(x) > MIN(x) THEN MIN(x) ELSE MIN(x) - 0.5 END AS lo,
+             CASE WHEN MAX(x) > MIN(x) THEN MAX(x) ELSE MAX(x) + 0.5 END AS hi FROM m GROUP BY measure),
+b AS (SELECT m.measure, CAST(LEAST(FLOOR((x - lo) * 100 / (hi - lo)), 99) AS INTEGER) AS bin
+      FROM m JOIN e ON m.measure = e.measure),
+c AS (SELECT measure, bin, COUNT(*) AS segments FROM b GROUP BY ALL),
+g AS (SELECT measure, lo, hi, CAST(unnest(range(0, 100)) AS INTEGER) AS bin FROM e)
+SELECT g.measure, g.bin, {rnd('lo + g.bin * (hi - lo) / 100')} AS bin_start,
+       {rnd('lo + (g.bin + 1) * (hi - lo) / 100')} AS bin_end, COALESCE(c.segments, 0) AS segments
+FROM g LEFT JOIN c ON g.measure = c.measure AND g.bin = c.bin""")
+def q_coverage_histogram(spark, sf):
+    return round_doubles(FE.coverage_histogram(FE.segment_coverage(_sparse(spark, sf))))
+
+
+@query("moving_velocity_stats", f"""
+WITH {OBS_S}
+SELECT osm_id, {rnd('median(velocity)')} AS median_velocity, {rnd('stddev_samp(velocity)')} AS velocity_std
+FROM observations WHERE velocity >= 0.1 GROUP BY osm_id""")
+def q_moving_velocity_stats(spark, sf):
+    return FE.moving_velocity_stats(_sparse(spark, sf), digits=DIGITS)
+
+
+def _peaks(spark, sf):
+    return FE.peak_features(D.daily_segment_hour(_sparse(spark, sf), FEAT["min_daily"]))
+
+
+_FEAT_CTES = O.features_ctes("sparse", **FEAT)
+
+
+@query("peak_velocity", f"""
+WITH {_FEAT_CTES}
+SELECT COALESCE(a.osm_id, p.osm_id) AS osm_id, {rnd('a.am_velocity')} AS am_velocity,
+       {rnd('p.pm_velocity')} AS pm_velocity
+FROM am_stats a FULL OUTER JOIN pm_stats p ON a.osm_id = p.osm_id""")
+def q_peak_velocity(spark, sf):
+    p = _peaks(spark, sf)
+    return round_doubles(p.where(F.col("am_velocity").isNotNull() | F.col("pm_velocity").isNotNull())
+                         .select("osm_id", "am_velocity", "pm_velocity"))
+
+
+@query("nonpeak_baseline", f"""
+WITH {_FEAT_CTES}
+SELECT COALESCE(a.osm_id, p.osm_id) AS osm_id, {rnd('a.non_am_baseline_velocity')} AS non_am_baseline_velocity,
+       {rnd('p.non_pm_baseline_velocity')} AS non_pm_baseline_velocity
+FROM non_am a FULL OUTER JOIN non_pm p ON a.osm_id = p.osm_id""")
+def q_nonpeak_baseline(spark, sf):
+    p = _peaks(spark, sf)
+    return round_doubles(p.where(F.col("non_am_baseline_velocity").isNotNull()
+                                 | F.col("non_pm_baseline_velocity").isNotNull())
+                         .select("osm_id", "non_am_baseline_velocity", "non_pm_baseline_velocity"))
+
+
+@query("slowdown_frequency", f"""
+WITH {_FEAT_CTES}
+SELECT COALESCE(a.osm_id, p.osm_id) AS osm_id, {rnd('a.am_slowdown_frequency')} AS am_slowdown_frequency,
+       {rnd('p.pm_slowdown_frequency')} AS pm_slowdown_frequency
+FROM am_freq a FULL OUTER JOIN pm_freq p ON a.osm_id = p.osm_id""")
+def q_slowdown_frequency(spark, sf):
+    p = _peaks(spark, sf)
+    return round_doubles(p.where(F.col("am_slowdown_frequency").isNotNull()
+                                 | F.col("pm_slowdown_frequency").isNotNull())
+                         .select("osm_id", "am_slowdown_frequency", "pm_slowdown_frequency"))
+
+
+@query("segment_features", f"WITH {_FEAT_CTES} SELECT * FROM segment_features")
+def q_segment_features(spark, sf):
+    return _features(spark, sf, **FEAT)
+
+
+@query("complete_cohort", f"WITH {_FEAT_CTES}, {O.complete_cte()} SELECT * FROM complete_segments")
+def q_complete_cohort(spark, sf):
+    return FE.complete_cohort(_features(spark, sf, **FEAT))
+
+
+@query("cohort_comparison", f"""
+WITH {_FEAT_CTES}, {O.complete_cte()},
+t AS (SELECT CASE WHEN osm_id IN (SELECT osm_id FROM complete_segments) THEN 'complete' ELSE 'excluded' END
+             AS cohort, CAST(observation_count AS DOUBLE) AS oc, CAST(active_days AS DOUBLE) AS ad
+      FROM segment_features)
+SELECT cohort, COUNT(*) AS segments, {rnd('AVG(oc)')} AS mean_observations, {rnd('median(oc)')} AS median_observations,
+       {rnd('AVG(ad)')} AS mean_active_days, {rnd('median(ad)')} AS median_active_days
+FROM t GROUP BY cohort""")
+def q_cohort_comparison(spark, sf):
+    return FE.cohort_comparison(_features(spark, sf, **FEAT), digits=DIGITS)
+
+
+# -------------------------------- scaling (H1, G36, G43) ------------------
+_CLUS_CTES = f"{O.features_ctes('sparse', **CLUS)}, {O.complete_cte()}, {O.scaled_cte()}"
+_SCALED = [f"{c}_scaled" for c in C.FEATURES]
+
+
+def _scaled(spark, sf):
+    return C.scale(FE.complete_cohort(_features(spark, sf, **CLUS)))
+
+
+@query("scaled_features", f"""
+WITH {_CLUS_CTES}
+SELECT osm_id, {', '.join(f"{rnd(c)} AS {c}" for c in _SCALED)} FROM scaled""")
+def q_scaled_features(spark, sf):
+    return round_doubles(_scaled(spark, sf).select("osm_id", *_SCALED))
+
+
+@query("scaling_check", f"""
+WITH {_CLUS_CTES},
+long AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, {c}_scaled AS v FROM scaled" for c in C.FEATURES)})
+SELECT feature, {rnd('AVG(v)')} AS mean, {rnd('STDDEV_SAMP(v)')} AS std FROM long GROUP BY feature""")
+def q_scaling_check(spark, sf):
+    return C.scaling_check(_scaled(spark, sf), digits=DIGITS)
+
+
+@query("feature_volume_corr", f"""
+WITH {_CLUS_CTES}
+{' UNION ALL '.join(f"SELECT '{c}' AS feature, {rnd(f'corr({c}, CAST(observation_count AS DOUBLE))')} AS corr_with_observation_count FROM complete_segments" for c in C.FEATURES)}""")
+def q_feature_volume_corr(spark, sf):
+    return C.feature_volume_corr(FE.complete_cohort(_features(spark, sf, **CLUS)), digits=DIGITS)
+
+
+# -------------------------------- cluster statistics, fixed assignment -----
+_FIXED = f"{_CLUS_CTES}, {O.fixed_clusters_ctes()}"
+
+
+def _fixed_clusters(spark, sf):
+    a = C.with_group_centroid_distance(X.fixed_assignment(_scaled(spark, sf), 5))
+    labels = C.label_clusters(C.cluster_means(a))
+    return a.join(F.broadcast(labels), "cluster_id")  # k rows
+
+
+@query("cluster_labels", f"WITH {_FIXED} SELECT cluster_id, cluster_label FROM labels")
+def q_cluster_labels(spark, sf):
+    a = X.fixed_assignment(_scaled(spark, sf), 5)
+    return C.label_clusters(C.cluster_means(a))
+
+
+@query("cluster_sizes", f"""
+WITH {_FIXED}, g AS (SELECT cluster_id, COUNT(*) AS segment_count FROM clusters GROUP BY cluster_id)
+SELECT cluster_id, segment_count, {rnd('segment_count * 100.0 / (SELECT SUM(segment_count) FROM g)')} AS pct_of_cohort
+FROM g""")
+def q_cluster_sizes(spark, sf):
+    return C.cluster_sizes(_fixed_clusters(spark, sf), digits=DIGITS)
+
+
+@query("cluster_profile", f"""
+WITH {_FIXED}
+SELECT cluster_id, COUNT(*) AS count, {rnd('AVG(median_velocity)')} AS median_vel_mean,
+       {rnd('STDDEV_SAMP(median_velocity)')} AS median_vel_std, {rnd('AVG(am_relative_slowdown)')} AS am_slowdown_mean,
+       {rnd('median(am_relative_slowdown)')} AS am_slowdown_median, {rnd('AVG(am_slowdown_frequency)')} AS am_freq_mean,
+       {rnd('AVG(pm_relative_slowdown)')} AS pm_slowdown_mean, {rnd('median(pm_relative_slowdown)')} AS pm_slowdown_median,
+       {rnd('AVG(pm_slowdown_frequency)')} AS pm_freq_mean, {rnd('AVG(velocity_std)')} AS vel_std_mean,
+       {rnd('AVG(observation_count)')} AS avg_obs_count, {rnd('AVG(active_days)')} AS avg_active_days
+FROM clusters GROUP BY cluster_id""")
+def q_cluster_profile(spark, sf):
+    return C.cluster_profile(_fixed_clusters(spark, sf), digits=DIGITS)
+
+
+@query("cluster_describe", f"WITH {_FIXED}, {_describe_sql('clusters', C.FEATURES, by='cluster_id')}")
+def q_cluster_describe(spark, sf):
+    return Q.numeric_summary(_fixed_clusters(spark, sf), C.FEATURES, by=["cluster_id"], digits=DIGITS)
+
+
+@query("cluster_boxplot", f"""
+WITH {_FIXED},
+long AS ({' UNION ALL '.join(f"SELECT cluster_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM clusters WHERE {c} IS NOT NULL" for c in C.FEATURES)}),
+q AS (SELECT cluster_id, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
+             quantile_cont(value, 0.75) AS q3 FROM long GROUP BY ALL),
+j AS (SELECT l.*, q.q1, q.med, q.q3, q.q1 - 1.5 * (q.q3 - q.q1) AS lo, q.q3 + 1.5 * (q.q3 - q.q1) AS hi
+      FROM long l JOIN q ON l.cluster_id = q.cluster_id AND l.feature = q.feature)
+SELECT cluster_id, feature, {rnd('ANY_VALUE(q1)')} AS q1, {rnd('ANY_VALUE(med)')} AS median, {rnd('ANY_VALUE(q3)')} AS q3,
+       {rnd('ANY_VALUE(q3) - ANY_VALUE(q1)')} AS iqr, {rnd('MIN(value) FILTER (WHERE value >= lo)')} AS whisker_low,
+       {rnd('MAX(value) FILTER (WHERE value <= hi)')} AS whisker_high,
+       COUNT(*) FILTER (WHERE value < lo OR value > hi) AS outliers
+FROM j GROUP BY cluster_id, feature""")
+def q_cluster_boxplot(spark, sf):
+    return C.cluster_boxplot(_fixed_clusters(spark, sf), digits=DIGITS)
+
+
+@query("nearest_to_centroid", f"""
+WITH {_FIXED},
+r AS (SELECT cluster_id, osm_id, dist_to_centroid,
+             CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY dist_to_centroid, osm_id) AS INTEGER) AS rank
+      FROM clusters)
+SELECT cluster_id, osm_id, {rnd('dist_to_centroid')} AS dist_to_centroid, rank FROM r WHERE rank <= 3""")
+def q_nearest_to_centroid(spark, sf):
+    n = C.nearest_to_centroid(_fixed_clusters(spark, sf), n=3)
+    return n.select("cluster_id", "osm_id", rounded("dist_to_centroid", DIGITS).alias("dist_to_centroid"), "rank")
+
+
+@query("silhouette_sq_euclidean", f"""
+WITH {_FIXED},
+pair AS (SELECT a.osm_id, a.cluster_id AS ca, b.cluster_id AS cb,
+                {' + '.join(f'POWER(a.{c} - b.{c}, 2)' for c in _SCALED)} AS d2
+         FROM clusters a JOIN clusters b ON a.osm_id <> b.osm_id),
+per AS (SELECT osm_id, ca, cb, AVG(d2) AS md FROM pair GROUP BY ALL),
+s AS (SELECT osm_id, MAX(CASE WHEN ca = cb THEN md END) AS a, MIN(CASE WHEN ca <> cb THEN md END) AS b
+      FROM per GROUP BY osm_id)
+SELECT {rnd('AVG(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / GREATEST(a, b) END)')} AS silhouette FROM s""")
+def q_silhouette(spark, sf):
+    return round_doubles(C.silhouette_sq_euclidean(_fixed_clusters(spark, sf)))
+
+
+# -------------------------------- insights (C7-C9, G39, G40) --------------
+_SEV = f"""sev AS (
+    SELECT *, CASE WHEN am_relative_slowdown < 0 THEN 0.0 ELSE am_relative_slowdown END * am_slowdown_frequency
+                  AS am_expected_slowdown,
+              CASE WHEN pm_relative_slowdown < 0 THEN 0.0 ELSE pm_relative_slowdown END * pm_slowdown_frequency
+                  AS pm_expected_slowdown
+    FROM clusters),
+sev2 AS (
+    SELECT *, GREATEST(am_expected_slowdown, pm_expected_slowdown) AS candidate_severity,
+           CASE WHEN am_expected_slowdown >= pm_expected_slowdown THEN 'AM' ELSE 'PM' END AS primary_peak,
+           CASE WHEN active_days < 100 THEN 'Lower' ELSE 'Standard' END AS confidence
+    FROM sev)"""
+
+
+@query("candidate_severity", f"""
+WITH {_FIXED}, {_SEV}
+SELECT osm_id, cluster_label, primary_peak, {rnd('candidate_severity')} AS candidate_severity, confidence,
+       {rnd('am_relative_slowdown')} AS am_relative_slowdown, {rnd('am_slowdown_frequency')} AS am_slowdown_frequency,
+       {rnd('pm_relative_slowdown')} AS pm_relative_slowdown, {rnd('pm_slowdown_frequency')} AS pm_slowdown_frequency,
+       observation_count, active_days
+FROM sev2 ORDER BY sev2.candidate_severity DESC NULLS LAST, osm_id LIMIT 20""")
+def q_candidate_severity(spark, sf):
+    return IN.candidate_severity(_fixed_clusters(spark, sf), n=20, digits=DIGITS)
+
+
+@query("cluster_hour_profile", f"""
+WITH {_FIXED},
+dsh AS (SELECT d.osm_id, d.hour, d.daily_average_velocity, c.cluster_label
+        FROM daily_segment_hour d JOIN clusters c ON d.osm_id = c.osm_id),
+seg_hourly AS (SELECT osm_id, cluster_label, hour, AVG(daily_average_velocity) AS v FROM dsh GROUP BY ALL),
+seg_base AS (SELECT osm_id, AVG(daily_average_velocity) AS baseline_velocity FROM dsh GROUP BY osm_id)
+SELECT cluster_label, hour, {rnd('AVG(b.baseline_velocity - h.v)')} AS relative_slowdown
+FROM seg_hourly h JOIN seg_base b ON h.osm_id = b.osm_id GROUP BY cluster_label, hour ORDER BY 1, 2""")
+def q_cluster_hour_profile(spark, sf):
+    daily = D.daily_segment_hour(_sparse(spark, sf), CLUS["min_daily"])
+    return IN.cluster_hour_profile(daily, _fixed_clusters(spark, sf), digits=DIGITS)
+
+
+@query("segment_map", f"""
+WITH {_FIXED}, {_SEV},
+coords AS (SELECT osm_id, AVG(longitude) AS lon, AVG(latitude) AS lat FROM observations GROUP BY osm_id),
+top AS (SELECT osm_id FROM sev2 ORDER BY candidate_severity DESC NULLS LAST, osm_id LIMIT 20)
+SELECT s.osm_id, s.cluster_id, s.cluster_label, {rnd('c.lon')} AS lon, {rnd('c.lat')} AS lat,
+       {rnd('s.candidate_severity')} AS candidate_severity, s.osm_id IN (SELECT osm_id FROM top) AS is_top_candidate
+FROM sev2 s JOIN coords c ON s.osm_id = c.osm_id""")
+def q_segment_map(spark, sf):
+    return IN.segment_map(_sparse(spark, sf), _fixed_clusters(spark, sf), n=20, digits=DIGITS)
+
+
+# -------------------------------- randomised fits (rows-only check) -------
+@query("kmeans_clusters")
+def q_kmeans_clusters(spark, sf):
+    out, _, _ = C.segment_clusters(_features(spark, sf, **CLUS), ClusterParams(k=5, restarts=20, seed=42))
+    return out
+
+
+@query("k_sweep")
+def q_k_sweep(spark, sf):
+    return C.k_sweep(_features(spark, sf, **CLUS), ClusterParams(sweep_restarts=10))

@@ -20,11 +20,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def canon(v):
-    if v is None:
+    import pandas as pd
+    if v is None or (not isinstance(v, (list, tuple, dict)) and pd.isna(v)):
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
         return round(v, 9)
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
