@@ -70,24 +70,34 @@ def assemble(scaled: DataFrame, cols: list[str] = FEATURES, out: str = "features
     return VectorAssembler(inputCols=[scaled_name(c) for c in cols], outputCol=out).transform(scaled)
 
 
+def _fit(vec: DataFrame, k: int, seed: int, max_iter: int, tol: float):
+    m = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode="k-means||",
+               featuresCol="features", predictionCol="cluster_id").fit(vec)
+    return m, m.summary.trainingCost
+
+
+def _parallelism(spark, requested: int | None) -> int:
+    return requested or max(2, spark.sparkContext.defaultParallelism)
+
+
 def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts: int = 20, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4):
+           max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None):
     """Best-of-``restarts`` K-Means (k-means|| init) by training cost (H2).
 
-    The assembled vectors are cached once for all restarts; each fit is a
-    distributed MLlib job that returns only k centroids and the cost."""
+    The assembled vectors are cached once; restarts are independent MLlib
+    fits submitted concurrently from a thread pool (as MLlib's own
+    ``CrossValidator(parallelism=...)`` does), so small cohorts are not
+    bound by per-iteration job latency.  Each fit returns only k centroids
+    and its cost.  Ties in cost keep the lowest seed."""
+    from concurrent.futures import ThreadPoolExecutor
     vec = assemble(scaled, cols).select("features").cache()
-    best = None
     try:
-        for r in range(restarts):
-            m = KMeans(k=k, seed=seed + r, maxIter=max_iter, tol=tol, initMode="k-means||",
-                       featuresCol="features", predictionCol="cluster_id").fit(vec)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (m, cost)
+        with ThreadPoolExecutor(max_workers=min(restarts, _parallelism(scaled.sparkSession, parallelism))) as ex:
+            fits = list(ex.map(lambda r: _fit(vec, k, seed + r, max_iter, tol), range(restarts)))
     finally:
         vec.unpersist()
-    return best
+    best = min(range(restarts), key=lambda r: (fits[r][1], r))
+    return fits[best]
 
 
 def with_centroid_distance(df: DataFrame, centroids: list[list[float]], cols: list[str] = FEATURES,
@@ -212,22 +222,33 @@ def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(
     return out, model, cost
 
 
-def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4) -> DataFrame:
-    """Inertia and squared-Euclidean silhouette for each k."""
+def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
+            parallelism: int | None = None) -> DataFrame:
+    """Inertia (best of ``sweep_restarts``) and squared-Euclidean silhouette
+    for each k (C12, H3).  All k x restart fits share one cached vector frame
+    and one thread pool."""
+    from concurrent.futures import ThreadPoolExecutor
     cols = list(params.features)
-    scaled = scale(features.na.drop("any"), cols).cache()
-    rows = []
+    scaled = scale(features.na.drop("any"), cols)
+    vec_in = assemble(scaled, cols).cache()
+    vec = vec_in.select("features")
+    spark = features.sparkSession
+    jobs = [(k, r) for k in params.sweep_k for r in range(params.sweep_restarts)]
     try:
-        vec_in = assemble(scaled, cols)
-        for k in params.sweep_k:
-            model, cost = kmeans(scaled, cols, k=k, restarts=params.sweep_restarts, seed=params.seed,
-                                 max_iter=params.max_iter, tol=params.tol)
-            pred = model.transform(vec_in)
-            sil = silhouette_sq_euclidean(pred, cols).first()["silhouette"]
-            rows.append((int(k), float(cost), float(sil) if sil is not None else None))
+        with ThreadPoolExecutor(max_workers=_parallelism(spark, parallelism)) as ex:
+            fits = list(ex.map(lambda kr: _fit(vec, kr[0], params.seed + kr[1], params.max_iter, params.tol), jobs))
+            best = {}
+            for (k, r), (m, cost) in zip(jobs, fits):
+                if k not in best or cost < best[k][1]:
+                    best[k] = (m, cost)
+
+            def score(k):
+                m, cost = best[k]
+                sil = silhouette_sq_euclidean(m.transform(vec_in), cols).first()["silhouette"]
+                return (int(k), float(cost), float(sil) if sil is not None else None)
+            rows = list(ex.map(score, sorted(best)))
     finally:
-        scaled.unpersist()
-    spark = features.sparkSession
+        vec_in.unpersist()
     df = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return df.select("k", rounded("inertia", digits).alias("inertia"),
                      rounded("silhouette", digits).alias("silhouette_score"))
@@ -254,15 +275,26 @@ def cluster_profile(clusters: DataFrame, digits: int | None = 2) -> DataFrame:
         F.avg("velocity_std").alias("vel_std_mean"),
         F.avg("observation_count").alias("avg_obs_count"),
         F.avg("active_days").alias("avg_active_days"))
-    am = exact_quantiles(clusters, ["cluster_id"], "am_relative_slowdown", [0.5], names=["am_slowdown_median"])
-    pm = exact_quantiles(clusters, ["cluster_id"], "pm_relative_slowdown", [0.5], names=["pm_slowdown_median"])
-    j = g.join(am, "cluster_id", "left").join(pm, "cluster_id", "left")
+    meds = grouped_medians(clusters, ["cluster_id"], {"am_relative_slowdown": "am_slowdown_median",
+                                                      "pm_relative_slowdown": "pm_slowdown_median"})
+    j = g.join(meds, "cluster_id", "left")
     cols = ["median_vel_mean", "median_vel_std", "am_slowdown_mean", "am_slowdown_median", "am_freq_mean",
             "pm_slowdown_mean", "pm_slowdown_median", "pm_freq_mean", "vel_std_mean", "avg_obs_count",
             "avg_active_days"]
     return j.select("cluster_id", "count", *[rounded(c, digits).alias(c) for c in cols])
 
 
+def grouped_medians(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Exact medians of several columns per group in one quantile pass
+    (columns unpivoted to (feature, value)), pivoted back to named columns."""
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")
+    ).select(*keys, "s.feature", "s.value")
+    q = exact_quantiles(long, keys + ["feature"], "value", [0.5], names=["m"])
+    return q.groupBy(*keys).agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(nm)
+                                  for c, nm in columns.items()])
+
+
 def cluster_boxplot(clusters: DataFrame, cols: list[str] = FEATURES, digits: int | None = 4) -> DataFrame:
     """Box-plot statistics per (cluster, feature): quartiles, whiskers at the
     most extreme values within 1.5 IQR, outlier count (G42)."""

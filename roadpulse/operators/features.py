@@ -131,9 +131,10 @@ def cohort_comparison(features: DataFrame, digits: int | None = 1) -> DataFrame:
     m = t.groupBy("cohort").agg(F.count(F.lit(1)).alias("segments"),
                                 F.avg("observation_count").alias("mean_observations"),
                                 F.avg("active_days").alias("mean_active_days"))
-    mo = exact_quantiles(t, ["cohort"], "observation_count", [0.5], names=["median_observations"])
-    md = exact_quantiles(t, ["cohort"], "active_days", [0.5], names=["median_active_days"])
-    j = m.join(mo, "cohort").join(md, "cohort")
+    from roadpulse.operators.cluster import grouped_medians
+    meds = grouped_medians(t, ["cohort"], {"observation_count": "median_observations",
+                                           "active_days": "median_active_days"})
+    j = m.join(meds, "cohort")
     return j.select("cohort", "segments", *[rounded(c, digits).alias(c) for c in (
         "mean_observations", "median_observations", "mean_active_days", "median_active_days")])
 

@@ -182,7 +182,8 @@ def timestamp_gap_multiset(clean: DataFrame) -> DataFrame:
 def timestamp_gaps(clean: DataFrame, digits: int | None = None) -> DataFrame:
     """``describe()`` of the gaps between consecutive sorted timestamps (W1):
     count, mean, sample sd, min, exact quartiles, max."""
-    g = timestamp_gap_multiset(clean)
+    # bounded by the distinct timestamps, written once for the passes below
+    g = timestamp_gap_multiset(clean).checkpoint()
     m = g.agg(F.sum("weight").alias("n"), F.sum(F.col("gap") * F.col("weight")).alias("s"),
               F.min("gap").alias("min"), F.max("gap").alias("max"))
     mean = m.select(F.col("s") / F.col("n")).scalar()

@@ -20,7 +20,10 @@ finds the exact order statistics by histogram refinement instead:
 Every shuffle carries either pre-aggregated rows or rows joined to a small
 target table (AQE may broadcast it after measuring it, or split a skewed side).
 Targets are checkpointed each round, so a lost executor recomputes one round,
-not the whole chain.  Interpolation is the linear rule of pandas/DuckDB
+not the whole chain.  The projected input (keys, value, weight) is persisted
+for the duration of the call and released once the small result (one row
+per key) is checkpointed; the operator therefore runs eagerly, like a model
+fit.  Interpolation is the linear rule of pandas/DuckDB
 ``quantile_cont``: x[lo] + (h - lo) * (x[hi] - x[lo]) with h = (n - 1) * p.
 """
 
@@ -28,15 +31,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]):
-    conds = [left[k].eqNullSafe(right[k]) for k in keys]
-    return reduce(lambda a, b: a & b, conds)
-
-
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``keys`` keeping one copy of the key columns."""
     if not keys:
@@ -66,7 +65,22 @@ def exact_quantiles(df: DataFrame, keys: list[str] | tuple[str, ...], value: str
         keys = ["__all"]
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     base = (df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w"))
-            .where(F.col("_v").isNotNull() & (F.col("_w") > 0)))
+            .where(F.col("_v").isNotNull() & (F.col("_w") > 0))
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        wide = _select(base, keys, probs, names, buckets, finish_at, max_rounds)
+    finally:
+        base.unpersist()
+    if const_key:
+        wide = wide.drop("__all")
+    return wide
+
+
+def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[str], buckets: int,
+            finish_at: int, max_rounds: int) -> DataFrame:
+    """Targets, refinement rounds and the exact final step; returns the
+    checkpointed (keys x probabilities) result, so the persisted input can be
+    released by the caller."""
 
     stats = base.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     pa = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
@@ -133,9 +147,7 @@ def exact_quantiles(df: DataFrame, keys: list[str] | tuple[str, ...], value: str
     per_p = per_p.withColumn("q", F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0")))
     wide = per_p.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(nm)
                                       for i, nm in enumerate(names)])
-    if const_key:
-        wide = wide.drop("__all")
-    return wide
+    return wide.checkpoint()
 
 
 def exact_median(df: DataFrame, keys, value: str, name: str = "median", **kw) -> DataFrame:

@@ -201,6 +201,7 @@ from roadpulse.operators import insights as IN  # noqa: E402
 from roadpulse.operators import profiles as P  # noqa: E402
 from roadpulse.operators import quality as Q  # noqa: E402
 from roadpulse.params import ClusterParams  # noqa: E402
+from roadpulse.plans import stages as ST  # noqa: E402
 from roadpulse.sources import raw as RAW  # noqa: E402
 
 rnd = O.rnd
@@ -507,9 +508,14 @@ CLUS = dict(min_daily=1, min_obs=40, min_days=20)
 
 
 def _features(spark, sf, min_daily, min_obs, min_days):
-    obs = _sparse(spark, sf)
-    return FE.segment_features(obs, D.daily_segment_hour(obs, min_daily), min_obs=min_obs,
-                               min_active_days=min_days, digits=DIGITS)
+    """The feature table, written once per session and inputs (the analysed
+    workload hands it to the clustering stage as a file too)."""
+    def build():
+        obs = _sparse(spark, sf)
+        return FE.segment_features(obs, D.daily_segment_hour(obs, min_daily), min_obs=min_obs,
+                                   min_active_days=min_days, digits=DIGITS)
+    key = (sf, min_daily, min_obs, min_days, ST.source_stamp(f"{sf}/events.parquet"))
+    return ST.staged(spark, "segment_features", key, build)
 
 
 _COV_SQL = f"""{OBS_S}, cov AS (
@@ -666,9 +672,12 @@ _FIXED = f"{_CLUS_CTES}, {O.fixed_clusters_ctes()}"
 
 
 def _fixed_clusters(spark, sf):
-    a = C.with_group_centroid_distance(X.fixed_assignment(_scaled(spark, sf), 5))
-    labels = C.label_clusters(C.cluster_means(a))
-    return a.join(F.broadcast(labels), "cluster_id")  # k rows
+    def build():
+        a = C.with_group_centroid_distance(X.fixed_assignment(_scaled(spark, sf), 5))
+        labels = C.label_clusters(C.cluster_means(a))
+        return a.join(F.broadcast(labels), "cluster_id")  # k rows
+    key = (sf, tuple(CLUS.items()), ST.source_stamp(f"{sf}/events.parquet"))
+    return ST.staged(spark, "fixed_clusters", key, build)
 
 
 @query("cluster_labels", f"WITH {_FIXED} SELECT cluster_id, cluster_label FROM labels")

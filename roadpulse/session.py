@@ -54,6 +54,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or found
 
 
+def write_stage(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet under the checkpoint folder; return the path."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
@@ -61,8 +69,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the raw scan) and gives downstream stages a stable, statistics-bearing
     input.  Reliable ``checkpoint()`` would also work; a Parquet table keeps
     the columnar layout and lets later reads prune columns."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(write_stage(df, name))
