@@ -51,6 +51,23 @@ def relative_slowdowns(obs: DataFrame, min_obs: int = 100, n: int = 50, digits:
     )
 
 
+def segment_hour_profile(obs: DataFrame, min_obs: int = 100) -> DataFrame:
+    """Segment-hour observation count and mean velocity with a support
+    threshold (G6)."""
+    return (obs.groupBy("osm_id", F.col("hour").cast("int").alias("hour"))
+            .agg(F.count(F.lit(1)).alias("observation_count"), F.avg("velocity").alias("hourly_velocity"))
+            .where(F.col("observation_count") >= min_obs))
+
+
+def recurring_summary(daily: DataFrame, min_days: int = 5) -> DataFrame:
+    """Across-day summary per segment-hour: days, observations, mean, min, max
+    and population variance of the daily means (G8, G9)."""
+    return (_segment_hour_days(daily).where(F.col("observed_days") >= min_days)
+            .select("osm_id", F.col("hour").cast("int").alias("hour"), "observed_days", "total_observations",
+                    "average_daily_velocity", "minimum_daily_velocity", "maximum_daily_velocity",
+                    "daily_velocity_variance"))
+
+
 def _segment_hour_days(daily: DataFrame) -> DataFrame:
     """Across-day summary per segment-hour, unfiltered, with what the date-weighted
     segment baseline needs (sum and count of daily means)."""

@@ -811,3 +811,46 @@ def q_kmeans_clusters(spark, sf):
 @query("k_sweep")
 def q_k_sweep(spark, sf):
     return C.k_sweep(_features(spark, sf, **CLUS), ClusterParams(sweep_restarts=10))
+
+
+# -------------------------------- sub-aggregates shown on their own -------
+@query("segment_hour_profile", f"""
+WITH {OBS_D}
+SELECT osm_id, hour, COUNT(*) AS observation_count, {rnd('AVG(velocity)')} AS hourly_velocity
+FROM observations GROUP BY osm_id, hour HAVING COUNT(*) >= 15""")
+def q_segment_hour_profile(spark, sf):
+    return round_doubles(S.segment_hour_profile(_dense(spark, sf), min_obs=15))
+
+
+@query("recurring_summary", f"""
+WITH {OBS_D}, {O.daily_cte(2)}
+SELECT osm_id, hour, COUNT(*) AS observed_days, CAST(SUM(daily_observation_count) AS BIGINT) AS total_observations,
+       {rnd('AVG(daily_average_velocity)')} AS average_daily_velocity,
+       {rnd('MIN(daily_average_velocity)')} AS minimum_daily_velocity,
+       {rnd('MAX(daily_average_velocity)')} AS maximum_daily_velocity,
+       {rnd('VAR_POP(daily_average_velocity)')} AS daily_velocity_variance
+FROM daily_segment_hour GROUP BY osm_id, hour HAVING COUNT(*) >= 5""")
+def q_recurring_summary(spark, sf):
+    return round_doubles(S.recurring_summary(D.daily_segment_hour(_dense(spark, sf), 2), min_days=5))
+
+
+@query("segment_centres", f"""
+WITH {OBS_S}
+SELECT osm_id, {rnd('AVG(longitude)')} AS lon, {rnd('AVG(latitude)')} AS lat FROM observations GROUP BY osm_id""")
+def q_segment_centres(spark, sf):
+    return round_doubles(IN.segment_centres(_sparse(spark, sf)))
+
+
+@query("coverage_describe", f"WITH {_COV_SQL}, {_describe_sql('cov', ['observation_count', 'active_days'])}")
+def q_coverage_describe(spark, sf):
+    return Q.numeric_summary(FE.segment_coverage(_sparse(spark, sf)), ["observation_count", "active_days"],
+                             digits=DIGITS)
+
+
+@query("largest_date_gaps", f"""
+WITH {CLEANC}, {_DATES}, {_GAPS}
+SELECT CAST(date AS VARCHAR) AS date, CAST(previous_date AS VARCHAR) AS previous_date,
+       CAST(date - previous_date AS BIGINT) AS gap_days
+FROM gaps WHERE previous_date IS NOT NULL ORDER BY gap_days DESC, date LIMIT 10""")
+def q_largest_date_gaps(spark, sf):
+    return present(Q.largest_date_gaps(_clean(spark, sf), n=10))

@@ -93,3 +93,9 @@ def clean(raw: DataFrame, on_bad: str = "null") -> DataFrame:
         F.col("_velocity").alias("velocity"),
         F.col("OSM ID").cast("string").alias("osm_id"),
     )
+
+
+def preview(df: DataFrame, n: int = 10_000, order_by: tuple[str, ...] = ()) -> DataFrame:
+    """Bounded preview (A2): the first ``n`` rows, in ``order_by`` order when
+    given (file order is not a contract on a distributed read)."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)

@@ -52,3 +52,8 @@ def register(df: DataFrame, name: str, replace: bool = True) -> DataFrame:
     if replace or not df.sparkSession.catalog.tableExists(name):
         df.createOrReplaceTempView(name)
     return df
+
+
+def run_query(spark: SparkSession, sql: str) -> DataFrame:
+    """SQL text to a lazily planned frame (A8); tables come from ``register``."""
+    return spark.sql(sql)
