@@ -1,0 +1,133 @@
+"""Batched K-Means: many models (restarts x k values) fitted in the same passes.
+
+Option of ``cluster.kmeans(engine='batched')``; the default is MLlib.
+
+Fitting R restarts for each of K values of k with separate MLlib fits costs
+R x K x iterations Spark jobs, each a pass over the same small cohort.  Here
+every pass serves all models at once:
+
+* assignment: one projection computes, for every point and every model, the
+  nearest centroid (higher-order functions over the centroid array, which is
+  a single constant-folded literal bounded by sum(k) x restarts x features);
+* update: the per-model assignments are exploded and aggregated by
+  (model, cluster) -- count, per-dimension sums, squared distance -- with
+  map-side partial aggregation, so only (partitions x models x k) rows are
+  shuffled and sum(k) x features numbers reach the driver;
+* seeding: k-means++ for all models together, one pass per seeding step;
+  each step draws one point per model with probability proportional to its
+  squared distance to the model's nearest chosen centre, using seeded
+  hash-uniform keys (-ln u / w, minimum wins), so fits are deterministic.
+
+Convergence per model: sum of squared centre shifts <= tol x mean feature
+variance (the scikit-learn rule); an empty cluster keeps its centre.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+_TWO53 = float(2 ** 53)
+
+
+def _uniform(*cols: Column) -> Column:
+    """Deterministic uniform in (0, 1) from a hash of the given columns."""
+    return (F.pmod(F.xxhash64(*cols), F.lit(2 ** 53)).cast("double") + 0.5) / _TWO53
+
+
+def _dist2(x: Column, c: Column) -> Column:
+    return F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, v: acc + v)
+
+
+def _literal(value, ddl: str) -> Column:
+    """A nested array constant as one foldable expression."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def _nearest(x: Column, cents: Column) -> tuple[Column, Column]:
+    d = F.transform(cents, lambda c: _dist2(x, c))
+    return (F.array_position(d, F.array_min(d)) - 1).cast("int"), F.array_min(d)
+
+
+def points_frame(df: DataFrame, id_col: str, feature_cols: list[str]) -> DataFrame:
+    return df.select(F.col(id_col).alias("pid"), F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"))
+
+
+def _seed(points: DataFrame, models: list[tuple[int, int]], seeds: list[int]) -> list[list[list[float]]]:
+    """k-means++ seeding for every model; ``models`` = [(model id, k)]."""
+    centers: list[list[list[float]]] = [[] for _ in models]
+    kmax = max(k for _, k in models)
+    for step in range(kmax):
+        active = [i for i, (_, k) in enumerate(models) if len(centers[i]) < k]
+        if not active:
+            break
+        # per active model: chosen centres so far (empty on the first step)
+        cl = _literal([centers[i] for i in active], "array<array<array<double>>>")
+        ids = F.array(*[F.lit(i) for i in active])
+        sd = F.array(*[F.lit(seeds[i]) for i in active])
+        keyed = points.select("pid", "x", F.posexplode(cl).alias("j", "cs")).select(
+            "pid", "x", F.element_at(ids, F.col("j") + 1).alias("m"), F.element_at(sd, F.col("j") + 1).alias("s"),
+            F.when(F.size("cs") == 0, F.lit(1.0)).otherwise(F.array_min(F.transform("cs", lambda c: _dist2(F.col("x"), c))))
+            .alias("w"))
+        key = F.when(F.col("w") > 0, -F.log(_uniform(F.col("pid"), F.col("m"), F.col("s"), F.lit(step))) / F.col("w"))
+        picked = keyed.groupBy("m").agg(F.min_by("x", F.coalesce(key, F.lit(float("inf")))).alias("x")).collect()
+        for r in picked:
+            centers[r["m"]].append([float(v) for v in r["x"]])
+    return centers
+
+
+def fit_many(points: DataFrame, ks: list[int], seeds: list[int], max_iter: int = 300, tol: float = 1e-4):
+    """Fit one model per (k, seed) pair in shared passes.
+
+    ``points`` has columns (pid, x: array<double>).  Returns a list of
+    (k, seed, centres, inertia, iterations) in input order."""
+    spark = points.sparkSession
+    pts = points.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        dims = len(pts.select("x").first()["x"])
+        var = pts.select(*[F.var_pop(F.col("x")[j]).alias(f"v{j}") for j in range(dims)]).first()
+        tol_abs = tol * (sum(float(var[f"v{j}"] or 0.0) for j in range(dims)) / dims)
+        models = list(enumerate(ks))
+        centers = _seed(pts, models, seeds)
+        active = set(range(len(models)))
+        iters = [0] * len(models)
+        for _ in range(max_iter):
+            if not active:
+                break
+            order = sorted(active)
+            cl = _literal([centers[i] for i in order], "array<array<array<double>>>")
+            ids = F.array(*[F.lit(i) for i in order])
+            a = pts.select("x", F.posexplode(cl).alias("j", "cs"))
+            cid, d2 = _nearest(F.col("x"), F.col("cs"))
+            a = a.select("x", F.element_at(ids, F.col("j") + 1).alias("m"), cid.alias("c"))
+            sums = a.groupBy("m", "c").agg(F.count(F.lit(1)).alias("n"),
+                                           *[F.sum(F.col("x")[j]).alias(f"s{j}") for j in range(dims)]).collect()
+            new = {i: [list(c) for c in centers[i]] for i in order}
+            for r in sums:
+                if r["n"] > 0:
+                    new[r["m"]][r["c"]] = [r[f"s{j}"] / r["n"] for j in range(dims)]
+            for i in order:
+                shift = sum(sum((p - q) ** 2 for p, q in zip(nc, oc)) for nc, oc in zip(new[i], centers[i]))
+                centers[i] = new[i]
+                iters[i] += 1
+                if shift <= tol_abs:
+                    active.discard(i)
+        # inertia of every model with its final centres, one pass
+        cl = _literal(centers, "array<array<array<double>>>")
+        cost = (pts.select(F.posexplode(F.transform(cl, lambda cs: F.array_min(
+            F.transform(cs, lambda c: _dist2(F.col("x"), c))))).alias("m", "d2"))
+            .groupBy("m").agg(F.sum("d2").alias("inertia")).collect())
+        inertia = {r["m"]: float(r["inertia"]) for r in cost}
+    finally:
+        pts.unpersist()
+    return [(k, seeds[i], centers[i], inertia.get(i, 0.0), iters[i]) for i, k in models]
+
+
+def assign(df: DataFrame, feature_cols: list[str], centers: list[list[float]], out: str = "cluster_id") -> DataFrame:
+    """Nearest-centre id for each row (centres as a literal, bounded by k)."""
+    x = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    cid, _ = _nearest(x, _literal(centers, "array<array<double>>"))
+    return df.withColumn(out, cid)

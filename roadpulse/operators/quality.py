@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions.columns import rounded
 from roadpulse.operators.quantile import exact_quantiles
 from roadpulse.params import MAX_ABS_LATITUDE, MAX_ABS_LONGITUDE, NEAR_ZERO_VELOCITY, SLOW_VELOCITY
+from roadpulse.session import reliable_checkpoint
 from roadpulse.sources.raw import parsed
 
 
@@ -183,7 +184,7 @@ def timestamp_gaps(clean: DataFrame, digits: int | None = None) -> DataFrame:
     """``describe()`` of the gaps between consecutive sorted timestamps (W1):
     count, mean, sample sd, min, exact quartiles, max."""
     # bounded by the distinct timestamps, written once for the passes below
-    g = timestamp_gap_multiset(clean).checkpoint()
+    g = reliable_checkpoint(timestamp_gap_multiset(clean))
     m = g.agg(F.sum("weight").alias("n"), F.sum(F.col("gap") * F.col("weight")).alias("s"),
               F.min("gap").alias("min"), F.max("gap").alias("max"))
     mean = m.select(F.col("s") / F.col("n")).scalar()

@@ -35,6 +35,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadpulse.session import reliable_checkpoint
+
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join on ``keys`` keeping one copy of the key columns."""
@@ -101,7 +103,7 @@ def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[st
     largest = stats.agg(F.max("_n")).first()[0]
     rounds = max_rounds if (largest or 0) > finish_at else 0
     if rounds:
-        targets = targets.checkpoint()
+        targets = reliable_checkpoint(targets)
 
     for _ in range(rounds):
         open_t = targets.where(F.col("val").isNull() & (F.col("cnt") > finish_at))
@@ -124,7 +126,7 @@ def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[st
                              F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
                              (F.col("before") + F.col("cb")).alias("before"), F.col("c").alias("cnt"),
                              F.when(F.col("bmin") == F.col("bmax"), F.col("bmin")).alias("val"))
-        targets = closed.unionByName(moved).checkpoint()
+        targets = reliable_checkpoint(closed.unionByName(moved))
 
     done = targets.where(F.col("val").isNotNull())
     pending = targets.where(F.col("val").isNull())
@@ -147,7 +149,7 @@ def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[st
     per_p = per_p.withColumn("q", F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0")))
     wide = per_p.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(nm)
                                       for i, nm in enumerate(names)])
-    return wide.checkpoint()
+    return reliable_checkpoint(wide)
 
 
 def exact_median(df: DataFrame, keys, value: str, name: str = "median", **kw) -> DataFrame:

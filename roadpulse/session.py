@@ -55,6 +55,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or found
 
 
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint into the session's checkpoint folder (set
+    only if the session has none).  Never ``localCheckpoint``: its blocks die
+    with the executor that holds them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def write_stage(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under the checkpoint folder; return the path."""
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
