@@ -17,6 +17,9 @@ finds the exact order statistics by histogram refinement instead:
 4. the few remaining ranges (each <= ``finish_at`` weight) are ranked
    exactly with a window over their distinct values.
 
+When no group exceeds ``finish_at`` (one probe job tells), steps 2-4 collapse
+into one bounded window per group over its distinct values.
+
 Every shuffle carries either pre-aggregated rows or rows joined to a small
 target table (AQE may broadcast it after measuring it, or split a skewed side).
 Targets are checkpointed each round, so a lost executor recomputes one round,
@@ -48,6 +51,26 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _small_groups(base: DataFrame, keys: list[str], probs: list[float], names: list[str]) -> DataFrame:
+    """Every group holds at most ``finish_at`` weight: distinct values with
+    their weights, one running-sum window per key, one conditional aggregate."""
+    vals = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("c"))
+    run = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    allw = Window.partitionBy(*keys)
+    vals = vals.select(*keys, "_v", "c", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("cb"),
+                       F.sum("c").over(allw).alias("n"))
+    aggs = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            hit = (F.col("cb") <= r) & (r < F.col("cb") + F.col("c"))
+            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
+        aggs.append(F.max(h - F.floor(h)).alias(f"_f{i}"))
+    g = vals.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
+                             for i, nm in enumerate(names)])
+
+
 def exact_quantiles(df: DataFrame, keys: list[str] | tuple[str, ...], value: str, probs: list[float],
                     names: list[str] | None = None, weight: str | None = None, buckets: int = 4096,
                     finish_at: int = 200_000, max_rounds: int = 12) -> DataFrame:
@@ -99,11 +122,12 @@ def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[st
         F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("val"),
     )
     # One probe job: if no key holds more than ``finish_at`` weight, every
-    # target goes straight to the exact window step (no refinement rounds).
+    # group is small enough for one bounded window (fast path).
     largest = stats.agg(F.max("_n")).first()[0]
-    rounds = max_rounds if (largest or 0) > finish_at else 0
-    if rounds:
-        targets = reliable_checkpoint(targets)
+    if (largest or 0) <= finish_at:
+        return reliable_checkpoint(_small_groups(base, keys, probs, names))
+    rounds = max_rounds
+    targets = reliable_checkpoint(targets)
 
     for _ in range(rounds):
         open_t = targets.where(F.col("val").isNull() & (F.col("cnt") > finish_at))
