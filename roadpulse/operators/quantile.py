@@ -21,7 +21,8 @@ When no group exceeds ``finish_at`` (one probe job tells), steps 2-4 collapse
 into one bounded window per group over its distinct values.
 
 Every shuffle carries either pre-aggregated rows or rows joined to a small
-target table (AQE may broadcast it after measuring it, or split a skewed side).
+target table, broadcast when its measured row count is within
+``BROADCAST_MAX_RANGES`` and otherwise shuffle-joined with AQE skew splitting.
 Targets are checkpointed each round, so a lost executor recomputes one round,
 not the whole chain.  The projected input (keys, value, weight) is persisted
 for the duration of the call and released once the small result (one row
@@ -71,6 +72,20 @@ def _small_groups(base: DataFrame, keys: list[str], probs: list[float], names: l
                              for i, nm in enumerate(names)])
 
 
+# A target-range table this small is broadcast (its size is measured first);
+# beyond it the join shuffles and AQE's skew handling splits a hot key.
+BROADCAST_MAX_RANGES = 500_000
+
+
+def _with_ranges(base: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Raw rows joined to their key's open value ranges, broadcasting the range
+    table only when its measured row count is within the bound."""
+    ranges = reliable_checkpoint(ranges)
+    if ranges.count() <= BROADCAST_MAX_RANGES:
+        ranges = F.broadcast(ranges)
+    return _join_keys(base, ranges, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+
+
 def exact_quantiles(df: DataFrame, keys: list[str] | tuple[str, ...], value: str, probs: list[float],
                     names: list[str] | None = None, weight: str | None = None, buckets: int = 4096,
                     finish_at: int = 200_000, max_rounds: int = 12) -> DataFrame:
@@ -134,8 +149,7 @@ def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[st
         if open_t.limit(1).count() == 0:
             break
         closed = targets.where(F.col("val").isNotNull() | (F.col("cnt") <= finish_at))
-        ranges = open_t.select(*keys, "lo", "hi").distinct()
-        rows = _join_keys(base, ranges, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+        rows = _with_ranges(base, open_t.select(*keys, "lo", "hi").distinct(), keys)
         b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
                     F.lit(buckets - 1)).cast("int")
         hist = rows.groupBy(*keys, "lo", "hi", b.alias("bucket")).agg(
@@ -154,8 +168,7 @@ def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[st
 
     done = targets.where(F.col("val").isNotNull())
     pending = targets.where(F.col("val").isNull())
-    ranges = pending.select(*keys, "lo", "hi").distinct()
-    rows = _join_keys(base, ranges, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+    rows = _with_ranges(base, pending.select(*keys, "lo", "hi").distinct(), keys)
     vals = rows.groupBy(*keys, "lo", "hi", "_v").agg(F.sum("_w").alias("c"))
     win = Window.partitionBy(*keys, "lo", "hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     vals = vals.withColumn("cb", F.coalesce(F.sum("c").over(win), F.lit(0)))

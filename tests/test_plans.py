@@ -41,3 +41,28 @@ def test_peak_features_one_shuffle_for_window_and_aggregate(spark):
 def test_no_cartesian_products(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_top_n_per_cluster_limits_before_shuffle(spark):
+    from roadpulse.operators import cluster as C
+    df = spark.range(1000).selectExpr("cast(id % 5 as int) as cluster_id", "rand(1) as dist_to_centroid",
+                                      "concat('way/', id) as osm_id")
+    p = plan(C.nearest_to_centroid(df, 3))
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_skewed_quantile_refinement_is_exact(spark):
+    """One key holds most rows and exceeds finish_at: refinement rounds with the
+    size-checked broadcast of target ranges, still exact."""
+    import numpy as np
+    from roadpulse.operators.quantile import exact_quantiles
+    rng = np.random.default_rng(11)
+    vals = np.round(rng.gamma(2.0, 10.0, 3000), 2)
+    keys = np.where(np.arange(3000) < 2000, "hot", np.where(np.arange(3000) % 2 == 0, "a", "b"))
+    df = spark.createDataFrame([(str(k), float(v)) for k, v in zip(keys, vals)], "k string, v double")
+    got = {r["k"]: (r["p10"], r["p50"], r["p99"]) for r in
+           exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.99], names=["p10", "p50", "p99"],
+                           finish_at=100, buckets=16).collect()}
+    for k in ("hot", "a", "b"):
+        exp = np.quantile(vals[keys == k], [0.1, 0.5, 0.99])
+        assert np.allclose(got[k], exp, atol=1e-9)
