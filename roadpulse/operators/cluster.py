@@ -90,41 +90,15 @@ def _parallelism(spark, requested: int | None) -> int:
     return requested or max(2, 2 * spark.sparkContext.defaultParallelism)
 
 
-class FittedKMeans:
-    """Centres, inertia and seed of the best fit; ``transform`` adds ``cluster_id``."""
-
-    def __init__(self, centers: list[list[float]], cost: float, seed: int, cols: list[str]):
-        self.centers, self.cost, self.seed, self.cols = centers, cost, seed, cols
-
-    def clusterCenters(self):  # noqa: N802 - mirrors the MLlib model API
-        return self.centers
-
-    def transform(self, scaled: DataFrame) -> DataFrame:
-        from roadpulse.operators.kmeans import assign
-        return assign(scaled, [scaled_name(c) for c in self.cols], self.centers)
-
-
 def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts: int = 20, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4, engine: str = "mllib", parallelism: int | None = None):
+           max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None):
     """Best-of-``restarts`` K-Means by inertia (H2).
 
-    ``engine='mllib'`` (default) runs independent MLlib fits (k-means||
-    seeding) concurrently from a thread pool, as MLlib's
-    ``CrossValidator(parallelism=...)`` does; each iteration is a cheap RDD
-    pass, which suits cohorts of up to millions of segments.
-    ``engine='batched'`` fits all restarts in shared DataFrame passes with
-    k-means++ seeding (``operators.kmeans``): one scan per iteration for every
-    model, which pays off when the cohort is large enough that scans, not
-    per-iteration planning (~1 s locally), dominate.  Ties in cost keep the
-    lowest seed.  Returns (model, cost)."""
-    if engine == "batched":
-        from roadpulse.operators.kmeans import fit_many, points_frame
-        pts = points_frame(scaled, "osm_id", [scaled_name(c) for c in cols])
-        seeds = [seed + r for r in range(restarts)]
-        fits = fit_many(pts, [k] * restarts, seeds, max_iter=max_iter, tol=tol)
-        best = min(range(restarts), key=lambda r: (fits[r][3], r))
-        _, sd, centers, cost, _ = fits[best]
-        return FittedKMeans(centers, cost, sd, cols), cost
+    Independent MLlib fits (k-means|| seeding) are submitted concurrently from
+    a thread pool, as MLlib's ``CrossValidator(parallelism=...)`` does; the
+    assembled vectors are cached once for all of them and each fit returns
+    only k centroids and its cost.  Ties in cost keep the lowest seed.
+    Returns (model, cost)."""
     from concurrent.futures import ThreadPoolExecutor
     vec = assemble(scaled, cols).select("features").cache()
     try:
@@ -241,19 +215,15 @@ CLUSTER_COLUMNS = (
 )
 
 
-def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
-                     engine: str = "mllib"):
+def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4):
     """Complete cohort -> scale -> best-of-seeds K-Means -> distance to own
     centroid -> rule labels (C6).  Returns (clusters DataFrame, model, cost)."""
     cols = list(params.features)
     cohort = features.na.drop("any")
     scaled = scale(cohort, cols)
     model, cost = kmeans(scaled, cols, k=params.k, restarts=params.restarts, seed=params.seed,
-                         max_iter=params.max_iter, tol=params.tol, engine=engine)
-    if engine == "batched":
-        assigned = model.transform(scaled)
-    else:
-        assigned = model.transform(assemble(scaled, cols)).drop("features")
+                         max_iter=params.max_iter, tol=params.tol)
+    assigned = model.transform(assemble(scaled, cols)).drop("features")
     assigned = with_centroid_distance(assigned, [list(c) for c in model.clusterCenters()], cols)
     labels = label_clusters(cluster_means(assigned, cols))
     out = assigned.join(F.broadcast(labels), "cluster_id")  # k rows
@@ -263,50 +233,32 @@ def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(
 
 
 def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
-            engine: str = "mllib", parallelism: int | None = None) -> DataFrame:
+            parallelism: int | None = None) -> DataFrame:
     """Inertia (best of ``sweep_restarts``) and squared-Euclidean silhouette
-    for each k (C12, H3).  MLlib fits run concurrently from one thread pool;
-    with ``engine='batched'`` every (k, restart) model shares the same passes."""
+    for each k (C12, H3).  All k x restart MLlib fits share one cached vector
+    frame and one thread pool."""
+    from concurrent.futures import ThreadPoolExecutor
     cols = list(params.features)
-    scaled = scale(features.na.drop("any"), cols).persist()
+    scaled = scale(features.na.drop("any"), cols)
+    vec_in = assemble(scaled, cols).cache()
+    vec = vec_in.select("features")
     spark = features.sparkSession
+    jobs = [(k, r) for k in params.sweep_k for r in range(params.sweep_restarts)]
+    best = {}
     try:
-        best = {}
-        if engine == "batched":
-            from roadpulse.operators.kmeans import fit_many, points_frame
-            pts = points_frame(scaled, "osm_id", [scaled_name(c) for c in cols])
-            pairs = [(k, params.seed + r) for k in params.sweep_k for r in range(params.sweep_restarts)]
-            fits = fit_many(pts, [k for k, _ in pairs], [s for _, s in pairs], params.max_iter, params.tol)
-            for (k, sd), (_, _, centers, cost, _) in zip(pairs, fits):
+        with ThreadPoolExecutor(max_workers=_parallelism(spark, parallelism)) as ex:
+            fits = list(ex.map(lambda kr: _fit(vec, kr[0], params.seed + kr[1], params.max_iter, params.tol), jobs))
+            for (k, r), (m, cost) in zip(jobs, fits):
                 if k not in best or cost < best[k][1]:
-                    best[k] = (FittedKMeans(centers, cost, sd, cols), cost)
-            rows = []
-            for k in sorted(best):
+                    best[k] = (m, cost)
+
+            def score(k):
                 m, cost = best[k]
-                sil = silhouette_sq_euclidean(m.transform(scaled), cols).first()["silhouette"]
-                rows.append((int(k), float(cost), float(sil) if sil is not None else None))
-        else:
-            from concurrent.futures import ThreadPoolExecutor
-            vec_in = assemble(scaled, cols).cache()
-            vec = vec_in.select("features")
-            jobs = [(k, r) for k in params.sweep_k for r in range(params.sweep_restarts)]
-            try:
-                with ThreadPoolExecutor(max_workers=_parallelism(spark, parallelism)) as ex:
-                    fits = list(ex.map(lambda kr: _fit(vec, kr[0], params.seed + kr[1], params.max_iter,
-                                                       params.tol), jobs))
-                    for (k, r), (m, cost) in zip(jobs, fits):
-                        if k not in best or cost < best[k][1]:
-                            best[k] = (m, cost)
-
-                    def score(k):
-                        m, cost = best[k]
-                        sil = silhouette_sq_euclidean(m.transform(vec_in), cols).first()["silhouette"]
-                        return (int(k), float(cost), float(sil) if sil is not None else None)
-                    rows = list(ex.map(score, sorted(best)))
-            finally:
-                vec_in.unpersist()
+                sil = silhouette_sq_euclidean(m.transform(vec_in), cols).first()["silhouette"]
+                return (int(k), float(cost), float(sil) if sil is not None else None)
+            rows = list(ex.map(score, sorted(best)))
     finally:
-        scaled.unpersist()
+        vec_in.unpersist()
     df = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return df.select("k", rounded("inertia", digits).alias("inertia"),
                      rounded("silhouette", digits).alias("silhouette_score"))
