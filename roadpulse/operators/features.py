@@ -46,9 +46,21 @@ def segment_coverage(obs: DataFrame, near: float = NEAR_ZERO_VELOCITY) -> DataFr
         F.sum("z").cast("long").alias("zero_velocity_observation_count"))
 
 
-def moving_velocity_stats(obs: DataFrame, moving: float = NEAR_ZERO_VELOCITY, digits: int | None = 4) -> DataFrame:
-    """Exact median and sample sd of velocity >= ``moving`` per segment."""
+def moving_velocity_stats(obs: DataFrame, moving: float = NEAR_ZERO_VELOCITY, digits: int | None = 4,
+                          approx_accuracy: int | None = None) -> DataFrame:
+    """Median and sample sd of velocity >= ``moving`` per segment.
+
+    Exact by default (``exact_quantiles``).  ``approx_accuracy`` switches the
+    median to ``percentile_approx`` (mergeable sketches, one aggregation with
+    the sd, relative rank error 1/accuracy) for runs where an approximate
+    median is acceptable."""
     mv = obs.where(F.col("velocity") >= moving).select("osm_id", "velocity")
+    if approx_accuracy:
+        both = mv.groupBy("osm_id").agg(
+            F.percentile_approx("velocity", 0.5, approx_accuracy).alias("median_velocity"),
+            F.stddev_samp("velocity").alias("velocity_std"))
+        return both.select("osm_id", rounded("median_velocity", digits).alias("median_velocity"),
+                           rounded("velocity_std", digits).alias("velocity_std"))
     sd = mv.groupBy("osm_id").agg(F.stddev_samp("velocity").alias("velocity_std"))
     med = exact_quantiles(mv, ["osm_id"], "velocity", [0.5], names=["median_velocity"])
     return med.join(sd, "osm_id").select("osm_id", rounded("median_velocity", digits).alias("median_velocity"),
@@ -83,13 +95,15 @@ def peak_features(daily: DataFrame, am: tuple[int, ...] = AM_HOURS, pm: tuple[in
 
 def segment_features(obs: DataFrame, daily: DataFrame, am: tuple[int, ...] = AM_HOURS,
                      pm: tuple[int, ...] = PM_HOURS, moving: float = NEAR_ZERO_VELOCITY,
-                     min_obs: int = 100, min_active_days: int = 10, digits: int | None = 4) -> DataFrame:
+                     min_obs: int = 100, min_active_days: int = 10, digits: int | None = 4,
+                     approx_accuracy: int | None = None) -> DataFrame:
     """One row per qualified segment with the twelve feature columns.
 
-    Missing peak data stays NULL (never imputed as zero)."""
+    Missing peak data stays NULL (never imputed as zero).  ``approx_accuracy``
+    is passed to ``moving_velocity_stats``."""
     cov = segment_coverage(obs, near=moving).where(
         (F.col("observation_count") >= min_obs) & (F.col("active_days") >= min_active_days))
-    vel = moving_velocity_stats(obs, moving=moving, digits=digits)
+    vel = moving_velocity_stats(obs, moving=moving, digits=digits, approx_accuracy=approx_accuracy)
     peaks = peak_features(daily, am, pm)
     f = cov.join(vel, "osm_id", "left").join(peaks, "osm_id", "left")
     return f.select(

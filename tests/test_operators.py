@@ -159,3 +159,13 @@ def test_kmeans_recovers_separated_blobs(spark):
     model, cost = C.kmeans(df, ["a", "b"], k=3, restarts=3, seed=1)
     got = sorted(tuple(round(v) for v in c) for c in model.clusterCenters())
     assert got == sorted(tuple(int(v) for v in c) for c in centres)
+
+
+def test_approx_median_option_close_to_exact(spark):
+    o = X.observations(spark, "/root/testdata/sf0.01", "dense")
+    exact = {r["osm_id"]: r["median_velocity"] for r in FE.moving_velocity_stats(o).collect()}
+    approx = {r["osm_id"]: r["median_velocity"] for r in
+              FE.moving_velocity_stats(o, approx_accuracy=10000).collect()}
+    assert exact.keys() == approx.keys()
+    # approximate median is an actual value within a small rank distance of the exact one
+    assert sum(abs(exact[k] - approx[k]) for k in exact) / len(exact) < 2.0
