@@ -169,3 +169,18 @@ def test_approx_median_option_close_to_exact(spark):
     assert exact.keys() == approx.keys()
     # approximate median is an actual value within a small rank distance of the exact one
     assert sum(abs(exact[k] - approx[k]) for k in exact) / len(exact) < 2.0
+
+
+def test_bottleneck_sign_and_scaling_invariants(spark):
+    o = X.observations(spark, "/root/testdata/sf0.01", "dense")
+    top = S.candidate_bottlenecks(D.daily_segment_hour(o, 1), min_days=5, min_obs=10, n=1000, digits=None)
+    rows = top.collect()
+    assert rows and all(r["velocity_drop"] > 0 and 0 < r["slowdown_percentage"] <= 100 for r in rows)
+    feats = FE.segment_features(X.observations(spark, "/root/testdata/sf0.01", "sparse"),
+                                D.daily_segment_hour(X.observations(spark, "/root/testdata/sf0.01", "sparse"), 1),
+                                min_obs=40, min_active_days=20)
+    sc = C.scale(FE.complete_cohort(feats))
+    stats = sc.agg(*[F.avg(f"{c}_scaled").alias(f"m_{c}") for c in C.FEATURES],
+                   *[F.stddev_pop(f"{c}_scaled").alias(f"s_{c}") for c in C.FEATURES]).first()
+    for c in C.FEATURES:
+        assert abs(stats[f"m_{c}"]) < 1e-9 and abs(stats[f"s_{c}"] - 1.0) < 1e-9
