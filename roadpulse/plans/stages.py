@@ -138,3 +138,15 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
         for name in ("segment_features", "segment_clusters"):
             write_table(spark.read.parquet(written[name]), f"{out}/csv/{name}", fmt="csv")
     return written
+
+
+def register_views(obs: DataFrame, daily: DataFrame | None = None, features: DataFrame | None = None,
+                   clusters: DataFrame | None = None) -> None:
+    """Expose the stage tables to ``spark.sql`` under the names the analysis
+    uses (``traffic_observations``, ``daily_segment_hour``, ``segment_features``,
+    ``segment_clusters``) for ad-hoc SQL (A6, A8)."""
+    from roadpulse.sources.tables import register
+    register(obs, "traffic_observations")
+    for df, name in ((daily, "daily_segment_hour"), (features, "segment_features"), (clusters, "segment_clusters")):
+        if df is not None:
+            register(df, name)

@@ -30,3 +30,14 @@ def test_run_all_end_to_end(spark):
     assert read("ml/k_sweep").count() == 2
     assert read("insights/candidate_severity").count() > 0
     assert read("insights/segment_map").count() == clusters.count()
+
+
+def test_register_views_for_adhoc_sql(spark):
+    from roadpulse.operators import daily as D
+    obs = X.observations(spark, "/root/testdata/sf0.001", "dense")
+    stages.register_views(obs, D.daily_segment_hour(obs, 1))
+    n = spark.sql("SELECT COUNT(*) AS n FROM traffic_observations").first()["n"]
+    assert n == 1000
+    top = spark.sql("SELECT osm_id, hour, COUNT(*) AS d FROM daily_segment_hour GROUP BY osm_id, hour "
+                    "ORDER BY d DESC, osm_id, hour LIMIT 1").collect()
+    assert len(top) == 1
