@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -60,7 +61,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     only if the session has none).  Never ``localCheckpoint``: its blocks die
     with the executor that holds them."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first: the checkpoint write then reads the cached blocks
+    # instead of recomputing the plan a second time
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 def write_stage(df: DataFrame, name: str) -> str:
