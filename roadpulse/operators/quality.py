@@ -193,9 +193,9 @@ def timestamp_gaps(clean: DataFrame, digits: int | None = None) -> DataFrame:
     var = F.try_divide(ss, F.col("n") - 1)
     stats = m.select(F.col("n").cast("long").alias("count"), mean.alias("mean"), F.sqrt(var).alias("std"),
                      "min", "max")
-    out = stats.select("count", "mean", "std", "min",
-                       q.select("p25").scalar().alias("p25"), q.select("p50").scalar().alias("p50"),
-                       q.select("p75").scalar().alias("p75"), "max")
+    quartiles = q.select(F.struct("p25", "p50", "p75")).scalar()  # one (reused) subquery
+    out = stats.select("count", "mean", "std", "min", quartiles.getField("p25").alias("p25"),
+                       quartiles.getField("p50").alias("p50"), quartiles.getField("p75").alias("p75"), "max")
     return out.select("count", *[rounded(c, digits).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
