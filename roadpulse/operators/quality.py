@@ -54,11 +54,20 @@ def velocity_moments(raw: DataFrame) -> DataFrame:
                  F.max("v").alias("velocity_max"))
 
 
-def distinct_counts(raw: DataFrame) -> DataFrame:
-    """Distinct non-missing values per raw column plus distinct valid dates."""
+def distinct_counts(raw: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """Distinct non-missing values per raw column plus distinct valid dates.
+
+    Exact by default (Spark plans several exact distinct counts as one Expand
+    with map-side de-duplication).  ``approx_rsd`` switches to HyperLogLog
+    (``approx_count_distinct``, no Expand, fixed-size state) for very wide
+    scans where an estimate is enough."""
     p = parsed(raw).withColumn("valid date", F.to_date("_ts"))
     cols = [c for c in raw.columns] + ["valid date"]
-    wide = p.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)])
+    if approx_rsd:
+        aggs = [F.approx_count_distinct(F.col(f"`{c}`"), approx_rsd).alias(f"d{i}") for i, c in enumerate(cols)]
+    else:
+        aggs = [F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]
+    wide = p.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_count"))
         for i, c in enumerate(cols)])).alias("s")).select("s.*")

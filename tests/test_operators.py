@@ -184,3 +184,11 @@ def test_bottleneck_sign_and_scaling_invariants(spark):
                    *[F.stddev_pop(f"{c}_scaled").alias(f"s_{c}") for c in C.FEATURES]).first()
     for c in C.FEATURES:
         assert abs(stats[f"m_{c}"]) < 1e-9 and abs(stats[f"s_{c}"] - 1.0) < 1e-9
+
+
+def test_distinct_counts_exact_and_approx(spark):
+    raw = X.raw_text(spark, "/root/testdata/sf0.01")
+    exact = {r[0]: r[1] for r in Q.distinct_counts(raw).collect()}
+    approx = {r[0]: r[1] for r in Q.distinct_counts(raw, approx_rsd=0.01).collect()}
+    assert exact["OSM ID"] == 20 and exact["valid date"] == 30
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
