@@ -95,12 +95,15 @@ def analysis(obs: DataFrame, daily: DataFrame, t: Thresholds = Thresholds(), dig
 
 def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Thresholds(),
             peaks: PeakHours = PeakHours(), cp: ClusterParams = ClusterParams(),
-            fmt: str = "parquet") -> dict[str, str]:
+            fmt: str = "parquet", bucket_daily: int | None = None) -> dict[str, str]:
     """Raw file -> every result table, written under ``out_dir``.
 
     Returns {table name: path}.  Clean observations are written partitioned by
     date; the daily summary, feature table and cluster table are written once
-    and re-read by the later stages."""
+    and re-read by the later stages.  With ``bucket_daily`` (a bucket count)
+    the daily summary is saved as a catalog table bucketed by ``osm_id``, so
+    the downstream aggregations by segment (and segment-hour) read it without
+    a shuffle."""
     out = out_dir.rstrip("/")
     written: dict[str, str] = {}
 
@@ -114,7 +117,13 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
     for name, df in feasibility_report(raw).items():
         put(f"feasibility/{name}", df)
     obs = put("traffic_clean", RAW.clean(raw, on_bad="drop"))
-    daily = put("daily_segment_hour", D.daily_segment_hour(obs, t.min_daily_obs))
+    if bucket_daily:
+        from roadpulse.sources.tables import save_bucketed
+        daily = save_bucketed(D.daily_segment_hour(obs, t.min_daily_obs), "daily_segment_hour", key="osm_id",
+                              buckets=bucket_daily)
+        written["daily_segment_hour"] = "table:daily_segment_hour"
+    else:
+        daily = put("daily_segment_hour", D.daily_segment_hour(obs, t.min_daily_obs))
     for name, df in analysis(obs, daily, t).items():
         put(f"analysis/{name}", df)
     cov = FE.segment_coverage(obs)
