@@ -1,8 +1,10 @@
 """roadpulse: Spark-native analytics for timestamped, segment-matched speed observations.
 
-Every operator is a plain function ``fn(df, ..., params) -> DataFrame`` that only
-declares a logical plan; nothing is collected unless the operator's result is
-bounded by a model parameter (k centroids, one row of scaling statistics).
+Every operator is a plain function ``fn(df, ..., params) -> DataFrame`` that
+declares a logical plan.  Exact quantiles, scaling statistics and K-Means run
+their bounded sub-jobs eagerly (like a model fit); nothing reaches the driver
+unless its size is bounded by a parameter (k centroids, one row of scaling
+statistics, one probe value).
 
 Subpackages
 -----------
