@@ -90,6 +90,14 @@ def hour_date_rollup(hourly: DataFrame) -> DataFrame:
                     F.try_divide("velocity_sum", "observation_count").alias("velocity_mean"))
 
 
+def rollup_by(hourly: DataFrame, key: str) -> DataFrame:
+    """Roll the (date, hour) table up to one key (``'hour'`` or ``'date'``):
+    observations, velocity sum and weighted mean sum/count (G30, one grouping)."""
+    g = hourly.groupBy(key).agg(F.sum("observation_count").cast("long").alias("observation_count"),
+                                F.sum("velocity_sum").alias("velocity_sum"))
+    return g.withColumn("velocity_mean", F.try_divide("velocity_sum", "observation_count")).orderBy(key)
+
+
 def top_segment_share(obs: DataFrame, n: int = 20) -> DataFrame:
     """Share of all observations held by the ``n`` most observed segments.
 

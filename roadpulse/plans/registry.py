@@ -854,3 +854,35 @@ SELECT CAST(date AS VARCHAR) AS date, CAST(previous_date AS VARCHAR) AS previous
 FROM gaps WHERE previous_date IS NOT NULL ORDER BY gap_days DESC, date LIMIT 10""")
 def q_largest_date_gaps(spark, sf):
     return present(Q.largest_date_gaps(_clean(spark, sf), n=10))
+
+
+# -------------------------------- roll-ups as separate profiles (G30, G25) -
+_HOURLY = """hourly AS (SELECT CAST(timestamp AS DATE) AS date, hour, day_of_week, COUNT(velocity) AS observation_count,
+                  SUM(velocity) AS velocity_sum FROM observations GROUP BY ALL)"""
+
+
+@query("hour_rollup", f"""
+WITH {OBS_D}, {_HOURLY}
+SELECT hour, CAST(SUM(observation_count) AS BIGINT) AS observation_count, {rnd('SUM(velocity_sum)')} AS velocity_sum,
+       {rnd('SUM(velocity_sum) / SUM(observation_count)')} AS velocity_mean
+FROM hourly GROUP BY hour ORDER BY hour""")
+def q_hour_rollup(spark, sf):
+    return round_doubles(P.rollup_by(P.hourly_date_stats(_dense(spark, sf)), "hour"))
+
+
+@query("date_rollup", f"""
+WITH {OBS_D}, {_HOURLY}
+SELECT CAST(date AS VARCHAR) AS date, CAST(SUM(observation_count) AS BIGINT) AS observation_count,
+       {rnd('SUM(velocity_sum)')} AS velocity_sum, {rnd('SUM(velocity_sum) / SUM(observation_count)')} AS velocity_mean
+FROM hourly GROUP BY date ORDER BY date""")
+def q_date_rollup(spark, sf):
+    return present(round_doubles(P.rollup_by(P.hourly_date_stats(_dense(spark, sf)), "date")))
+
+
+@query("daily_mean_velocity_describe", f"""
+WITH {OBS_D}, {_HOURLY},
+dp AS (SELECT date, SUM(velocity_sum) / SUM(observation_count) AS velocity_mean FROM hourly GROUP BY date),
+{_describe_sql('dp', ['velocity_mean'])}""")
+def q_daily_mean_velocity_describe(spark, sf):
+    dp = P.rollup_by(P.hourly_date_stats(_dense(spark, sf)), "date")
+    return Q.numeric_summary(dp, ["velocity_mean"], digits=DIGITS)
