@@ -90,15 +90,44 @@ def _parallelism(spark, requested: int | None) -> int:
     return requested or max(2, 2 * spark.sparkContext.defaultParallelism)
 
 
+class CentroidModel:
+    """Centres and cost of a fit; ``transform`` adds ``cluster_id`` (nearest
+    centre, computed with column arithmetic over the k literal centres)."""
+
+    def __init__(self, centers: list[list[float]], cost: float, cols: list[str]):
+        self.centers, self.cost, self.cols = centers, cost, cols
+
+    def clusterCenters(self):  # noqa: N802 - same accessor as the MLlib model
+        return self.centers
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        ds = []
+        for cen in self.centers:
+            d = None
+            for c, v in zip(self.cols, cen):
+                t = (F.col(scaled_name(c)) - F.lit(float(v))) * (F.col(scaled_name(c)) - F.lit(float(v)))
+                d = t if d is None else d + t
+            ds.append(d)
+        arr = F.array(*ds)
+        return df.withColumn("cluster_id", (F.array_position(arr, F.array_min(arr)) - 1).cast("int"))
+
+
 def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts: int = 20, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None):
-    """Best-of-``restarts`` K-Means by inertia (H2).
-
-    Independent MLlib fits (k-means|| seeding) are submitted concurrently from
-    a thread pool, as MLlib's ``CrossValidator(parallelism=...)`` does; the
-    assembled vectors are cached once for all of them and each fit returns
-    only k centroids and its cost.  Ties in cost keep the lowest seed.
-    Returns (model, cost)."""
+           max_iter: int = 300, tol: float = 1e-4, engine: str = "multi", parallelism: int | None = None):
+    """Best-of-``restarts`` K-Means by inertia (H2).  Returns (model, cost).
+
+    ``engine='multi'`` (default): all restarts share each pass
+    (``operators.multikmeans``: k-means++ seeding, scikit-learn's
+    convergence rule, one Spark job per Lloyd iteration for every restart).
+    ``engine='mllib'``: independent MLlib fits (k-means|| seeding) submitted
+    concurrently from a thread pool, as ``CrossValidator(parallelism=...)``
+    does.  Ties in cost keep the lowest seed."""
+    if engine == "multi":
+        from roadpulse.operators.multikmeans import fit_many
+        fits = fit_many(scaled, "osm_id", [scaled_name(c) for c in cols], [k] * restarts,
+                        [seed + r for r in range(restarts)], max_iter=max_iter, tol=tol)
+        best = min(range(restarts), key=lambda r: (fits[r][3], r))
+        return CentroidModel(fits[best][2], fits[best][3], cols), fits[best][3]
     from concurrent.futures import ThreadPoolExecutor
     vec = assemble(scaled, cols).select("features").cache()
     try:
@@ -107,7 +136,8 @@ def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts:
     finally:
         vec.unpersist()
     best = min(range(restarts), key=lambda r: (fits[r][1], r))
-    return fits[best]
+    m, cost = fits[best]
+    return CentroidModel([list(map(float, c)) for c in m.clusterCenters()], cost, cols), cost
 
 
 def with_centroid_distance(df: DataFrame, centroids: list[list[float]], cols: list[str] = FEATURES,
@@ -215,15 +245,16 @@ CLUSTER_COLUMNS = (
 )
 
 
-def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4):
+def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
+                     engine: str = "multi"):
     """Complete cohort -> scale -> best-of-seeds K-Means -> distance to own
     centroid -> rule labels (C6).  Returns (clusters DataFrame, model, cost)."""
     cols = list(params.features)
     cohort = features.na.drop("any")
     scaled = scale(cohort, cols)
     model, cost = kmeans(scaled, cols, k=params.k, restarts=params.restarts, seed=params.seed,
-                         max_iter=params.max_iter, tol=params.tol)
-    assigned = model.transform(assemble(scaled, cols)).drop("features")
+                         max_iter=params.max_iter, tol=params.tol, engine=engine)
+    assigned = model.transform(scaled)
     assigned = with_centroid_distance(assigned, [list(c) for c in model.clusterCenters()], cols)
     labels = label_clusters(cluster_means(assigned, cols))
     out = assigned.join(F.broadcast(labels), "cluster_id")  # k rows
@@ -233,32 +264,35 @@ def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(
 
 
 def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
-            parallelism: int | None = None) -> DataFrame:
+            engine: str = "multi", parallelism: int | None = None) -> DataFrame:
     """Inertia (best of ``sweep_restarts``) and squared-Euclidean silhouette
-    for each k (C12, H3).  All k x restart MLlib fits share one cached vector
-    frame and one thread pool."""
-    from concurrent.futures import ThreadPoolExecutor
+    for each k (C12, H3).  With ``engine='multi'`` every (k, restart) model is
+    fitted in the same passes; with ``'mllib'`` the fits run concurrently."""
     cols = list(params.features)
     scaled = scale(features.na.drop("any"), cols)
-    vec_in = assemble(scaled, cols).cache()
-    vec = vec_in.select("features")
     spark = features.sparkSession
-    jobs = [(k, r) for k in params.sweep_k for r in range(params.sweep_restarts)]
-    best = {}
-    try:
-        with ThreadPoolExecutor(max_workers=_parallelism(spark, parallelism)) as ex:
-            fits = list(ex.map(lambda kr: _fit(vec, kr[0], params.seed + kr[1], params.max_iter, params.tol), jobs))
-            for (k, r), (m, cost) in zip(jobs, fits):
-                if k not in best or cost < best[k][1]:
-                    best[k] = (m, cost)
-
-            def score(k):
-                m, cost = best[k]
-                sil = silhouette_sq_euclidean(m.transform(vec_in), cols).first()["silhouette"]
-                return (int(k), float(cost), float(sil) if sil is not None else None)
-            rows = list(ex.map(score, sorted(best)))
-    finally:
-        vec_in.unpersist()
+    best: dict[int, tuple] = {}
+    if engine == "multi":
+        from roadpulse.operators.multikmeans import fit_many
+        pairs = [(k, params.seed + r) for k in params.sweep_k for r in range(params.sweep_restarts)]
+        fits = fit_many(scaled, "osm_id", [scaled_name(c) for c in cols], [k for k, _ in pairs],
+                        [s for _, s in pairs], max_iter=params.max_iter, tol=params.tol)
+        for k, _, centers, cost, _ in fits:
+            if k not in best or cost < best[k][1]:
+                best[k] = (CentroidModel(centers, cost, cols), cost)
+    else:
+        for k in params.sweep_k:
+            best[k] = kmeans(scaled, cols, k=k, restarts=params.sweep_restarts, seed=params.seed,
+                             max_iter=params.max_iter, tol=params.tol, engine="mllib", parallelism=parallelism)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def score(k):
+        m, cost = best[k]
+        sil = silhouette_sq_euclidean(m.transform(scaled), cols).first()["silhouette"]
+        return (int(k), float(cost), float(sil) if sil is not None else None)
+    # silhouettes are small latency-bound jobs: run them concurrently
+    with ThreadPoolExecutor(max_workers=min(len(best), _parallelism(spark, parallelism))) as ex:
+        rows = list(ex.map(score, sorted(best)))
     df = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return df.select("k", rounded("inertia", digits).alias("inertia"),
                      rounded("silhouette", digits).alias("silhouette_score"))

@@ -1,0 +1,124 @@
+"""Many K-Means models (restarts x k values) fitted in shared passes.
+
+Each Lloyd iteration is ONE Spark job for every model still running: a
+partition computes, with numpy, the nearest centre of each of its points for
+every model and emits per-model partial sums (counts, coordinate sums, cost);
+``reduceByKey`` merges them, and only models x k x features numbers reach the
+driver.  k-means++ seeding for all models runs in k passes: each draws one
+point per model with probability proportional to its squared distance to the
+chosen centres, via the minimum of -ln(u)/w with u a splitmix64 hash of
+(point hash, seed, step) -- deterministic whatever the partitioning.
+
+Convergence per model follows scikit-learn: the summed squared centre shift is
+at most tol x mean feature variance; an empty cluster keeps its centre.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_M1 = np.uint64(0x9E3779B97F4A7C15)
+_M2 = np.uint64(0xBF58476D1CE4E5B9)
+_M3 = np.uint64(0x94D049BB133111EB)
+
+
+def _uniform(h: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """splitmix64 of (point hash, seed, step) -> uniform in (0, 1)."""
+    with np.errstate(over="ignore"):
+        z = h.astype(np.uint64) ^ (np.uint64(seed & 0xFFFFFFFF) * _M1) ^ (np.uint64(step + 1) * _M2)
+        z = z + _M1
+        z = (z ^ (z >> np.uint64(30))) * _M2
+        z = (z ^ (z >> np.uint64(27))) * _M3
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _blocks(df: DataFrame, id_col: str, cols: list[str]):
+    """One (hash, features) numpy block per partition, persisted for all passes."""
+    rows = df.select(F.xxhash64(id_col).alias("h"), *[F.col(c).cast("double") for c in cols]).rdd
+
+    def to_block(it):
+        data = list(it)
+        if not data:
+            return []
+        h = np.array([r[0] for r in data], dtype=np.int64).view(np.uint64)
+        x = np.array([r[1:] for r in data], dtype=np.float64)
+        return [(h, x)]
+    return rows.mapPartitions(to_block).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _d2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+
+
+def fit_many(df: DataFrame, id_col: str, cols: list[str], ks: list[int], seeds: list[int],
+             max_iter: int = 300, tol: float = 1e-4):
+    """Fit one model per (k, seed); returns [(k, seed, centres, inertia, iterations)]."""
+    sc = df.sparkSession.sparkContext
+    blocks = _blocks(df, id_col, cols)
+    try:
+        n, s1, s2 = blocks.map(lambda b: (len(b[1]), b[1].sum(0), (b[1] ** 2).sum(0))).reduce(
+            lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+        var = s2 / n - (s1 / n) ** 2
+        tol_abs = tol * float(np.mean(var))
+        m = len(ks)
+        centers: list[np.ndarray] = [np.zeros((0, len(cols))) for _ in range(m)]
+        for step in range(max(ks)):
+            active = [i for i in range(m) if len(centers[i]) < ks[i]]
+            if not active:
+                break
+            bc = sc.broadcast({i: (centers[i], seeds[i]) for i in active})
+
+            def draw(b, bc=bc, step=step):
+                h, x = b
+                out = []
+                for i, (c, seed) in bc.value.items():
+                    w = np.ones(len(x)) if len(c) == 0 else _d2(x, c).min(axis=1)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(w > 0, -np.log(_uniform(h, seed, step)) / w, np.inf)
+                    j = int(np.argmin(key))
+                    out.append((i, (float(key[j]), x[j])))
+                return out
+            picks = blocks.flatMap(draw).reduceByKey(lambda a, b: a if a[0] <= b[0] else b).collectAsMap()
+            bc.unpersist()
+            for i in active:
+                centers[i] = np.vstack([centers[i], picks[i][1][None, :]])
+        running = set(range(m))
+        iters = [0] * m
+        for _ in range(max_iter):
+            if not running:
+                break
+            bc = sc.broadcast({i: centers[i] for i in running})
+
+            def partial(b, bc=bc):
+                _, x = b
+                out = []
+                for i, c in bc.value.items():
+                    a = _d2(x, c).argmin(axis=1)
+                    cnt = np.bincount(a, minlength=len(c)).astype(np.float64)
+                    sums = np.zeros_like(c)
+                    np.add.at(sums, a, x)
+                    out.append((i, (cnt, sums)))
+                return out
+            agg = blocks.flatMap(partial).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collectAsMap()
+            bc.unpersist()
+            for i in list(running):
+                cnt, sums = agg[i]
+                new = centers[i].copy()
+                nz = cnt > 0
+                new[nz] = sums[nz] / cnt[nz][:, None]
+                shift = float(((new - centers[i]) ** 2).sum())
+                centers[i] = new
+                iters[i] += 1
+                if shift <= tol_abs:
+                    running.discard(i)
+        bc = sc.broadcast(centers)
+        cost = blocks.flatMap(lambda b: [(i, float(_d2(b[1], c).min(axis=1).sum())) for i, c in enumerate(bc.value)]) \
+            .reduceByKey(lambda a, b: a + b).collectAsMap()
+        bc.unpersist()
+    finally:
+        blocks.unpersist()
+    return [(ks[i], seeds[i], centers[i].tolist(), cost.get(i, 0.0), iters[i]) for i in range(m)]

@@ -156,9 +156,15 @@ def test_kmeans_recovers_separated_blobs(spark):
     pts = np.vstack([c + rng.normal(scale=0.3, size=(30, 2)) for c in centres])
     df = spark.createDataFrame([(f"way/{i}", float(x), float(y)) for i, (x, y) in enumerate(pts)],
                                "osm_id string, a_scaled double, b_scaled double")
-    model, cost = C.kmeans(df, ["a", "b"], k=3, restarts=3, seed=1)
-    got = sorted(tuple(round(v) for v in c) for c in model.clusterCenters())
-    assert got == sorted(tuple(int(v) for v in c) for c in centres)
+    costs = {}
+    for engine in ("multi", "mllib"):
+        model, cost = C.kmeans(df, ["a", "b"], k=3, restarts=3, seed=1, engine=engine)
+        got = sorted(tuple(round(v) for v in c) for c in model.clusterCenters())
+        assert got == sorted(tuple(int(v) for v in c) for c in centres)
+        labels = model.transform(df).groupBy("cluster_id").count().collect()
+        assert sorted(r["count"] for r in labels) == [30, 30, 30]
+        costs[engine] = cost
+    assert costs["multi"] == pytest.approx(costs["mllib"], rel=1e-6)
 
 
 def test_approx_median_option_close_to_exact(spark):
