@@ -36,22 +36,37 @@ def _uniform(h: np.ndarray, seed: int, step: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+BLOCK_ROWS = 65_536
+
+
 def _blocks(df: DataFrame, id_col: str, cols: list[str]):
-    """One (hash, features) numpy block per partition, persisted for all passes."""
+    """(hash, features) numpy blocks of at most ``BLOCK_ROWS`` rows, persisted
+    for all passes (bounded Python memory per block)."""
     rows = df.select(F.xxhash64(id_col).alias("h"), *[F.col(c).cast("double") for c in cols]).rdd
 
-    def to_block(it):
-        data = list(it)
-        if not data:
-            return []
-        h = np.array([r[0] for r in data], dtype=np.int64).view(np.uint64)
-        x = np.array([r[1:] for r in data], dtype=np.float64)
-        return [(h, x)]
-    return rows.mapPartitions(to_block).persist(StorageLevel.MEMORY_AND_DISK)
+    def to_blocks(it):
+        buf = []
+        for r in it:
+            buf.append(r)
+            if len(buf) == BLOCK_ROWS:
+                yield _block(buf)
+                buf = []
+        if buf:
+            yield _block(buf)
+    return rows.mapPartitions(to_blocks).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _block(rows):
+    h = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    x = np.array([r[1:] for r in rows], dtype=np.float64)
+    return h, x
 
 
 def _d2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    """Squared distances (n x k) as |x|^2 - 2 x.c + |c|^2: memory n x k, not
+    n x k x features, so a partition of a million points stays small."""
+    d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1)[None, :]
+    return np.maximum(d, 0.0)
 
 
 def fit_many(df: DataFrame, id_col: str, cols: list[str], ks: list[int], seeds: list[int],
@@ -99,8 +114,8 @@ def fit_many(df: DataFrame, id_col: str, cols: list[str], ks: list[int], seeds:
                 for i, c in bc.value.items():
                     a = _d2(x, c).argmin(axis=1)
                     cnt = np.bincount(a, minlength=len(c)).astype(np.float64)
-                    sums = np.zeros_like(c)
-                    np.add.at(sums, a, x)
+                    sums = np.stack([np.bincount(a, weights=x[:, j], minlength=len(c))
+                                     for j in range(x.shape[1])], axis=1)
                     out.append((i, (cnt, sums)))
                 return out
             agg = blocks.flatMap(partial).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collectAsMap()
