@@ -15,11 +15,19 @@ at most tol x mean feature variance; an empty cluster keeps its centre.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 from pyspark import StorageLevel
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The per-partition functions below run in Python workers.  Ship them (and the
+# helpers they use) by value, so executors need numpy but not this package on
+# their import path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)

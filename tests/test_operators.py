@@ -198,3 +198,28 @@ def test_distinct_counts_exact_and_approx(spark):
     approx = {r[0]: r[1] for r in Q.distinct_counts(raw, approx_rsd=0.01).collect()}
     assert exact["OSM ID"] == 20 and exact["valid date"] == 30
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
+
+
+def test_workers_do_not_need_the_package_on_their_path():
+    """The multi-model K-Means ships its per-partition code by value: a driver
+    started outside the repository (workers cannot import the package) works."""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from roadpulse.operators import multikmeans as MK
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+df = spark.createDataFrame([(f"way/{{i}}", float(i % 7), float(i % 3)) for i in range(60)], "osm_id string, a double, b double")
+fits = MK.fit_many(df, "osm_id", ["a", "b"], [2, 3], [1, 2])
+print("FITS", len(fits))
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tempfile.mkdtemp(prefix="rp-cwd-"), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert "FITS 2" in out.stdout, out.stderr[-2000:]
