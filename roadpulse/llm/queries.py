@@ -57,9 +57,47 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_html_text, op4_decontamination,
                                    op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences)}
 
-_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_SEEDS = [[k for k, m in enumerate(mask) if m == "1"] for mask in decontam.Seeds().masks]
+_SEED_ROWS = " UNION ALL ".join(
+    f"SELECT *, {t} AS mask, list_transform({offsets}, lambda k: w[i + k]) AS seed FROM {{0}}" for t, offsets in enumerate(_SEEDS))
 
 ORACLE = {
+    "op4_decontamination": rf"""
+WITH d AS (SELECT DISTINCT doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {_TERMS} AS w FROM benchmark),
+di AS (SELECT doc_id, w, i FROM d, unnest(range(1, len(w) - 6)) AS r(i) WHERE len(w) >= 8),
+bi AS (SELECT item_id, w, i FROM b, unnest(range(1, len(w) - 6)) AS r(i) WHERE len(w) >= 8),
+ds AS (SELECT doc_id, i, mask, seed FROM ({_SEED_ROWS.format("di")})),
+bs AS (SELECT item_id, i, mask, seed FROM ({_SEED_ROWS.format("bi")})),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS diagonal FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+laid AS (
+  SELECT h.doc_id, h.item_id, h.diagonal, len(b.w) AS n, j,
+    CASE WHEN j + h.diagonal BETWEEN 1 AND len(d.w) AND d.w[j + h.diagonal] = b.w[j] THEN 1 ELSE 0 END AS same
+  FROM hits h JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id JOIN b ON b.item_id IS NOT DISTINCT FROM h.item_id, unnest(range(1, len(b.w) + 1)) AS r(j)),
+runs AS (
+  SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS win,
+    sum(same) OVER (PARTITION BY doc_id, item_id, diagonal) AS aligned FROM laid),
+best AS (SELECT doc_id, item_id, diagonal, max(n) AS n, max(win) AS win, max(aligned) AS aligned FROM runs GROUP BY doc_id, item_id, diagonal)
+SELECT doc_id, item_id, CAST(max(n) AS BIGINT) AS n_item_words, CAST(max(win) AS BIGINT) AS window_matches, CAST(max(aligned) AS BIGINT) AS aligned_matches
+FROM best WHERE CASE WHEN n >= 13 THEN win >= 11 ELSE aligned = n END GROUP BY doc_id, item_id""",
+    "op6_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, regexp_replace(string_split(text, chr(10))[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)),
+solid AS (SELECT * FROM lines WHERE line <> ''),
+threes AS (
+  SELECT doc_id, pos, line AS l1, lead(line) OVER w AS l2, lead(line, 2) OVER w AS l3, lead(pos) OVER w AS pos2, lead(pos, 2) OVER w AS pos3
+  FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, pos) AS k FROM threes WHERE l3 IS NOT NULL),
+gone AS (SELECT doc_id, list_distinct(flatten(list([pos, pos2, pos3]))) AS removed FROM ranked WHERE k > 1 GROUP BY doc_id)
+SELECT d.doc_id,
+  CASE WHEN g.removed IS NULL THEN d.text
+       ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(g.removed, i - 1)), chr(10)) END AS text,
+  CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(g.removed), 0) AS BIGINT) AS n_removed
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id""",
     "op5_host_rules": rf"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, {_SPLIT} AS w FROM documents),
@@ -73,8 +111,8 @@ feats AS (
   SELECT b.rid, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(len(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))
-       - len(list_distinct(list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+       - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM base b LEFT JOIN cover c ON b.rid = c.rid),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM feats),

@@ -184,6 +184,11 @@ def keyed(nodes: DataFrame, kind: str) -> DataFrame:
 
 # ---- links ----------------------------------------------------------------------
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits (bitwise_count of a signed value would count those of its absolute value)."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 class Forest:
     """Union-find over the components that one task has linked."""
 
@@ -210,7 +215,7 @@ def short_runs(key: np.ndarray, fp: np.ndarray, comp: np.ndarray, bits: int) ->
         if not len(left):
             return
         other = left + step
-        near = (np.bitwise_count(fp[left] ^ fp[other]) <= bits) & (comp[left] != comp[other])
+        near = (distance(fp[left], fp[other]) <= bits) & (comp[left] != comp[other])
         yield comp[left[near]], comp[other[near]]
 
 
@@ -221,7 +226,7 @@ def long_run(fp: np.ndarray, comp: np.ndarray, bits: int) -> Iterator[tuple[np.n
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(fp[rest] ^ fp[x]) <= bits
+            near = distance(fp[rest], fp[x]) <= bits
             if near.any():
                 hit, rest = rest[near], rest[~near]
                 yield np.full(len(hit), comp[x]), comp[hit]
