@@ -27,8 +27,11 @@ source.  Positions are running totals over one row per segment.
 
 Tokenising: white space never is part of a token of this vocabulary and nothing
 composes across a space, so a text's ids are the concatenated ids of its
-space-separated pieces; the library encodes each distinct piece once per worker
-(a cache of at most ``CACHE`` pieces).
+space-separated pieces.  A batch's pieces are numbered, each distinct one is
+encoded once by the library (and remembered by the worker, up to about ``CACHE``
+of them), and the ids are gathered by number.  Pieces of Latin-1 letters and
+ASCII punctuation go to the library's model directly; any other piece takes its
+full way through normaliser and pre-tokeniser.
 
 Defined cases: null and empty texts have the end id only; rows with one doc_id
 (nulls too) each keep their tokens, in the order of their text's hash; an
@@ -37,13 +40,17 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -56,8 +63,10 @@ MAGIC, VERSION = b"DACT", 1
 HEADER = struct.Struct("<4sIQQQQQII")
 BLOCK = 512
 END_ID = 1
-CACHE = 300_000
+CACHE = 500_000
 SEGMENT_TOKENS = 2_000_000
+#: documents that are cut into pieces together
+ROWS = 10_000
 
 
 # ---- format ---------------------------------------------------------------------
@@ -145,39 +154,83 @@ def segments(buffer) -> Iterator[Segment]:
 
 # ---- tokenising -----------------------------------------------------------------
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return t
+#: words that need no normalising but lower case: letters of Latin-1 (composed, one lower-case character each)
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: marks after a word, which the vocabulary's pre-tokeniser cuts off as one run
+MARKS = ".,;:?!"
+#: how a byte-level vocabulary writes bytes that are not printable Latin-1 characters: 256 and up, in order
+HIDDEN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+class Encoder:
+    """The library's ids of many texts; one per worker and tokeniser."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        #: the model alone, for words that are one pre-token already
+        self.model = Tokenizer(self.full.model)
+        #: only for vocabularies that lower-case and drop white space; others take the full way for every piece
+        self.splits = self.full.encode(" A  b.\n", add_special_tokens=False).ids == [
+            i for part in ("a", "b", ".") for i in self.full.encode(part, add_special_tokens=False).ids]
+        self.known: dict[str, bytes] = {}
+
+    def run(self, tokenizer, names: list[str], inputs: list[str]) -> None:
+        for name, e in zip(names, tokenizer.encode_batch_fast(inputs, add_special_tokens=False)):
+            self.known[name] = array("I", e.ids).tobytes()
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without white space, as u32 bytes."""
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known, parts, plain, other = self.known, [], set(), set()
+        for p in pieces:
+            w = p.rstrip(MARKS)
+            if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):
+                q, w = p[len(w):], w.lower()
+                if w not in known:
+                    plain.add(w)
+                if q not in known:
+                    other.add(q)
+            else:
+                q, w = "", p
+                if p not in known:
+                    other.add(p)
+            parts.append((w, q))
+        words, rest = list(plain), list(other)
+        self.run(self.model, words, [w if w.isascii() else w.encode().decode("latin-1").translate(HIDDEN) for w in words])
+        self.run(self.full, rest, rest)
+        return [known[w] + known[q] if q else known[w] for w, q in parts]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids)."""
+        if not self.splits:
+            found = self.full.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            return np.array([len(e) for e in found], dtype=np.int64), np.array([i for e in found for i in e.ids], dtype="<u4")
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        each = self.pieces(coded.dictionary.to_pylist())
+        index = coded.indices.to_numpy()
+        sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), dtype="<u4")
+        n = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = np.empty(upto[-1], dtype="<u4")
+        for at in range(0, len(index), 500_000):  # in parts, for the memory of the positions
+            part = slice(at, min(at + 500_000, len(index)))
+            shift = starts[index[part]] - upto[:-1][part]
+            a, b = upto[part.start], upto[part.stop]
+            ids[a:b] = flat[np.repeat(shift, n[part]) + np.arange(a, b)]
+        return np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()]), ids
 
 
-_PIECES: dict[str, dict[str, bytes]] = {}
-
-
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """The ids of each text, as little-endian u32 bytes without the end id."""
-    cache = _PIECES.setdefault(path, {})
-    if len(cache) > CACHE:
-        cache.clear()
-    out = []
-    for text in texts:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        new = [p for p in set(pieces) if p not in cache]
-        if new:
-            if len(cache) + len(new) > 2 * CACHE:
-                cache.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        out.append(b"".join(map(cache.__getitem__, pieces)))
-    return out
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 # ---- Spark ----------------------------------------------------------------------
@@ -189,25 +242,23 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
-        parts: list[bytes] = []
-        held = 0
+        counts: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
 
         def segment() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(parts), dtype="<u4")
-            counts = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-            blob = pack_segment(ids, counts, tokens, partition, number)
+            blob = pack_segment(ids, np.concatenate(counts), np.concatenate(parts), partition, number)
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["segment"])
 
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for d, t in zip(batch.column("doc_id"), batch.column("text")):
-                (tokens,) = encode([t.as_py()], tokenizer)
-                ids.append(d.as_py())
-                parts.append(tokens + end)
-                held += len(parts[-1]) // 4
-                if held >= SEGMENT_TOKENS:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                n, tokens = encoder(tokenizer).texts(rows.column("text"))
+                parts.append(np.insert(tokens, np.cumsum(n), end_id))
+                counts.append(n + 1)
+                ids.extend(rows.column("doc_id").to_pylist())
+                if sum(map(len, parts)) >= SEGMENT_TOKENS:
                     yield segment()
-                    ids, parts, held, number = [], [], 0, number + 1
+                    ids, counts, parts, number = [], [], [], number + 1
         if ids:
             yield segment()
 
