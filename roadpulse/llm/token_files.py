@@ -63,10 +63,10 @@ MAGIC, VERSION = b"DACT", 1
 HEADER = struct.Struct("<4sIQQQQQII")
 BLOCK = 512
 END_ID = 1
-CACHE = 500_000
+CACHE = 300_000
 SEGMENT_TOKENS = 2_000_000
-#: documents that are cut into pieces together
-ROWS = 10_000
+#: bytes of text that are cut into pieces together (a longer document goes alone)
+CUT_BYTES = 16 << 20
 
 
 # ---- format ---------------------------------------------------------------------
@@ -235,6 +235,17 @@ def encoder(path: str) -> Encoder:
 
 # ---- Spark ----------------------------------------------------------------------
 
+def by_size(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``CUT_BYTES`` of text, or one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = upto[at - 1] if at else 0
+        end = max(int(np.searchsorted(upto, before + CUT_BYTES, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
                 end_id: int = END_ID, shards: int | None = None) -> None:
     """Tokenise ``docs`` into shard files under ``folder`` (overwritten)."""
@@ -250,8 +261,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["segment"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
+            for rows in by_size(batch):
                 n, tokens = encoder(tokenizer).texts(rows.column("text"))
                 parts.append(np.insert(tokens, np.cumsum(n), end_id))
                 counts.append(n + 1)

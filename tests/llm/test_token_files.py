@@ -34,6 +34,10 @@ def test_query_matches_the_library(spark):
 
 def test_several_shards_and_segments(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    batch = pa.RecordBatch.from_pandas(docs.toPandas())
+    monkeypatch.setattr(token_files, "CUT_BYTES", 5000)
+    parts = list(token_files.by_size(batch))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 10
     found = token_files.tokenised(docs, PATH, shards=7).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == expected(docs.orderBy("doc_id").collect())
 
