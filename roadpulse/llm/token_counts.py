@@ -83,10 +83,9 @@ def pieces(pre_tokens: list[str], path: str) -> np.ndarray:
     return np.array([len(e) for e in t.encode_batch_fast(pre_tokens, add_special_tokens=False)], dtype=np.int64)
 
 
-def _packed(values: list[np.ndarray] | np.ndarray) -> bytes:
+def _packed(values: np.ndarray) -> bytes:
     """u32 numbers, byte plane after byte plane (high planes are nearly empty), deflated."""
-    joined = np.concatenate(values) if len(values) else np.zeros(0)
-    return zlib.compress(np.ascontiguousarray(joined.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -108,7 +107,7 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
 
         def block() -> pa.RecordBatch:
             at = (TaskContext.get().partitionId() << 32) + number
-            row = [[at], [[d or 0 for d in ids]], [[d is None for d in ids]], [sizes], [_packed([np.array(entries)])], [_packed(numbers)], [_packed(freqs)], [list(known)]]
+            row = [[at], [[d or 0 for d in ids]], [[d is None for d in ids]], [sizes], [_packed(np.array(entries))], [_packed(np.concatenate(numbers))], [_packed(np.concatenate(freqs))], [list(known)]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCKS)], schema=BLOCKS)
 
         for batch in batches:
@@ -116,8 +115,10 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
                 t = t.as_py() or ""
                 found = frequencies(t, special)
                 n = len(found)
-                numbers.append(np.fromiter((known.setdefault(p, len(known)) for p in found), np.int64, n))
-                freqs.append(np.fromiter(found.values(), np.int64, n))
+                own = np.fromiter((known.setdefault(p, len(known)) for p in found), np.int64, n)
+                order = np.argsort(own)  # pre-tokens that are new in a document have consecutive numbers
+                numbers.append(np.diff(own[order], prepend=0))
+                freqs.append(np.fromiter(found.values(), np.int64, n)[order])
                 ids.append(d.as_py())
                 sizes.append(len(t.encode()))
                 entries.append(n)
@@ -134,10 +135,19 @@ def blocks(docs: DataFrame, tokenizer: str, doc_id: str, text: str) -> DataFrame
 
 
 def piece_counts(found: DataFrame, tokenizer: str) -> DataFrame:
-    """Step 2: (block, number, n_pieces); equal pre-tokens are neighbours and counted once."""
+    """Step 2: (block, numbers, n_pieces), packed; equal pre-tokens are neighbours and counted once."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, last_n = None, 0
+        last, last_n, held, rows = None, 0, [], 0
+
+        def by_block() -> pd.DataFrame:
+            block, number, n = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((number, block))
+            names, first = np.unique(block[order], return_index=True)
+            parts = [order[a:b] for a, b in zip(first, [*first[1:], len(order)])]
+            return pd.DataFrame({"block": names, "numbers": [_packed(np.diff(number[p], prepend=0)) for p in parts],
+                                 "n_pieces": [_packed(n[p]) for p in parts]})
+
         for pdf in batches:
             codes, names = pd.factorize(pdf["token"])
             n = np.zeros(len(names), dtype=np.int64)
@@ -148,22 +158,31 @@ def piece_counts(found: DataFrame, tokenizer: str) -> DataFrame:
                 n[known:] = pieces(list(names[known:]), tokenizer)
             if len(names):
                 last, last_n = names[-1], n[-1]
-            yield pd.DataFrame({"block": pdf["block"], "number": pdf["number"], "n_pieces": n[codes].astype(np.int32)})
+                held.append((pdf["block"].to_numpy(), pdf["number"].to_numpy(), n[codes]))
+                rows += len(codes)
+            if rows >= BLOCK_PAIRS:
+                yield by_block()
+                held, rows = [], 0
+        if held:
+            yield by_block()
 
     rows = found.select("block", F.posexplode("tokens").alias("number", "token"))
-    return rows.repartition("token").sortWithinPartitions("token").mapInPandas(count, "block long, number int, n_pieces int")
+    return rows.repartition("token").sortWithinPartitions("token").mapInPandas(count, "block long, numbers binary, n_pieces binary")
 
 
 def _totals(key: tuple, block: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     if not len(block):
         return pd.DataFrame({"doc_id": [], "n_bytes": [], "n_tokens": []})
     row = block.iloc[0]
-    n_pieces = np.zeros(len(counts), dtype=np.int64)
-    n_pieces[counts["number"].to_numpy()] = counts["n_pieces"].to_numpy()
+    numbers = np.concatenate([np.cumsum(_unpacked(x)) for x in counts["numbers"]] or [np.zeros(0, np.int64)])
+    n_pieces = np.zeros(len(numbers), dtype=np.int64)
+    n_pieces[numbers] = np.concatenate([_unpacked(x) for x in counts["n_pieces"]] or [np.zeros(0, np.int64)])
     entries = _unpacked(row["entries"])
-    each = n_pieces[_unpacked(row["numbers"])] * _unpacked(row["freqs"])
-    upto = np.concatenate([[0], np.cumsum(each)])
     ends = np.cumsum(entries)
+    steps = np.concatenate([[0], np.cumsum(_unpacked(row["numbers"]))])  # numbers are differences within a document
+    own = steps[1:] - np.repeat(steps[ends - entries], entries)
+    each = n_pieces[own] * _unpacked(row["freqs"])
+    upto = np.concatenate([[0], np.cumsum(each)])
     ids = pd.arrays.IntegerArray(np.array(row["doc_ids"], dtype=np.int64), np.array(row["nameless"], dtype=bool))
     return pd.DataFrame({"doc_id": ids, "n_bytes": np.asarray(row["n_bytes"], dtype=np.int64), "n_tokens": upto[ends] - upto[ends - entries]})
 
