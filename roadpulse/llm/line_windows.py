@@ -69,7 +69,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, text, n_lines, n_removed) for every row of ``docs``."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     gone = materialize(covered(plain, k), "covered-lines").select(F.col("doc_id").alias("gone_id"), "text_hash", "removed")
-    joined = plain.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
+    # always a shuffle join: how many documents repeat something grows with the input
+    joined = plain.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
     lines = F.split(F.col("text"), "\n")
     left = let(F.map_from_arrays("removed", F.transform("removed", lambda i: F.lit(True))),
                lambda m: F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(m, i)), "\n"))
