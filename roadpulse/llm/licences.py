@@ -184,7 +184,7 @@ def scanned(files: DataFrame, scan: Scan = Scan(), id: str = "doc_id", path: str
         (F.coalesce("whole", F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).alias("is_file"),
         F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
     own = materialize(own, "own-licences")
-    given = inherited(own)
+    given = materialize(inherited(own), "directory-licences")  # written: a hot directory can then be split in the join
     return own.join(given, "dir", "left").select(
         F.col("id").alias(id), "path", F.coalesce("licence", "dir_licence").alias("licence"),
         F.when(F.col("licence").isNotNull() & F.col("is_file"), "file").when(F.col("licence").isNotNull(), "header")
