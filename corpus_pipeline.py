@@ -36,7 +36,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.tokenised(docs, public_tokenizers.path(TOKENIZER))
+    # the workers of the stages before still hold memory, so this stage takes little
+    return token_files.tokenised(docs, public_tokenizers.path(TOKENIZER), cut_bytes=1 << 20, cache=40_000)
 
 
 STAGES = [

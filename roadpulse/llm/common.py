@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from roadpulse.session import materialize
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
-__all__ = ["WHITE", "WHITE_CHARS", "count_of", "let", "materialize", "small", "solid_chars", "table", "white_words"]
+__all__ = ["WHITE", "WHITE_CHARS", "count_of", "give_back", "let", "materialize", "small", "solid_chars", "table", "white_words"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +50,10 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted,
     so call it on written tables); beyond that it stays a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system (workers stay alive between tasks)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

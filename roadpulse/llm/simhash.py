@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import materialize
+from roadpulse.llm.common import give_back, materialize
 from roadpulse.llm.components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -80,7 +80,9 @@ def with_fingerprints(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFr
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, k) for t in texts], dtype=np.uint64).view(np.int64))
+        found = np.array([fingerprint(t, k) for t in texts], dtype=np.uint64)
+        give_back()
+        return pd.Series(found.view(np.int64))
 
     return docs.select(F.col(doc_id).alias("doc_id"), prints(F.col(text)).alias("fp"))
 
@@ -178,6 +180,7 @@ def keyed(nodes: DataFrame, kind: str) -> DataFrame:
                 fp, comp = part["fp"].to_numpy(), part["comp"].to_numpy()
                 row, key = KINDS[kind](fp)
                 yield pd.DataFrame({"key": key, "fp": fp[row], "comp": comp[row]})
+        give_back()
 
     return nodes.mapInPandas(keys, "key long, fp long, comp long")
 
@@ -270,6 +273,7 @@ def links(rows: DataFrame, bits: int) -> DataFrame:
             held = [(key[last:], fp[last:], comp[last:])]
         if held:
             yield settle(*(np.concatenate(x) for x in zip(*held)))
+        give_back()
 
     return rows.mapInPandas(run, "a long, b long")
 
