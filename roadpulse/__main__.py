@@ -32,11 +32,13 @@ def main(argv: list[str] | None = None) -> None:
     run.add_argument("--csv", action="store_true", help="also write feature and cluster tables as CSV")
     run.add_argument("--bucket-daily", type=int, default=None,
                      help="save the daily summary as a catalog table with this many osm_id buckets")
+    run.add_argument("--on-bad", choices=("fail", "null", "drop"), default="fail",
+                     help="rows without a usable timestamp: raise, keep with NULL time parts, or drop")
     a = ap.parse_args(argv)
     t = Thresholds(**{n: getattr(a, n) for n in t0.__dataclass_fields__})
     cp = ClusterParams(k=a.k, restarts=a.restarts, seed=a.seed)
     spark = SparkSession.builder.appName("roadpulse").getOrCreate()
-    written = run_all(spark, a.raw_path, a.out_dir, t=t, cp=cp, fmt="csv" if a.csv else "parquet",
+    written = run_all(spark, a.raw_path, a.out_dir, t=t, cp=cp, on_bad=a.on_bad, fmt="csv" if a.csv else "parquet",
                       bucket_daily=a.bucket_daily)
     print(json.dumps(written, indent=2))
 

@@ -32,8 +32,9 @@ def strip_whitespace(col: Column | str) -> Column:
 
 
 def to_number(col: Column | str) -> Column:
-    """Text to double; unparsable text becomes NULL."""
-    return strip_whitespace(_c(col).cast("string")).try_cast("double")
+    """Text to double; unparsable text and NaN become NULL."""
+    number = strip_whitespace(_c(col).cast("string")).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def parse_timestamp(date_col: Column | str, time_col: Column | str) -> Column:
@@ -70,11 +71,11 @@ def pct_drop(baseline: Column | str, value: Column | str) -> Column:
 
 
 def rounded(col: Column | str, digits: int | None) -> Column:
-    """HALF_UP rounding made stable against last-bit float noise: values first
-    snap to ``digits + 3`` decimals, so an exact decimal tie computed in a
-    different summation order still rounds the same way."""
+    """HALF_UP rounding (None: no rounding).  Float noise beyond 12 decimals is
+    taken off first, so that an exact decimal tie computed in another summation
+    order rounds the same way; 2.6749996 is far from a tie and gives 2.67."""
     c = _c(col)
-    return c if digits is None else F.round(F.round(c, digits + 3), digits)
+    return c if digits is None else F.round(F.round(c, 12), digits)
 
 
 def sd_from_variance(variance: Column | str, digits: int | None) -> Column:

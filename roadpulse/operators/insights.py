@@ -48,7 +48,7 @@ def cluster_hour_profile(daily: DataFrame, clusters: DataFrame, digits: int | No
     d = daily.join(clusters.select("osm_id", "cluster_label"), "osm_id")
     seg_hour = d.groupBy("osm_id", "cluster_label", "hour").agg(
         F.avg("daily_average_velocity").alias("hourly"), F.sum("daily_average_velocity").alias("_s"),
-        F.count(F.lit(1)).alias("_n"))
+        F.count("daily_average_velocity").alias("_n"))
     w = Window.partitionBy("osm_id")
     seg_hour = seg_hour.withColumn("baseline", F.sum("_s").over(w) / F.sum("_n").over(w))
     return (seg_hour.groupBy("cluster_label", F.col("hour").cast("int").alias("hour"))

@@ -227,7 +227,7 @@ def near_zero_by_hour(obs: DataFrame, near: float = NEAR_ZERO_VELOCITY, digits:
     nz = obs.where(F.col("velocity") < near)
     by = nz.groupBy(F.col("hour").cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("near_zero_count"))
     total = by.agg(F.sum("near_zero_count")).scalar()
-    return by.select("hour", "near_zero_count",
+    return by.where(F.col("hour").isNotNull()).select("hour", "near_zero_count",
                      rounded(F.try_divide(F.col("near_zero_count") * 100.0, total), digits)
                      .alias("pct_of_all_near_zeros")).orderBy("hour")
 
@@ -238,7 +238,7 @@ def near_zero_by_segment(obs: DataFrame, near: float = NEAR_ZERO_VELOCITY, n: in
     nz = obs.where(F.col("velocity") < near)
     by = nz.groupBy("osm_id").agg(F.count(F.lit(1)).alias("near_zero_count"))
     total = by.agg(F.sum("near_zero_count")).scalar()
-    top = by.orderBy(F.col("near_zero_count").desc(), "osm_id").limit(n)
+    top = by.where(F.col("osm_id").isNotNull()).orderBy(F.col("near_zero_count").desc(), "osm_id").limit(n)
     return top.select("osm_id", "near_zero_count",
                       rounded(F.try_divide(F.col("near_zero_count") * 100.0, total), digits)
                       .alias("pct_of_all_near_zeros"))

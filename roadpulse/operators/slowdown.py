@@ -79,6 +79,7 @@ def _segment_hour_days(daily: DataFrame) -> DataFrame:
         F.max("daily_average_velocity").alias("maximum_daily_velocity"),
         F.var_pop("daily_average_velocity").alias("daily_velocity_variance"),
         F.sum("daily_average_velocity").alias("_sum_daily"),
+        F.count("daily_average_velocity").alias("_days_with_mean"),
     )
 
 
@@ -174,7 +175,7 @@ def candidate_bottlenecks(daily: DataFrame, min_days: int = 30, min_obs: int = 2
     over the <=24 segment-hour rows of the segment.  Ranked by the rounded
     slowdown percentage, then observed days."""
     shp = _segment_hour_days(daily).select(
-        "*", (F.sum("_sum_daily").over(_by_segment()) / F.sum("observed_days").over(_by_segment()))
+        "*", (F.sum("_sum_daily").over(_by_segment()) / F.sum("_days_with_mean").over(_by_segment()))
         .alias("baseline_velocity"))
     shp = shp.where(
         (F.col("observed_days") >= min_days) & (F.col("total_observations") >= min_obs)

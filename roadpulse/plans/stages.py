@@ -6,16 +6,10 @@ table).  Here every hand-over is a Parquet table under the session's
 checkpoint folder (``spark.checkpoint.dir`` on a cluster), which also cuts
 lineage: a lost executor recomputes from the last written stage, never from
 the raw scan.
-
-``staged`` memoises such a table per session, keyed by its inputs, so later
-queries over the same inputs read the written table instead of recomputing.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from roadpulse.operators import cluster as C
@@ -26,31 +20,9 @@ from roadpulse.operators import profiles as P
 from roadpulse.operators import quality as Q
 from roadpulse.operators import slowdown as S
 from roadpulse.params import ClusterParams, PeakHours, Thresholds
-from roadpulse.session import write_stage
 from roadpulse.sources import raw as RAW
 from roadpulse.sources.tables import write_table
 
-_STAGED: dict[tuple, str] = {}
-
-
-def source_stamp(path: str) -> float | None:
-    """Modification time of a local input, so a rewritten input is not served
-    from a stale stage (None for non-local paths)."""
-    try:
-        return os.path.getmtime(path)
-    except OSError:
-        return None
-
-
-def staged(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    k = (spark.sparkContext.applicationId, name, key)
-    path = _STAGED.get(k)
-    if path is None:
-        path = write_stage(build(), name)
-        _STAGED[k] = path
-    return spark.read.parquet(path)
-
-
 def feasibility_report(raw: DataFrame) -> dict[str, DataFrame]:
     """Stage 00 checks over raw text (C10): validity, missing values, moments,
     distinct counts, duplicates, calendar coverage, gaps, near-zero velocities."""
@@ -95,9 +67,11 @@ def analysis(obs: DataFrame, daily: DataFrame, t: Thresholds = Thresholds(), dig
 
 def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Thresholds(),
             peaks: PeakHours = PeakHours(), cp: ClusterParams = ClusterParams(),
-            fmt: str = "parquet", bucket_daily: int | None = None) -> dict[str, str]:
+            fmt: str = "parquet", bucket_daily: int | None = None, on_bad: str = "fail") -> dict[str, str]:
     """Raw file -> every result table, written under ``out_dir``.
 
+    Rows without a usable timestamp raise (``on_bad='fail'``), are kept with NULL
+    time parts ('null'), or are dropped where that is asked for ('drop').
     Returns {table name: path}.  Clean observations are written partitioned by
     date; the daily summary, feature table and cluster table are written once
     and re-read by the later stages.  With ``bucket_daily`` (a bucket count)
@@ -116,7 +90,7 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
     raw = RAW.read_raw(spark, raw_path)
     for name, df in feasibility_report(raw).items():
         put(f"feasibility/{name}", df)
-    obs = put("traffic_clean", RAW.clean(raw, on_bad="drop"))
+    obs = put("traffic_clean", RAW.clean(raw, on_bad=on_bad))
     if bucket_daily:
         from roadpulse.sources.tables import save_bucketed
         daily = save_bucketed(D.daily_segment_hour(obs, t.min_daily_obs), "daily_segment_hour", key="osm_id",

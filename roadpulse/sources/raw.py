@@ -76,8 +76,7 @@ def clean(raw: DataFrame, on_bad: str = "null") -> DataFrame:
     if on_bad == "drop":
         p = p.where(ts.isNotNull())
     elif on_bad == "fail":
-        ts = F.when(ts.isNull() & F.col("Date").isNotNull(),
-                    F.raise_error(F.lit("unparsable timestamp")).cast("timestamp_ntz")).otherwise(ts)
+        ts = F.when(ts.isNull(), F.raise_error(F.lit("missing or unparsable timestamp")).cast("timestamp_ntz")).otherwise(ts)
     elif on_bad != "null":
         raise ValueError(f"on_bad must be 'null', 'drop' or 'fail', not {on_bad!r}")
     return p.select(

@@ -15,7 +15,7 @@ def test_run_all_end_to_end(spark):
                    day_type_min_days=1, bottleneck_min_days=2, bottleneck_min_obs=2, feature_min_obs=10,
                    feature_min_active_days=5)
     cp = ClusterParams(k=3, restarts=2, sweep_k=(2, 3), sweep_restarts=2)
-    out = stages.run_all(spark, raw_path, os.path.join(work, "out"), t=t, cp=cp, bucket_daily=4)
+    out = stages.run_all(spark, raw_path, os.path.join(work, "out"), t=t, cp=cp, bucket_daily=4, on_bad="drop")
     read = lambda name: (spark.table(out[name][6:]) if out[name].startswith("table:")
                          else spark.read.parquet(out[name]))
     # 1,010 raw rows (1,000 + 10 copies); 11 bad dates plus the copy of event 0 (bad and copied) are dropped
