@@ -10,8 +10,8 @@ over its neighbours, which lifts short paragraphs inside an article and flattens
 a stray long line outside.  Lines are grouped into regions by their container
 (an article or main element as a whole, else the nearest section-like element),
 and a threshold of one standard deviation above zero, taken from the page's own
-smoothed ratios, separates content regions from the rest.  A chosen region is
-kept whole, in page order; the region with the highest peak is always kept.
+smoothed ratios, separates content regions from the rest (a region of nothing
+but links is none).  A chosen region is kept whole, in page order; the region with the highest peak is always kept.
 
 Character references are decoded; white space inside a line becomes one space;
 lines are joined by one line feed.  Nothing is cut off.
@@ -165,9 +165,10 @@ def main_text(html: str | None) -> str:
     smooth = smoothed(ratios)
     region = np.array([x.region for x in lines])
     names, at = np.unique(region, return_inverse=True)
-    peak = np.zeros(len(names))
+    peak, own = np.zeros(len(names)), np.zeros(len(names))
     np.maximum.at(peak, at, smooth)
-    chosen = (peak > smooth.std()) | (peak == peak.max())
+    np.maximum.at(own, at, ratios)
+    chosen = ((peak > smooth.std()) & (own > 0)) | (peak == peak.max())
     return "\n".join(x.text for x, keep in zip(lines, chosen[at]) if keep)
 
 

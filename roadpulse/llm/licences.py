@@ -96,6 +96,8 @@ class Scan:
     templates: dict = field(default_factory=lambda: TEMPLATES)
     min_line: float = 0.7
     min_text: float = 0.7
+    #: a nameless file holds for its directory only if it is a licence's text, not a notice: terms at least
+    min_text_terms: int = 50
 
 
 def terms_of(text: Column) -> Column:
@@ -176,9 +178,9 @@ def scanned(files: DataFrame, scan: Scan = Scan(), id: str = "doc_id", path: str
     found = rows.select("rid", F.explode("units").alias("u")).select("rid", "u.whole", "u.terms")
     found = found.select("rid", "whole", "terms", F.xxhash64("terms").alias("h1"), F.xxhash64(F.lit(1), "terms").alias("h2"))
     scores = materialize(unit_scores(found, vector_table, weight_table, sum(weight.values()) / len(weight)), "licence-scores")
-    hit = found.drop("terms").join(scores, ["h1", "h2"])
+    hit = found.withColumn("n", F.size("terms")).drop("terms").join(scores, ["h1", "h2"])
     enough = -F.col("best.minus") >= F.when(F.col("whole"), scan.min_text).otherwise(scan.min_line)
-    own = hit.where(enough).groupBy("rid").agg(F.min("best").alias("best"), F.max("whole").alias("whole"))
+    own = hit.where(enough).groupBy("rid").agg(F.min("best").alias("best"), F.max(F.col("whole") & (F.col("n") >= scan.min_text_terms)).alias("whole"))
     own = rows.select("rid", "id", "path").join(own, "rid", "left").select(
         "id", "path", F.col("best.licence").alias("licence"), (-F.col("best.minus")).alias("score"),
         (F.coalesce("whole", F.lit(False)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))).alias("is_file"),
