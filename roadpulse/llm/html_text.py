@@ -139,7 +139,7 @@ class Lines(HTMLParser):
         if not self.open[-1][1]:
             self.parts.append(data)
             if self.links:
-                self.linked += len(data)
+                self.linked += len("".join(data.split()))
 
 
 def page_lines(html: str) -> list[Line]:
@@ -161,7 +161,7 @@ def main_text(html: str | None) -> str:
     lines = page_lines(html or "")
     if not lines:
         return ""
-    ratios = np.array([max(len(x.text) - x.linked, 0) / max(x.tags, 1) for x in lines])
+    ratios = np.array([max(len(x.text.replace(" ", "")) - x.linked, 0) / max(x.tags, 1) for x in lines])
     smooth = smoothed(ratios)
     region = np.array([x.region for x in lines])
     names, at = np.unique(region, return_inverse=True)
