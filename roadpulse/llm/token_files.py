@@ -28,8 +28,8 @@ source.  Positions are running totals over one row per segment.
 Tokenising: white space never is part of a token of this vocabulary and nothing
 composes across a space, so a text's ids are the concatenated ids of its
 space-separated pieces.  A batch's pieces are numbered, each distinct one is
-encoded once by the library (and remembered by the worker, while it is asked for
-again within about ``cache`` others), and the ids are gathered by number.  Pieces of Latin-1 letters and
+encoded once by the library (and remembered by the worker, up to about ``CACHE``
+of them), and the ids are gathered by number.  Pieces of Latin-1 letters and
 ASCII punctuation go to the library's model directly; any other piece takes its
 full way through normaliser and pre-tokeniser.
 
@@ -56,18 +56,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import give_back, materialize
+from roadpulse.llm.common import materialize
 from roadpulse.session import ensure_checkpoint_dir
 
 MAGIC, VERSION = b"DACT", 1
 HEADER = struct.Struct("<4sIQQQQQII")
 BLOCK = 512
 END_ID = 1
-#: words that a worker remembers
-CACHE = 300_000
-SEGMENT_TOKENS = 1_000_000
-#: bytes of text that are cut into pieces together (a longer document goes alone)
-CUT_BYTES = 16 << 20
+CACHE = 500_000
+SEGMENT_TOKENS = 2_000_000
+#: documents that are cut into pieces together
+ROWS = 10_000
 
 
 # ---- format ---------------------------------------------------------------------
@@ -178,32 +177,30 @@ class Encoder:
         #: only for vocabularies that lower-case and drop white space; others take the full way for every piece
         self.splits = self.full.encode(" A  b.\n", add_special_tokens=False).ids == [
             i for part in ("a", "b", ".") for i in self.full.encode(part, add_special_tokens=False).ids]
-        #: ids by word, and those of the words before that were not asked for since
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     def run(self, tokenizer, names: list[str], inputs: list[str]) -> None:
         for name, e in zip(names, tokenizer.encode_batch_fast(inputs, add_special_tokens=False)):
             self.known[name] = array("I", e.ids).tobytes()
 
-    def pieces(self, pieces: list[str], cache: int) -> list[bytes]:
+    def pieces(self, pieces: list[str], cache: int = CACHE) -> list[bytes]:
         """The ids of pieces without white space, as u32 bytes."""
         if len(self.known) > cache:
-            self.older, self.known = self.known, {}
-        known, older, parts, plain, other = self.known, self.older, [], set(), set()
+            self.known.clear()
+        known, parts, plain, other = self.known, [], set(), set()
         for p in pieces:
-            w, q = p.rstrip(MARKS), ""
+            w = p.rstrip(MARKS)
             if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):
-                q, w, new = p[len(w):], w.lower(), plain
+                q, w = p[len(w):], w.lower()
+                if w not in known:
+                    plain.add(w)
+                if q not in known:
+                    other.add(q)
             else:
-                w, new = p, other
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.add(w)
+                q, w = "", p
+                if p not in known:
+                    other.add(p)
             parts.append((w, q))
-        other.update(q for q in {q for _, q in parts} if q not in known)
         words, rest = list(plain), list(other)
         self.run(self.model, words, [w if w.isascii() else w.encode().decode("latin-1").translate(HIDDEN) for w in words])
         self.run(self.full, rest, rest)
@@ -217,21 +214,18 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
         each = self.pieces(coded.dictionary.to_pylist(), cache)
-        sizes, flat = np.array([len(x) // 4 for x in each], dtype=np.int64), np.frombuffer(b"".join(each), dtype="<u4")
         index = coded.indices.to_numpy()
-        upto = np.concatenate([[0], np.cumsum(sizes[index])])
-        return np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()]), gathered(flat, sizes, index)
-
-
-def gathered(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The runs of ``flat`` (whose lengths are ``sizes``) in the order of ``index``."""
-    starts, out = np.cumsum(sizes) - sizes, []
-    for at in range(0, len(index), 250_000):  # in parts, for the memory of the positions
-        part = index[at:at + 250_000]
-        n = sizes[part]
-        ends = np.cumsum(n)
-        out.append(flat[np.repeat(starts[part] - ends + n, n) + np.arange(ends[-1])])
-    return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+        sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), dtype="<u4")
+        n = sizes[index]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = np.empty(upto[-1], dtype="<u4")
+        for at in range(0, len(index), 500_000):  # in parts, for the memory of the positions
+            part = slice(at, min(at + 500_000, len(index)))
+            shift = starts[index[part]] - upto[:-1][part]
+            a, b = upto[part.start], upto[part.stop]
+            ids[a:b] = flat[np.repeat(shift, n[part]) + np.arange(a, b)]
+        return np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()]), ids
 
 
 @lru_cache(maxsize=4)
@@ -241,21 +235,10 @@ def encoder(path: str) -> Encoder:
 
 # ---- Spark ----------------------------------------------------------------------
 
-def by_size(batch: pa.RecordBatch, cut_bytes: int) -> Iterator[pa.RecordBatch]:
-    """``batch`` in slices of at most ``cut_bytes`` of text, or one row."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        before = upto[at - 1] if at else 0
-        end = max(int(np.searchsorted(upto, before + cut_bytes, side="right")), at + 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
-                end_id: int = END_ID, shards: int | None = None, cut_bytes: int = CUT_BYTES, cache: int = CACHE) -> None:
+                end_id: int = END_ID, shards: int | None = None, rows_at_once: int = ROWS, cache: int = CACHE) -> None:
     """Tokenise ``docs`` into shard files under ``folder`` (overwritten).
-    ``cut_bytes`` and ``cache`` trade a worker's memory for encoding words again."""
+    ``rows_at_once`` and ``cache`` trade a worker's memory for encoding words again."""
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, number = TaskContext.get().partitionId(), 0
@@ -268,7 +251,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["segment"])
 
         for batch in batches:
-            for rows in by_size(batch, cut_bytes):
+            for at in range(0, batch.num_rows, rows_at_once):
+                rows = batch.slice(at, rows_at_once)
                 n, tokens = encoder(tokenizer).texts(rows.column("text"), cache)
                 parts.append(np.insert(tokens, np.cumsum(n), end_id))
                 counts.append(n + 1)
@@ -278,7 +262,6 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
                     ids, counts, parts, number = [], [], [], number + 1
         if ids:
             yield segment()
-        give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
@@ -302,7 +285,6 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                         pa.array(np.arange(s.n_docs), pa.int64()), pa.array(s.doc_ids, pa.int64(), mask=s.null_ids),
                         pa.array(s.starts[:-1], pa.int64()), pa.array(ends - s.starts[:-1], pa.int64()), pa.array(crc, pa.int64()),
                     ], ["partition", "number", "place", "doc_id", "first", "n_tokens", "ids_crc32"])
-        give_back()
 
     files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInArrow(unpack, "partition long, number long, place long, doc_id long, first long, n_tokens long, ids_crc32 long")
@@ -322,13 +304,13 @@ def with_starts(found: DataFrame) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", folder: str | None = None,
-              end_id: int = END_ID, shards: int | None = None, cut_bytes: int = CUT_BYTES,
+              end_id: int = END_ID, shards: int | None = None, rows_at_once: int = ROWS,
               cache: int = CACHE) -> DataFrame:
     """Write the files and return (doc_id, start, n_tokens, ids_crc32), read back from them."""
     import uuid
 
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/token-files-{uuid.uuid4().hex[:12]}"
-    write_files(docs, folder, tokenizer, doc_id, text, end_id, shards, cut_bytes, cache)
+    write_files(docs, folder, tokenizer, doc_id, text, end_id, shards, rows_at_once, cache)
     found = materialize(read_documents(spark, folder), "token-documents")
     return with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32")

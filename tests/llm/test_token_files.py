@@ -32,12 +32,9 @@ def test_query_matches_the_library(spark):
     assert got == expected(docs)
 
 
-def test_several_shards_and_segments(spark, monkeypatch):
+def test_several_shards_and_small_cuts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    batch = pa.RecordBatch.from_pandas(docs.toPandas())
-    parts = list(token_files.by_size(batch, 5000))
-    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and len(parts) > 10
-    found = token_files.tokenised(docs, PATH, shards=7, cut_bytes=5000, cache=50).orderBy("doc_id").collect()
+    found = token_files.tokenised(docs, PATH, shards=7, rows_at_once=3, cache=50).orderBy("doc_id").collect()
     assert [tuple(r) for r in found] == expected(docs.orderBy("doc_id").collect())
 
 
