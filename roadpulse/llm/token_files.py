@@ -28,10 +28,10 @@ source.  Positions are running totals over one row per segment.
 Tokenising: white space never is part of a token of this vocabulary and nothing
 composes across a space, so a text's ids are the concatenated ids of its
 space-separated pieces.  A batch's pieces are numbered, each distinct one is
-encoded once by the library (and remembered by the worker, up to about ``CACHE``
-of them), and the ids are gathered by number.  Pieces of Latin-1 letters and
-ASCII punctuation go to the library's model directly; any other piece takes its
-full way through normaliser and pre-tokeniser.
+encoded once by the library, and the ids are gathered by number.  Words of
+Latin-1 letters, apart from the marks after them, go to the library's model
+directly (a worker remembers up to about ``CACHE`` of them); any other piece
+takes its full way through normaliser and pre-tokeniser.
 
 Defined cases: null and empty texts have the end id only; rows with one doc_id
 (nulls too) each keep their tokens, in the order of their text's hash; an
@@ -41,10 +41,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -63,10 +61,10 @@ MAGIC, VERSION = b"DACT", 1
 HEADER = struct.Struct("<4sIQQQQQII")
 BLOCK = 512
 END_ID = 1
-CACHE = 500_000
+CACHE = 200_000
 SEGMENT_TOKENS = 2_000_000
 #: documents that are cut into pieces together
-ROWS = 10_000
+ROWS = 4_000
 
 
 # ---- format ---------------------------------------------------------------------
@@ -154,12 +152,13 @@ def segments(buffer) -> Iterator[Segment]:
 
 # ---- tokenising -----------------------------------------------------------------
 
-#: words that need no normalising but lower case: letters of Latin-1 (composed, one lower-case character each)
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-#: marks after a word, which the vocabulary's pre-tokeniser cuts off as one run
-MARKS = ".,;:?!"
+#: a word that needs no normalising but lower case (composed Latin-1 letters, one lower-case character each), and the
+#: marks after it, which the vocabulary's pre-tokeniser cuts off as one run
+PLAIN = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[.,;:?!]*)$"
 #: how a byte-level vocabulary writes bytes that are not printable Latin-1 characters: 256 and up, in order
 HIDDEN = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+#: words that the library's model gets as one input, a comma after each
+TOGETHER = 50
 
 
 class Encoder:
@@ -168,64 +167,74 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.full = Tokenizer.from_file(path)
         self.full.no_truncation()
         self.full.no_padding()
         #: the model alone, for words that are one pre-token already
         self.model = Tokenizer(self.full.model)
-        #: only for vocabularies that lower-case and drop white space; others take the full way for every piece
-        self.splits = self.full.encode(" A  b.\n", add_special_tokens=False).ids == [
+        self.model.pre_tokenizer = WhitespaceSplit()
+        #: only for vocabularies that lower-case, drop white space and have one id for the comma that parts the model's
+        #: words; others take the full way for every text
+        comma = self.model.encode(",", add_special_tokens=False).ids
+        self.comma = comma[0] if comma else -1
+        self.splits = len(comma) == 1 and self.full.encode(" A  b.\n", add_special_tokens=False).ids == [
             i for part in ("a", "b", ".") for i in self.full.encode(part, add_special_tokens=False).ids]
         self.known: dict[str, bytes] = {}
 
-    def run(self, tokenizer, names: list[str], inputs: list[str]) -> None:
-        for name, e in zip(names, tokenizer.encode_batch_fast(inputs, add_special_tokens=False)):
-            self.known[name] = array("I", e.ids).tobytes()
+    def whole(self, texts: list[str]) -> pa.LargeListArray:
+        """The ids of each text, all the way through the library."""
+        found = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        return lists([len(x) for x in found], np.fromiter((i for x in found for i in x), "<u4"))
 
-    def pieces(self, pieces: list[str], cache: int = CACHE) -> list[bytes]:
-        """The ids of pieces without white space, as u32 bytes."""
+    def words(self, words: list[str], cache: int) -> pa.LargeListArray:
+        """The ids of lower-case Latin-1 words, by the model alone."""
         if len(self.known) > cache:
             self.known.clear()
-        known, parts, plain, other = self.known, [], set(), set()
-        for p in pieces:
-            w = p.rstrip(MARKS)
-            if w.isalpha() and (w.isascii() or LATIN.fullmatch(w)):
-                q, w = p[len(w):], w.lower()
-                if w not in known:
-                    plain.add(w)
-                if q not in known:
-                    other.add(q)
-            else:
-                q, w = "", p
-                if p not in known:
-                    other.add(p)
-            parts.append((w, q))
-        words, rest = list(plain), list(other)
-        self.run(self.model, words, [w if w.isascii() else w.encode().decode("latin-1").translate(HIDDEN) for w in words])
-        self.run(self.full, rest, rest)
-        return [known[w] + known[q] if q else known[w] for w, q in parts]
+        fresh = [w for w in words if w not in self.known]
+        inputs = [w if w.isascii() else w.encode().decode("latin-1").translate(HIDDEN) for w in fresh]
+        groups = [inputs[at:at + TOGETHER] for at in range(0, len(inputs), TOGETHER)]
+        for n, e in enumerate(self.model.encode_batch_fast([" , ".join([*g, ""]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            octets, commas = ids.tobytes(), (4 * np.flatnonzero(ids == self.comma)).tolist()
+            own = fresh[n * TOGETHER:(n + 1) * TOGETHER]
+            self.known.update(zip(own, [octets[a:b] for a, b in zip([0, *(c + 4 for c in commas)], commas)]))
+        found = [self.known[w] for w in words]
+        return lists([len(x) // 4 for x in found], np.frombuffer(b"".join(found), dtype="<u4"))
+
+    def pieces(self, pieces: pa.Array, cache: int = CACHE) -> pa.LargeListArray:
+        """The ids of pieces without white space: those of word and marks, or of the whole piece."""
+        split = pc.extract_regex(pieces, PLAIN)
+        plain = split.is_valid()
+        word = pc.utf8_lower(pc.struct_field(split.filter(plain), "word")).dictionary_encode()
+        marks = pc.struct_field(split.filter(plain), "marks").dictionary_encode()
+        other = pieces.filter(pc.invert(plain))
+        parts = [self.words(word.dictionary.to_pylist(), cache), self.whole(marks.dictionary.to_pylist()), self.whole(other.to_pylist())]
+        # every piece is two parts: word and marks, or the whole piece and the marks "" (none)
+        first, second = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        is_plain, n_words, n_marks = plain.to_numpy(zero_copy_only=False), len(parts[0]), len(parts[1])
+        first[is_plain], second[is_plain] = word.indices.to_numpy(), marks.indices.to_numpy() + n_words
+        first[~is_plain], second[~is_plain] = np.arange(len(other)) + n_words + n_marks, n_words + n_marks + len(other)
+        none = lists([0], np.empty(0, "<u4"))
+        laid = pa.concat_arrays([*parts, none]).take(pa.array(np.column_stack([first, second]).ravel()))
+        return pa.LargeListArray.from_arrays(laid.offsets.take(pa.array(np.arange(0, 2 * len(pieces) + 1, 2))), laid.values)
 
     def texts(self, texts: pa.Array, cache: int = CACHE) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids)."""
         if not self.splits:
-            found = self.full.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            return np.array([len(e) for e in found], dtype=np.int64), np.array([i for e in found for i in e.ids], dtype="<u4")
+            found = self.whole([t or "" for t in texts.to_pylist()])
+            return np.diff(found.offsets.to_numpy()), found.values.to_numpy()
         cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = cut.flatten().dictionary_encode()
-        each = self.pieces(coded.dictionary.to_pylist(), cache)
-        index = coded.indices.to_numpy()
-        sizes = np.array([len(x) // 4 for x in each], dtype=np.int64)
-        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), dtype="<u4")
-        n = sizes[index]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = np.empty(upto[-1], dtype="<u4")
-        for at in range(0, len(index), 500_000):  # in parts, for the memory of the positions
-            part = slice(at, min(at + 500_000, len(index)))
-            shift = starts[index[part]] - upto[:-1][part]
-            a, b = upto[part.start], upto[part.stop]
-            ids[a:b] = flat[np.repeat(shift, n[part]) + np.arange(a, b)]
-        return np.diff(upto[cut.offsets.to_numpy() - cut.offsets[0].as_py()]), ids
+        first = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        del cut
+        ids = self.pieces(coded.dictionary, cache).take(coded.indices)
+        return np.diff(ids.offsets.to_numpy()[first]), ids.values.to_numpy()
+
+
+def lists(sizes: list[int], values: np.ndarray) -> pa.LargeListArray:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), pa.array(values, pa.uint32()))
 
 
 @lru_cache(maxsize=4)
