@@ -37,7 +37,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # the workers of the stages before still hold memory, so this stage takes little
-    return token_files.tokenised(docs, public_tokenizers.path(TOKENIZER), rows_at_once=1_000, cache=50_000)
+    return token_files.tokenised(docs, public_tokenizers.path(TOKENIZER), rows_at_once=500, cache=40_000)
 
 
 STAGES = [
