@@ -8,7 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from roadpulse.llm import queries
-from test_simhash import plain_components, plain_fingerprint
+from .test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,14 +46,3 @@ def test_pipeline_matches_brute_force(spark):
     want, sizes = brute_force(docs)
     assert len(docs) > sizes[0] > sizes[1] > sizes[2] > 0
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want)
-
-
-def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, SF).columns == docs.columns
-        chained = docs
-        for _, stage in corpus_pipeline.STAGES:
-            chained = stage(spark, chained, SF)
-        assert chained.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
-        assert chained.count() >= 0
