@@ -8,13 +8,18 @@ arbitrary, so readable labels come from a rule on the unscaled cluster means.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.mllib.clustering import KMeans as FixedStart
+from pyspark.mllib.clustering import KMeansModel as FixedStartModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.columns import rounded
 from roadpulse.operators.quantile import exact_quantiles
+from roadpulse.session import materialize
 from roadpulse.params import (
     BEHAVIOURAL_FEATURES,
     LABEL_DUAL_PEAK,
@@ -92,7 +97,8 @@ def _parallelism(spark, requested: int | None) -> int:
 
 class CentroidModel:
     """Centres and cost of a fit; ``transform`` adds ``cluster_id`` (nearest
-    centre, computed with column arithmetic over the k literal centres)."""
+    centre, computed with column arithmetic over the k literal centres; NULL
+    for a fit of an empty cohort, which has no centres)."""
 
     def __init__(self, centers: list[list[float]], cost: float, cols: list[str]):
         self.centers, self.cost, self.cols = centers, cost, cols
@@ -101,6 +107,8 @@ class CentroidModel:
         return self.centers
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if not self.centers:
+            return df.withColumn("cluster_id", F.lit(None).cast("int"))
         ds = []
         for cen in self.centers:
             d = None
@@ -113,24 +121,16 @@ class CentroidModel:
 
 
 def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts: int = 20, seed: int = 42,
-           max_iter: int = 300, tol: float = 1e-4, engine: str = "multi", parallelism: int | None = None):
-    """Best-of-``restarts`` K-Means by inertia (H2).  Returns (model, cost).
-
-    ``engine='multi'`` (default): all restarts share each pass
-    (``operators.multikmeans``: k-means++ seeding, scikit-learn's
-    convergence rule, one Spark job per Lloyd iteration for every restart).
-    ``engine='mllib'``: independent MLlib fits (k-means|| seeding) submitted
-    concurrently from a thread pool, as ``CrossValidator(parallelism=...)``
-    does.  Ties in cost keep the lowest seed."""
-    if engine == "multi":
-        from roadpulse.operators.multikmeans import fit_many
-        fits = fit_many(scaled, "osm_id", [scaled_name(c) for c in cols], [k] * restarts,
-                        [seed + r for r in range(restarts)], max_iter=max_iter, tol=tol)
-        best = min(range(restarts), key=lambda r: (fits[r][3], r))
-        return CentroidModel(fits[best][2], fits[best][3], cols), fits[best][3]
-    from concurrent.futures import ThreadPoolExecutor
+           max_iter: int = 300, tol: float = 1e-4, parallelism: int | None = None):
+    """Best-of-``restarts`` MLlib K-Means by inertia (H2).  Returns (model, cost).
+
+    The fits (k-means|| seeding) are independent and submitted concurrently
+    from a thread pool, as ``CrossValidator(parallelism=...)`` does.  Ties in
+    cost keep the lowest seed.  An empty cohort gives a model without centres."""
     vec = assemble(scaled, cols).select("features").cache()
     try:
+        if vec.isEmpty():
+            return CentroidModel([], 0.0, cols), 0.0
         with ThreadPoolExecutor(max_workers=min(restarts, _parallelism(scaled.sparkSession, parallelism))) as ex:
             fits = list(ex.map(lambda r: _fit(vec, k, seed + r, max_iter, tol), range(restarts)))
     finally:
@@ -140,10 +140,29 @@ def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts:
     return CentroidModel([list(map(float, c)) for c in m.clusterCenters()], cost, cols), cost
 
 
+def kmeans_from(scaled: DataFrame, initial: list[list[float]], cols: list[str] = FEATURES, max_iter: int = 300,
+                tol: float = 1e-4):
+    """MLlib's iteration from given centres (in scaled space): no seeding, so
+    the result is determined.  The DataFrame API takes no initial centres,
+    the older one does.  Returns (model, cost)."""
+    points = scaled.select(*[F.col(scaled_name(c)).cast("double") for c in cols]).rdd.map(list).cache()
+    try:
+        if not initial or points.isEmpty():
+            return CentroidModel([], 0.0, cols), 0.0
+        m = FixedStart.train(points, len(initial), maxIterations=max_iter, epsilon=_epsilon(tol, len(initial)),
+                             initialModel=FixedStartModel([list(map(float, c)) for c in initial]))
+        cost = float(m.computeCost(points))
+    finally:
+        points.unpersist()
+    return CentroidModel([list(map(float, c)) for c in m.clusterCenters], cost, cols), cost
+
+
 def with_centroid_distance(df: DataFrame, centroids: list[list[float]], cols: list[str] = FEATURES,
                            cluster_col: str = "cluster_id") -> DataFrame:
     """Euclidean distance of each row to its own centroid in scaled space (H5).
     The k centroids are literals (bounded by k), so no join is needed."""
+    if not centroids:
+        return df.withColumn("dist_to_centroid", F.lit(None).cast("double"))
     idx = F.col(cluster_col) + 1
     sq = None
     for j, c in enumerate(cols):
@@ -184,6 +203,8 @@ def silhouette_sq_euclidean(df: DataFrame, cols: list[str] = FEATURES, cluster_c
     summ = df.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("n"), F.sum(norm2).alias("q"),
                                        *[F.sum(x).alias(f"s{j}") for j, x in enumerate(xs)]).collect()
     summ = sorted(summ, key=lambda r: r[cluster_col])
+    if not summ:
+        return df.select(F.lit(None).cast("double").alias("s")).agg(F.avg("s").alias("silhouette"))
     own = F.col(cluster_col)
     mean_d = {}
     for r in summ:
@@ -246,14 +267,18 @@ CLUSTER_COLUMNS = (
 
 
 def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
-                     engine: str = "multi"):
-    """Complete cohort -> scale -> best-of-seeds K-Means -> distance to own
-    centroid -> rule labels (C6).  Returns (clusters DataFrame, model, cost)."""
+                     initial: list[list[float]] | None = None):
+    """Complete cohort -> scale -> K-Means (best of seeds, or from ``initial``
+    centres) -> distance to own centroid -> rule labels (C6).  Returns
+    (clusters DataFrame, model, cost)."""
     cols = list(params.features)
     cohort = features.na.drop("any")
     scaled = scale(cohort, cols)
-    model, cost = kmeans(scaled, cols, k=params.k, restarts=params.restarts, seed=params.seed,
-                         max_iter=params.max_iter, tol=params.tol, engine=engine)
+    if initial is not None:
+        model, cost = kmeans_from(scaled, initial, cols, max_iter=params.max_iter, tol=params.tol)
+    else:
+        model, cost = kmeans(scaled, cols, k=params.k, restarts=params.restarts, seed=params.seed,
+                             max_iter=params.max_iter, tol=params.tol)
     assigned = model.transform(scaled)
     assigned = with_centroid_distance(assigned, [list(c) for c in model.clusterCenters()], cols)
     labels = label_clusters(cluster_means(assigned, cols))
@@ -264,35 +289,23 @@ def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(
 
 
 def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
-            engine: str = "multi", parallelism: int | None = None) -> DataFrame:
-    """Inertia (best of ``sweep_restarts``) and squared-Euclidean silhouette
-    for each k (C12, H3).  With ``engine='multi'`` every (k, restart) model is
-    fitted in the same passes; with ``'mllib'`` the fits run concurrently."""
+            initial: dict[int, list[list[float]]] | None = None, parallelism: int | None = None) -> DataFrame:
+    """Inertia and squared-Euclidean silhouette for each k (C12, H3): best of
+    ``sweep_restarts``, or, for the k in ``initial``, from those centres."""
     cols = list(params.features)
-    scaled = scale(features.na.drop("any"), cols)
+    scaled = materialize(scale(features.na.drop("any"), cols).select(*[scaled_name(c) for c in cols]), "k-sweep")
     spark = features.sparkSession
-    best: dict[int, tuple] = {}
-    if engine == "multi":
-        from roadpulse.operators.multikmeans import fit_many
-        pairs = [(k, params.seed + r) for k in params.sweep_k for r in range(params.sweep_restarts)]
-        fits = fit_many(scaled, "osm_id", [scaled_name(c) for c in cols], [k for k, _ in pairs],
-                        [s for _, s in pairs], max_iter=params.max_iter, tol=params.tol)
-        for k, _, centers, cost, _ in fits:
-            if k not in best or cost < best[k][1]:
-                best[k] = (CentroidModel(centers, cost, cols), cost)
-    else:
-        for k in params.sweep_k:
-            best[k] = kmeans(scaled, cols, k=k, restarts=params.sweep_restarts, seed=params.seed,
-                             max_iter=params.max_iter, tol=params.tol, engine="mllib", parallelism=parallelism)
-    from concurrent.futures import ThreadPoolExecutor
 
     def score(k):
-        m, cost = best[k]
+        if initial is not None:
+            m, cost = kmeans_from(scaled, initial[k], cols, max_iter=params.max_iter, tol=params.tol)
+        else:
+            m, cost = kmeans(scaled, cols, k=k, restarts=params.sweep_restarts, seed=params.seed,
+                             max_iter=params.max_iter, tol=params.tol, parallelism=parallelism)
         sil = silhouette_sq_euclidean(m.transform(scaled), cols).first()["silhouette"]
         return (int(k), float(cost), float(sil) if sil is not None else None)
-    # silhouettes are small latency-bound jobs: run them concurrently
-    with ThreadPoolExecutor(max_workers=min(len(best), _parallelism(spark, parallelism))) as ex:
-        rows = list(ex.map(score, sorted(best)))
+
+    rows = [score(k) for k in sorted(initial if initial is not None else params.sweep_k)]
     df = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return df.select("k", rounded("inertia", digits).alias("inertia"),
                      rounded("silhouette", digits).alias("silhouette_score"))

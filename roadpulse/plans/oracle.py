@@ -148,17 +148,10 @@ def scaled_cte(source: str = "complete_segments", name: str = "scaled") -> str:
 
 
 
-def fixed_clusters_ctes(k: int = 5, source: str = "scaled", name: str = "clusters") -> str:
-    """Fixed assignment (numeric segment id mod k), labels by the rule on
-    unscaled means (sequential elimination), distance to the group mean."""
-    dist = " + ".join(f"POWER(s.{c}_scaled - m.{c}_c, 2)" for c in FEATS)
-    cents = ", ".join(f"AVG({c}_scaled) AS {c}_c" for c in FEATS)
+def label_ctes() -> str:
+    """Labels by the rule on unscaled means of ``assigned`` (sequential elimination)."""
     means = ", ".join(f"AVG({c}) AS {c}" for c in FEATS)
-    return f"""assigned AS (
-    SELECT *, CAST(CAST(regexp_extract(osm_id, '(\\d+)$', 1) AS BIGINT) % {k} AS INTEGER) AS cluster_id
-    FROM {source}),
-centres AS (SELECT cluster_id, {cents} FROM assigned GROUP BY cluster_id),
-cmeans AS (SELECT cluster_id, {means} FROM assigned GROUP BY cluster_id),
+    return f"""cmeans AS (SELECT cluster_id, {means} FROM assigned GROUP BY cluster_id),
 l1 AS (SELECT cluster_id FROM cmeans ORDER BY am_relative_slowdown DESC, cluster_id LIMIT 1),
 l2 AS (SELECT cluster_id FROM cmeans WHERE cluster_id NOT IN (SELECT cluster_id FROM l1)
        ORDER BY pm_relative_slowdown DESC, cluster_id LIMIT 1),
@@ -174,7 +167,36 @@ labels AS (
                 WHEN cluster_id IN (SELECT cluster_id FROM l3) THEN '{LABEL_FREE_FLOW}'
                 WHEN cluster_id IN (SELECT cluster_id FROM l4) THEN '{LABEL_DUAL_PEAK}'
                 ELSE '{LABEL_STEADY}' END AS cluster_label
-    FROM cmeans),
+    FROM cmeans)"""
+
+
+def fixed_clusters_ctes(k: int = 5, source: str = "scaled", name: str = "clusters") -> str:
+    """Fixed assignment (numeric segment id mod k), labels by the rule on
+    unscaled means (sequential elimination), distance to the group mean."""
+    dist = " + ".join(f"POWER(s.{c}_scaled - m.{c}_c, 2)" for c in FEATS)
+    cents = ", ".join(f"AVG({c}_scaled) AS {c}_c" for c in FEATS)
+    return f"""assigned AS (
+    SELECT *, CAST(CAST(regexp_extract(osm_id, '(\\d+)$', 1) AS BIGINT) % {k} AS INTEGER) AS cluster_id
+    FROM {source}),
+centres AS (SELECT cluster_id, {cents} FROM assigned GROUP BY cluster_id),
+{label_ctes()},
 {name} AS (
     SELECT s.*, l.cluster_label, SQRT({dist}) AS dist_to_centroid
     FROM assigned s JOIN centres m ON s.cluster_id = m.cluster_id JOIN labels l ON s.cluster_id = l.cluster_id)"""
+
+
+def lloyd_ctes(k: int, steps: int, source: str = "scaled", p: str = "") -> str:
+    """``steps`` Lloyd steps from the group means of segment id mod k; the
+    nearest of the last centres is ``{p}assigned`` (with ``d2``)."""
+    d2 = " + ".join(f"POWER(s.{c}_scaled - m.{c}_c, 2)" for c in FEATS)
+    first = ", ".join(f"AVG({c}_scaled) AS {c}_c" for c in FEATS)
+    moved = ", ".join(f"COALESCE(AVG(s.{c}_scaled), ANY_VALUE(o.{c}_c)) AS {c}_c" for c in FEATS)
+    near = (f"SELECT s.osm_id, CAST(arg_min(m.cluster_id, {d2}) AS INTEGER) AS cluster_id, MIN({d2}) AS d2 "
+            f"FROM {source} s CROSS JOIN {{}} m GROUP BY s.osm_id")
+    out = [f"{p}c0 AS MATERIALIZED (SELECT CAST(regexp_extract(osm_id, '(\\d+)$', 1) AS BIGINT) % {k} AS cluster_id, {first} FROM {source} GROUP BY 1)"]
+    for i in range(steps):
+        out.append(f"{p}a{i} AS MATERIALIZED ({near.format(f'{p}c{i}')})")
+        out.append(f"{p}c{i + 1} AS MATERIALIZED (SELECT o.cluster_id, {moved} FROM {p}c{i} o LEFT JOIN {p}a{i} a "
+                   f"ON a.cluster_id = o.cluster_id LEFT JOIN {source} s ON s.osm_id = a.osm_id GROUP BY o.cluster_id)")
+    out.append(f"{p}assigned AS MATERIALIZED (SELECT s.*, n.cluster_id, n.d2 FROM {source} s JOIN ({near.format(f'{p}c{steps}')}) n ON s.osm_id = n.osm_id)")
+    return ",\n".join(out)

@@ -2,6 +2,8 @@
 import datetime as dt
 
 import pytest
+
+from roadpulse.params import ClusterParams
 from pyspark.sql import functions as F
 
 from roadpulse.operators import cluster as C
@@ -156,15 +158,25 @@ def test_kmeans_recovers_separated_blobs(spark):
     pts = np.vstack([c + rng.normal(scale=0.3, size=(30, 2)) for c in centres])
     df = spark.createDataFrame([(f"way/{i}", float(x), float(y)) for i, (x, y) in enumerate(pts)],
                                "osm_id string, a_scaled double, b_scaled double")
-    costs = {}
-    for engine in ("multi", "mllib"):
-        model, cost = C.kmeans(df, ["a", "b"], k=3, restarts=3, seed=1, engine=engine)
-        got = sorted(tuple(round(v) for v in c) for c in model.clusterCenters())
-        assert got == sorted(tuple(int(v) for v in c) for c in centres)
-        labels = model.transform(df).groupBy("cluster_id").count().collect()
-        assert sorted(r["count"] for r in labels) == [30, 30, 30]
-        costs[engine] = cost
-    assert costs["multi"] == pytest.approx(costs["mllib"], rel=1e-6)
+    model, cost = C.kmeans(df, ["a", "b"], k=3, restarts=3, seed=1)
+    got = sorted(tuple(round(v) for v in c) for c in model.clusterCenters())
+    assert got == sorted(tuple(int(v) for v in c) for c in centres)
+    labels = model.transform(df).groupBy("cluster_id").count().collect()
+    assert sorted(r["count"] for r in labels) == [30, 30, 30]
+    fixed, fixed_cost = C.kmeans_from(df, centres.tolist(), ["a", "b"])
+    assert fixed_cost == pytest.approx(cost, rel=1e-6)
+    one = C.kmeans(df, ["a", "b"], k=3, restarts=1, seed=1)[1]
+    assert cost <= one + 1e-9 and C.kmeans(df, ["a", "b"], k=4, restarts=5, seed=1)[1] < cost
+
+
+def test_empty_cohort_gives_empty_clusters(spark):
+    cols = "osm_id string, median_velocity double, velocity_std double, observation_count long, active_days long, " \
+           "am_velocity double, pm_velocity double, am_relative_slowdown double, pm_relative_slowdown double, " \
+           "am_slowdown_frequency double, pm_slowdown_frequency double, zero_velocity_observation_count long"
+    none = spark.createDataFrame([], cols)
+    clusters, model, cost = C.segment_clusters(none)
+    assert clusters.count() == 0 and model.clusterCenters() == [] and cost == 0.0
+    assert [tuple(r) for r in C.k_sweep(none, ClusterParams(sweep_k=(2,), sweep_restarts=1)).collect()] == [(2, 0.0, None)]
 
 
 def test_approx_median_option_close_to_exact(spark):
@@ -198,28 +210,3 @@ def test_distinct_counts_exact_and_approx(spark):
     approx = {r[0]: r[1] for r in Q.distinct_counts(raw, approx_rsd=0.01).collect()}
     assert exact["OSM ID"] == 20 and exact["valid date"] == 30
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
-
-
-def test_workers_do_not_need_the_package_on_their_path():
-    """The multi-model K-Means ships its per-partition code by value: a driver
-    started outside the repository (workers cannot import the package) works."""
-    import os
-    import subprocess
-    import sys
-    import tempfile
-    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    script = f"""
-import sys
-sys.path.insert(0, {repo!r})
-from pyspark.sql import SparkSession
-from roadpulse.operators import multikmeans as MK
-spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
-df = spark.createDataFrame([(f"way/{{i}}", float(i % 7), float(i % 3)) for i in range(60)], "osm_id string, a double, b double")
-fits = MK.fit_many(df, "osm_id", ["a", "b"], [2, 3], [1, 2])
-print("FITS", len(fits))
-spark.stop()
-"""
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    out = subprocess.run([sys.executable, "-c", script], cwd=tempfile.mkdtemp(prefix="rp-cwd-"), env=env,
-                         capture_output=True, text=True, timeout=600)
-    assert "FITS 2" in out.stdout, out.stderr[-2000:]
