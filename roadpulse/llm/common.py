@@ -17,7 +17,7 @@ from roadpulse.session import materialize
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
-__all__ = ["WHITE", "WHITE_CHARS", "count_of", "give_back", "let", "materialize", "small", "solid_chars", "table", "white_words"]
+__all__ = ["WHITE", "WHITE_CHARS", "count_of", "give_back", "let", "materialize", "row_key", "small", "solid_chars", "table", "white_words"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits (two longs) of a row's id and text, never null: rows share them only if equal in both."""
+    parts = (doc_id.isNull(), doc_id, text.isNull(), text)
+    return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted,
     so call it on written tables); beyond that it stays a shuffle join."""

@@ -18,8 +18,12 @@ hashes if they are counted below ``broadcast_rows``; a larger benchmark is
 shuffle-joined.  What leaves the join is one row per document, item and
 diagonal, so a passage that many documents share costs one row in each.
 
+Hits, verification and removal go by a key of the row's own (id and text), so
+rows that merely share a doc_id, or have none, do not answer for each other;
+only the report of leaked pairs is by doc_id.
+
 Defined cases: null and empty texts hold nothing; an item without words leaks
-nowhere; rows with one doc_id (also null) are one document; repeated items are
+nowhere; rows equal in doc_id and text are treated alike; repeated items are
 reported once; empty tables give an empty result; other columns are ignored.
 """
 
@@ -30,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import let, materialize, small
+from roadpulse.llm.common import let, materialize, row_key, small
 
 
 @dataclass(frozen=True)
@@ -80,16 +84,16 @@ def short_masks(items: DataFrame, span: int) -> list[tuple[str, ...]]:
 
 
 def seed_hits(docs: DataFrame, items: DataFrame, seeds: Seeds) -> DataFrame:
-    """Distinct (doc_id, item_id, diagonal, n) that share a seed hash."""
+    """Distinct (k1, k2, item_id, diagonal, n) that share a seed hash."""
     hits = None
     for masks in [seeds.masks, *short_masks(items, len(seeds.masks[0]))]:
         full = len(masks) == 1 and "0" not in masks[0]
         these = items.where(F.size("words") == len(masks[0])) if full else items
-        left = hash_rows(docs, ["doc_id"], masks)
+        left = hash_rows(docs, ["k1", "k2"], masks)
         right = materialize(hash_rows(these.withColumn("n", F.size("words")), ["item_id", "n"], masks)
                             .withColumnRenamed("pos", "item_pos"), "item-seeds")
         found = left.join(small(right, seeds.broadcast_rows), "seed").select(
-            "doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n").distinct()
+            "k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n").distinct()
         hits = found if hits is None else hits.union(found)
     return hits.distinct()
 
@@ -105,36 +109,50 @@ def best_window(agree: Column, k: int) -> Column:
     return let(agree, of)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), doc_id: str = "doc_id", text: str = "text",
-          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item_words, window_matches, aligned_matches), one row per leaked pair."""
-    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    worded = plain.select("doc_id", text_words(F.col("text")).alias("words"))
+def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, k1, k2, text) for every row of ``docs``."""
+    k1, k2 = row_key(F.col(doc_id), F.col(text))
+    return docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+
+
+def leaked_rows(docs: DataFrame, benchmark: DataFrame, seeds: Seeds, doc_id: str, text: str, item_id: str,
+                item_text: str) -> DataFrame:
+    """(doc_id, k1, k2, item_id, n, best, aligned) for every accepted diagonal of a row and an item."""
+    plain = keyed(docs, doc_id, text)
+    worded = plain.select("k1", "k2", text_words(F.col("text")).alias("words"))
     items = materialize(benchmark.select(F.col(item_id).alias("item_id"), text_words(F.col(item_text)).alias("words"))
                         .where(F.size("words") > 0).distinct(), "benchmark-words")
-    per_doc = seed_hits(worded, items, seeds).groupBy(F.col("doc_id").alias("hit_id")).agg(
+    per_row = seed_hits(worded, items, seeds).groupBy("k1", "k2").agg(
         F.collect_set(F.struct("item_id", "diagonal", "n")).alias("hits"))
-    per_doc = materialize(per_doc, "seed-hits")
-    laid = plain.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select(
-        "doc_id", "hits", text_words(F.col("text")).alias("words"))
+    per_row = materialize(per_row, "seed-hits")
+    laid = plain.join(per_row, ["k1", "k2"]).select(
+        "doc_id", "k1", "k2", "hits", text_words(F.col("text")).alias("words"))
     cut = F.transform("hits", lambda h: F.struct(
         h["item_id"].alias("item_id"), h["n"].alias("n"),
         F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda j: F.get(F.col("words"), j + h["diagonal"])).alias("under")))
-    pairs = laid.select("doc_id", F.explode(cut).alias("h")).select("doc_id", "h.item_id", "h.n", "h.under")
+    pairs = laid.select("doc_id", "k1", "k2", F.explode(cut).alias("h")).select("doc_id", "k1", "k2", "h.item_id", "h.n", "h.under")
     right = items.withColumnRenamed("words", "item_words").withColumnRenamed("item_id", "right_id")
     joined = pairs.join(small(right, seeds.broadcast_rows // 10), F.col("item_id").eqNullSafe(F.col("right_id")) & (F.size("item_words") == F.col("n")))
     agree = F.zip_with("under", "item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    scored = joined.select("doc_id", "item_id", "n", best_window(agree, seeds.window).alias("best"),
+    scored = joined.select("doc_id", "k1", "k2", "item_id", "n", best_window(agree, seeds.window).alias("best"),
                            F.aggregate(agree, F.lit(0), lambda t, x: t + x).alias("aligned"))
     need = F.when(F.col("n") >= seeds.window, seeds.min_matches).otherwise(F.col("n"))
-    return scored.where(F.col("best") >= need).groupBy("doc_id", "item_id").agg(
+    return scored.where(F.col("best") >= need)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), doc_id: str = "doc_id", text: str = "text",
+          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_item_words, window_matches, aligned_matches), one row per leaked pair."""
+    found = leaked_rows(docs, benchmark, seeds, doc_id, text, item_id, item_text)
+    return found.groupBy("doc_id", "item_id").agg(
         F.max("n").cast("long").alias("n_item_words"), F.max("best").cast("long").alias("window_matches"),
         F.max("aligned").cast("long").alias("aligned_matches"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), doc_id: str = "doc_id",
           text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without leaked documents, all columns kept."""
-    found = leaks(docs, benchmark, seeds, doc_id, text).select(F.col("doc_id").alias("__leaked_id")).distinct()
-    found = materialize(found, "leaked-ids")
-    return docs.join(small(found, seeds.broadcast_rows), docs[doc_id].eqNullSafe(F.col("__leaked_id")), "left_anti")
+    """The rows of ``docs`` that do not leak themselves, all columns kept."""
+    found = leaked_rows(docs, benchmark, seeds, doc_id, text, "item_id", "text")
+    found = materialize(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "leaked-rows")
+    k1, k2 = row_key(docs[doc_id], docs[text])
+    return docs.join(small(found, seeds.broadcast_rows), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")

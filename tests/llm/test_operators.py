@@ -99,6 +99,16 @@ def test_decontamination_tolerates_two_substitutions_in_thirteen(spark):
     assert got == {d for d, _ in docs if d < 10_000}
 
 
+def test_a_leak_removes_no_other_row(spark):
+    item = " ".join(f"t{i}" for i in range(13))
+    rows = [(None, item), (None, "clean one"), (None, None), (5, "x " + item), (5, "clean two"), (6, "clean three"), (7, item), (7, item)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontam.clean(df, bench).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == [(0, ""), (0, "clean one"), (5, "clean two"), (6, "clean three")]
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontam.leaks(df, bench).collect()) == [(0, 1), (5, 1), (7, 1)]
+
+
 def test_html_text(spark):
     page = ("<html><head><title>T</title></head><body><nav><a href=x>menu</a></nav><article><h1>Head &amp; more</h1><p>One\n two<br>three"
             "<p>Short.<aside>side</aside><div class='comments'>reader says</div><form>go</form></article><footer>end</footer>")
