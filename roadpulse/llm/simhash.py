@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import give_back, materialize
+from roadpulse.llm.common import give_back, materialize, row_key
 from roadpulse.llm.components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -75,8 +75,8 @@ def fingerprint(text: str | None, k: int) -> int:
     return int(bits.view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def with_fingerprints(docs: DataFrame, doc_id: str, text: str, k: int, more: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, more...): the fingerprint as a signed long."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
@@ -84,7 +84,7 @@ def with_fingerprints(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFr
         give_back()
         return pd.Series(found.view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), prints(F.col(text)).alias("fp"))
+    return docs.select(F.col(doc_id).alias("doc_id"), prints(F.col(text)).alias("fp"), *more)
 
 
 # ---- Golay keys -----------------------------------------------------------------
@@ -330,17 +330,20 @@ def hex_fingerprint(fp: str) -> Column:
 
 
 def one_of_each(docs: DataFrame, opts: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, all columns kept: the document with
-    the smallest doc_id.  Rows that share a doc_id count as one document, of
-    which one row stays; a component without any doc_id keeps one of its rows."""
-    prints = materialize(with_fingerprints(docs, doc_id, text, opts.shingle), "fingerprints")
-    comps = materialize(fingerprint_components(prints, opts), "simhash-components")
-    named = prints.join(comps, "fp").where(F.col("doc_id") == F.col("component_id"))
-    keep = materialize(named.select(F.col("doc_id").alias("__kept_id")).distinct(), "simhash-kept")
+    """One row of ``docs`` for each component, all columns kept: the row with the
+    least (doc_id, fingerprint, hash of id and text), a null doc_id last.  Rows
+    that share a doc_id but not a component stay side by side; of rows equal in
+    doc_id and text one stays."""
+    k1, k2 = row_key(F.col(doc_id), F.col(text))
+    prints = materialize(with_fingerprints(docs, doc_id, text, opts.shingle, (k1.alias("k1"), k2.alias("k2"))), "fingerprints")
+    comps = fingerprint_components(prints, opts)
+    # reduced by fingerprint first: many copies of one text are one row in the join
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "k1", "k2")).alias("row")
+    chosen = prints.groupBy("fp").agg(least).join(comps.select("fp", "comp"), "fp")
+    chosen = chosen.groupBy("comp").agg(F.min("row").alias("row"))
+    keep = materialize(chosen.select(F.col("row.k1").alias("__kept_1"), F.col("row.k2").alias("__kept_2")), "simhash-kept")
     # joined and reduced by one key: the text is shuffled once
-    stay = docs.join(keep, docs[doc_id] == F.col("__kept_id"), "left_semi").dropDuplicates([doc_id])
-    nameless = with_fingerprints(docs.where(F.col(doc_id).isNull()).select(F.struct("*").alias("doc_id"), F.col(text).alias("text")),
-                                 "doc_id", "text", opts.shingle)
-    bare = comps.where(F.col("component_id").isNull())
-    rest = nameless.join(bare, "fp").dropDuplicates(["comp"]).select("doc_id.*")
-    return stay.union(rest)
+    d1, d2 = row_key(docs[doc_id], docs[text])
+    own = docs.select("*", d1.alias("__k1"), d2.alias("__k2"))
+    stay = own.join(keep, (F.col("__k1") == F.col("__kept_1")) & (F.col("__k2") == F.col("__kept_2")), "left_semi")
+    return stay.dropDuplicates(["__k1", "__k2"]).select(*docs.columns)

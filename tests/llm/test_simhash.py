@@ -120,6 +120,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert simhash.one_of_each(no_docs).count() == 0
 
 
+def test_one_row_of_each_component_under_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.getrandbits(30)}" for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (9, b), (3, c), (5, c), (None, c), (None, d), (None, d), (None, None), (7, a), (4, "")]
+    pairs = [(i, plain_fingerprint(t)) for i, t in rows]
+    comp = plain_components(pairs)
+    assert [comp[f] for _, f in pairs] == [5, 5, 5, 3, 3, 3, None, None, 4, 5, 4]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(5, a), (5, b), (3, c), (0, d), (4, "")])
+
+
 def test_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, k) for k in range(2000, 2300)] + [(5, 5)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
