@@ -57,6 +57,17 @@ def test_mixing_comes_near_the_targets(spark):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_mixing_comes_near_the_targets_without_ids(spark):
+    # the boundary of source a (0.7 of its rows once more) lies among the third of its rows that share a hash of the id
+    rows = [(k if k % 3 else None, " ".join(f"w{k}x{i}" for i in range(10)), "a") for k in range(600)]
+    rows += [(k, " ".join(f"w{k}" for _ in range(10)), "b") for k in range(1000, 1307)]
+    for df in (rows, [(d or 77, t, s) for d, t, s in rows]):
+        df = spark.createDataFrame(df, "doc_id long, text string, source string")
+        per = mixing.mixed(df).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+        assert len(per) == 2 and all(abs(r.t - r.g) <= 10 for r in per)
+    assert mixing.take(df).count() == mixing.mixed(df).agg(F.sum("copies")).first()[0]
+
+
 def test_line_dedup_odd_rows(odd_docs, no_docs):
     got = {r.doc_id: r for r in line_windows.without_repeats(odd_docs).collect()}
     assert line_windows.without_repeats(odd_docs).count() == odd_docs.count()
