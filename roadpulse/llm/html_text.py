@@ -4,7 +4,11 @@ The standard library's streaming parser turns a page into lines: a line is the
 text between two block boundaries, with the number of tags seen in it and the
 number of its characters that are link text.  Elements that never are content
 (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts,
-styles: by tag, role, or a word of the class or id) give no lines.  Each line's
+styles: by tag, role, or a name in the class or id) give no lines.  A class or id
+name counts if it is one of the words, ends in "-word" (unless it begins with
+no-, has-, with- or the like), or is a word followed by a part such as -slot or
+-list.  An element skipped by its class or id is not skipped if it contains an
+article or main element and the page has none outside of what is skipped.  Each line's
 text-to-tag ratio (link text does not count as text) is smoothed with a Gaussian
 over its neighbours, which lifts short paragraphs inside an article and flattens
 a stray long line outside.  Lines are grouped into regions by their container
@@ -17,7 +21,8 @@ Character references are decoded; white space inside a line becomes one space;
 lines are joined by one line feed.  Nothing is cut off.
 
 Defined cases: null and empty html and pages without text give an empty string;
-unclosed elements end where the parser's open parent ends; null ids and
+unclosed p, li, dt, dd, option and table parts end where a start tag implies it,
+other unclosed elements where the parser's open parent ends; null ids and
 repeated rows are kept as they are; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -47,7 +52,22 @@ SKIPPED_WORDS = set("ad ads adv advert adverts advertisement advertising banner
                     "consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter "
                     "notice notices notification pagination popup promo promoted related respond share sharing sidebar "
                     "signup social sponsor sponsored subscribe toolbar widget".split())
-WORD = re.compile(r"[a-z]+")
+#: "no-sidebar" or "has-comments" tell of the layout, not of the element
+LAYOUT_PARTS = set("no not non has have with without is show hide".split())
+#: "ad-slot", "comments-area": the word names the element although it comes first
+ELEMENT_PARTS = set("area bar box button buttons form item items link links list slot unit".split())
+PART = re.compile(r"[-_:]+")
+#: start tags that end an open p, and the elements beyond which they do not
+ENDS_P = BLOCKS - set("body caption center head html legend optgroup option tbody td tfoot th thead tr".split())
+P_SCOPE = set("button caption html object select svg table td template th".split())
+LIST_SCOPE = BLOCKS - set("address div p li dd dt".split()) | {"button", "object", "select", "template"}
+#: start tag: (open elements that it ends, elements beyond which it ends none)
+IMPLIED_ENDS = {
+    "li": ({"li"}, LIST_SCOPE), "dd": ({"dd", "dt"}, LIST_SCOPE), "dt": ({"dd", "dt"}, LIST_SCOPE),
+    "option": ({"option"}, {"select", "optgroup", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "tr": ({"tr"}, {"table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), ({"tr", "thead", "tbody", "tfoot"}, {"table"})),
+}
 #: Gaussian kernel over lines: standard deviation and reach
 SIGMA, REACH = 1.0, 2
 
@@ -60,6 +80,19 @@ class Line:
     region: int
 
 
+def names_skipped(names: str) -> bool:
+    """Whether one of the names of a class or id attribute stands for something that is no content."""
+    for name in names.split():
+        parts = [x for x in PART.split(name) if x]
+        if not parts:
+            continue
+        if name in SKIPPED_WORDS or (parts[-1] in SKIPPED_WORDS and parts[0] not in LAYOUT_PARTS):
+            return True
+        if len(parts) == 2 and parts[0] in SKIPPED_WORDS and parts[1] in ELEMENT_PARTS:
+            return True
+    return False
+
+
 def skipped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in SKIPPED:
         return True
@@ -73,16 +106,28 @@ def skipped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id") and not SKIPPED_WORDS.isdisjoint(WORD.findall(value)):
-            return True
     return False
 
 
+def skipped_by_name(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    if tag in WHOLE or tag in ("html", "body"):
+        return False
+    return any(name in ("class", "id") and names_skipped((value or "").lower()) for name, value in attrs)
+
+
 class Lines(HTMLParser):
     """Collects the lines of one page from parser events."""
 
-    def __init__(self) -> None:
+    def __init__(self, kept: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        #: numbers of the start tags that are not skipped by their class or id
+        self.kept = kept
+        self.starts = 0
+        #: (number of the start tag, depth) of the element that is skipped by its class or id
+        self.by_name: tuple[int, int] | None = None
+        #: those that contain an article or main; whether one stands outside of what is skipped
+        self.wrappers: set[int] = set()
+        self.whole_seen = False
         self.lines: list[Line] = []
         #: open elements: (tag, inside something skipped, region, region is whole)
         self.open: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
@@ -97,7 +142,34 @@ class Lines(HTMLParser):
             self.lines.append(Line(text, self.tags, self.linked, self.open[-1][2]))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def close_implied(self, ends: set[str], scope: set[str]) -> None:
+        """Close the open elements that a start tag ends."""
+        at = None
+        for i in range(len(self.open) - 1, 0, -1):
+            name = self.open[i][0]
+            if name in ends:
+                at = i
+            elif name in scope:
+                break
+        if at is not None:
+            if not self.open[at - 1][1]:
+                self.end_line()
+            while len(self.open) > at:
+                self.pop()
+
+    def pop(self) -> str:
+        name = self.open.pop()[0]
+        self.links -= name == "a"
+        if self.by_name and len(self.open) <= self.by_name[1]:
+            self.by_name = None
+        return name
+
     def handle_starttag(self, tag, attrs) -> None:
+        self.starts += 1
+        if tag in IMPLIED_ENDS:
+            self.close_implied(*IMPLIED_ENDS[tag])
+        if tag in ENDS_P:
+            self.close_implied({"p"}, P_SCOPE)
         _, skip, region, whole = self.open[-1]
         if tag in BLOCKS and not skip:
             self.end_line()
@@ -106,7 +178,15 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        if not skip and skipped(tag, attrs):
+        if tag in WHOLE:
+            if not skip:
+                self.whole_seen = True
+            elif self.by_name:
+                self.wrappers.add(self.by_name[0])
+        by_name = not skip and not skipped(tag, attrs) and self.starts not in self.kept and skipped_by_name(tag, attrs)
+        if by_name:
+            self.by_name = (self.starts, len(self.open))
+        if not skip and (by_name or skipped(tag, attrs)):
             skip = True
             if tag in BLOCKS:
                 self.end_line()
@@ -130,9 +210,7 @@ class Lines(HTMLParser):
         if tag in BLOCKS and not self.open[-1][1]:
             self.end_line()
         while True:
-            name = self.open.pop()[0]
-            self.links -= name == "a"
-            if name == tag:
+            if self.pop() == tag:
                 break
 
     def handle_data(self, data) -> None:
@@ -143,11 +221,15 @@ class Lines(HTMLParser):
 
 
 def page_lines(html: str) -> list[Line]:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.end_line()
-    return parser.lines
+    kept: frozenset[int] = frozenset()
+    while True:
+        parser = Lines(kept)
+        parser.feed(html)
+        parser.close()
+        parser.end_line()
+        if parser.whole_seen or not parser.wrappers:
+            return parser.lines
+        kept |= parser.wrappers
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:

@@ -133,6 +133,22 @@ def test_html_text(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p class=ad>buy<p>One.<p>Two.</article>", "One.\nTwo."),
+    ("<article><ul><li class=promo>buy<li>One.<li>Two.<ul><li>Inner.</ul></ul><p>End.</article>", "One.\nTwo.\nInner.\nEnd."),
+    ("<article><table><tr><td class=ad>buy<td>One.<tr><td>Two.</table></article>", "One.\nTwo."),
+    ("<article><dl><dt class=notice>buy<dd>One.<dt>Two.</dl></article>", "One.\nTwo."),
+    ("<article><p class=notice>old<div>One.</div><p>Two <b>bold<p>Three.</article>", "One.\nTwo bold\nThree."),
+    ("<div class='no-sidebar'><article><p>One.</article></div>", "One."),
+    ("<div class='has-comments social-card'><div><p>One.</div></div>", "One."),
+    ("<div id=social><div class=widget><article><p>One.</article></div></div>", "One."),
+    ("<article><p>One.<div class='comments-area'><article>reader</article></div><div class='site-footer'>f</div>"
+     "<div class=ad-slot>a</div><div class='x cookie-notice'>c</div></article>", "One."),
+])
+def test_html_unclosed_tags_and_class_names(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_licences(spark, no_docs):
     mit = licences.TEMPLATES["MIT"][2]
     rows = [(1, "p/LICENSE", mit), (2, "p/src/a.py", "x = 1"), (3, "p/src/b.py", "# SPDX-License-Identifier: Apache-2.0\nx"),
