@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import (decontam, host_rules, html_text, licences, line_windows, mixing, quality_model, simhash,
+from roadpulse.llm import (decontam, host_rules, html_text, lexical, licences, line_windows, mixing, quality_model, simhash,
                            token_counts, token_files)
 from roadpulse.llm.common import table
 
@@ -54,8 +54,12 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(docs.select("doc_id", path.alias("path"), "text"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_html_text, op4_decontamination,
-                                   op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences)}
+                                   op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences, op11_lexical_search)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -64,7 +68,23 @@ _SEEDS = [[k for k, m in enumerate(mask) if m == "1"] for mask in decontam.Seeds
 _SEED_ROWS = " UNION ALL ".join(
     f"SELECT *, {t} AS mask, list_transform({offsets}, lambda k: w[i + k]) AS seed FROM {{0}}" for t, offsets in enumerate(_SEEDS))
 
+_TERM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+
 ORACLE = {
+    "op11_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERM} AS w FROM documents),
+total AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY rid, term),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, nn),
+items AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERM}) AS term FROM benchmark)),
+m AS (SELECT rid, doc_id, CAST(10 + (90 * len(w) * nn) // l AS BIGINT) AS m FROM d, total WHERE len(w) > 0),
+scored AS (
+  SELECT i.item_id, m.rid, m.doc_id, CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM items i JOIN tf ON tf.term = i.term JOIN weight w ON w.term = i.term JOIN m ON m.rid = tf.rid GROUP BY i.item_id, m.rid, m.doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT DISTINCT doc_id, {_TERMS} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {_TERMS} AS w FROM benchmark),
