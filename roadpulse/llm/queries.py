@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.llm import (decontam, host_rules, html_text, lexical, licences, line_windows, mixing, quality_model, simhash,
-                           token_counts, token_files)
+                           token_counts, token_files, warc)
 from roadpulse.llm.common import table
 
 
@@ -58,8 +58,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_html_text, op4_decontamination,
-                                   op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences, op11_lexical_search)}
+                                   op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences, op11_lexical_search, op12_warc)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -70,7 +74,17 @@ _SEED_ROWS = " UNION ALL ".join(
 
 _TERM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+#: 20 bits of a hexadecimal digest are four base32 characters
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((('0x' || substr(sha, CAST(i // 4 * 5 + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1]), '')"
+
 ORACLE = {
+    "op12_warc": rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+told AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN last IS NULL OR page_id = last THEN NULL ELSE last END AS refers_to
+FROM told""",
     "op11_lexical_search": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERM} AS w FROM documents),
 total AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
