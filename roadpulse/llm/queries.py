@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import (decontam, host_rules, html_text, lexical, licences, line_windows, mixing, quality_model, simhash,
-                           token_counts, token_files, warc)
+from roadpulse.llm import (decontam, host_rules, html_text, lexical, licences, line_windows, mixing, prefix_trie, quality_model,
+                           simhash, token_counts, token_files, warc)
 from roadpulse.llm.common import table
 
 
@@ -62,8 +62,13 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_of(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_html_text, op4_decontamination,
-                                   op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences, op11_lexical_search, op12_warc)}
+                                   op5_host_rules, op6_line_dedup, op7_token_counts, op8_mixing, op9_simhash, op10_licences, op11_lexical_search, op12_warc,
+                                   op13_prefix_trie)}
 
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -74,10 +79,42 @@ _SEED_ROWS = " UNION ALL ".join(
 
 _TERM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+#: CRC-32 of the decimal id, bit by bit
+_CRC32 = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT))), "
+          "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))")
+
 #: 20 bits of a hexadecimal digest are four base32 characters
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST((('0x' || substr(sha, CAST(i // 4 * 5 + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - i % 4 * 5 AS BIGINT)) & 31 AS BIGINT) + 1]), '')"
 
 ORACLE = {
+    "op13_prefix_trie": rf"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS pos,
+    md5(length(r) || ':' || r || x) AS tok, CAST(length(x) AS BIGINT) AS chars
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS anchor, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+seq AS (
+  SELECT c.conv_id, t.pos AS d, tok, chars FROM c JOIN t ON t.conv_id = c.anchor AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(n.n, 0)) + t.pos - c.h, tok, chars FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN n ON n.conv_id = c.anchor),
+lists AS (
+  SELECT c.conv_id, coalesce(list(tok ORDER BY d) FILTER (WHERE tok IS NOT NULL), []) AS w, coalesce(list(chars ORDER BY d) FILTER (WHERE tok IS NOT NULL), []) AS ch
+  FROM c LEFT JOIN seq ON seq.conv_id = c.conv_id GROUP BY c.conv_id),
+pre AS (
+  SELECT conv_id, d, list_slice(w, 1, d) AS p, CASE WHEN d > 0 THEN ch[d] ELSE 0 END AS chars, d = len(w) AS ended FROM lists, unnest(range(0, len(w) + 1)) AS r(d)),
+node AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends_sha256 FROM pre GROUP BY p, d),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids ON kids.p = node.p),
+sub AS (
+  SELECT list_slice(p, 1, a) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM full_node, unnest(range(0, d + 1)) AS r(a) GROUP BY 1)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(sub.n_leaves AS BIGINT) AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN sub ON sub.p = f.p LEFT JOIN node up ON f.d > 0 AND up.p = list_slice(f.p, 1, f.d - 1)""",
     "op12_warc": rf"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
 told AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
