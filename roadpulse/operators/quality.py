@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.columns import rounded
+from roadpulse.operators.ordered import running
 from roadpulse.operators.quantile import exact_quantiles
 from roadpulse.params import MAX_ABS_LATITUDE, MAX_ABS_LONGITUDE, NEAR_ZERO_VELOCITY, SLOW_VELOCITY
-from roadpulse.session import reliable_checkpoint
+from roadpulse.session import materialize
 from roadpulse.sources.raw import parsed
 
 
@@ -163,37 +164,26 @@ def coverage_summary(clean: DataFrame) -> DataFrame:
 
 def timestamp_gap_multiset(clean: DataFrame) -> DataFrame:
     """Gaps (seconds) between consecutive sorted timestamps as weighted rows
-    (gap, weight).
-
-    A global ``lag`` would sort every row in one task.  Instead: repeated
-    timestamps contribute zero gaps (total rows - distinct timestamps of them);
-    positive gaps are between consecutive *distinct* timestamps, found per date
-    (at most 86,400 distinct seconds per day, so each window partition is
-    bounded) and stitched across day boundaries on the small per-date table."""
-    ts = clean.where(F.col("timestamp").isNotNull()).select("timestamp")
-    distinct = ts.groupBy("timestamp").agg(F.count(F.lit(1)).alias("c"))
-    per_day = distinct.withColumn("date", F.to_date("timestamp"))
-    w = Window.partitionBy("date").orderBy("timestamp")
-    inner = (per_day.select("timestamp", F.lag("timestamp").over(w).alias("prev"))
-             .where(F.col("prev").isNotNull())
-             .select((F.timestamp_diff("MICROSECOND", "prev", "timestamp") / 1e6).alias("gap"),
-                     F.lit(1).cast("long").alias("weight")))
-    bounds = per_day.groupBy("date").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-    wd = Window.orderBy("date")
-    stitch = (bounds.select("first", F.lag("last").over(wd).alias("prev_last"))
-              .where(F.col("prev_last").isNotNull())
-              .select((F.timestamp_diff("MICROSECOND", "prev_last", "first") / 1e6).alias("gap"),
-                      F.lit(1).cast("long").alias("weight")))
-    zeros = distinct.agg((F.sum("c") - F.count(F.lit(1))).cast("long").alias("weight")).select(
-        F.lit(0.0).alias("gap"), "weight")
-    return inner.unionByName(stitch).unionByName(zeros).where(F.col("weight") > 0)
+    (gap, weight), at any resolution of the timestamps.
+
+    A global ``lag`` would sort every row in one task.  Here the distinct
+    timestamps are range-partitioned, each range looks back inside itself, and
+    the last timestamp of the ranges before comes from a table of one row per
+    range.  A repeated timestamp adds as many gaps of zero as it has further
+    copies."""
+    distinct = clean.where(F.col("timestamp").isNotNull()).groupBy("timestamp").agg(F.count(F.lit(1)).alias("c"))
+    rows = running(distinct, [], [F.col("timestamp").asc()], lasts={"prev": F.col("timestamp")}, before=True)
+    one, micros = F.lit(1).cast("long"), F.timestamp_diff("MICROSECOND", "prev", "timestamp")
+    parts = F.array(F.struct(F.when(F.col("prev").isNotNull(), micros / 1e6).alias("gap"), one.alias("weight")),
+                    F.struct(F.lit(0.0).alias("gap"), (F.col("c") - 1).alias("weight")))
+    return rows.select(F.inline(parts)).where(F.col("gap").isNotNull() & (F.col("weight") > 0)).groupBy("gap").agg(F.sum("weight").alias("weight"))
 
 
 def timestamp_gaps(clean: DataFrame, digits: int | None = None) -> DataFrame:
     """``describe()`` of the gaps between consecutive sorted timestamps (W1):
     count, mean, sample sd, min, exact quartiles, max."""
-    # bounded by the distinct timestamps, written once for the passes below
-    g = reliable_checkpoint(timestamp_gap_multiset(clean))
+    # one row per distinct gap, written once for the passes below
+    g = materialize(timestamp_gap_multiset(clean), "timestamp-gaps")
     m = g.agg(F.sum("weight").alias("n"), F.sum(F.col("gap") * F.col("weight")).alias("s"),
               F.min("gap").alias("min"), F.max("gap").alias("max"))
     mean = m.select(F.col("s") / F.col("n")).scalar()

@@ -1,193 +1,141 @@
-"""Exact grouped quantiles that stay bounded under a hot key.
+"""Exact grouped quantiles, led by a sketch.
 
 ``percentile``/``median`` keep every distinct value of a group in one
-aggregation buffer and merge them in one task; with one segment holding a
-third of all rows that task would hold a third of the data.  This operator
-finds the exact order statistics by histogram refinement instead:
-
-1. per key: total weight n, min, max (map-side combined aggregate);
-2. every wanted rank becomes a *target* (key, rank, value range [lo, hi],
-   weight below lo);
-3. while a target's range holds more than ``finish_at`` weight, bucket the
-   rows in that range into ``buckets`` equal-width value buckets, aggregate
-   (key, bucket) -> (weight, min, max) with map-side combining, and move the
-   target into the bucket containing its rank (a running sum over at most
-   ``buckets`` rows per key); a bucket whose min equals its max resolves the
-   target at once;
-4. the few remaining ranges (each <= ``finish_at`` weight) are ranked
-   exactly with a window over their distinct values.
-
-When no group exceeds ``finish_at`` (one probe job tells), steps 2-4 collapse
-into one bounded window per group over its distinct values.
-
-Every shuffle carries either pre-aggregated rows or rows joined to a small
-target table, broadcast when its measured row count is within
-``BROADCAST_MAX_RANGES`` and otherwise shuffle-joined with AQE skew splitting.
-Targets are checkpointed each round, so a lost executor recomputes one round,
-not the whole chain.  The projected input (keys, value, weight) is persisted
-for the duration of the call and released once the small result (one row
-per key) is checkpointed; the operator therefore runs eagerly, like a model
-fit.  Interpolation is the linear rule of pandas/DuckDB
-``quantile_cont``: x[lo] + (h - lo) * (x[hi] - x[lo]) with h = (n - 1) * p.
+aggregation buffer; with one segment holding a third of all rows that buffer
+would hold a third of the data.  Here one pass aggregates a mergeable KLL
+sketch per key, which tells a narrow range of values around each wanted rank.
+A second pass counts the rows of each cell between the ranges and, inside them,
+the rows of each value; a running sum of those counts over range partitions
+(``operators.ordered``) gives the exact rank of every value inside.  A rank
+that falls between the ranges, as the sketch's error allows for now and then,
+names the cell that holds it, which is the range of the next pass; so there are
+one or two of them.  All groups, of any size, go this one way.
+
+What is shuffled are sketches, counts and the values inside the ranges, which
+for a large group are its rows times the sketch's error.  Nothing is cached:
+``df`` is read twice, so write it first if it is costly.
+
+Interpolation is the linear rule of pandas/DuckDB ``quantile_cont``:
+x[lo] + (h - lo) * (x[hi] - x[lo]) with h = (n - 1) * p, and the value itself
+where both order statistics are equal (also both infinite).  NULL values are
+ignored; NaN is the largest value.  A key without values has no row.  With a
+``weight`` (an integer column) a row stands for that many equal values, and
+rows of weight 0 for none; the sketch then leads less closely, the counts do
+the rest.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.session import reliable_checkpoint
+from roadpulse.operators.ordered import running
+from roadpulse.session import materialize
 
+#: Parameter of the sketch (ranks off by about half a percent of a group's rows in one of a hundred groups), and the share
+#: of the rows on either side of a rank that the range takes in.
+SKETCH_K, MARGIN = 1000, 0.01
 
-def _join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join on ``keys`` keeping one copy of the key columns."""
-    if not keys:
-        raise ValueError("keys required")
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                     *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return left.join(r, cond, how).drop(*[f"__r_{k}" for k in keys])
 
+def _same_keys(keys: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
 
-def _small_groups(base: DataFrame, keys: list[str], probs: list[float], names: list[str]) -> DataFrame:
-    """Every group holds at most ``finish_at`` weight: distinct values with
-    their weights, one running-sum window per key, one conditional aggregate."""
-    vals = base.groupBy(*keys, "_v").agg(F.sum("_w").alias("c"))
-    run = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    allw = Window.partitionBy(*keys)
-    vals = vals.select(*keys, "_v", "c", F.coalesce(F.sum("c").over(run), F.lit(0)).alias("cb"),
-                       F.sum("c").over(allw).alias("n"))
-    aggs = []
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        for tag, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            hit = (F.col("cb") <= r) & (r < F.col("cb") + F.col("c"))
-            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{tag}{i}"))
-        aggs.append(F.max(h - F.floor(h)).alias(f"_f{i}"))
-    g = vals.groupBy(*keys).agg(*aggs)
-    return g.select(*keys, *[(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-                             for i, nm in enumerate(names)])
+
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({k: f"__r_{k}" for k in keys})
 
 
-# A target-range table this small is broadcast (its size is measured first);
-# beyond it the join shuffles and AQE's skew handling splits a hot key.
-BROADCAST_MAX_RANGES = 500_000
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
-def _with_ranges(base: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Raw rows joined to their key's open value ranges, broadcasting the range
-    table only when its measured row count is within the bound."""
-    ranges = reliable_checkpoint(ranges)
-    if ranges.count() <= BROADCAST_MAX_RANGES:
-        ranges = F.broadcast(ranges)
-    return _join_keys(base, ranges, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+def _sketched(base: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Per key: ``n`` values, ``m`` that are no NaN, and for each probability the ranks ``a``, ``b`` around it and the range ``lo``, ``hi``."""
+    solid = F.when(~F.isnan("__v"), F.col("__v"))
+    stats = base.groupBy(*keys).agg(F.sum("__w").alias("n"), F.coalesce(F.sum(F.when(solid.isNotNull(), F.col("__w"))), F.lit(0)).alias("m"),
+                                    F.kll_sketch_agg_double(solid, F.lit(SKETCH_K)).alias("sketch"))
+    out = []
+    for i, p in enumerate(probs):
+        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        a, b = F.floor(h), F.ceil(h)
+        # of a group of fewer rows than the margin can tell apart, all values are in the range
+        read = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+        edge = lambda q, end: F.when(F.col("m") > 0, F.when(F.col("n") * MARGIN >= 2, read(q)).otherwise(read(end)))
+        out += [a.alias(f"a{i}"), b.alias(f"b{i}"), (h - a).alias(f"f{i}"),
+                edge(max(p - MARGIN, 0.0), 0.0).alias(f"lo{i}"), edge(min(p + MARGIN, 1.0), 1.0).alias(f"hi{i}")]
+    return materialize(stats.select(*keys, "n", "m", *out), "quantile-ranges")
+
+
+def _counted(base: DataFrame, ranges: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Per key, in order of value: rows of each cell between the ranges and of each value inside, the rows up to and with
+    it (``upto``), and the least and largest value (``low``, ``high``)."""
+    cuts = [c for i in range(n) for c in (f"lo{i}", f"hi{i}")]
+    rows = base.join(_renamed(ranges.select(*keys, *cuts), keys), _same_keys(keys))
+    v = F.col("__v")
+    # a cell is a value of a cut or the values between two cuts
+    cell = sum([F.when(v >= F.col(c), 1).otherwise(0) + F.when(v > F.col(c), 1).otherwise(0) for c in cuts], F.lit(0))
+    inside = F.when(_any([(v >= F.col(f"lo{i}")) & (v <= F.col(f"hi{i}")) for i in range(n)]), v)
+    cells = rows.select(*keys, cell.alias("cell"), inside.alias("x"), v, "__w").groupBy(*keys, "cell", "x").agg(
+        F.sum("__w").alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    return running(cells, keys, [F.col("cell").asc(), F.col("x").asc_nulls_first()], {"upto": F.col("c")})
+
+
+def _looked_up(counts: DataFrame, ranges: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``ranges`` with the value of each rank (``x_a0`` ...) and, where a rank is in a cell between the ranges, that cell's bounds."""
+    ranks = [f"{w}{i}" for i in range(n) for w in ("a", "b")]
+    rows = counts.join(_renamed(ranges.select(*keys, *ranks), keys), _same_keys(keys))
+    aggs = []
+    for r in ranks:
+        here = (F.col(r) >= F.col("upto") - F.col("c")) & (F.col(r) < F.col("upto"))
+        missed = here & F.col("x").isNull()
+        aggs += [F.max(F.when(here, F.col("x"))).alias(f"x_{r}"), F.min(F.when(missed, F.col("low"))).alias(f"low_{r}"),
+                 F.max(F.when(missed, F.col("high"))).alias(f"high_{r}")]
+    # at most one row for each rank
+    hit = _any([(F.col(r) >= F.col("upto") - F.col("c")) & (F.col(r) < F.col("upto")) for r in ranks])
+    found = rows.where(hit).groupBy(*keys).agg(*aggs)
+    return ranges.join(_renamed(found, keys), _same_keys(keys)).drop(*[f"__r_{k}" for k in keys])
 
 
 def exact_quantiles(df: DataFrame, keys: list[str] | tuple[str, ...], value: str, probs: list[float],
-                    names: list[str] | None = None, weight: str | None = None, buckets: int = 4096,
-                    finish_at: int = 200_000, max_rounds: int = 12) -> DataFrame:
-    """One row per key with one column per probability (``names``), exact.
-
-    ``weight`` (optional, non-negative integer column) repeats a value that
-    many times, so pre-aggregated (value, count) rows can be used directly.
-    NULL values are ignored (as pandas and SQL do); a key with no values gets
-    NULL quantiles only if it appears with weight 0 -- keys with no rows at
-    all are absent.
-    """
-    keys = list(keys)
+                    names: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """One row per key with one column per probability (``names``), exact; without keys one row, if there is a value."""
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    const_key = not keys
-    if const_key:
+    keys, no_keys, n = list(keys) or ["__all"], not keys, len(probs)
+    if no_keys:
         df = df.withColumn("__all", F.lit(0))
-        keys = ["__all"]
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    base = (df.select(*keys, F.col(value).cast("double").alias("_v"), w.alias("_w"))
-            .where(F.col("_v").isNotNull() & (F.col("_w") > 0))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        wide = _select(base, keys, probs, names, buckets, finish_at, max_rounds)
-    finally:
-        base.unpersist()
-    if const_key:
-        wide = wide.drop("__all")
-    return wide
-
-
-def _select(base: DataFrame, keys: list[str], probs: list[float], names: list[str], buckets: int,
-            finish_at: int, max_rounds: int) -> DataFrame:
-    """Targets, refinement rounds and the exact final step; returns the
-    checkpointed (keys x probabilities) result, so the persisted input can be
-    released by the caller."""
-
-    stats = base.groupBy(*keys).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    pa = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    t = stats.select(*keys, "_n", "_lo", "_hi", F.explode(pa).alias("_pp"))
-    h = (F.col("_n") - 1).cast("double") * F.col("_pp.p")
-    t = t.select(*keys, F.col("_pp.pi").alias("pi"), (h - F.floor(h)).alias("frac"), "_lo", "_hi", "_n",
-                 F.explode(F.array(F.struct(F.lit(0).alias("which"), F.floor(h).cast("long").alias("rank")),
-                                   F.struct(F.lit(1).alias("which"), F.ceil(h).cast("long").alias("rank"))))
-                 .alias("_r"))
-    targets = t.select(
-        *keys, "pi", "frac", F.col("_r.which").alias("which"), F.col("_r.rank").alias("rank"),
-        F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.lit(0).cast("long").alias("before"),
-        F.col("_n").alias("cnt"),
-        F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("val"),
-    )
-    # One probe job: if no key holds more than ``finish_at`` weight, every
-    # group is small enough for one bounded window (fast path).
-    largest = stats.agg(F.max("_n")).first()[0]
-    if (largest or 0) <= finish_at:
-        return reliable_checkpoint(_small_groups(base, keys, probs, names))
-    rounds = max_rounds
-    targets = reliable_checkpoint(targets)
-
-    for _ in range(rounds):
-        open_t = targets.where(F.col("val").isNull() & (F.col("cnt") > finish_at))
-        if open_t.limit(1).count() == 0:
+    base = df.select(*keys, F.col(value).cast("double").alias("__v"), w.alias("__w")).where(F.col("__v").isNotNull() & (F.col("__w") > 0))
+    ranges = _sketched(base, keys, probs)
+    ranks = [f"{w}{i}" for i in range(n) for w in ("a", "b")]
+    out = None
+    for last in (False, True):
+        found = materialize(_looked_up(_counted(base, ranges, keys, n), ranges, keys, n), "quantile-values")
+        # ranks beyond the values that are no NaN need no look-up
+        missed = _any([(F.col(r) < F.col("m")) & F.col(f"x_{r}").isNull() for r in ranks])
+        done = found if last else found.where(~missed)
+        out = done if out is None else out.unionByName(done)
+        again = found.where(missed)
+        if last or again.isEmpty():
             break
-        closed = targets.where(F.col("val").isNotNull() | (F.col("cnt") <= finish_at))
-        rows = _with_ranges(base, open_t.select(*keys, "lo", "hi").distinct(), keys)
-        b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-                    F.lit(buckets - 1)).cast("int")
-        hist = rows.groupBy(*keys, "lo", "hi", b.alias("bucket")).agg(
-            F.sum("_w").alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))
-        win = Window.partitionBy(*keys, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("cb", F.coalesce(F.sum("c").over(win), F.lit(0)))
-        moved = _join_keys(open_t, hist.withColumnRenamed("lo", "_hlo").withColumnRenamed("hi", "_hhi"), keys)
-        moved = moved.where((F.col("lo") == F.col("_hlo")) & (F.col("hi") == F.col("_hhi"))
-                            & (F.col("rank") - F.col("before") >= F.col("cb"))
-                            & (F.col("rank") - F.col("before") < F.col("cb") + F.col("c")))
-        moved = moved.select(*keys, "pi", "frac", "which", "rank",
-                             F.col("bmin").alias("lo"), F.col("bmax").alias("hi"),
-                             (F.col("before") + F.col("cb")).alias("before"), F.col("c").alias("cnt"),
-                             F.when(F.col("bmin") == F.col("bmax"), F.col("bmin")).alias("val"))
-        targets = reliable_checkpoint(closed.unionByName(moved))
-
-    done = targets.where(F.col("val").isNotNull())
-    pending = targets.where(F.col("val").isNull())
-    rows = _with_ranges(base, pending.select(*keys, "lo", "hi").distinct(), keys)
-    vals = rows.groupBy(*keys, "lo", "hi", "_v").agg(F.sum("_w").alias("c"))
-    win = Window.partitionBy(*keys, "lo", "hi").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("cb", F.coalesce(F.sum("c").over(win), F.lit(0)))
-    found = _join_keys(pending, vals.withColumnRenamed("lo", "_vlo").withColumnRenamed("hi", "_vhi"), keys)
-    found = found.where((F.col("lo") == F.col("_vlo")) & (F.col("hi") == F.col("_vhi"))
-                        & (F.col("rank") - F.col("before") >= F.col("cb"))
-                        & (F.col("rank") - F.col("before") < F.col("cb") + F.col("c")))
-    found = found.select(*keys, "pi", "frac", "which", F.col("_v").alias("val"))
-    allv = done.select(*keys, "pi", "frac", "which", "val").unionByName(found)
-
-    per_p = allv.groupBy(*keys, "pi").agg(
-        F.max(F.when(F.col("which") == 0, F.col("val"))).alias("x0"),
-        F.max(F.when(F.col("which") == 1, F.col("val"))).alias("x1"),
-        F.max("frac").alias("frac"))
-    per_p = per_p.withColumn("q", F.col("x0") + F.col("frac") * (F.col("x1") - F.col("x0")))
-    wide = per_p.groupBy(*keys).agg(*[F.max(F.when(F.col("pi") == i, F.col("q"))).alias(nm)
-                                      for i, nm in enumerate(names)])
-    return reliable_checkpoint(wide)
-
-
-def exact_median(df: DataFrame, keys, value: str, name: str = "median", **kw) -> DataFrame:
-    return exact_quantiles(df, keys, value, [0.5], names=[name], **kw)
+        # ranges grow to the cells that hold the ranks
+        again = again.select(*keys, "n", "m", *[c for i in range(n) for c in (
+            f"a{i}", f"b{i}", f"f{i}", F.least(f"lo{i}", f"low_a{i}", f"low_b{i}").alias(f"lo{i}"),
+            F.greatest(f"hi{i}", f"high_a{i}", f"high_b{i}").alias(f"hi{i}"))])
+        ranges = materialize(again, "quantile-ranges")
+        wanted = _renamed(ranges.select(*keys), keys)
+        base = base.join(wanted, _same_keys(keys), "left_semi")
+
+    def at(r: str) -> Column:
+        return F.when(F.col(r) >= F.col("m"), F.lit(float("nan"))).otherwise(F.col(f"x_{r}"))
+
+    cols = []
+    for i, name in enumerate(names):
+        a, b = at(f"a{i}"), at(f"b{i}")
+        cols.append(F.when((a == b) | (F.col(f"f{i}") == 0), a).otherwise(a + F.col(f"f{i}") * (b - a)).alias(name))
+    return out.select(*([] if no_keys else keys), *cols)
+
+
+def exact_median(df: DataFrame, keys, value: str, name: str = "median") -> DataFrame:
+    return exact_quantiles(df, keys, value, [0.5], names=[name])

@@ -10,7 +10,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,20 +58,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or found
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint into the session's checkpoint folder (set
-    only if the session has none).  Never ``localCheckpoint``: its blocks die
-    with the executor that holds them."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # persisted first: the checkpoint write then reads the cached blocks
-    # instead of recomputing the plan a second time
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
-
-
 def write_stage(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet under the checkpoint folder; return the path."""
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
@@ -86,6 +71,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage (a lost executor recomputes from the written files, not from
     the raw scan) and gives downstream stages a stable, statistics-bearing
-    input.  Reliable ``checkpoint()`` would also work; a Parquet table keeps
-    the columnar layout and lets later reads prune columns."""
+    input.  Never ``localCheckpoint``: its blocks die with the executor that
+    holds them.  Reliable ``checkpoint()`` would also work; a Parquet table
+    keeps the columnar layout and lets later reads prune columns."""
     return df.sparkSession.read.parquet(write_stage(df, name))

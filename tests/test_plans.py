@@ -52,8 +52,7 @@ def test_top_n_per_cluster_limits_before_shuffle(spark):
 
 
 def test_skewed_quantile_refinement_is_exact(spark):
-    """One key holds most rows and exceeds finish_at: refinement rounds with the
-    size-checked broadcast of target ranges, still exact."""
+    """One key holds most rows: still exact."""
     import numpy as np
     from roadpulse.operators.quantile import exact_quantiles
     rng = np.random.default_rng(11)
@@ -61,8 +60,7 @@ def test_skewed_quantile_refinement_is_exact(spark):
     keys = np.where(np.arange(3000) < 2000, "hot", np.where(np.arange(3000) % 2 == 0, "a", "b"))
     df = spark.createDataFrame([(str(k), float(v)) for k, v in zip(keys, vals)], "k string, v double")
     got = {r["k"]: (r["p10"], r["p50"], r["p99"]) for r in
-           exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.99], names=["p10", "p50", "p99"],
-                           finish_at=100, buckets=16).collect()}
+           exact_quantiles(df, ["k"], "v", [0.1, 0.5, 0.99], names=["p10", "p50", "p99"]).collect()}
     for k in ("hot", "a", "b"):
         exp = np.quantile(vals[keys == k], [0.1, 0.5, 0.99])
         assert np.allclose(got[k], exp, atol=1e-9)

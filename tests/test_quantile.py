@@ -1,8 +1,9 @@
-"""Exact quantiles against numpy, including forced refinement rounds."""
+"""Exact quantiles against numpy, including forced second passes."""
 import numpy as np
 import pandas as pd
 import pytest
 
+from roadpulse.operators import quantile
 from roadpulse.operators.quantile import exact_quantiles
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
@@ -20,21 +21,40 @@ def data(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("finish_at,buckets", [(200_000, 4096), (10, 8), (1, 2)])
-def test_matches_numpy(data, finish_at, buckets):
+@pytest.mark.parametrize("sketch,margin", [(1000, 0.01), (8, 0.002), (8, 0.01)])
+def test_matches_numpy(data, monkeypatch, sketch, margin):
+    """Also where a coarse sketch misses ranks and a second pass is made."""
+    monkeypatch.setattr(quantile, "SKETCH_K", sketch)
+    monkeypatch.setattr(quantile, "MARGIN", margin)
     pdf, df = data
-    got = exact_quantiles(df, ["k"], "v", PROBS, names=NAMES, finish_at=finish_at, buckets=buckets)
-    got = got.toPandas().set_index("k").sort_index()
+    got = exact_quantiles(df, ["k"], "v", PROBS, names=NAMES).toPandas().set_index("k").sort_index()
     exp = pdf.dropna().groupby("k")["v"].quantile(PROBS).unstack()
     assert np.allclose(got[NAMES].values, exp.values, rtol=0, atol=1e-9)
 
 
 def test_weighted_and_global(spark):
-    w = pd.DataFrame({"v": [0.0, 3.0, 7.0, 1.5], "w": [5, 1, 2, 1]})
-    got = exact_quantiles(spark.createDataFrame(w), [], "v", [0.25, 0.5, 0.9], weight="w",
-                          finish_at=1, buckets=2).first()
-    exp = np.quantile(np.repeat(w.v, w.w), [0.25, 0.5, 0.9])
-    assert np.allclose(list(got), exp)
+    w = pd.DataFrame({"v": [0.0, 3.0, 7.0, 1.5, 99.0], "w": [500, 1, 2, 1, 0]})
+    got = exact_quantiles(spark.createDataFrame(w), [], "v", [0.25, 0.5, 0.9, 0.998], names=["a", "b", "c", "d"], weight="w").first()
+    assert np.allclose(list(got), np.quantile(np.repeat(w.v, w.w), [0.25, 0.5, 0.9, 0.998]))
+
+
+def test_infinities_and_nan(spark):
+    """Infinite values are values; NaN is the largest; equal order statistics are not subtracted."""
+    inf, nan = float("inf"), float("nan")
+    rows = [("i", v) for v in (-inf, -inf, 1.0, 2.0, inf, inf)] + [("n", v) for v in (1.0, 3.0, nan, nan)] + [("a", nan)] + [(None, v) for v in (5.0, None, 6.0)]
+    got = {r.k: list(r)[1:] for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.0, 0.1, 0.5, 1.0],
+                                                     names=["a", "b", "c", "d"]).collect()}
+    assert got["i"] == [-inf, -inf, 1.5, inf]
+    assert got["n"][0] == 1.0 and got["n"][1] == pytest.approx(1.6) and np.isnan(got["n"][2:]).all()
+    assert np.isnan(got["a"]).all() and got[None] == [5.0, 5.1, 5.5, 6.0]
+
+
+def test_hot_key(spark):
+    """One key with nearly all rows, most of them one value."""
+    df = spark.range(60_000).selectExpr("IF(id % 100 = 0, id % 7, 0) AS k", "CAST(IF(id % 3 = 0, id, 17) AS DOUBLE) AS v")
+    pdf = df.toPandas()
+    got = exact_quantiles(df, ["k"], "v", PROBS, names=NAMES).toPandas().set_index("k").sort_index()
+    assert np.allclose(got[NAMES].values, pdf.groupby("k")["v"].quantile(PROBS).unstack().values)
 
 
 def test_single_row_and_empty(spark):
