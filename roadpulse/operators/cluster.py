@@ -8,13 +8,13 @@ arbitrary, so readable labels come from a rule on the unscaled cluster means.
 
 from __future__ import annotations
 
+import json
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.mllib.clustering import KMeans as FixedStart
-from pyspark.mllib.clustering import KMeansModel as FixedStartModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.columns import rounded
@@ -140,21 +140,93 @@ def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts:
     return CentroidModel([list(map(float, c)) for c in m.clusterCenters()], cost, cols), cost
 
 
-def kmeans_from(scaled: DataFrame, initial: list[list[float]], cols: list[str] = FEATURES, max_iter: int = 300,
-                tol: float = 1e-4):
-    """MLlib's iteration from given centres (in scaled space): no seeding, so
-    the result is determined.  The DataFrame API takes no initial centres,
-    the older one does.  Returns (model, cost)."""
-    points = scaled.select(*[F.col(scaled_name(c)).cast("double") for c in cols]).rdd.map(list).cache()
-    try:
-        if not initial or points.isEmpty():
-            return CentroidModel([], 0.0, cols), 0.0
-        m = FixedStart.train(points, len(initial), maxIterations=max_iter, epsilon=_epsilon(tol, len(initial)),
-                             initialModel=FixedStartModel([list(map(float, c)) for c in initial]))
-        cost = float(m.computeCost(points))
-    finally:
-        points.unpersist()
-    return CentroidModel([list(map(float, c)) for c in m.clusterCenters], cost, cols), cost
+# ---- determined fits: hash-seeded D-squared sampling, then Lloyd's iteration -----
+#
+# The same input gives the same centres on any cluster.  All restarts (and all k
+# of a sweep) are one more dimension of each pass, so a pass is one job whatever
+# their number; what comes back to the driver are centres, bounded by parameters.
+
+def _models(models: dict[int, list[list[float]]], name: str) -> Column:
+    """One row per model (``name``: id ``m`` and centres ``c``): a literal, as the centres are bounded by parameters."""
+    text = json.dumps([{"m": m, "c": c} for m, c in sorted(models.items())])
+    return F.explode(F.from_json(F.lit(text), "array<struct<m: int, c: array<array<double>>>>")).alias(name)
+
+
+def _sq_distance(cols: list[str], centre) -> Column:
+    return reduce(lambda a, b: a + b, [(F.col(scaled_name(c)) - centre[j]) * (F.col(scaled_name(c)) - centre[j]) for j, c in enumerate(cols)])
+
+
+def seeded_centres(scaled: DataFrame, k: int, restarts: int, seed: int = 42, cols: list[str] = FEATURES,
+                   key: str = "osm_id") -> dict[int, list[list[float]]]:
+    """Up to ``k`` starting centres for each restart by D-squared sampling.
+
+    A weighted draw is a race: of all rows the one with the least
+    -ln(u) / d2 wins, where d2 is the squared distance to the nearest centre so
+    far (1 for the first) and u in (0, 1) is a hash of key, seed, restart and
+    step.  No state of a random generator depends on the partitioning, and the
+    winner is a ``min_by``.  The first j centres of a restart are its centres
+    for k = j.  Fewer than k centres are found if fewer rows differ."""
+    starts: dict[int, list[list[float]]] = {r: [] for r in range(restarts)}
+    for step in range(k):
+        rows = scaled.select(key, *[scaled_name(c) for c in cols], _models(starts, "s")).select("*", "s.m", "s.c")
+        d2 = F.coalesce(F.array_min(F.transform("c", lambda v: _sq_distance(cols, v))), F.lit(1.0))
+        u = F.md5(F.concat_ws(":", F.col(key), F.lit(str(seed)), F.col("m").cast("string"), F.lit(str(step))))
+        u = (F.conv(F.substring(u, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+        raced = rows.withColumn("d2", d2).where(F.col("d2") > 0).withColumn("race", -F.ln(u) / F.col("d2"))
+        won = raced.groupBy("m").agg(F.min_by(F.array(*[scaled_name(c) for c in cols]), F.struct("race", key)).alias("x")).collect()
+        for r in won:
+            starts[r["m"]].append(list(r["x"]))
+        if len(won) < restarts:
+            break
+    return starts
+
+
+def _nearest(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[str]) -> DataFrame:
+    rows = scaled.select(*[scaled_name(c) for c in cols], _models(models, "s")).select("*", "s.m", "s.c")
+    near = F.array_min(F.transform("c", lambda v, i: F.struct(_sq_distance(cols, v).alias("d2"), i.alias("i"))))
+    return rows.withColumn("near", near)
+
+
+def lloyd(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[str] = FEATURES, max_iter: int = 300,
+          tol: float = 1e-4) -> dict[int, tuple[list[list[float]], float]]:
+    """(centres, inertia) of each model after Lloyd's iteration from its starting centres.
+
+    A model stops when its centres moved by at most ``tol`` in summed squares
+    (the features have variance 1); a centre without rows stays."""
+    models = {m: [list(map(float, v)) for v in c] for m, c in models.items() if c}
+    active = dict(models)
+    for _ in range(max_iter):
+        if not active:
+            break
+        means = _nearest(scaled, active, cols).groupBy("m", "near.i").agg(*[F.avg(scaled_name(c)).alias(f"x{j}") for j, c in enumerate(cols)]).collect()
+        moved = {m: [list(v) for v in c] for m, c in active.items()}
+        for r in means:
+            moved[r["m"]][r["i"]] = [r[f"x{j}"] for j in range(len(cols))]
+        for m, c in moved.items():
+            shift = sum((a - b) ** 2 for old, new in zip(active[m], c) for a, b in zip(old, new))
+            models[m] = c
+            if shift <= tol:
+                del active[m]
+            else:
+                active[m] = c
+    if not models:
+        return {}
+    costs = {r["m"]: r["cost"] for r in _nearest(scaled, models, cols).groupBy("m").agg(F.sum("near.d2").alias("cost")).collect()}
+    return {m: (c, costs.get(m, 0.0)) for m, c in models.items()}
+
+
+def best_fits(scaled: DataFrame, ks: list[int], restarts: int, seed: int, cols: list[str] = FEATURES, max_iter: int = 300,
+              tol: float = 1e-4) -> dict[int, CentroidModel]:
+    """For each k the fit of least inertia among the restarts; equal to 9 decimals, the first of them.  Its centres are
+    in order of their coordinates, so that ids do not depend on the restart."""
+    starts = seeded_centres(scaled, max(ks), restarts, seed, cols)
+    fits = lloyd(scaled, {k * restarts + r: c[:k] for k in ks for r, c in starts.items()}, cols, max_iter, tol)
+    out = {}
+    for k in ks:
+        ranked = sorted((round(fits[m][1], 9), r, m) for r in range(restarts) if (m := k * restarts + r) in fits)
+        centres, cost = fits[ranked[0][2]] if ranked else ([], 0.0)
+        out[k] = CentroidModel(sorted(centres), cost, cols)
+    return out
 
 
 def with_centroid_distance(df: DataFrame, centroids: list[list[float]], cols: list[str] = FEATURES,
@@ -268,17 +340,21 @@ CLUSTER_COLUMNS = (
 
 def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
                      initial: list[list[float]] | None = None):
-    """Complete cohort -> scale -> K-Means (best of seeds, or from ``initial``
-    centres) -> distance to own centroid -> rule labels (C6).  Returns
-    (clusters DataFrame, model, cost)."""
+    """Complete cohort -> scale -> K-Means (best of hash-seeded restarts, or from
+    ``initial`` centres) -> distance to own centroid -> rule labels (C6).
+    Returns (clusters DataFrame, model, cost).  ``params.seeding='mllib'`` takes
+    MLlib's randomly seeded fits instead."""
     cols = list(params.features)
-    cohort = features.na.drop("any")
-    scaled = scale(cohort, cols)
+    scaled = materialize(scale(features.na.drop("any"), cols), "scaled-cohort")
     if initial is not None:
-        model, cost = kmeans_from(scaled, initial, cols, max_iter=params.max_iter, tol=params.tol)
+        fits = lloyd(scaled, {0: initial}, cols, params.max_iter, params.tol)
+        model = CentroidModel(*fits[0], cols) if fits else CentroidModel([], 0.0, cols)
+    elif params.seeding == "mllib":
+        model, _ = kmeans(scaled, cols, k=params.k, restarts=params.restarts, seed=params.seed,
+                          max_iter=params.max_iter, tol=params.tol)
     else:
-        model, cost = kmeans(scaled, cols, k=params.k, restarts=params.restarts, seed=params.seed,
-                             max_iter=params.max_iter, tol=params.tol)
+        model = best_fits(scaled, [params.k], params.restarts, params.seed, cols, params.max_iter, params.tol)[params.k]
+    cost = model.cost
     assigned = model.transform(scaled)
     assigned = with_centroid_distance(assigned, [list(c) for c in model.clusterCenters()], cols)
     labels = label_clusters(cluster_means(assigned, cols))
@@ -291,21 +367,25 @@ def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(
 def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits: int | None = 4,
             initial: dict[int, list[list[float]]] | None = None, parallelism: int | None = None) -> DataFrame:
     """Inertia and squared-Euclidean silhouette for each k (C12, H3): best of
-    ``sweep_restarts``, or, for the k in ``initial``, from those centres."""
+    ``sweep_restarts``, or, for the k in ``initial``, from those centres.  All
+    fits share their passes; the silhouettes are submitted together."""
     cols = list(params.features)
-    scaled = materialize(scale(features.na.drop("any"), cols).select(*[scaled_name(c) for c in cols]), "k-sweep")
+    scaled = materialize(scale(features.na.drop("any"), cols).select("osm_id", *[scaled_name(c) for c in cols]), "k-sweep")
     spark = features.sparkSession
+    if initial is not None:
+        models = {k: CentroidModel(*fit, cols) for k, fit in lloyd(scaled, initial, cols, params.max_iter, params.tol).items()}
+    elif params.seeding == "mllib":
+        models = {k: kmeans(scaled, cols, k=k, restarts=params.sweep_restarts, seed=params.seed, max_iter=params.max_iter,
+                            tol=params.tol, parallelism=parallelism)[0] for k in params.sweep_k}
+    else:
+        models = best_fits(scaled, list(params.sweep_k), params.sweep_restarts, params.seed, cols, params.max_iter, params.tol)
 
     def score(k):
-        if initial is not None:
-            m, cost = kmeans_from(scaled, initial[k], cols, max_iter=params.max_iter, tol=params.tol)
-        else:
-            m, cost = kmeans(scaled, cols, k=k, restarts=params.sweep_restarts, seed=params.seed,
-                             max_iter=params.max_iter, tol=params.tol, parallelism=parallelism)
-        sil = silhouette_sq_euclidean(m.transform(scaled), cols).first()["silhouette"]
-        return (int(k), float(cost), float(sil) if sil is not None else None)
-
-    rows = [score(k) for k in sorted(initial if initial is not None else params.sweep_k)]
+        sil = silhouette_sq_euclidean(models[k].transform(scaled), cols).first()["silhouette"] if models[k].centers else None
+        return int(k), float(models[k].cost), float(sil) if sil is not None else None
+
+    with ThreadPoolExecutor(max_workers=max(1, min(len(models), _parallelism(spark, parallelism)))) as ex:
+        rows = list(ex.map(score, sorted(models)))
     df = spark.createDataFrame(rows, "k int, inertia double, silhouette double")
     return df.select("k", rounded("inertia", digits).alias("inertia"),
                      rounded("silhouette", digits).alias("silhouette_score"))

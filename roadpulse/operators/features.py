@@ -14,7 +14,7 @@ onto the coverage table --
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.columns import indicator, rounded
@@ -156,18 +156,26 @@ def cohort_comparison(features: DataFrame, digits: int | None = 1) -> DataFrame:
 def threshold_grid(coverage: DataFrame, obs_thresholds=THRESHOLD_GRID_OBSERVATIONS,
                    day_thresholds=THRESHOLD_GRID_ACTIVE_DAYS, digits: int | None = 1) -> DataFrame:
     """Surviving segments for every (min observations, min active days) pair
-    (G34): one aggregation with a conditional count per grid cell, unpivoted;
-    no join of the grid against the data."""
-    cells = [(a, b) for a in obs_thresholds for b in day_thresholds]
-    oc, ad = F.col("observation_count"), F.col("active_days")
-    wide = coverage.agg(F.count(F.lit(1)).alias("total"),
-                        *[F.count_if((oc >= a) & (ad >= b)).alias(f"c{i}") for i, (a, b) in enumerate(cells)])
-    long = wide.select("total", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("min_observations"), F.lit(b).alias("min_active_days"),
-                 F.col(f"c{i}").alias("surviving_segments")) for i, (a, b) in enumerate(cells)])).alias("s"))
-    return long.select("s.min_observations", "s.min_active_days", "s.surviving_segments",
-                       rounded(F.try_divide(F.col("s.surviving_segments") * 100.0, F.col("total")), digits)
-                       .alias("pct_of_total"))
+    (G34), for grids of any size: one histogram of segments over the cells of
+    the grid, then suffix sums over days and over observations.  A segment is
+    counted once; the grid is never joined with the segments."""
+    def step(column: str, thresholds) -> Column:
+        """How many of the thresholds a segment reaches."""
+        return F.size(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t <= F.col(column)))
+
+    obs_thresholds, day_thresholds = sorted(set(obs_thresholds)), sorted(set(day_thresholds))
+    cells = coverage.groupBy(step("observation_count", obs_thresholds).alias("i"), step("active_days", day_thresholds).alias("j")).agg(
+        F.count(F.lit(1)).alias("n"))
+    grid = coverage.sparkSession.range(len(obs_thresholds) + 1).select(F.col("id").cast("int").alias("i")).select(
+        "i", F.explode(F.sequence(F.lit(0), F.lit(len(day_thresholds)))).alias("j"), F.lit(0).cast("long").alias("n"))
+    dense = grid.unionByName(cells).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    over_days = dense.withColumn("n", F.sum("n").over(Window.partitionBy("i").orderBy(F.col("j").desc())))
+    over_both = over_days.withColumn("n", F.sum("n").over(Window.partitionBy("j").orderBy(F.col("i").desc())))
+    at = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(k))
+    total = over_both.where((F.col("i") == 0) & (F.col("j") == 0)).select("n").scalar()
+    return over_both.where((F.col("i") > 0) & (F.col("j") > 0)).select(
+        at(obs_thresholds, "i").alias("min_observations"), at(day_thresholds, "j").alias("min_active_days"), F.col("n").alias("surviving_segments"),
+        rounded(F.try_divide(F.col("n") * 100.0, total), digits).alias("pct_of_total"))
 
 
 def coverage_histogram(coverage: DataFrame, columns=("observation_count", "active_days"), bins: int = 100) -> DataFrame:

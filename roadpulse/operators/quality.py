@@ -6,6 +6,8 @@ merge bookkeeping of the analysed workload become partial/final aggregation).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ def validity_report(raw: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(F.col("_ts").isNull()).alias("invalid_timestamp_rows"),
         F.count_if(invalid_coordinate(F.col("_lon"), F.col("_lat"))).alias("invalid_coordinate_rows"),
+        F.count_if((F.col("_lon") == 0) | (F.col("_lat") == 0)).alias("zero_coordinate_rows"),
+        F.count_if((F.abs("_lon") > MAX_ABS_LONGITUDE) | (F.abs("_lat") > MAX_ABS_LATITUDE)).alias("out_of_range_coordinate_rows"),
         F.min("_ts").alias("min_timestamp"),
         F.max("_ts").alias("max_timestamp"),
     )
@@ -55,23 +59,38 @@ def velocity_moments(raw: DataFrame) -> DataFrame:
                  F.max("v").alias("velocity_max"))
 
 
-def distinct_counts(raw: DataFrame, approx_rsd: float | None = None) -> DataFrame:
-    """Distinct non-missing values per raw column plus distinct valid dates.
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """Distinct non-missing values of every column (G23): one de-duplication
+    per column over a scan of that column alone, so no row is multiplied."""
+    parts = [df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct().agg(
+        F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("distinct_count")) for c in df.columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def raw_distinct_counts(raw: DataFrame) -> DataFrame:
+    """Distinct values of the raw columns, valid timestamps and valid dates."""
+    p = parsed(raw)
+    return distinct_counts(p.select(*[F.col(f"`{c}`") for c in raw.columns], F.col("_ts").alias("valid timestamp"),
+                                    F.to_date("_ts").alias("valid date")))
+
+
+#: log2 of the buckets of a distinct-count sketch; its relative standard error is about 1.04 / sqrt(2 ** DISTINCT_LOG).
+DISTINCT_LOG = 12
 
-    Exact by default (Spark plans several exact distinct counts as one Expand
-    with map-side de-duplication).  ``approx_rsd`` switches to HyperLogLog
-    (``approx_count_distinct``, no Expand, fixed-size state) for very wide
-    scans where an estimate is enough."""
-    p = parsed(raw).withColumn("valid date", F.to_date("_ts"))
-    cols = [c for c in raw.columns] + ["valid date"]
-    if approx_rsd:
-        aggs = [F.approx_count_distinct(F.col(f"`{c}`"), approx_rsd).alias(f"d{i}") for i, c in enumerate(cols)]
-    else:
-        aggs = [F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]
-    wide = p.agg(*aggs)
-    return wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_count"))
-        for i, c in enumerate(cols)])).alias("s")).select("s.*")
+
+def distinct_sketches(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, column_name, sketch): a mergeable HyperLogLog state per group and
+    column, to be written; states of new groups are added without the rows of
+    the old ones.  Map-side aggregation leaves one state per group and task."""
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns]))
+    long = df.select(*by, values.alias("s")).select(*by, "s.column_name", "s.v")
+    return long.groupBy(*by, "column_name").agg(F.hll_sketch_agg("v", F.lit(DISTINCT_LOG)).alias("sketch"))
+
+
+def distinct_estimates(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, column_name, distinct_estimate): states merged over all other columns of ``sketches``."""
+    merged = sketches.groupBy(*by, "column_name").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, "column_name", F.hll_sketch_estimate("sketch").alias("distinct_estimate"))
 
 
 def date_counts(clean: DataFrame) -> DataFrame:
@@ -107,9 +126,19 @@ def numeric_summary(df: DataFrame, cols: list[str], by: list[str] | None = None,
 
 def duplicate_report(raw: DataFrame) -> DataFrame:
     """Exact duplicate rows over all columns: groups with copies, and rows
-    beyond the first copy (G27).  Map-side combining collapses a hot group of
-    copies before the shuffle."""
-    g = raw.groupBy(*[F.col(f"`{c}`") for c in raw.columns]).agg(F.count(F.lit(1)).alias("c"))
+    beyond the first copy (G27).
+
+    128-bit fingerprints of the rows are counted first; only rows whose
+    fingerprint occurs again are then grouped by their full columns, so that
+    unique rows are shuffled as two numbers, and rows of equal fingerprints are
+    still told apart.  Map-side combining collapses a hot group of copies."""
+    cols = [F.col(f"`{c}`") for c in raw.columns]
+    marks = [x for c in cols for x in (c.isNull(), c)]
+    printed = raw.select(*raw.columns, F.xxhash64(F.lit(1), *marks).alias("_f1"), F.xxhash64(F.lit(2), *marks).alias("_f2"))
+    again = printed.groupBy("_f1", "_f2").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1).select("_f1", "_f2")
+    again = materialize(again, "repeated-fingerprints")
+    rows = printed.join(again, ["_f1", "_f2"], "left_semi")
+    g = rows.groupBy("_f1", "_f2", *cols).agg(F.count(F.lit(1)).alias("c"))
     return g.where(F.col("c") > 1).agg(
         F.count(F.lit(1)).alias("duplicate_groups"),
         F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("duplicate_rows_beyond_first"))
@@ -232,3 +261,11 @@ def near_zero_by_segment(obs: DataFrame, near: float = NEAR_ZERO_VELOCITY, n: in
     return top.select("osm_id", "near_zero_count",
                       rounded(F.try_divide(F.col("near_zero_count") * 100.0, total), digits)
                       .alias("pct_of_all_near_zeros"))
+
+
+def near_zero_segments(obs: DataFrame, near: float = NEAR_ZERO_VELOCITY, digits: int | None = 2) -> DataFrame:
+    """Segments with at least one near-zero row, of all segments."""
+    by = obs.where(F.col("osm_id").isNotNull()).groupBy("osm_id").agg(F.coalesce(F.max(F.col("velocity") < near), F.lit(False)).alias("any"))
+    a = by.agg(F.count_if("any").alias("segments_with_near_zero"), F.count(F.lit(1)).alias("segments"))
+    return a.select("segments_with_near_zero", "segments",
+                    rounded(F.try_divide(F.col("segments_with_near_zero") * 100.0, F.col("segments")), digits).alias("pct_of_segments"))

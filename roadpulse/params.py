@@ -17,6 +17,9 @@ MAX_ABS_LONGITUDE = 180.0
 MAX_ABS_LATITUDE = 90.0
 COORDINATE_PATTERN = r"^\s*([^,]+),\s*([^,]+)\s*$"
 RAW_COLUMNS = ("Date", "Time", "Coordinate (Lon, Lat)", "Course", "Velocity", "OSM ID")
+#: Texts that the analysed reader takes for a missing value.
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                  "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 BEHAVIOURAL_FEATURES = (
     "median_velocity",
     "velocity_std",
@@ -67,4 +70,6 @@ class ClusterParams:
     tol: float = 1e-4
     sweep_k: tuple[int, ...] = tuple(range(2, 11))
     sweep_restarts: int = 10
+    #: "hash": D-squared sampling by hashes, the same on any cluster; "mllib": MLlib's k-means|| with random seeds
+    seeding: str = "hash"
     features: tuple[str, ...] = field(default=BEHAVIOURAL_FEATURES)

@@ -82,6 +82,16 @@ parsed AS (
     FROM raw)"""
 
 
+RAW_FILE_CTE = """file_rows AS (
+    SELECT event_id, CASE WHEN event_id % 61 = 0 THEN 'short' WHEN event_id % 67 = 0 THEN 'long' ELSE 'whole' END AS kind,
+           strftime(ts, '%Y-%m-%d') AS "Date", strftime(ts, '%H:%M:%S') AS "Time",
+           CAST(351 + user_id % 20 AS VARCHAR) || 'e-1, ' || CAST(331 + user_id % 20 AS VARCHAR) || 'e-1' AS "Coordinate (Lon, Lat)",
+           CASE WHEN event_id % 59 = 0 THEN NULL ELSE CAST((event_id * 37) % 360 AS VARCHAR) END AS "Course",
+           CASE WHEN event_id % 61 = 0 OR event_id % 53 = 0 THEN NULL ELSE CAST(value AS VARCHAR) END AS "Velocity",
+           CASE WHEN event_id % 61 = 0 THEN NULL ELSE 'way/' || CAST(user_id % 20 AS VARCHAR) END AS "OSM ID"
+    FROM events)"""
+
+
 def rnd(expr: str, digits: int = 6) -> str:
     """DuckDB side of ``functions.rounded``: float noise beyond 12 decimals off, then HALF_UP in decimal."""
     return f"CAST(ROUND(CAST(ROUND({expr}, 12) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
@@ -200,3 +210,43 @@ def lloyd_ctes(k: int, steps: int, source: str = "scaled", p: str = "") -> str:
                    f"ON a.cluster_id = o.cluster_id LEFT JOIN {source} s ON s.osm_id = a.osm_id GROUP BY o.cluster_id)")
     out.append(f"{p}assigned AS MATERIALIZED (SELECT s.*, n.cluster_id, n.d2 FROM {source} s JOIN ({near.format(f'{p}c{steps}')}) n ON s.osm_id = n.osm_id)")
     return ",\n".join(out)
+
+
+def fitted_ctes(ks: tuple[int, ...], restarts: int, seed: int, steps: int, tol: float = 1e-4, source: str = "scaled") -> str:
+    """D-squared seeding by hash races, then up to ``steps`` Lloyd steps of every (k, restart): ``best`` has the centres of
+    each k's best restart with their place in coordinate order, ``assigned`` each row's nearest of them (with ``d2``)."""
+    d2 = " + ".join(f"POWER(s.{c}_scaled - m.{c}_c, 2)" for c in FEATS)
+    picked = ", ".join(f"s.{c}_scaled AS {c}_c" for c in FEATS)
+    own = ", ".join(f"{c}_c" for c in FEATS)
+    moved = ", ".join(f"CASE WHEN o.done THEN o.{c}_c ELSE COALESCE(AVG(s.{c}_scaled), o.{c}_c) END AS {c}_c" for c in FEATS)
+    shift = " + ".join(f"POWER(n.{c}_c - o.{c}_c, 2)" for c in FEATS)
+
+    def race(step: int) -> str:
+        u = f"(CAST(('0x' || substr(md5(osm_id || ':{seed}:' || r || ':{step}'), 1, 13)) AS BIGINT) + 0.5) / {float(1 << 52)}"
+        return f"-ln({u}) / d2"
+
+    def pick(step: int, near: str) -> str:
+        return (f"SELECT r, {step} AS j, {picked} FROM (SELECT * FROM ({near}) WHERE d2 > 0 QUALIFY row_number() OVER "
+                f"(PARTITION BY r ORDER BY {race(step)}, osm_id) = 1) w JOIN {source} s ON s.osm_id = w.osm_id")
+
+    out = [f"runs AS (SELECT CAST(unnest(range({restarts})) AS BIGINT) AS r)",
+           f"seeds0 AS MATERIALIZED ({pick(0, f'SELECT osm_id, r, 1.0 AS d2 FROM {source}, runs')})"]
+    for i in range(1, max(ks)):
+        near = f"SELECT s.osm_id, m.r, MIN({d2}) AS d2 FROM {source} s, seeds{i - 1} m GROUP BY s.osm_id, m.r"
+        out.append(f"seeds{i} AS MATERIALIZED (SELECT * FROM seeds{i - 1} UNION ALL {pick(i, near)})")
+    every = ", ".join(f"({k})" for k in ks)
+    out.append(f"at0 AS MATERIALIZED (SELECT k, r, j, {own}, FALSE AS done FROM seeds{max(ks) - 1}, (VALUES {every}) AS t(k) WHERE j < k)")
+    near = f"SELECT s.osm_id, m.k, m.r, arg_min(m.j, {d2}) AS j, MIN({d2}) AS d2 FROM {source} s, {{}} m GROUP BY s.osm_id, m.k, m.r"
+    for i in range(steps):
+        out.append(f"near{i} AS MATERIALIZED ({near.format(f'at{i}')})")
+        out.append(f"to{i} AS MATERIALIZED (SELECT o.k, o.r, o.j, o.done, {moved} FROM at{i} o LEFT JOIN near{i} a ON (a.k, a.r, a.j) = (o.k, o.r, o.j) "
+                   f"LEFT JOIN {source} s ON s.osm_id = a.osm_id GROUP BY o.k, o.r, o.j, o.done, {', '.join(f'o.{c}_c' for c in FEATS)})")
+        out.append(f"at{i + 1} AS MATERIALIZED (SELECT n.k, n.r, n.j, {', '.join(f'n.{c}_c' for c in FEATS)}, "
+                   f"n.done OR SUM({shift}) OVER (PARTITION BY n.k, n.r) <= {tol} AS done FROM to{i} n JOIN at{i} o USING (k, r, j))")
+    out.append(f"costs AS (SELECT k, r, SUM(d2) AS cost FROM ({near.format(f'at{steps}')}) GROUP BY k, r)")
+    out.append("chosen AS (SELECT k, r, cost FROM costs QUALIFY row_number() OVER (PARTITION BY k ORDER BY ROUND(cost, 9), r) = 1)")
+    out.append(f"best AS MATERIALIZED (SELECT a.k, CAST(row_number() OVER (PARTITION BY a.k ORDER BY {own}) - 1 AS INTEGER) AS cluster_id, {own} "
+               f"FROM at{steps} a JOIN chosen c ON a.k = c.k AND a.r = c.r)")
+    out.append(f"assigned AS MATERIALIZED (SELECT s.*, n.k, n.cluster_id, n.d2 FROM {source} s JOIN (SELECT s.osm_id, m.k, arg_min(m.cluster_id, {d2}) AS cluster_id, "
+               f"MIN({d2}) AS d2 FROM {source} s, best m GROUP BY s.osm_id, m.k) n ON s.osm_id = n.osm_id)")
+    return ",\n".join(out)

@@ -11,6 +11,7 @@ both sides so float summation order does not matter.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -316,6 +317,8 @@ WITH {RAWC}
 SELECT COUNT(*) AS total_rows, COUNT(*) FILTER (WHERE _ts IS NULL) AS invalid_timestamp_rows,
        COUNT(*) FILTER (WHERE _lon IS NULL OR _lat IS NULL OR abs(_lon) > 180 OR abs(_lat) > 90)
            AS invalid_coordinate_rows,
+       COUNT(*) FILTER (WHERE _lon = 0 OR _lat = 0) AS zero_coordinate_rows,
+       COUNT(*) FILTER (WHERE abs(_lon) > 180 OR abs(_lat) > 90) AS out_of_range_coordinate_rows,
        MIN(_ts) AS min_timestamp, MAX(_ts) AS max_timestamp
 FROM parsed""")
 def q_validity_report(spark, sf):
@@ -345,9 +348,45 @@ def q_velocity_moments(spark, sf):
 @query("distinct_counts", f"""
 WITH {RAWC}
 {' UNION ALL '.join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT \"{c}\") AS distinct_count FROM parsed" for c in _RAW_COLS)}
+UNION ALL SELECT 'valid timestamp', COUNT(DISTINCT _ts) FROM parsed
 UNION ALL SELECT 'valid date', COUNT(DISTINCT CAST(_ts AS DATE)) FROM parsed""")
 def q_distinct_counts(spark, sf):
-    return Q.distinct_counts(_raw(spark, sf))
+    return Q.raw_distinct_counts(_raw(spark, sf))
+
+
+_SKETCHED = ("timestamp", "velocity", "osm_id")
+_ERROR = 4 * 1.04 / 2 ** (Q.DISTINCT_LOG / 2)  # four standard errors
+
+
+def _exact_by(source: str, by: str) -> str:
+    return " UNION ALL ".join(f"SELECT {by}, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM {source} GROUP BY ALL" for c in _SKETCHED)
+
+
+@query("distinct_sketches", f"""
+WITH {CLEANC}, days AS (SELECT * FROM clean WHERE date IS NOT NULL)
+SELECT level, date, column_name, distinct_count, TRUE AS estimate_within_error FROM (
+  SELECT 'date' AS level, CAST(date AS VARCHAR) AS date, column_name, distinct_count FROM ({_exact_by('days', 'date')})
+  UNION ALL SELECT 'all', NULL, column_name, distinct_count FROM ({_exact_by('days', "'all'")}))""")
+def q_distinct_sketches(spark, sf):
+    """Sketches written per date, merged over all dates, each beside the exact count."""
+    days = _clean(spark, sf).where(F.col("date").isNotNull())
+    sketches = materialize(Q.distinct_sketches(days, ["date"], list(_SKETCHED)), "distinct-sketches")
+    exact = [days.select("date", F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")).where(F.col("v").isNotNull()) for c in _SKETCHED]
+    values = reduce(DataFrame.unionByName, exact)
+    per_date = values.distinct().groupBy("date", "column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    whole = values.drop("date").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    by_date = per_date.join(Q.distinct_estimates(sketches, ["date"]), ["date", "column_name"]).withColumn("level", F.lit("date"))
+    total = whole.join(Q.distinct_estimates(sketches, []), "column_name").select(F.lit(None).cast("date").alias("date"), "*", F.lit("all").alias("level"))
+    near = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(2.0), _ERROR * F.col("distinct_count"))
+    return present(by_date.unionByName(total).select("level", "date", "column_name", "distinct_count", near.alias("estimate_within_error")))
+
+
+@query("near_zero_segments", f"""
+WITH {OBS_S}, s AS (SELECT osm_id, bool_or(velocity < 0.1) AS near FROM observations GROUP BY osm_id)
+SELECT COUNT(*) FILTER (WHERE near) AS segments_with_near_zero, COUNT(*) AS segments,
+       {rnd('COUNT(*) FILTER (WHERE near) * 100.0 / COUNT(*)')} AS pct_of_segments FROM s""")
+def q_near_zero_segments(spark, sf):
+    return Q.near_zero_segments(_sparse(spark, sf), digits=DIGITS)
 
 
 @query("date_counts", f"""
@@ -777,16 +816,33 @@ def q_segment_map(spark, sf):
     return IN.segment_map(_sparse(spark, sf), _fixed_clusters(spark, sf), n=20, digits=DIGITS)
 
 
-# -------------------------------- randomised fits (rows-only check) -------
-@query("kmeans_clusters")
+# -------------------------------- hash-seeded fits (H2, H3, C6, C12) ------
+#: Iterations that a fit of the registered queries may take, and that the oracle writes out.
+FIT_STEPS = 25
+_SWEEP = ClusterParams().sweep_k
+
+
+@query("kmeans_clusters", f"""
+WITH {_CLUS_CTES}, {O.fitted_ctes((5,), 20, 42, FIT_STEPS)}, {O.label_ctes()}
+SELECT a.osm_id, a.cluster_id, l.cluster_label, {rnd('SQRT(a.d2)')} AS dist_to_centroid,
+       {', '.join('a.' + c for c in C.CLUSTER_COLUMNS[4:])}
+FROM assigned a JOIN labels l ON a.cluster_id = l.cluster_id""")
 def q_kmeans_clusters(spark, sf):
-    out, _, _ = C.segment_clusters(_features(spark, sf, **CLUS), ClusterParams(k=5, restarts=20, seed=42))
-    return out
+    params = ClusterParams(k=5, restarts=20, seed=42, max_iter=FIT_STEPS)
+    return C.segment_clusters(_features(spark, sf, **CLUS), params, digits=DIGITS)[0]
 
 
-@query("k_sweep")
+@query("k_sweep", f"""
+WITH {_CLUS_CTES}, {O.fitted_ctes(_SWEEP, 10, 42, FIT_STEPS)},
+pairs AS (
+  SELECT x.k, x.osm_id, x.cluster_id AS ca, y.cluster_id AS cb, AVG({' + '.join(f'POWER(x.{c} - y.{c}, 2)' for c in _SCALED)}) AS md
+  FROM assigned x JOIN assigned y ON x.k = y.k AND x.osm_id <> y.osm_id GROUP BY ALL),
+sides AS (SELECT k, osm_id, MAX(md) FILTER (ca = cb) AS a, MIN(md) FILTER (ca <> cb) AS b FROM pairs GROUP BY k, osm_id)
+SELECT k, {rnd('ANY_VALUE(cost)')} AS inertia,
+       {rnd('AVG(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / GREATEST(a, b) END)')} AS silhouette_score
+FROM sides JOIN chosen USING (k) GROUP BY k""")
 def q_k_sweep(spark, sf):
-    return C.k_sweep(_features(spark, sf, **CLUS), ClusterParams(sweep_restarts=10))
+    return C.k_sweep(_features(spark, sf, **CLUS), ClusterParams(sweep_restarts=10, max_iter=FIT_STEPS), digits=DIGITS)
 
 
 # -------------------------------- fits from fixed centres (H2, H3, C6, C12) --
@@ -901,3 +957,233 @@ dp AS (SELECT date, SUM(velocity_sum) / SUM(observation_count) AS velocity_mean
 def q_daily_mean_velocity_describe(spark, sf):
     dp = P.rollup_by(P.hourly_date_stats(_dense(spark, sf)), "date")
     return Q.numeric_summary(dp, ["velocity_mean"], digits=DIGITS)
+
+
+# ==========================================================================
+# The file path (A1-A11): tables written, read back and compared
+# ==========================================================================
+import uuid  # noqa: E402
+
+from roadpulse.operators import feasibility as FZ  # noqa: E402
+from roadpulse.plans import sql as SQL  # noqa: E402
+from roadpulse.plans import stages as ST  # noqa: E402
+from roadpulse.session import ensure_checkpoint_dir  # noqa: E402
+from roadpulse.sources import load as L  # noqa: E402
+from roadpulse.sources import tables as TB  # noqa: E402
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared space."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _raw_file(spark, sf) -> str:
+    """The raw rows as a text file with quoted coordinates, missing-value tokens, and short and long lines."""
+    path = _folder(spark, "raw-csv")
+    X.raw_lines(spark, sf).write.text(path)
+    return path
+
+
+@query("raw_file_round_trip", f"""
+WITH {O.RAW_FILE_CTE}
+SELECT "Date", "Time", "Coordinate (Lon, Lat)", "Course", "Velocity", "OSM ID" FROM file_rows WHERE kind <> 'long'""")
+def q_raw_file_round_trip(spark, sf):
+    return RAW.read_checked(spark, _raw_file(spark, sf))[0]
+
+
+@query("raw_file_lines", f"""
+WITH {O.RAW_FILE_CTE}
+SELECT COUNT(*) AS lines, COUNT(*) FILTER (WHERE kind <> 'long') AS rows_read, COUNT(*) FILTER (WHERE kind = 'long') AS rejected,
+       COUNT(*) FILTER (WHERE kind = 'long') AS more_fields, CAST(MAX(CASE WHEN kind = 'long' THEN 8 END) AS INTEGER) AS widest_rejected,
+       COUNT(*) FILTER (WHERE kind = 'whole') AS rows_read_strictly
+FROM file_rows""")
+def q_raw_file_lines(spark, sf):
+    path = _raw_file(spark, sf)
+    rows, rejected = RAW.read_checked(spark, path)
+    strict = RAW.read_checked(spark, path, short_lines="reject")[0]
+    # every file begins with the header
+    lines = spark.read.text(path).where(~F.col("value").startswith("Date,")).agg(F.count(F.lit(1)).alias("lines"))
+    bad = rejected.agg(F.count(F.lit(1)).alias("rejected"), F.count_if(F.col("reason").startswith("more")).alias("more_fields"),
+                       F.max("n_fields").alias("widest_rejected"))
+    n = rows.agg(F.count(F.col("`OSM ID`").isNull()).alias("n")).scalar()
+    n_strict = strict.agg(F.count(F.col("`OSM ID`").isNull()).alias("n")).scalar()
+    return lines.join(F.broadcast(bad)).select("lines", n.alias("rows_read"), "rejected", "more_fields", "widest_rejected", n_strict.alias("rows_read_strictly"))
+
+
+@query("raw_file_preview", f"""
+WITH {O.RAW_FILE_CTE}
+SELECT "Date", "Time", "Coordinate (Lon, Lat)", "Course", "Velocity", "OSM ID" FROM file_rows WHERE kind = 'whole' ORDER BY event_id LIMIT 100""")
+def q_raw_file_preview(spark, sf):
+    path = _folder(spark, "raw-csv")
+    X.raw_lines(spark, sf, ordered=True).write.text(path)
+    return RAW.preview_files(spark, path, 100)
+
+
+_COUNTS = {
+    "total_rows": "COUNT(*)", "invalid_timestamp_rows": "COUNT(*) FILTER (WHERE _ts IS NULL)",
+    "invalid_coordinate_rows": "COUNT(*) FILTER (WHERE _lon IS NULL OR _lat IS NULL OR abs(_lon) > 180 OR abs(_lat) > 90)",
+    "unparsed_coordinate_rows": "COUNT(*) FILTER (WHERE _lon IS NULL OR _lat IS NULL)",
+    "zero_coordinate_rows": "COUNT(*) FILTER (WHERE _lon = 0 OR _lat = 0)",
+    "out_of_range_coordinate_rows": "COUNT(*) FILTER (WHERE abs(_lon) > 180 OR abs(_lat) > 90)",
+    "min_timestamp": "epoch(MIN(_ts))", "max_timestamp": "epoch(MAX(_ts))", "velocity_count": "COUNT(_velocity)",
+    "velocity_mean": "AVG(_velocity)", "velocity_std": "STDDEV_POP(_velocity)", "velocity_min": "MIN(_velocity)", "velocity_max": "MAX(_velocity)",
+    "zero_exact": "COUNT(*) FILTER (WHERE _velocity = 0)", "near_zero": "COUNT(*) FILTER (WHERE _velocity < 0.1)",
+    "below_slow": "COUNT(*) FILTER (WHERE _velocity < 1.0)",
+} | {f"missing {c}": f'COUNT(*) FILTER (WHERE "{c}" IS NULL)' for c in _RAW_COLS}
+
+
+@query("feasibility_report", f"""
+WITH {RAWC}
+{' UNION ALL '.join(f"SELECT '{k}' AS metric, {rnd(f'CAST({v} AS DOUBLE)')} AS value FROM parsed" for k, v in _COUNTS.items())}
+UNION ALL SELECT 'clean rows written', CAST(COUNT(*) AS DOUBLE) FROM parsed
+UNION ALL SELECT 'date partitions', CAST(COUNT(DISTINCT coalesce(CAST(CAST(_ts AS DATE) AS VARCHAR), 'none')) AS DOUBLE) FROM parsed""")
+def q_feasibility_report(spark, sf):
+    """All counts of the report, observed while the clean table is written."""
+    path = _folder(spark, "traffic-clean")
+    counts = FZ.write_observed(_raw(spark, sf), path)
+    back = spark.read.parquet(path)
+    more = back.agg(F.lit("clean rows written").alias("metric"), F.count(F.lit(1)).cast("double").alias("value")).unionByName(
+        back.select("date").distinct().agg(F.lit("date partitions").alias("metric"), F.count(F.lit(1)).cast("double").alias("value")))
+    return FZ.as_table(spark, counts).select("metric", rounded("value", DIGITS).alias("value")).unionByName(more)
+
+
+@query("clean_csv_round_trip", f"""
+WITH {CLEANC}
+SELECT timestamp, CAST(date AS VARCHAR) AS date, year, month, day_of_week, hour, longitude, latitude, course, velocity, osm_id FROM clean""")
+def q_clean_csv_round_trip(spark, sf):
+    """The clean table as CSV with one header line per file, read back with its schema (A5)."""
+    path = _folder(spark, "clean-csv")
+    TB.write_table(_clean(spark, sf), path, fmt="csv")
+    return present(TB.load_table(spark, path, fmt="csv", schema=RAW.CLEAN_SCHEMA))
+
+
+@query("header_names", "SELECT unnest(range(0, 6)) AS place, unnest(['" + "', '".join(_RAW_COLS) + "']) AS name FROM (SELECT 1 FROM events LIMIT 1)")
+def q_header_names(spark, sf):
+    """Names of a header with runs of white space, normalised (A3)."""
+    odd = _raw(spark, sf).toDF(" Date", "Time  ", "Coordinate   (Lon,  Lat)", "Course", "Velocity ", "OSM \t ID")
+    names = RAW.normalize_columns(odd)
+    return names.limit(1).select(F.posexplode(F.array(*[F.lit(c) for c in names.columns])).alias("place", "name")).select(
+        F.col("place").cast("long").alias("place"), "name")
+
+
+@query("loaded_twice", f"""
+WITH {OBS_D}
+SELECT CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'b' END AS load, CAST(date AS VARCHAR) AS date, COUNT(*) AS row_count, {rnd('SUM(velocity)')} AS velocity_sum
+FROM observations GROUP BY ALL""")
+def q_loaded_twice(spark, sf):
+    """Two loads that share dates, one of them run twice."""
+    obs, table = _dense(spark, sf), _folder(spark, "traffic-observations")
+    for name, rows in (("a", obs.where("event_id % 3 = 0")), ("b", obs.where("event_id % 3 <> 0")), ("a", obs.where("event_id % 3 = 0"))):
+        L.load(rows.drop("event_id"), table, name)
+    back = L.loaded(spark, table).groupBy("load", "date").agg(F.count(F.lit(1)).alias("row_count"), F.sum("velocity").alias("velocity_sum"))
+    return present(round_doubles(back))
+
+
+_CHANGED = "date_diff('day', (SELECT MIN(CAST(ts AS DATE)) FROM events), date)"
+
+
+@query("daily_summary_refreshed", f"""
+WITH {OBS_D},
+days AS (SELECT *, {_CHANGED} AS day FROM observations),
+changed AS (
+  SELECT osm_id, timestamp, hour, CASE WHEN day = 3 THEN velocity + 7 ELSE velocity END AS velocity FROM days WHERE day NOT IN (5, 9)
+  UNION ALL SELECT osm_id, timestamp + INTERVAL 400 DAY, hour, velocity FROM days WHERE day = 4),
+{O.daily_cte(2, source='changed')}
+SELECT osm_id, CAST(observation_date AS VARCHAR) AS observation_date, hour, daily_observation_count,
+       {R('daily_average_velocity')} AS daily_average_velocity
+FROM daily_segment_hour""")
+def q_daily_summary_refreshed(spark, sf):
+    """A summary built with one date missing; then one date changes, one is removed, one comes new; only those are refreshed."""
+    first = X.events(spark, sf).agg(F.min(F.to_date("ts"))).scalar()
+    days = _dense(spark, sf).withColumn("day", F.datediff("date", first))
+    summary = _folder(spark, "daily-summary")
+    L.rebuild_daily(days.where("day <> 9"), summary)
+    later = F.expr("INTERVAL 400 DAY")
+    changed = days.where("day NOT IN (5, 9)").withColumn("velocity", F.when(F.col("day") == 3, F.col("velocity") + 7).otherwise(F.col("velocity")))
+    new = days.where("day = 4").withColumn("date", F.date_add("date", 400)).withColumn("timestamp", F.col("timestamp") + later)
+    touched = days.where("day IN (3, 5)").select("date").unionByName(new.select("date"))
+    L.refresh_daily(changed.unionByName(new), summary, touched)
+    return present(round_doubles(L.daily_summary(spark, summary, 2)))
+
+
+@query("feature_files", f"WITH {_FEAT_CTES} SELECT * FROM segment_features")
+def q_feature_files(spark, sf):
+    """The feature table written as CSV and read with its schema."""
+    features, path = _features(spark, sf, **FEAT), _folder(spark, "segment-features")
+    TB.write_table(features, path, fmt="csv")
+    return TB.load_table(spark, path, fmt="csv", schema=features.schema)
+
+
+@query("cluster_files", f"""
+WITH {_FIXED}
+SELECT osm_id, cluster_id, cluster_label, {rnd('dist_to_centroid')} AS dist_to_centroid, {', '.join(C.CLUSTER_COLUMNS[4:])} FROM clusters""")
+def q_cluster_files(spark, sf):
+    """The cluster table written as Parquet and read back."""
+    rows = _fixed_clusters(spark, sf).withColumn("dist_to_centroid", rounded("dist_to_centroid", DIGITS)).select(*C.CLUSTER_COLUMNS)
+    path = _folder(spark, "segment-clusters")
+    TB.write_table(rows, path)
+    return TB.load_table(spark, path)
+
+
+@query("half_even_rounding", f"""
+WITH {OBS_D}
+SELECT event_id, CAST(CASE WHEN (event_id * 25) % 100 = 50 AND ((event_id * 25) // 100) % 2 = 0 THEN (event_id * 25) // 100
+                           ELSE floor((event_id * 25) / 100.0 + 0.5) END AS DOUBLE) AS half_even,
+       CAST(floor((event_id * 25) / 100.0 + 0.5) AS DOUBLE) AS half_up
+FROM observations""")
+def q_half_even_rounding(spark, sf):
+    """Quarters rounded to whole numbers, half to even beside half up."""
+    from roadpulse.functions.columns import rounded_half_even
+    quarters = _dense(spark, sf).select("event_id", (F.col("event_id") * 25 / F.lit(100.0)).alias("q"))
+    return quarters.select("event_id", rounded_half_even("q", 0).alias("half_even"), F.floor(F.col("q") + 0.5).cast("double").alias("half_up"))
+
+
+@query("feature_null_audit", f"""
+WITH {_FEAT_CTES}, t AS (SELECT COUNT(*) AS n FROM segment_features),
+m AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS missing_count FROM segment_features" for c in FE.FEATURE_COLUMNS)})
+SELECT column_name, missing_count, {rnd('missing_count * 100.0 / n')} AS pct_missing FROM m, t""")
+def q_feature_null_audit(spark, sf):
+    """Missing values of the feature table."""
+    return Q.null_audit(_features(spark, sf, **FEAT), digits=DIGITS)
+
+
+@query("cohort_null_audit", f"""
+WITH {_FEAT_CTES}, {O.complete_cte()}, t AS (SELECT COUNT(*) AS n FROM complete_segments),
+m AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS missing_count FROM complete_segments" for c in FE.FEATURE_COLUMNS)})
+SELECT column_name, missing_count, {rnd('missing_count * 100.0 / n')} AS pct_missing FROM m, t""")
+def q_cohort_null_audit(spark, sf):
+    """Missing values of the clustering input: none are left."""
+    return Q.null_audit(FE.complete_cohort(_features(spark, sf, **FEAT)), digits=DIGITS)
+
+
+# -------------------------------- SQL text with parameters (A8) -----------
+def _views(spark, obs, daily):
+    ST.register_views(obs, daily)
+
+
+@query("sql_relative_slowdowns", ORACLE["relative_slowdowns"])
+def q_sql_relative_slowdowns(spark, sf):
+    obs = _dense(spark, sf)
+    _views(spark, obs, D.daily_segment_hour(obs, 2))
+    return SQL.run_named(spark, "relative_slowdowns", min_obs=15, n=50, digits=DIGITS)
+
+
+@query("sql_recurring_slowdowns", ORACLE["recurring_slowdowns"])
+def q_sql_recurring_slowdowns(spark, sf):
+    obs = _dense(spark, sf)
+    _views(spark, obs, D.daily_segment_hour(obs, 2))
+    return SQL.run_named(spark, "recurring_slowdowns", min_days=5, n=50, digits=DIGITS)
+
+
+@query("sql_weekday_weekend", ORACLE["weekday_weekend"])
+def q_sql_weekday_weekend(spark, sf):
+    obs = _dense(spark, sf)
+    _views(spark, obs, D.daily_segment_hour(obs, 2))
+    return SQL.run_named(spark, "weekday_weekend", min_days=2, n=30, digits=DIGITS)
+
+
+@query("sql_candidate_bottlenecks", ORACLE["candidate_bottlenecks"])
+def q_sql_candidate_bottlenecks(spark, sf):
+    obs = _dense(spark, sf)
+    _views(spark, obs, D.daily_segment_hour(obs, 1))
+    return SQL.run_named(spark, "candidate_bottlenecks", min_days=5, min_obs=10, n=30, digits=DIGITS)

@@ -11,9 +11,11 @@ the raw scan.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roadpulse.operators import cluster as C
 from roadpulse.operators import daily as D
+from roadpulse.operators import feasibility as FZ
 from roadpulse.operators import features as FE
 from roadpulse.operators import insights as IN
 from roadpulse.operators import profiles as P
@@ -23,15 +25,12 @@ from roadpulse.params import ClusterParams, PeakHours, Thresholds
 from roadpulse.sources import raw as RAW
 from roadpulse.sources.tables import write_table
 
-def feasibility_report(raw: DataFrame) -> dict[str, DataFrame]:
-    """Stage 00 checks over raw text (C10): validity, missing values, moments,
-    distinct counts, duplicates, calendar coverage, gaps, near-zero velocities."""
-    clean = RAW.clean(raw)
+def feasibility_report(raw: DataFrame, clean: DataFrame, counts: dict) -> dict[str, DataFrame]:
+    """Stage 00 checks (C10).  Validity, missing values, moments and near-zero shares come from the ``counts`` observed
+    while the clean table was written, all else from that table; only the search for equal rows reads the raw text."""
     return {
-        "validity_report": Q.validity_report(raw),
-        "null_audit": Q.null_audit(raw),
-        "velocity_moments": Q.velocity_moments(raw),
-        "distinct_counts": Q.distinct_counts(raw),
+        **FZ.reports(raw.sparkSession, counts, raw.columns),
+        "distinct_counts": Q.distinct_counts(clean.drop("year", "month", "day_of_week", "hour")),
         "date_counts": Q.date_counts(clean),
         "segment_counts": Q.segment_counts(clean),
         "duplicate_report": Q.duplicate_report(raw),
@@ -39,9 +38,9 @@ def feasibility_report(raw: DataFrame) -> dict[str, DataFrame]:
         "missing_dates": Q.missing_dates(clean),
         "largest_date_gaps": Q.largest_date_gaps(clean),
         "timestamp_gaps": Q.timestamp_gaps(clean),
-        "near_zero_report": Q.near_zero_report(clean),
         "near_zero_by_hour": Q.near_zero_by_hour(clean),
         "near_zero_by_segment": Q.near_zero_by_segment(clean),
+        "near_zero_segments": Q.near_zero_segments(clean),
         "hourly_date_stats": P.hourly_date_stats(clean),
         "segment_stats": P.segment_stats(clean),
     }
@@ -71,8 +70,9 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
     """Raw file -> every result table, written under ``out_dir``.
 
     Rows without a usable timestamp raise (``on_bad='fail'``), are kept with NULL
-    time parts ('null'), or are dropped where that is asked for ('drop').
-    Returns {table name: path}.  Clean observations are written partitioned by
+    time parts ('null'), or are left out of all that follows where that is asked
+    for ('drop'; the clean table keeps them in its partition without a date, and
+    their number is written).  Returns {table name: path}.  Clean observations are written partitioned by
     date; the daily summary, feature table and cluster table are written once
     and re-read by the later stages.  With ``bucket_daily`` (a bucket count)
     the daily summary is saved as a catalog table bucketed by ``osm_id``, so
@@ -87,10 +87,17 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
         written[name] = path
         return spark.read.parquet(path)
 
-    raw = RAW.read_raw(spark, raw_path)
-    for name, df in feasibility_report(raw).items():
+    raw, rejected = RAW.read_checked(spark, raw_path)
+    written["traffic_clean"] = f"{out}/traffic_clean"
+    # one pass over the raw text: the clean table, and the counts of all its rows (rows without a timestamp too)
+    counts = FZ.write_observed(raw, written["traffic_clean"], on_bad="fail" if on_bad == "fail" else "null")
+    obs = spark.read.parquet(written["traffic_clean"])
+    put("feasibility/rejected_lines", rejected)
+    for name, df in feasibility_report(raw, obs, counts).items():
         put(f"feasibility/{name}", df)
-    obs = put("traffic_clean", RAW.clean(raw, on_bad=on_bad))
+    put("feasibility/dropped_rows", FZ.as_table(spark, {"rows_without_timestamp_dropped": counts["invalid_timestamp_rows"] if on_bad == "drop" else 0}))
+    if on_bad == "drop":
+        obs = obs.where(F.col("timestamp").isNotNull())
     if bucket_daily:
         from roadpulse.sources.tables import save_bucketed
         daily = save_bucketed(D.daily_segment_hour(obs, t.min_daily_obs), "daily_segment_hour", key="osm_id",

@@ -75,6 +75,38 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(dupes).drop("_eid")
 
 
+def raw_lines(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """The lines of a raw text file: a header in each part, quoted coordinates
+    after a space, and per ``event_id``:
+
+    * ``% 53 = 0``      -> Velocity ``'NA'``, ``% 59 = 0`` -> Course ``'null'``
+    * ``% 61 = 0``      -> a short line without its last two fields
+    * else ``% 67 = 0`` -> a long line with two more fields
+
+    ``ordered``: whole lines alone, in order of ``event_id``, in several parts."""
+    ev = events(spark, sf_dir)
+    eid, seg = F.col("event_id"), F.col("user_id") % 20
+    course = F.when(eid % 59 == 0, F.lit("null")).otherwise(((eid * 37) % 360).cast("string"))
+    velocity = F.when(eid % 53 == 0, F.lit("NA")).otherwise(F.col("value").cast("string"))
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(", "), F.date_format("ts", "HH:mm:ss"), F.lit(', "'),
+                    (F.lit(351) + seg).cast("string"), F.lit("e-1, "), (F.lit(331) + seg).cast("string"), F.lit('e-1", '), course)
+    whole = F.concat(head, F.lit(","), velocity, F.lit(",way/"), seg.cast("string"))
+    line = F.when(eid % 61 == 0, head).when(eid % 67 == 0, F.concat(whole, F.lit(",x,y"))).otherwise(whole)
+    lines = ev.select(eid.alias("_eid"), line.alias("value"))
+    if ordered:
+        lines = ev.where((eid % 61 != 0) & (eid % 67 != 0)).select(eid.alias("_eid"), whole.alias("value"))
+        lines = lines.repartitionByRange(4, "_eid").sortWithinPartitions("_eid")
+    header = "Date, Time, \"Coordinate  (Lon, Lat)\",Course,Velocity,OSM   ID"
+
+    def with_header(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        for batch in batches:
+            yield batch.select(["value"])
+
+    return lines.mapInArrow(with_header, "value string")
+
+
 def fixed_assignment(features: DataFrame, k: int = 5) -> DataFrame:
     """Deterministic cluster ids for oracle-checkable cluster statistics:
     the numeric part of the segment key modulo ``k``."""

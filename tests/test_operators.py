@@ -163,7 +163,7 @@ def test_kmeans_recovers_separated_blobs(spark):
     assert got == sorted(tuple(int(v) for v in c) for c in centres)
     labels = model.transform(df).groupBy("cluster_id").count().collect()
     assert sorted(r["count"] for r in labels) == [30, 30, 30]
-    fixed, fixed_cost = C.kmeans_from(df, centres.tolist(), ["a", "b"])
+    fixed, fixed_cost = C.lloyd(df, centres.tolist(), ["a", "b"])
     assert fixed_cost == pytest.approx(cost, rel=1e-6)
     one = C.kmeans(df, ["a", "b"], k=3, restarts=1, seed=1)[1]
     assert cost <= one + 1e-9 and C.kmeans(df, ["a", "b"], k=4, restarts=5, seed=1)[1] < cost
@@ -204,9 +204,26 @@ def test_bottleneck_sign_and_scaling_invariants(spark):
         assert abs(stats[f"m_{c}"]) < 1e-9 and abs(stats[f"s_{c}"] - 1.0) < 1e-9
 
 
-def test_distinct_counts_exact_and_approx(spark):
+def test_distinct_counts_exact_and_sketched(spark):
     raw = X.raw_text(spark, "/root/testdata/sf0.01")
-    exact = {r[0]: r[1] for r in Q.distinct_counts(raw).collect()}
-    approx = {r[0]: r[1] for r in Q.distinct_counts(raw, approx_rsd=0.01).collect()}
+    exact = {r[0]: r[1] for r in Q.raw_distinct_counts(raw).collect()}
     assert exact["OSM ID"] == 20 and exact["valid date"] == 30
-    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
+    near = Q.distinct_estimates(Q.distinct_sketches(raw, ["Course"], ["Date", "Velocity", "OSM ID"]), [])
+    for r in near.collect():  # merged over the groups
+        assert abs(r["distinct_estimate"] - exact[r["column_name"]]) <= max(2, 0.07 * exact[r["column_name"]])
+
+
+def test_equal_fingerprints_of_different_rows_are_told_apart(spark, monkeypatch):
+    real = Q.F.xxhash64
+    monkeypatch.setattr(Q.F, "xxhash64", lambda *c: real(Q.F.lit(7)))  # every row collides
+    df = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("b", "c"), ("b", "c"), ("b", "c")], "x string, y string")
+    assert tuple(Q.duplicate_report(df).first()) == (2, 3)
+
+
+def test_threshold_grid_of_any_size(spark):
+    cov = spark.range(500).selectExpr("id * 7 % 300 AS observation_count", "id % 41 AS active_days")
+    rows = [tuple(r) for r in cov.collect()]
+    got = FE.threshold_grid(cov, range(0, 300, 10), range(0, 45, 2), digits=None).collect()
+    assert len(got) == 30 * 23
+    for r in got:
+        assert r["surviving_segments"] == sum(a >= r["min_observations"] and b >= r["min_active_days"] for a, b in rows)
