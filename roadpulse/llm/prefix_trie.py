@@ -1,33 +1,31 @@
 """Z-fast trie of conversations: every distinct prefix of their turns is a node.
 
-A turn is an MD5 of role and text from the first step on; the texts are not
-shuffled.  A prefix is known by a 128-bit key, the sum over its turns of hashes
-of (position, turn) in four words of 32 bits.  Sums run over range partitions
-(``operators.ordered``), so one conversation may hold a third of all turns.
-Equal conversations are one sequence, named by its smallest conv_id.
-
-The compacted trie is kept as *chains*: a sequence hangs on a depth of another
-sequence's chain (its host), or on the root, and its own chain goes on from
-there.  A compacted node is an edge (lo, hi] of a chain.  Its handle is the
-prefix whose length is the two-fattest number in (lo, hi], the one divisible by
-the largest power of two.
-
-Sequences are inserted in batches.  Each sequence of a batch finds its exit
-node in the trie of the batches before by fat binary search: of the depths
-(l, r] it looks up the prefix at the two-fattest; a handle found there moves l
-to the node's extent if that is a prefix too (else this is the exit node), and
-one that is absent moves r below it.  That takes log2(turns) joins by key.  What
-leaves the trie at the same place by the same next turn is one group: its
-smallest member becomes a chain, the others go on along that chain in the next
-round.  Every round takes each sequence at least one branch further.
-
-Members, leaves and savings are summed from the chains inserted last to those
-inserted first, then the edges are expanded to one node for each depth.
-
-Joins meet a hot node (a common first turn) as one row against many, which
-adaptive execution splits; members of a group are counted and never gathered.
-The ids that end at one node are hashed as a stream: ranges of sorted ids are
-joined to pieces of text in parallel, and one task hashes the pieces in order.
+A turn becomes 24 octets, the MD5 of role and text and the code points of the
+text, before anything is shuffled; a conversation is the *path* of its turns.
+Paths of more than ``SEGMENT`` turns are cut into levels: a level's trie hangs
+on the node that the level before ends at, so no row holds more than a segment,
+and turns are numbered over range partitions (``operators.ordered``): also one
+conversation with a third of all turns meets in no task.
+
+Equal paths are counted first; a path that a third of the conversations share
+is one row.  The distinct paths are range-partitioned in lexical order, each
+task builds the compacted trie of its range, and a trie's edges are expanded
+to one node for each depth.  Inside a task the trie is a z-fast one: a
+compacted node is an edge (lo, hi] and lies in a hash table under its handle,
+the prefix whose length is the two-fattest number in (lo, hi] (the one that the
+largest power of two divides).  For each batch of paths, the exit nodes are
+located first by fat binary search (of the depths (l, r] the two-fattest is
+looked up; a handle found moves l to the node's extent if that is a prefix too,
+one that is absent moves r below it), then the paths are inserted there, each
+splitting at most one edge.
+
+A node lies in several ranges only if it is a prefix of the first or last path
+of a range.  These nodes, as many as the path lengths of the ranges' ends, are
+merged by key; all others are complete in their task, whatever their number.
+
+Conversation ids that end at one node are hashed as a stream: ranges of sorted
+ids are joined to pieces of text in parallel, and one task hashes the pieces in
+order, since SHA-256 has no other way.
 
 Rows and columns: a null role or text is empty; turns are ordered by (turn,
 null first, then MD5 of the turn) and repeated rows are repeated turns; rows
@@ -43,29 +41,27 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import materialize
+from roadpulse.llm.common import give_back, materialize
 from roadpulse.operators.ordered import running
 
-#: One sequence in so many is in the first batch, which the second one searches.
-FIRST_BATCH = 8
-#: Octets of a piece of joined ids.
-PIECE = 1 << 20
+#: Turns of a path's segment; octets of a turn; distinct paths of a range; octets of a piece of joined ids.
+SEGMENT, STEP, RANGE_PATHS, PIECE = 256, 24, 50_000, 1 << 20
 
 
 # ---- sequences --------------------------------------------------------------------
 
 def turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, pos from 1, tok, chars): the turns in order, each by its MD5 and the code points of its text."""
+    """(conv_id, pos from 1, step): the turns in order; a step is 16 octets of MD5 and 8 of code points."""
     rows = conversations.where(F.col(conv_id).isNotNull()).select(
         F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tok = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
-    rows = rows.select("conv_id", "turn", tok.alias("tok"), F.length("text").cast("long").alias("chars"))
-    placed = running(rows, ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("tok").asc()], {"pos": F.lit(1)})
-    return materialize(placed.select("conv_id", "pos", "tok", "chars"), "trie-turns")
+    step = F.unhex(F.concat(tok, F.lpad(F.hex(F.length("text").cast("long")), 16, "0")))
+    placed = running(rows.select("conv_id", "turn", step.alias("step")), ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("step").asc()],
+                     {"pos": F.lit(1)})
+    return materialize(placed.select("conv_id", "pos", "step"), "trie-turns")
 
 
 def rebuilt(placed: DataFrame, every: int = 100, heads: int = 6) -> tuple[DataFrame, DataFrame]:
@@ -73,286 +69,329 @@ def rebuilt(placed: DataFrame, every: int = 100, heads: int = 6) -> tuple[DataFr
     after the first h, where h = crc32(decimal c) % heads."""
     h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(heads))
     ids = placed.select("conv_id").distinct().withColumn("h", h).withColumn("anchor", F.col("conv_id") - F.col("conv_id") % every)
+    ids = materialize(ids, "trie-conversations")
     first = placed.where((F.col("conv_id") % every == 0) & (F.col("pos") < heads)).withColumnRenamed("conv_id", "anchor")
     first = materialize(first, "trie-heads")
-    lent = ids.join(first, "anchor").where(F.col("pos") <= F.col("h")).select("conv_id", F.col("pos").alias("d"), "tok", "chars")
-    n_first = first.groupBy("anchor").agg(F.max("pos").alias("n_first"))
+    lent = ids.join(first, "anchor").where(F.col("pos") <= F.col("h")).select("conv_id", F.col("pos").alias("d"), "step")
+    n_first = materialize(first.groupBy("anchor").agg(F.max("pos").alias("n_first")), "trie-head-sizes")
     own = placed.withColumn("h", h).where(F.col("pos") > F.col("h")).withColumn("anchor", F.col("conv_id") - F.col("conv_id") % every)
-    own = own.join(materialize(n_first, "trie-head-sizes"), "anchor", "left")
+    own = own.join(n_first, "anchor", "left")
     at = F.least("h", F.coalesce("n_first", F.lit(0))) + F.col("pos") - F.col("h")
-    return lent.unionByName(own.select("conv_id", at.alias("d"), "tok", "chars")), ids.select("conv_id")
+    return lent.unionByName(own.select("conv_id", at.alias("d"), "step")), ids.select("conv_id")
 
 
-def prefixes(sequences: DataFrame) -> DataFrame:
-    """``sequences`` (conv_id, d, tok, chars) with the key (k1, k2) of the prefix that ends at d and ``upto``, its code points."""
-    low, high = F.lit(0xFFFFFFFF).cast("long"), 32
-    a, b = F.xxhash64(F.lit(1), F.col("d"), F.col("tok")), F.xxhash64(F.lit(2), F.col("d"), F.col("tok"))
-    words = {"w1": a.bitwiseAND(low), "w2": F.shiftrightunsigned(a, high), "w3": b.bitwiseAND(low), "w4": F.shiftrightunsigned(b, high)}
-    found = running(sequences.select("conv_id", "d", "tok", "chars"), ["conv_id"], [F.col("d").asc()], words | {"upto": F.col("chars")})
-    key = lambda x, y: F.shiftleft(F.col(x).bitwiseAND(low), high).bitwiseOR(F.col(y).bitwiseAND(low))
-    return materialize(found.select("conv_id", "d", key("w1", "w2").alias("k1"), key("w3", "w4").alias("k2"), "chars", "upto"), "trie-prefixes")
+def segments(sequences: DataFrame, conv_ids: DataFrame, size: int) -> DataFrame:
+    """(conv_id, level, path): each conversation's turns, ``size`` to a row; an empty path for one without turns."""
+    rows = sequences.select("conv_id", F.floor((F.col("d") - 1) / size).cast("int").alias("level"), "d", F.hex("step").alias("step"))
+    empty = conv_ids.select("conv_id", F.lit(0).alias("level"), F.lit(0).cast("long").alias("d"), F.lit("").alias("step"))
+    cut = rows.unionByName(empty).groupBy("conv_id", "level").agg(F.sort_array(F.collect_list(F.struct("d", "step"))).alias("s"))
+    return materialize(cut.select("conv_id", "level", F.unhex(F.array_join("s.step", "")).alias("path")), "trie-segments")
 
 
-def null_safe(*pairs: tuple[Column, Column]) -> Column:
-    return reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])
+# ---- the trie of one range --------------------------------------------------------
 
-
-def fattest(low: Column, high: Column) -> Column:
+def fattest(low: int, high: int) -> int:
     """The number in (low, high] that the largest power of two divides."""
-    bits = F.length(F.bin(low.bitwiseXOR(high))) - 1
-    return high - high % F.pow(F.lit(2.0), bits).cast("long")
-
-
-# ---- insertion --------------------------------------------------------------------
-
-class Trie:
-    """The chains inserted so far.
-
-    ``seqs`` (seq, n, k1, k2, weight) are the distinct sequences, ``steps`` (seq, d, k1, k2, chars, upto) their
-    prefixes, ``hung`` the written tables (seq, n, host, depth, round): the sequence leaves the host's chain (null: the
-    root) at that depth, and has a chain of its own unless it ends there."""
-
-    def __init__(self, seqs: DataFrame, steps: DataFrame):
-        self.seqs, self.steps, self.hung, self.rounds = seqs, steps, [], 0
-
-    def prefix_at(self, rows: DataFrame, seq: str, depth: str, k1: str, k2: str) -> DataFrame:
-        """``rows`` with the key of the prefix of ``seq`` at ``depth`` (null beyond its end)."""
-        keys = self.steps.select(F.col("seq").alias("__seq"), F.col("d").alias("__d"), F.col("k1").alias(k1), F.col("k2").alias(k2))
-        return rows.join(keys, (F.col(seq) == F.col("__seq")) & (F.col(depth) == F.col("__d")), "left").drop("__seq", "__d")
-
-    def insert(self, batch: DataFrame) -> None:
-        """Insert sequences (seq, n), n above 0."""
-        pending = self.located(batch)
-        while not pending.isEmpty():
-            self.rounds += 1
-            pending = self.insert_round(pending)
-
-    def insert_round(self, pending: DataFrame) -> DataFrame:
-        """``pending`` (seq, n, host, l) agree with the host's chain up to l.  Each group that leaves one chain at one
-        depth by the same next turn hangs its smallest sequence there; the others are returned, with that one as host."""
-        own = self.steps.join(pending, "seq").where(F.col("d") >= F.greatest("l", F.lit(1))).select("seq", "n", "host", "l", "d", "k1", "k2")
-        others = self.steps.select(F.col("seq").alias("__seq"), F.col("d").alias("__d"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-        same = (F.col("host") == F.col("__seq")) & (F.col("d") == F.col("__d")) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2"))
-        met = F.col("__seq").isNotNull()
-        left = own.join(others, same, "left").groupBy("seq", "n", "host", "l").agg(
-            F.max(F.when(met, F.col("d"))).alias("lcp"), F.min(F.when(~met, F.struct("d", "k1", "k2"))).alias("next"))
-        left = materialize(left.select("seq", "n", "host", F.coalesce("lcp", F.lit(0)).cast("long").alias("depth"),
-                                       F.col("next.k1").alias("k1"), F.col("next.k2").alias("k2")), "trie-left")
-        first = left.where(F.col("k1").isNotNull()).groupBy("host", "depth", "k1", "k2").agg(F.min("seq").alias("leader"))
-        l, r = left.alias("l"), first.alias("r")
-        group = null_safe((F.col("l.host"), F.col("r.host"))) & reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("depth", "k1", "k2")])
-        led = materialize(l.join(r, group, "left").select("l.seq", "l.n", "l.host", "l.depth", "leader"), "trie-led")
-        goes_on = F.col("leader") != F.col("seq")
-        hung = led.where(~F.coalesce(goes_on, F.lit(False)))
-        self.hung.append(hung.select("seq", "n", "host", "depth", F.lit(self.rounds).alias("round")))
-        return led.where(goes_on).select("seq", "n", F.col("leader").alias("host"), (F.col("depth") + 1).alias("l"))
-
-    def chains(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.hung)
-
-    def nodes(self) -> DataFrame:
-        """Edges (rep, lo, hi] of the compacted trie with the keys of handle, extent and first turn."""
-        hung = self.chains()
-        own = hung.where(F.col("depth") < F.col("n"))
-        ends = own.select(F.col("seq").alias("rep"), F.col("n").alias("hi")).unionByName(
-            hung.where(F.col("host").isNotNull()).select(F.col("host").alias("rep"), F.col("depth").alias("hi"))).distinct()
-        ends = ends.withColumn("above", F.lag("hi").over(W.partitionBy("rep").orderBy("hi")))
-        edges = ends.join(own.select(F.col("seq").alias("rep"), "depth"), "rep").select("rep", F.coalesce("above", "depth").alias("lo"), "hi")
-        edges = edges.withColumn("f", fattest(F.col("lo"), F.col("hi"))).withColumn("c", F.col("lo") + 1)
-        for depth, k1, k2 in (("f", "f1", "f2"), ("hi", "e1", "e2"), ("c", "c1", "c2")):
-            edges = self.prefix_at(edges, "rep", depth, k1, k2)
-        return materialize(edges.drop("c"), "trie-nodes")
-
-    def located(self, batch: DataFrame) -> DataFrame:
-        """(seq, n, host, l) of each sequence: the chain of its exit node, or of the node where it leaves or ends."""
-        if not self.hung:
-            return batch.select("seq", "n", F.lit(None).cast("long").alias("host"), F.lit(0).cast("long").alias("l"))
-        nodes = self.nodes()
-        handles = nodes.select(F.col("rep").alias("hit"), F.col("hi").alias("to"), F.col("f").alias("hf"), "f1", "f2", "e1", "e2")
-        active = batch.select("seq", "n", F.lit(0).cast("long").alias("l"), F.col("n").alias("r"), F.lit(None).cast("long").alias("at"))
-        found = []
-        while not active.isEmpty():
-            ask = self.prefix_at(active.withColumn("f", fattest(F.col("l"), F.col("r"))), "seq", "f", "k1", "k2")
-            hit = ask.join(handles, (F.col("f") == F.col("hf")) & (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
-            hit = self.prefix_at(hit, "seq", "to", "x1", "x2")
-            whole = F.coalesce((F.col("x1") == F.col("e1")) & (F.col("x2") == F.col("e2")), F.lit(False))
-            step = materialize(hit.select(
-                "seq", "n", F.when(whole, F.col("to")).otherwise(F.col("l")).alias("l"),
-                F.when(F.col("hit").isNull(), F.col("f") - 1).otherwise(F.col("r")).alias("r"),
-                F.when(whole, F.col("hit")).otherwise(F.col("at")).alias("at"),
-                F.when(F.col("hit").isNotNull() & ~whole, F.col("hit")).alias("exit")), "trie-search")
-            more = F.col("exit").isNull() & (F.col("l") < F.col("r"))
-            found.append(step.where(~more))
-            active = step.where(more).drop("exit")
-        rows = reduce(DataFrame.unionByName, found).withColumn("c", F.col("l") + 1)
-        # the edge below the deepest extent may end, or have its handle, beyond the sequence: found by its first turn
-        rows = self.prefix_at(rows, "seq", "c", "k1", "k2")
-        below = nodes.select(F.col("rep").alias("child"), F.col("lo").alias("clo"), "c1", "c2")
-        rows = rows.join(below, (F.col("l") == F.col("clo")) & (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-        onto = F.coalesce("exit", "child")
-        return materialize(rows.select("seq", "n", F.coalesce(onto, "at").alias("host"),
-                                       (F.col("l") + F.when(onto.isNotNull(), 1).otherwise(0)).alias("l")), "trie-located")
-
-
-# ---- sums -------------------------------------------------------------------------
-
-def summed(trie: Trie) -> tuple[DataFrame, DataFrame]:
-    """(nodes, root): members, smallest member, leaves, children and savings of each edge's end and of the root.
-
-    A node has (rep, lo, hi), n_convs, least, n_leaves, n_children, ``below`` (savings under it), ``top`` (first of its
-    chain), ``host`` and ``depth`` of the chain, ``upto`` (code points to hi) and ``base`` (to lo)."""
-    hung = trie.chains().join(trie.seqs.select("seq", "weight"), "seq")
-    by = hung.select(F.col("seq").alias("__host"), F.col("round").alias("host_round"))
-    hung = materialize(hung.join(by, F.col("host") == F.col("__host"), "left").drop("__host"), "trie-chains")
-    code_points = trie.steps.select(F.col("seq").alias("__seq"), F.col("d").alias("__d"), "upto")
-
-    def given(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("host", "depth").agg(F.sum("n_convs").alias("n_convs"), F.min("least").alias("least"), F.sum("n_leaves").alias("n_leaves"),
-                                                 F.sum("n_children").alias("n_children"), F.sum("saved").alias("saved"))
+    return high & (-1 << ((low ^ high).bit_length() - 1))
 
-    zero = F.lit(0).cast("long")
-    ended = hung.where(F.col("depth") == F.col("n")).select("host", "depth", "host_round", F.col("weight").alias("n_convs"), F.col("seq").alias("least"),
-                                                            zero.alias("n_leaves"), zero.alias("n_children"), zero.alias("saved"))
-    gifts, done = [ended], []
-    for number in range(trie.rounds, 0, -1):
-        chains = hung.where((F.col("round") == number) & (F.col("depth") < F.col("n")))
-        got = given(reduce(DataFrame.unionByName, gifts).where(F.col("host_round") == number))
-        ends = chains.select(F.col("seq").alias("host"), F.col("n").alias("depth"), F.col("weight").alias("n_convs"), F.col("seq").alias("least"),
-                             zero.alias("n_leaves"), zero.alias("n_children"), zero.alias("saved"))
-        points = given(got.unionByName(ends)).withColumnsRenamed({"host": "rep", "depth": "hi"})
-        points = points.join(code_points, (F.col("rep") == F.col("__seq")) & (F.col("hi") == F.col("__d"))).drop("__seq", "__d")
-        points = points.join(chains.select(F.col("seq").alias("rep"), "host", "host_round", "depth", "n"), "rep")
-        start = points.where(F.col("depth") > 0).select("rep", "depth").distinct()
-        start = start.join(code_points, (F.col("rep") == F.col("__seq")) & (F.col("depth") == F.col("__d"))).select("rep", F.col("upto").alias("start"))
-        points = points.join(start, "rep", "left")
-        up = W.partitionBy("rep").orderBy(F.col("hi").desc())
-        here, down = up.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("rep").orderBy("hi")
-        last = F.col("hi") == F.col("n")
-        points = points.select(
-            "rep", "hi", "host", "host_round", "depth", "upto", F.coalesce(F.lag("hi").over(down), "depth").alias("lo"),
-            F.coalesce(F.lag("upto").over(down), "start", zero).alias("base"), F.lag("hi").over(down).isNull().alias("top"),
-            F.sum("n_convs").over(here).alias("n_convs"), F.min("least").over(here).alias("least"),
-            F.sum(F.col("n_leaves") + F.when(last & (F.col("n_children") == 0), 1).otherwise(0)).over(here).alias("n_leaves"),
-            (F.col("n_children") + F.when(last, 0).otherwise(1)).alias("n_children"), F.sum("saved").over(here).alias("saved"))
-        edge = (F.col("n_convs") - 1) * (F.col("upto") - F.col("base"))
-        past = up.rowsBetween(W.unboundedPreceding, -1)
-        points = points.withColumn("below", F.col("saved") + F.coalesce(F.sum(edge).over(past), zero)).withColumn("saved", F.col("below") + edge)
-        points = materialize(points, "trie-sums")
-        done.append(points)
-        gifts.append(points.where("top").select("host", "depth", "host_round", "n_convs", "least", "n_leaves", F.lit(1).cast("long").alias("n_children"), "saved"))
-    empty = trie.seqs.where(F.col("n") == 0).select(F.col("weight").alias("n_convs"), F.col("seq").alias("least"), zero.alias("n_leaves"),
-                                                    zero.alias("n_children"), zero.alias("saved"))
-    tops = reduce(DataFrame.unionByName, gifts).where(F.col("host").isNull()).drop("host", "depth", "host_round").unionByName(empty)
-    root = tops.agg(F.sum("n_convs").alias("n_convs"), F.min("least").alias("least"), F.greatest(F.sum("n_leaves"), F.lit(1)).alias("n_leaves"),
-                    F.sum("n_children").alias("n_children"), F.sum("saved").alias("below")).where(F.col("n_convs") > 0)
-    return reduce(DataFrame.unionByName, done), root
+
+def shared_steps(a: bytes, b: bytes, start: int = 0) -> int:
+    """Steps in which two paths agree, known to be ``start`` at least."""
+    n, at = min(len(a), len(b)) // STEP, start
+    while at < n and a[at * STEP:(at + 1) * STEP] == b[at * STEP:(at + 1) * STEP]:
+        at += 1
+    return at
+
+
+class Node:
+    """An edge (lo, hi] on the way of ``path``; ``ends`` and ``more`` are what ends at its extent or hangs on it from the next level."""
+
+    __slots__ = ("path", "lo", "hi", "children", "count", "least", "more")
+
+    def __init__(self, path: bytes, lo: int, hi: int):
+        self.path, self.lo, self.hi = path, lo, hi
+        self.children: dict[bytes, Node] = {}
+        self.count, self.least, self.more = 0, None, (0, 0, 0)
+
+    def prefix(self, depth: int) -> bytes:
+        return self.path[:depth * STEP]
+
+    def first(self) -> bytes:
+        return self.path[self.lo * STEP:(self.lo + 1) * STEP]
+
+
+class ZFastTrie:
+    """The compacted trie of the paths of one root, its nodes in a hash table by their handles."""
+
+    def __init__(self) -> None:
+        self.root = Node(b"", 0, 0)
+        self.handles: dict[bytes, Node] = {}
+
+    def locate(self, path: bytes, start: Node) -> tuple[Node, Node | None]:
+        """(deepest node whose extent is a prefix of the path, the node below it whose edge the path enters)."""
+        node, low, high = start, start.hi, len(path) // STEP
+        while low < high:
+            depth = fattest(low, high)
+            hit = self.handles.get(path[:depth * STEP])
+            if hit is None:
+                high = depth - 1
+            elif path.startswith(hit.prefix(hit.hi)):
+                node, low = hit, hit.hi
+            else:
+                return self.parent_of(hit, node), hit
+        return node, node.children.get(path[node.hi * STEP:(node.hi + 1) * STEP])
+
+    def parent_of(self, node: Node, above: Node) -> Node:
+        """The parent of a node whose handle is known, from an ancestor on: also a descent by extents."""
+        while above.hi < node.lo:
+            above = above.children[node.path[above.hi * STEP:(above.hi + 1) * STEP]]
+        return above
+
+    def hang(self, node: Node, parent: Node) -> Node:
+        parent.children[node.first()] = node
+        self.handles[node.prefix(fattest(node.lo, node.hi))] = node
+        return node
+
+    def insert(self, path: bytes, start: Node) -> Node:
+        """The node that ends at ``path``; ``start`` is a node known to be on its way."""
+        n = len(path) // STEP
+        node, exit_node = self.locate(path, start)
+        if exit_node is not None:
+            at = shared_steps(path, exit_node.path[:exit_node.hi * STEP], node.hi)
+            del self.handles[exit_node.prefix(fattest(exit_node.lo, exit_node.hi))]
+            upper = self.hang(Node(exit_node.path, exit_node.lo, at), node)
+            exit_node.lo = at
+            self.hang(exit_node, upper)
+            node = upper
+        return node if node.hi == n else self.hang(Node(path, node.hi, n), node)
+
+    def insert_batch(self, paths: list[bytes]) -> list[Node]:
+        """Locate all paths of a batch in the trie so far, then insert each from the node found (its extent stays a node)."""
+        found = [self.locate(path, self.root)[0] for path in paths]
+        return [self.insert(path, node) for path, node in zip(paths, found)]
+
+
+NODE = ("id binary, parent binary, parent_conv long, conv_id long, depth long, n_convs long, n_children long, n_leaves long, "
+        "saved_tokens long, shared boolean, chars long, prefix binary, root binary")
+_TYPES = {"binary": pa.binary(), "long": pa.int64(), "boolean": pa.bool_()}
+NODE_SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in NODE.split(", "))])
+
+
+#: Key of the whole trie's root; a node's key is that of its level's root, hashed with the steps from there (if any).
+TOP = hashlib.md5(b"").digest()
+
+
+def key_of(root: bytes, prefix: bytes) -> bytes:
+    return hashlib.md5(root + prefix).digest() if prefix else root
+
+
+def key_column(root: Column, prefix: Column) -> Column:
+    return F.when(F.octet_length(prefix) > 0, F.unhex(F.md5(F.concat(root, prefix)))).otherwise(root)
+
+
+def expanded(trie: ZFastTrie, root: bytes, ends: tuple[bytes, bytes], base: int) -> Iterator[tuple]:
+    """One row of ``NODE`` for each depth of each edge.
+
+    Nodes on the way of ``ends``, the first and last path of the range, may be in other ranges too: they are ``shared``,
+    and their children, leaves and savings are those of the parts below that are complete here."""
+    order, stack = [], [(trie.root, None)]
+    while stack:
+        node, parent = stack.pop()
+        order.append((node, parent))
+        stack.extend((child, node) for child in node.children.values())
+    for node, _ in reversed(order):  # children before parents
+        for child in node.children.values():
+            node.count += child.count
+            node.least = child.least if node.least is None else min(node.least, child.least)
+    sums: dict[int, list] = {}
+    for node, parent in reversed(order):
+        chars = [int.from_bytes(node.path[d * STEP - 8:d * STEP], "big") for d in range(node.lo + 1, node.hi + 1)]
+        open_to = max(shared_steps(node.path[:node.hi * STEP], x) for x in ends)
+        kids, leaves, saved = node.more
+        for child in node.children.values():
+            of = sums.pop(id(child))
+            if of[3] <= node.hi:  # the child's first node is complete
+                kids, leaves, saved = kids + 1, leaves + of[1], saved + of[2]
+        whole = open_to < node.hi
+        leaves += 1 if whole and not kids else 0
+        for d in range(node.hi, node.lo, -1):
+            key, up = key_of(root, node.prefix(d)), key_of(root, node.prefix(d - 1))
+            size = chars[d - node.lo - 1]
+            if d > open_to:
+                saved += (node.count - 1) * size
+                # the least member of the node above is looked up by key where that node is shared or of another level
+                above = None if d - 1 <= open_to else node.least if d - 1 > node.lo else parent.least
+                yield (key, up, above, node.least, base + d, node.count, kids, leaves, saved, False, size, None, None)
+                kids = 1
+            else:
+                yield (key, up, None, node.least, base + d, node.count, kids, leaves, saved, True, size, node.prefix(d), root)
+                kids, leaves, saved = 0, 0, 0
+        sums[id(node)] = [kids, leaves, saved, open_to]
+        if node is trie.root:
+            yield (root, None, None, node.least, base, node.count, kids, leaves, saved, True, 0, b"", root)
+
+
+def nodes_of_ranges(paths: DataFrame, base: int) -> DataFrame:
+    """Nodes of the distinct ``paths`` (root, path, n, least, kids, leaves, saved), by range of (root, path)."""
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, root, first, last = None, None, None, None
+
+        def laid() -> Iterator[pa.RecordBatch]:
+            rows: list[tuple] = []
+            for row in expanded(trie, root, (first, last), base):
+                rows.append(row)
+                if len(rows) >= 5_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(NODE_SCHEMA.names, r)) for r in rows], NODE_SCHEMA)
+                    rows = []
+            yield pa.RecordBatch.from_pylist([dict(zip(NODE_SCHEMA.names, r)) for r in rows], NODE_SCHEMA)
+
+        for batch in batches:
+            roots, found, *counts = (batch.column(c).to_pylist() for c in ("root", "path", "n", "least", "kids", "leaves", "saved"))
+            at = 0
+            while at < len(roots):
+                if roots[at] != root or trie is None:
+                    if trie is not None:
+                        yield from laid()
+                    trie, root, first = ZFastTrie(), roots[at], found[at]
+                end = next((i for i in range(at, len(roots)) if roots[i] != root), len(roots))
+                for i, node in enumerate(trie.insert_batch(found[at:end]), at):
+                    node.count, node.least, node.more = counts[0][i], counts[1][i], (counts[2][i], counts[3][i], counts[4][i])
+                last, at = found[end - 1], end
+        if trie is not None:
+            yield from laid()
+        give_back()
+
+    ranges = max(1, -(-paths.count() // RANGE_PATHS), int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = paths.repartitionByRange(ranges, "root", "path").sortWithinPartitions("root", "path")
+    return materialize(dealt.mapInArrow(build, NODE), "trie-nodes")
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """The shared nodes of all ranges, one row each, with whole sums.
+
+    A node's leaves and savings are those of its shared descendants' complete parts: each shared node adds its own to
+    all nodes on its way, whose keys follow from its prefix."""
+    same = ["id", "parent", "depth", "chars", "prefix", "root"]
+    rows = found.where("shared").groupBy(*same).agg(F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"), F.sum("n_children").alias("n_children"),
+                                                    F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+    rows = materialize(rows, "trie-shared")
+    kids = rows.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("more"))
+    rows = rows.join(kids, "id", "left").withColumn("n_children", F.col("n_children") + F.coalesce("more", F.lit(0))).drop("more")
+    rows = materialize(rows.withColumn("n_leaves", F.col("n_leaves") + F.when(F.col("n_children") == 0, 1).otherwise(0)).withColumn(
+        "saved_tokens", F.col("saved_tokens") + (F.col("n_convs") - 1) * F.col("chars")), "trie-shared-own")
+    up = F.explode(F.sequence(F.lit(0), (F.octet_length("prefix") / STEP).cast("int"))).alias("a")
+    ways = rows.select("root", "prefix", "n_leaves", "saved_tokens", up)
+    key = key_column(F.col("root"), F.substring(F.col("prefix"), F.lit(1), F.col("a") * STEP))
+    sums = ways.groupBy(key.alias("id")).agg(F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
+    return materialize(rows.drop("n_leaves", "saved_tokens").join(sums, "id"), "trie-merged")
 
 
 # ---- output -----------------------------------------------------------------------
 
 def end_digests(ends: DataFrame) -> DataFrame:
-    """(n, k1, k2, ends_sha256): SHA-256 of the comma-joined conv_ids of each sequence, in ascending order."""
-    names = ("n", "k1", "k2")
+    """(id, ends_sha256): SHA-256 of the comma-joined conv_ids of ``ends`` (id, conv_id), in ascending order."""
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        key, ids, first, size = None, [], None, 0
+        key, ids, first, size, waiting = None, [], None, 0, 0
         for batch in batches:
-            for *k, c in zip(*(batch.column(x).to_pylist() for x in (*names, "conv_id"))):
+            for k, c in zip(batch.column("id").to_pylist(), batch.column("conv_id").to_pylist()):
                 if k != key or size > PIECE:
                     if ids:
-                        held.append((*key, first, ",".join(ids)))
+                        held.append((key, first, ",".join(ids)))
+                        waiting += size
                     key, ids, first, size = k, [], c, 0
-                    if len(held) >= 10_000 or sum(len(x[-1]) for x in held[-8:]) > 4 * PIECE:
+                    if len(held) >= 10_000 or waiting > 4 * PIECE:
                         yield rows(held)
-                        held = []
+                        held, waiting = [], 0
                 ids.append(str(c))
                 size += len(ids[-1]) + 1
         if ids:
-            held.append((*key, first, ",".join(ids)))
+            held.append((key, first, ",".join(ids)))
         yield rows(held)
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
-        schema = pa.schema([*[(x, pa.int64()) for x in (*names, "first")], ("ids", pa.string())])
+        schema = pa.schema([("id", pa.binary()), ("first", pa.int64()), ("ids", pa.string())])
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in held], schema)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sha = None, None
         for batch in batches:
             out = []
-            for *k, ids in zip(*(batch.column(x).to_pylist() for x in (*names, "ids"))):
+            for k, ids in zip(batch.column("id").to_pylist(), batch.column("ids").to_pylist()):
                 if k == key:
                     sha.update(b"," + ids.encode())
                     continue
                 if sha:
-                    out.append((*key, sha.hexdigest()))
+                    out.append((key, sha.hexdigest()))
                 key, sha = k, hashlib.sha256(ids.encode())
             yield results(out)
-        yield results([(*key, sha.hexdigest())] if sha else [])
+        yield results([(key, sha.hexdigest())] if sha else [])
 
     def results(out: list[tuple]) -> pa.RecordBatch:
-        schema = pa.schema([*[(x, pa.int64()) for x in names], ("ends_sha256", pa.string())])
+        schema = pa.schema([("id", pa.binary()), ("ends_sha256", pa.string())])
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
 
-    dealt = ends.select(*names, "conv_id").repartitionByRange(*names, "conv_id").sortWithinPartitions(*names, "conv_id")
-    pieces = dealt.mapInArrow(join, "n long, k1 long, k2 long, first long, ids string")
-    gathered = pieces.repartition(*[F.col(x) for x in names]).sortWithinPartitions(*names, "first").select(*names, "ids")
-    return gathered.mapInArrow(digest, "n long, k1 long, k2 long, ends_sha256 string")
-
-
-def nodes_of(sequences: DataFrame, conv_ids: DataFrame) -> DataFrame:
-    """One row per distinct prefix of the ``sequences`` (conv_id, d, tok, chars) of ``conv_ids`` (with or without turns)."""
-    steps = prefixes(sequences)
-    last = steps.groupBy("conv_id").agg(F.max_by(F.struct("d", "k1", "k2"), "d").alias("last")).select("conv_id", "last.*")
+    dealt = ends.select("id", "conv_id").repartitionByRange("id", "conv_id").sortWithinPartitions("id", "conv_id")
+    pieces = dealt.mapInArrow(join, "id binary, first long, ids string")
+    gathered = pieces.repartition("id").sortWithinPartitions("id", "first").select("id", "ids")
+    return gathered.mapInArrow(digest, "id binary, ends_sha256 string")
+
+
+def nodes_of(sequences: DataFrame, conv_ids: DataFrame, size: int = SEGMENT) -> DataFrame:
+    """One row per distinct prefix of the ``sequences`` (conv_id, d, step) of ``conv_ids`` (with or without turns)."""
+    cut = segments(sequences, conv_ids, size)
+    deepest = cut.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return _columns(sequences.sparkSession.createDataFrame([], NODE).withColumn("ends_sha256", F.lit(None).cast("string")))
+    end = key_column(F.col("root"), F.col("path"))
+    levels: list[DataFrame] = []
+    for level in range(deepest + 1):
+        rows = cut.where(F.col("level") == level).select("conv_id", "path")
+        if level == 0:
+            rows = rows.withColumn("root", F.lit(TOP))
+        else:
+            rows = rows.join(levels[-1].select("conv_id", F.col("id").alias("root")), "conv_id")
+        rows = rows.withColumn("id", end)
+        levels.append(materialize(rows, "trie-level") if deepest else rows)
+
+    found: list[DataFrame] = []
+    joints: list[DataFrame] = []  # nodes that a later level hangs on
+    below = None
     zero = F.lit(0).cast("long")
-    ends = conv_ids.join(last, "conv_id", "left").select("conv_id", *[F.coalesce(a, zero).alias(b) for a, b in (("d", "n"), ("k1", "k1"), ("k2", "k2"))])
-    ends = materialize(ends, "trie-ends")
-    seqs = materialize(ends.groupBy("n", "k1", "k2").agg(F.min("conv_id").alias("seq"), F.count(F.lit(1)).alias("weight")), "trie-sequences")
-    steps = materialize(steps.withColumnRenamed("conv_id", "seq").join(seqs.select("seq"), "seq", "left_semi"), "trie-steps")
-
-    trie = Trie(seqs, steps)
-    solid, early = seqs.where(F.col("n") > 0).select("seq", "n"), F.pmod(F.xxhash64("seq"), F.lit(FIRST_BATCH)) == 0
-    trie.insert(solid.where(early))
-    trie.insert(solid.where(~early))
-
-    digests = end_digests(ends).withColumnsRenamed({"n": "depth", "k1": "__k1", "k2": "__k2"})
+    for level in range(deepest, -1, -1):
+        paths = levels[level].groupBy("root", "path", "id").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("least"))
+        if below is None:
+            paths = paths.select("root", "path", "n", "least", zero.alias("kids"), zero.alias("leaves"), zero.alias("saved"))
+        else:
+            paths = paths.join(below, "id", "left").select("root", "path", "n", "least", *[F.coalesce(c, zero).alias(c) for c in ("kids", "leaves", "saved")])
+        nodes = nodes_of_ranges(materialize(paths, "trie-paths"), level * size)
+        common = merged(nodes)
+        tops = common.where(F.col("parent").isNull())
+        below = tops.select("id", F.col("n_children").alias("kids"), F.col("n_leaves").alias("leaves"), F.col("saved_tokens").alias("saved"))
+        names = [n for n in NODE_SCHEMA.names if n not in ("shared", "chars", "prefix", "root")]
+        own = common if level == 0 else common.where(F.col("parent").isNotNull())
+        found += [nodes.where(~F.col("shared")).select(names), own.withColumn("parent_conv", F.lit(None).cast("long")).select(names)]
+        joints.append(own.select("id", "conv_id"))
+        if level < deepest:
+            joints.append(nodes.where(~F.col("shared") & (F.col("depth") == (level + 1) * size)).select("id", "conv_id"))
+
+    over = materialize(reduce(DataFrame.unionByName, joints).withColumnsRenamed({"id": "parent", "conv_id": "over"}), "trie-joints")
+    every = reduce(DataFrame.unionByName, found)
+    open_parent = F.when(F.col("parent_conv").isNull(), F.col("parent"))
+    every = every.withColumn("ask", open_parent).join(over.withColumnRenamed("parent", "ask"), "ask", "left")
+    last = [levels[i].join(levels[i + 1].select("conv_id"), "conv_id", "left_anti") if i < deepest else levels[i] for i in range(deepest + 1)]
+    digests = end_digests(reduce(DataFrame.unionByName, [x.select("id", "conv_id") for x in last]))
+    return _columns(every.withColumn("parent_conv", F.coalesce("parent_conv", "over")).join(digests, "id", "left"))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
     nothing = hashlib.sha256(b"").hexdigest()
-    summing, root = summed(trie) if trie.hung else (None, _bare(seqs))
-    root_rows = root.select(F.col("least").alias("conv_id"), zero.alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children",
-                            "n_leaves", F.col("below").alias("saved_tokens"), zero.alias("k1"), zero.alias("k2"))
-    every = root_rows
-    if summing is not None:
-        above = summing.select(F.col("rep").alias("__rep"), F.col("hi").alias("__hi"), F.col("least").alias("over"))
-        tops = summing.where("top").select("rep", "host", "depth").join(above, (F.col("host") == F.col("__rep")) & (F.col("depth") == F.col("__hi")), "left")
-        root_least = root.select(F.col("least").alias("root_least"))
-        tops = materialize(tops.select("rep", "over", F.col("depth").alias("start")).join(F.broadcast(root_least)), "trie-tops")
-        places = summing.select("rep", "hi", F.struct("hi", "lo", "least", "n_convs", "n_children", "n_leaves", "below", F.col("upto").alias("until")).alias("node"))
-        edge = steps.join(tops.withColumnRenamed("rep", "seq"), "seq").where(F.col("d") > F.col("start"))
-        edge = edge.join(places, (F.col("seq") == F.col("rep")) & (F.col("d") == F.col("hi")), "left")
-        edge = edge.select("seq", "d", "k1", "k2", "chars", "upto", "start", F.coalesce("over", "root_least").alias("over"), F.col("node").alias("own"))
-        edge = running(edge, ["seq"], [F.col("d").desc()], lasts={"node": F.col("own")})
-        # the next depth up: on the same edge, the edge above (found the other way round), or the host
-        edge = running(edge, ["seq"], [F.col("d").asc()], lasts={"past": F.col("own")}, before=True)
-        parent = F.when(F.col("d") - 1 == F.col("start"), F.col("over")).when(F.col("d") - 1 == F.col("node.lo"), F.col("past.least")).otherwise(F.col("node.least"))
-        saved = F.col("node.below") + (F.col("node.n_convs") - 1) * (F.col("node.until") - F.col("upto") + F.col("chars"))
-        every = every.unionByName(edge.select(
-            F.col("node.least").alias("conv_id"), F.col("d").alias("depth"), parent.alias("parent_conv_id"), F.col("node.n_convs").alias("n_convs"),
-            F.when(F.col("d") == F.col("node.hi"), F.col("node.n_children")).otherwise(1).alias("n_children"),
-            F.col("node.n_leaves").alias("n_leaves"), saved.alias("saved_tokens"), "k1", "k2"))
-    ended = (every["depth"] == digests["depth"]) & (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2"))
-    return every.join(digests, ended, "left").select(
-        "conv_id", every["depth"].cast("long").alias("depth"), "parent_conv_id", "n_convs", F.col("n_children").cast("long").alias("n_children"),
-        F.col("n_leaves").cast("long").alias("n_leaves"), "saved_tokens", F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256"))
-
-
-def _bare(seqs: DataFrame) -> DataFrame:
-    """The root where no sequence has a turn; none where there is no sequence."""
-    zero = F.lit(0).cast("long")
-    return seqs.agg(F.sum("weight").alias("n_convs"), F.min("seq").alias("least")).where(F.col("n_convs") > 0).select(
-        "n_convs", "least", F.lit(1).cast("long").alias("n_leaves"), zero.alias("n_children"), zero.alias("below"))
+    return rows.select("conv_id", "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
+                       F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256"))
 
 
-def trie_of(conversations: DataFrame, every: int = 100, heads: int = 6) -> DataFrame:
+def trie_of(conversations: DataFrame, every: int = 100, heads: int = 6, size: int = SEGMENT) -> DataFrame:
     """The nodes of the rebuilt ``conversations``."""
-    sequences, ids = rebuilt(turns(conversations), every, heads)
-    return nodes_of(sequences, materialize(ids, "trie-conversations"))
+    return nodes_of(*rebuilt(turns(conversations), every, heads), size)
