@@ -1,7 +1,8 @@
 """Licence scan (operator 10).
 
-Units of a file are its lines (headers) and its text as a whole (licence files).
-A unit is compared with every template by the cosine of sparse TF-IDF vectors
+Units of a file are its lines, its blocks (paragraphs of several lines, and runs
+of comment lines, so that a notice wrapped over lines is one unit) and its text
+as a whole (licence files).  A unit is compared with every template by the cosine of sparse TF-IDF vectors
 over lower-cased runs of letters and digits.  Inverse document frequencies of
 the templates' terms are counted over all files; other terms, which only
 lengthen a unit's vector, get the templates' mean.
@@ -9,7 +10,7 @@ lengthen a unit's vector, get the templates' mean.
 Most units share nothing telling with a template.  For each template, its
 lightest terms whose joint weight stays below the threshold cannot reach it
 alone (Cauchy-Schwarz), so a unit must have one of the others: an exact test
-inside the row.  Only units that pass are exploded to terms, each distinct unit
+inside the row, made for the whole text first and then for each unit.  Only units that pass are exploded to terms, each distinct unit
 once, and scored by joins with the template vectors (a table of fixed size).
 
 A file's own licence is its best unit.  A file that is named like a licence
@@ -33,6 +34,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -41,18 +43,50 @@ from pyspark.sql import functions as F
 from roadpulse.llm.common import materialize
 
 # fixed values: notices and texts of public licences
+_BSD_GRANT = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+              "following conditions are met:")
+_BSD_SOURCE = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+               "following disclaimer.")
+_BSD_BINARY = ("2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+               "following disclaimer in the documentation and/or other materials provided with the distribution.")
+_BSD_NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission.")
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {what} as published by the "
+    "Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is "
+    "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {what} for more details. You should have received a copy of "
+    "the {what} along with this program. If not, see https://www.gnu.org/licenses/.")
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ "
         "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+        "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License.",
+    ],
+    "BSD-2-Clause": [
+        "Licensed under the BSD 2-Clause License",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_WARRANTY}",
     ],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License",
         "SPDX-License-Identifier: BSD-3-Clause",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        f"{_BSD_GRANT} {_BSD_SOURCE} {_BSD_BINARY} {_BSD_NAMES} {_BSD_WARRANTY}",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": [
@@ -63,19 +97,44 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     ],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "SPDX-License-Identifier: GPL-2.0",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        _GNU_NOTICE.format(what="GNU General Public License", version=2),
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3",
         "SPDX-License-Identifier: GPL-3.0",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        _GNU_NOTICE.format(what="GNU General Public License", version=3),
+    ],
+    "ISC": [
+        "Licensed under the ISC License",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS "
+        "IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+        "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "SPDX-License-Identifier: LGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        _GNU_NOTICE.format(what="GNU Lesser General Public License", version=3),
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"],
     "MIT": [
         "Released under the MIT License",
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE "
         "SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
@@ -85,6 +144,8 @@ TEMPLATES = {
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
 }
@@ -138,13 +199,32 @@ def telling(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(keep)
 
 
+#: A line that begins like a comment.
+COMMENT = r"^[ \t]*(#|//|/?\*|--|;|%|<!--)"
+CUT = "\x00"
+
+
+def blocks(lines: Column) -> Column:
+    """Texts of several lines: paragraphs (runs of lines with a letter or digit), and runs of comment lines."""
+    def runs(inside: Callable[[Column], Column]) -> Column:
+        marked = F.array_join(F.transform(lines, lambda x: F.when(inside(x), x).otherwise(CUT)), "\n")
+        return F.split(marked, CUT)
+
+    every = F.concat(runs(lambda x: x.rlike(r"[\p{L}\p{N}]")), runs(lambda x: x.rlike(COMMENT)))
+    return F.array_distinct(F.filter(every, lambda x: F.contains(F.trim(x, F.lit("\n")), F.lit("\n"))))
+
+
 def units(files: DataFrame, triggers: list[str]) -> DataFrame:
     """(rid, id, path, units): every row with its candidate units."""
     as_unit = lambda x, whole: F.struct(F.lit(whole).alias("whole"), terms_of(x).alias("terms"))
-    every = F.concat(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: as_unit(x, False)),
-                     F.array(as_unit(F.col("text"), True)))
-    candidates = F.filter(every, lambda u: F.arrays_overlap(u["terms"], strings(triggers)))
-    return files.select(F.monotonically_increasing_id().alias("rid"), "id", "path", candidates.alias("units"))
+    told = lambda u: F.arrays_overlap(u["terms"], strings(triggers))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    parts = F.transform(F.concat(lines, blocks(lines)), lambda x: as_unit(x, False))
+    # no unit has a term that the whole text lacks
+    whole = as_unit(F.col("text"), True)
+    found = files.select(F.monotonically_increasing_id().alias("rid"), "id", "path", "text", whole.alias("all"))
+    candidates = F.when(told(F.col("all")), F.concat(F.filter(parts, told), F.array("all"))).otherwise(F.slice(F.array("all"), 1, 0))
+    return found.select("rid", "id", "path", candidates.alias("units"))
 
 
 def unit_scores(found: DataFrame, vectors: DataFrame, weights: DataFrame, other: float) -> DataFrame:
@@ -203,5 +283,6 @@ def inherited(own: DataFrame) -> DataFrame:
     up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("at")))
     up = F.when(F.col("dir") == "", F.slice(up, 1, 1)).otherwise(up)
     above = dirs.select("dir", F.explode(up).alias("a")).select("dir", "a.depth", "a.at")
-    near = above.join(files, "at").groupBy("dir").agg(F.max_by("f", "depth").alias("f"))
+    # written, so that a root directory, under which all others meet, can be split or sent along in the join
+    near = above.join(materialize(files, "licence-files"), "at").groupBy("dir").agg(F.max_by("f", "depth").alias("f"))
     return near.select("dir", F.col("f.licence").alias("dir_licence"), (-F.col("f.minus")).alias("dir_score"))

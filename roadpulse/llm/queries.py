@@ -49,8 +49,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of nested directories; a short document with a licence in it is the licence file of its project."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    block = lambda n: F.concat(F.lit("d"), F.floor(F.col("doc_id") / n).cast("string"))
+    project = F.concat_ws("/", "source", block(200))
+    notice = (F.length("text") < 500) & F.col("text").rlike(r"(?i)\blicen[cs]e")
+    path = F.when(notice, F.concat_ws("/", project, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string")))).otherwise(
+        F.concat_ws("/", project, "lang", block(20), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     return licences.scanned(docs.select("doc_id", path.alias("path"), "text"))
 
 
