@@ -14,9 +14,13 @@ one mask fits between the substitutions: the seeds find every pair that the
 verification accepts.
 
 Only built-in functions are used.  The hash join broadcasts the benchmark's
-hashes if they are counted below ``broadcast_rows``; a larger benchmark is
-shuffle-joined.  What leaves the join is one row per document, item and
-diagonal, so a passage that many documents share costs one row in each.
+hashes if they are measured below ``broadcast_bytes``; a larger benchmark is
+shuffle-joined.  Starts in a row with the same hash (a repeated word) are one
+span on either side, and two spans that meet name a range of diagonals, so a
+word repeated n times over m costs n + m rows and not n x m.  What leaves the
+join is one row per document, item and diagonal, so a passage that many
+documents share costs one row in each; every diagonal is laid by itself, over
+the words of its row alone.
 
 Hits, verification and removal go by a key of the row's own (id and text), so
 rows that merely share a doc_id, or have none, do not answer for each other;
@@ -34,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import let, materialize, row_key, small
+from roadpulse.llm.common import BROADCAST_BYTES, let, materialize, row_key, small
 
 
 @dataclass(frozen=True)
@@ -43,7 +47,7 @@ class Seeds:
     masks: tuple[str, ...] = ("11110011", "11010111")
     window: int = 13
     min_matches: int = 11
-    broadcast_rows: int = 200_000
+    broadcast_bytes: int = BROADCAST_BYTES
 
 
 def text_words(text: Column) -> Column:
@@ -69,12 +73,25 @@ def seed_hashes(words: Column, masks: tuple[str, ...]) -> Column:
     return F.when(F.size(words) >= span, let(words, of)).otherwise(none)
 
 
+def spans(hashes: Column, starts: Column) -> Column:
+    """array<struct<k, last, seed>>: the runs of equal hashes of one mask, of an array with ``starts`` hashes for each mask."""
+
+    def of(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(h) - 1)
+        begins = F.filter(at, lambda i: (i % starts == 0) | (F.get(h, i) != F.get(h, i - 1)))
+        return let(begins, lambda b: F.transform(b, lambda i, n: F.struct(
+            i.alias("k"), (F.coalesce(F.get(b, n + 1), F.size(h)) - 1).alias("last"), F.get(h, i).alias("seed"))))
+
+    none = F.array().cast("array<struct<k:int,last:int,seed:bigint>>")
+    return F.when(F.size(hashes) > 0, let(hashes, of)).otherwise(none)
+
+
 def hash_rows(df: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    """One row per seed hash: (keep..., pos, seed); ``df`` has a ``words`` column."""
-    span = len(masks[0])
-    rows = df.select(*keep, (F.size("words") - (span - 1)).alias("starts"),
-                     F.posexplode(seed_hashes(F.col("words"), masks)).alias("k", "seed"))
-    return rows.select(*keep, (F.col("k") % F.col("starts")).alias("pos"), "seed")
+    """One row per span of equal seed hashes: (keep..., pos, last, seed); ``df`` has a ``words`` column."""
+    starts = F.col("starts")
+    rows = df.select(*keep, (F.size("words") - (len(masks[0]) - 1)).alias("starts"), seed_hashes(F.col("words"), masks).alias("hashes"))
+    rows = rows.select(*keep, "starts", F.explode(spans(F.col("hashes"), starts)).alias("s"))
+    return rows.select(*keep, (F.col("s.k") % starts).alias("pos"), (F.col("s.last") % starts).alias("last"), F.col("s.seed").alias("seed"))
 
 
 def short_masks(items: DataFrame, span: int) -> list[tuple[str, ...]]:
@@ -91,9 +108,10 @@ def seed_hits(docs: DataFrame, items: DataFrame, seeds: Seeds) -> DataFrame:
         these = items.where(F.size("words") == len(masks[0])) if full else items
         left = hash_rows(docs, ["k1", "k2"], masks)
         right = materialize(hash_rows(these.withColumn("n", F.size("words")), ["item_id", "n"], masks)
-                            .withColumnRenamed("pos", "item_pos"), "item-seeds")
-        found = left.join(small(right, seeds.broadcast_rows), "seed").select(
-            "k1", "k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "n").distinct()
+                            .withColumnsRenamed({"pos": "item_pos", "last": "item_last"}), "item-seeds")
+        diagonals = F.sequence(F.col("pos") - F.col("item_last"), F.col("last") - F.col("item_pos"))
+        found = left.join(small(right, seeds.broadcast_bytes), "seed").select(
+            "k1", "k2", "item_id", F.explode(diagonals).alias("diagonal"), "n").distinct()
         hits = found if hits is None else hits.union(found)
     return hits.distinct()
 
@@ -122,17 +140,16 @@ def leaked_rows(docs: DataFrame, benchmark: DataFrame, seeds: Seeds, doc_id: str
     worded = plain.select("k1", "k2", text_words(F.col("text")).alias("words"))
     items = materialize(benchmark.select(F.col(item_id).alias("item_id"), text_words(F.col(item_text)).alias("words"))
                         .where(F.size("words") > 0).distinct(), "benchmark-words")
-    per_row = seed_hits(worded, items, seeds).groupBy("k1", "k2").agg(
-        F.collect_set(F.struct("item_id", "diagonal", "n")).alias("hits"))
-    per_row = materialize(per_row, "seed-hits")
-    laid = plain.join(per_row, ["k1", "k2"]).select(
-        "doc_id", "k1", "k2", "hits", text_words(F.col("text")).alias("words"))
-    cut = F.transform("hits", lambda h: F.struct(
-        h["item_id"].alias("item_id"), h["n"].alias("n"),
-        F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda j: F.get(F.col("words"), j + h["diagonal"])).alias("under")))
-    pairs = laid.select("doc_id", "k1", "k2", F.explode(cut).alias("h")).select("doc_id", "k1", "k2", "h.item_id", "h.n", "h.under")
+    hits = materialize(seed_hits(worded, items, seeds), "seed-hits")
+    met = materialize(hits.select("k1", "k2").distinct(), "rows-with-hits")
+    # the words of the rows with a hit, once each; rows equal in id and text are one
+    words = plain.join(small(met, seeds.broadcast_bytes), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(
+        "doc_id", "k1", "k2", text_words(F.col("text")).alias("words"))
+    laid = hits.join(materialize(words, "words-with-hits"), ["k1", "k2"])
+    under = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get(F.col("words"), j + F.col("diagonal")))
+    pairs = laid.select("doc_id", "k1", "k2", "item_id", "n", under.alias("under"))
     right = items.withColumnRenamed("words", "item_words").withColumnRenamed("item_id", "right_id")
-    joined = pairs.join(small(right, seeds.broadcast_rows // 10), F.col("item_id").eqNullSafe(F.col("right_id")) & (F.size("item_words") == F.col("n")))
+    joined = pairs.join(small(right, seeds.broadcast_bytes), F.col("item_id").eqNullSafe(F.col("right_id")) & (F.size("item_words") == F.col("n")))
     agree = F.zip_with("under", "item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     scored = joined.select("doc_id", "k1", "k2", "item_id", "n", best_window(agree, seeds.window).alias("best"),
                            F.aggregate(agree, F.lit(0), lambda t, x: t + x).alias("aligned"))
@@ -155,4 +172,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds(), doc_id:
     found = leaked_rows(docs, benchmark, seeds, doc_id, text, "item_id", "text")
     found = materialize(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct(), "leaked-rows")
     k1, k2 = row_key(docs[doc_id], docs[text])
-    return docs.join(small(found, seeds.broadcast_rows), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
+    return docs.join(small(found, seeds.broadcast_bytes), (k1 == F.col("__k1")) & (k2 == F.col("__k2")), "left_anti")
