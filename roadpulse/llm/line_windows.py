@@ -3,20 +3,21 @@
 A document's lines are its text split at line feeds; blank lines neither start
 nor fill a window.  Every run of three consecutive non-blank lines (trimmed) is
 hashed to 128 bits.  A window that occurs more than once anywhere keeps its
-first occurrence, by (doc_id, text hash, position); the positions covered by
-later occurrences are merged per document and their lines removed.  The first
+first occurrence, by (doc_id, text hash, row, position); the positions covered by
+later occurrences are merged per row and their lines removed.  The first
 occurrence of any line's content is never removed, since a removed line always
 has an equal one in an earlier window.
 
 Windows are counted with a map-side combining aggregate (a window that a third
 of all documents share is one row per input partition) and only repeated ones
 are joined back; the engine may split that join where one window is hot.
-Covered positions are gathered per document, bounded by its length, and the
-texts are joined once by document.
+Rows are written once with a number of their own, so that rows equal in doc_id
+and text are told apart too.  Covered positions are gathered per row, bounded
+by its length, and the texts are joined once by row.
 
 Defined cases: null texts stay null, empty ones empty; documents of fewer than
-three non-blank lines have no window and stay as they are; rows that are equal
-in doc_id and text are one document and are treated alike; a null doc_id sorts
+three non-blank lines have no window and stay as they are; of rows equal in
+doc_id and text the first keeps what the others lose; a null doc_id sorts
 first; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -53,27 +54,27 @@ def windows(text: Column, k: int) -> Column:
 
 
 def covered(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, removed): the positions to remove, per document that has any."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), k)).alias("w"))
-    rows = materialize(rows.select("doc_id", "text_hash", "w.h1", "w.h2", "w.places"), "line-windows")
-    place = F.struct("doc_id", "text_hash", F.get("places", F.lit(0)).alias("at"))
+    """(row, removed): the positions to remove, per row of ``docs`` (row, doc_id, text) that has any."""
+    rows = docs.select("row", "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(windows(F.col("text"), k)).alias("w"))
+    rows = materialize(rows.select("row", "doc_id", "text_hash", "w.h1", "w.h2", "w.places"), "line-windows")
+    place = F.struct("doc_id", "text_hash", "row", F.get("places", F.lit(0)).alias("at"))
     repeated = (rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
                 .where("n > 1").select("h1", "h2", "first"))
     repeated = materialize(repeated, "repeated-windows")
     later = rows.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "text_hash", F.explode("places").alias("i")).groupBy("doc_id", "text_hash").agg(
-        F.collect_set("i").alias("removed"))
+    return later.select("row", F.explode("places").alias("i")).groupBy("row").agg(F.collect_set("i").alias("removed"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = LINES_PER_WINDOW) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) for every row of ``docs``."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    gone = materialize(covered(plain, k), "covered-lines").select(F.col("doc_id").alias("gone_id"), "text_hash", "removed")
+    plain = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "line-rows")
+    gone = materialize(covered(plain, k), "covered-lines")
     # always a shuffle join: how many documents repeat something grows with the input
-    joined = plain.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("text_hash")), "left")
+    joined = plain.join(gone.hint("merge"), "row", "left")
     lines = F.split(F.col("text"), "\n")
-    left = let(F.map_from_arrays("removed", F.transform("removed", lambda i: F.lit(True))),
-               lambda m: F.array_join(F.filter(lines, lambda x, i: ~F.map_contains_key(m, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "removed")  # by a hash set, in order
+    left = let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
     return joined.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left).alias("text"),
                          F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
                          F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))
