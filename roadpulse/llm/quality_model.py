@@ -135,7 +135,8 @@ def scored(docs: DataFrame, opts: Quality = Quality(), doc_id: str = "doc_id", t
     """(doc_id, score, kept) for every row of ``docs``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     share = min(1.0, opts.fit_rows / max(docs.count(), 1))
-    chosen = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)
+    # by id and text, so that rows without an id, or with the same, are chosen one by one
+    chosen = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)
     marks = voted(rows, "doc_id", "text").select("pattern", F.when(chosen, F.coalesce("text", F.lit(""))).alias("text"))
     marks = materialize(marks, "vote-patterns")
     counts = marks.groupBy("pattern").count().orderBy("pattern").collect()  # at most 3 ** labellers rows
@@ -143,8 +144,10 @@ def scored(docs: DataFrame, opts: Quality = Quality(), doc_id: str = "doc_id", t
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     posterior, _ = expectation_maximisation([r["pattern"] for r in counts], [r["count"] for r in counts], opts)
     labels = docs.sparkSession.createDataFrame(list(posterior.items()), "pattern string, posterior double")
-    fit = marks.where(F.col("text").isNotNull()).join(F.broadcast(labels), "pattern")  # bounded like the counts
-    model = fitted(materialize(hashed(fit, opts).select("features", "posterior"), "fit-rows"), opts)
+    # equal texts are one row with their number as weight: a group of copies does not pass the bound
+    fit = marks.where(F.col("text").isNotNull()).groupBy("pattern", "text").agg(F.count(F.lit(1)).alias("n"))
+    fit = fit.join(F.broadcast(labels), "pattern")  # bounded like the counts
+    model = fitted(materialize(hashed(fit, opts).select("features", "posterior", "n"), "fit-rows"), opts)
     if model is None:
         mean = sum(posterior[r["pattern"]] * r["count"] for r in counts) / sum(r["count"] for r in counts)
         good = F.lit(float(mean))
@@ -155,8 +158,8 @@ def scored(docs: DataFrame, opts: Quality = Quality(), doc_id: str = "doc_id", t
 
 def fitted(rows: DataFrame, opts: Quality):
     """Logistic regression on soft labels: each row counts as good with its posterior and as bad with the rest."""
-    both = rows.select("features", F.lit(1.0).alias("label"), F.col("posterior").alias("weight")).union(
-        rows.select("features", F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight"))).where("weight > 0")
+    both = rows.select("features", F.lit(1.0).alias("label"), (F.col("posterior") * F.col("n")).alias("weight")).union(
+        rows.select("features", F.lit(0.0).alias("label"), ((1 - F.col("posterior")) * F.col("n")).alias("weight"))).where("weight > 0")
     if both.select("label").distinct().count() < 2:
         return None
     lr = LogisticRegression(weightCol="weight", regParam=opts.regularisation, maxIter=opts.iterations, standardization=True)
