@@ -303,20 +303,26 @@ def linked(nodes: DataFrame, kind: str, opts: SimHash) -> DataFrame:
 def grouped(docs: DataFrame, opts: SimHash = SimHash(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = materialize(with_fingerprints(docs, doc_id, text, opts.shingle), "fingerprints")
-    comps = fingerprint_components(prints, opts)
+    comps = materialize(fingerprint_components(prints, opts), "simhash-components")
     return prints.join(comps, "fp").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_components(prints: DataFrame, opts: SimHash) -> DataFrame:
     """(fp, comp, component_id) for every distinct fingerprint of (doc_id, fp)."""
+    labels = fingerprint_labels(prints, opts)
+    # written, so that a component with very many fingerprints can be split in the join
+    least = materialize(labels.groupBy("comp").agg(F.min("least").alias("component_id")), "simhash-least")
+    return labels.join(least, "comp").select("fp", "comp", "component_id")
+
+
+def fingerprint_labels(prints: DataFrame, opts: SimHash) -> DataFrame:
+    """(fp, comp, least) for every distinct fingerprint of (doc_id, fp): its component and its own smallest doc_id."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     start = nodes.select("fp", F.col("fp").alias("comp"))
     first = materialize(components(linked(start, "exact", opts)), "simhash-exact")
     merged = materialize(relabel(start, first), "simhash-merged")
     second = materialize(components(linked(merged, "spread", opts)), "simhash-spread")
-    labels = materialize(relabel(merged, second).join(nodes, "fp"), "simhash-labels")
-    least = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
-    return labels.join(least, "comp").select("fp", "comp", "component_id")
+    return materialize(relabel(merged, second).join(nodes, "fp"), "simhash-labels")
 
 
 def relabel(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -336,7 +342,7 @@ def one_of_each(docs: DataFrame, opts: SimHash = SimHash(), doc_id: str = "doc_i
     doc_id and text one stays."""
     k1, k2 = row_key(F.col(doc_id), F.col(text))
     prints = materialize(with_fingerprints(docs, doc_id, text, opts.shingle, (k1.alias("k1"), k2.alias("k2"))), "fingerprints")
-    comps = fingerprint_components(prints, opts)
+    comps = fingerprint_labels(prints, opts)
     # reduced by fingerprint first: many copies of one text are one row in the join
     least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp", "k1", "k2")).alias("row")
     chosen = prints.groupBy("fp").agg(least).join(comps.select("fp", "comp"), "fp")
