@@ -63,6 +63,8 @@ BLOCK = 512
 END_ID = 1
 CACHE = 200_000
 SEGMENT_TOKENS = 2_000_000
+#: octets of text that are cut at once, and segments of a file (a reader holds a whole file)
+TEXT_BYTES, FILE_SEGMENTS = 16 << 20, 32
 #: documents that are cut into pieces together
 ROWS = 4_000
 
@@ -233,6 +235,17 @@ class Encoder:
         return np.diff(ids.offsets.to_numpy()[first]), ids.values.to_numpy()
 
 
+def portions(batch: pa.RecordBatch, rows_at_once: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows_at_once`` rows and ``TEXT_BYTES`` octets of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, min(int(np.searchsorted(ends, before + TEXT_BYTES, "right")) - at, rows_at_once))
+        yield batch.slice(at, n)
+        at += n
+
+
 def lists(sizes: list[int], values: np.ndarray) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])), pa.array(values, pa.uint32()))
 
@@ -260,8 +273,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["segment"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows_at_once):
-                rows = batch.slice(at, rows_at_once)
+            for rows in portions(batch, rows_at_once):
                 n, tokens = encoder(tokenizer).texts(rows.column("text"), cache)
                 parts.append(np.insert(tokens, np.cumsum(n), end_id))
                 counts.append(n + 1)
@@ -276,7 +288,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
     key = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = rows.repartitionByRange(shards, *key) if shards else rows.repartitionByRange(*key)
     packed = dealt.sortWithinPartitions(*key).mapInArrow(pack, "segment binary")
-    packed.select(F.col("segment").cast("string")).write.mode("overwrite").text(folder)
+    packed.select(F.col("segment").cast("string")).write.mode("overwrite").option("maxRecordsPerFile", FILE_SEGMENTS).text(folder)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
