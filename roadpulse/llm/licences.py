@@ -8,7 +8,7 @@ the templates' terms are counted over all files; other terms, which only
 lengthen a unit's vector, get the templates' mean.
 
 Most units share nothing telling with a template.  For each template, its
-lightest terms whose joint weight stays below the threshold cannot reach it
+commonest terms whose joint weight stays below the threshold cannot reach it
 alone (Cauchy-Schwarz), so a unit must have one of the others: an exact test
 inside the row, made for the whole text first and then for each unit.  Only units that pass are exploded to terms, each distinct unit
 once, and scored by joins with the template vectors (a table of fixed size).
@@ -187,12 +187,12 @@ def unit_vector(terms: list[str], weight: dict[str, float]) -> dict[str, float]:
     return {t: x / norm for t, x in v.items()}
 
 
-def telling(vectors: list[dict[str, float]], least: float) -> list[str]:
-    """Terms of which a unit must have one to reach ``least`` with any template."""
+def telling(vectors: list[dict[str, float]], least: float, weight: dict[str, float]) -> list[str]:
+    """Terms of which a unit must have one to reach ``least`` with any template: all but each template's commonest."""
     keep = set()
     for v in vectors:
         light = 0.0
-        for t, x in sorted(v.items(), key=lambda i: (i[1], i[0])):
+        for t, x in sorted(v.items(), key=lambda i: (weight[i[0]], i[0])):
             light += x * x
             if math.sqrt(light) >= least * (1 - 1e-9):
                 keep.add(t)
@@ -249,7 +249,7 @@ def scanned(files: DataFrame, scan: Scan = Scan(), id: str = "doc_id", path: str
     vocabulary = sorted({t for _, _, terms in named for t in terms})
     weight = idf(plain, vocabulary, "text")
     vectors = [(name, k, unit_vector(terms, weight)) for name, k, terms in named]
-    triggers = telling([v for _, _, v in vectors], min(scan.min_line, scan.min_text))
+    triggers = telling([v for _, _, v in vectors], min(scan.min_line, scan.min_text), weight)
     vector_table = spark.createDataFrame([(n, k, t, w) for n, k, v in vectors for t, w in v.items()],
                                          "licence string, variant int, term string, w double")
     weight_table = spark.createDataFrame(sorted(weight.items()), "term string, idf double")
