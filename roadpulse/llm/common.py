@@ -10,6 +10,7 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadpulse.session import materialize
 
@@ -17,7 +18,7 @@ from roadpulse.session import materialize
 WHITE = r"[\x20\x09-\x0D]+"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
-__all__ = ["WHITE", "WHITE_CHARS", "count_of", "give_back", "let", "materialize", "row_key", "small", "solid_chars", "table", "white_words"]
+__all__ = ["BROADCAST_BYTES", "WHITE", "WHITE_CHARS", "count_of", "give_back", "let", "materialize", "row_key", "small", "solid_chars", "table", "white_words"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +53,27 @@ def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted,
-    so call it on written tables); beyond that it stays a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Octets that a table sent to all workers may have.
+BROADCAST_BYTES = 32 << 20
+
+
+def width(df: DataFrame) -> Column:
+    """Octets of a row, about as Spark lays it out: eight for each value, and what its texts and arrays hold."""
+    held = F.lit(16)
+    for f in df.schema.fields:
+        held = held + 8
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            held = held + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            held = held + 8 * F.greatest(F.size(f.name), F.lit(0))
+    return held
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_bytes`` (measured, so
+    call it on written tables); beyond that it stays a shuffle join."""
+    held = df.agg(F.sum(width(df).cast("long")).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if held <= max_bytes else df
 
 
 def give_back() -> None:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import WHITE_CHARS, count_of, let, materialize, small, solid_chars, white_words
+from roadpulse.llm.common import BROADCAST_BYTES, WHITE_CHARS, count_of, let, materialize, small, solid_chars, white_words
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"  # the inside of a character class
@@ -40,7 +40,7 @@ class HostRules:
     #: prior strength (pseudo-documents) when the hosts show no more spread than chance
     max_strength: float = 1e6
     min_strength: float = 1.0
-    broadcast_hosts: int = 100_000
+    broadcast_bytes: int = BROADCAST_BYTES
 
 
 def covered_words(words: Column, k: int) -> Column:
@@ -113,7 +113,7 @@ def beta_prior(hosts: DataFrame, rules: HostRules) -> tuple[float, float]:
 
 def rejected_hosts(df: DataFrame, host: str, failed: str, rules: HostRules) -> DataFrame:
     hosts = materialize(host_table(df, host, failed, rules).where("rejected").select("host"), "rejected-hosts")
-    return small(hosts.withColumn("host_rejected", F.lit(True)), rules.broadcast_hosts)
+    return small(hosts.withColumn("host_rejected", F.lit(True)), rules.broadcast_bytes)
 
 
 def judged(docs: DataFrame, rules: HostRules = HostRules(), doc_id: str = "doc_id", text: str = "text",

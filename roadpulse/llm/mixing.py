@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadpulse.llm.common import materialize, small, white_words
+from roadpulse.llm.common import BROADCAST_BYTES, materialize, small, white_words
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Mix:
     max_epochs: int = 2
     digit_bits: int = 15
     digits: int = 4
-    broadcast_sources: int = 100_000
+    broadcast_bytes: int = BROADCAST_BYTES
 
 
 def doc_hash(doc_id: Column) -> Column:
@@ -95,7 +95,7 @@ def thresholds(docs: DataFrame, src: DataFrame, mix: Mix) -> DataFrame:
     for column in ("hash", "text_hash"):
         for level in range(mix.digits):
             shift = bits - mix.digit_bits * (level + 1)
-            bounds = small(materialize(bounds, f"mix-bounds-{column}-{level}"), mix.broadcast_sources)
+            bounds = small(materialize(bounds, f"mix-bounds-{column}-{level}"), mix.broadcast_bytes)
             digit = F.shiftright(column, shift)
             at = F.col("src").eqNullSafe(F.col("source")) & (F.shiftright(column, shift + mix.digit_bits) == F.col("prefix"))
             if column == "text_hash":
@@ -136,7 +136,7 @@ def source_plan(own: DataFrame, mix: Mix) -> DataFrame:
     plan = src.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").select(
         "source", "source_size", "target", "base", F.coalesce("threshold", F.lit(-1)).alias("threshold"),
         F.coalesce("text_threshold", F.lit(-1)).alias("text_threshold"))
-    return small(materialize(plan, "mix-plan"), mix.broadcast_sources)
+    return small(materialize(plan, "mix-plan"), mix.broadcast_bytes)
 
 
 def once_more(hashed: Column, texts: Column, threshold: Column, text_threshold: Column) -> Column:

@@ -179,3 +179,45 @@ def test_expectation_maximisation_finds_the_bad_patterns():
     posterior, model = quality_model.expectation_maximisation(patterns, [900, 100, 5, 5], quality_model.Quality())
     assert posterior[patterns[0]] > 0.9 and posterior[patterns[1]] < 0.1 and posterior[patterns[2]] > 0.5
     assert 0.8 < model["prior_good"] < 0.95
+
+
+def test_decontamination_of_repeated_words_is_no_product(spark):
+    """A word repeated n times over the same word m times meets in n + m diagonals."""
+    docs = spark.createDataFrame([(1, "bla " * 3000), (2, "bla " * 12), (3, "x y z " * 30 + "bla " * 20)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "bla " * 400), (2, "bla " * 9), (3, "x y z " * 5)], "item_id long, text string")
+    words = lambda df: df.select("*", decontam.text_words(F.col("text")).alias("words"))
+    rows = words(docs).selectExpr("doc_id AS k1", "doc_id AS k2", "words")
+    right = words(items).select("item_id", "words")
+    spans = decontam.hash_rows(rows, ["k1"], decontam.Seeds().masks).groupBy("k1").count().collect()
+    assert {r.k1: r["count"] for r in spans}[1] == 2
+    hits = decontam.seed_hits(rows, right, decontam.Seeds()).where("k1 = 1 AND item_id = 1").count()
+    assert hits == 2993 + 393 - 1
+    got = sorted((r.doc_id, r.item_id, r.aligned_matches) for r in decontam.leaks(docs, items).collect())
+    assert got == [(1, 1, 400), (1, 2, 9), (2, 1, 12), (2, 2, 9), (3, 1, 20), (3, 2, 9), (3, 3, 15)]
+
+
+def test_line_windows_of_equal_rows_and_long_documents(spark):
+    """Of rows equal in doc_id and text the first stays whole; removal takes linear time."""
+    text = "one\ntwo\nthree"
+    rows = [(None, text), (None, text), (1, text), (1, text), (2, "zero\n" + text)]
+    got = line_windows.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in got) == [(0, "", 3, 3), (0, text, 3, 0), (1, "", 3, 3), (1, "", 3, 3), (2, "zero", 4, 3)]
+    long = spark.createDataFrame([(1, "same line\n" * 60_000)], "doc_id long, text string")
+    only = line_windows.without_repeats(long).first()
+    assert (only.n_lines, only.n_removed) == (60_001, 59_999) and only.text == "same line\n"  # the first window keeps its first line alone, as each next one starts inside it
+
+
+def test_sample_to_fit_on_without_ids(spark):
+    """Rows without an id are chosen one by one, and a group of copies is one row with its number as weight."""
+    text = lambda i: "This is a good sentence about things, and here is more of it. " * 3 if i % 3 else "#$% {} | 11 22 33 <a> 44 ** " * 9
+    rows = [(None if i % 2 else 5, f"{text(i)} {i}") for i in range(400)] + [(9, text(1))] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality_model.scored(df, quality_model.Quality(fit_rows=350)).collect()
+    assert len(got) == 700 and len({r.score for r in got if r.doc_id is None}) > 1
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from roadpulse.llm.common import small
+    df = spark.createDataFrame([("x" * 1000, [1] * 100)] * 3, "t string, a array<long>")
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(df, 6_000)) and not hinted(small(df, 5_000)) and hinted(small(df.limit(0), 0))
