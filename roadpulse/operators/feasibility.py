@@ -43,11 +43,14 @@ def metrics(columns: list[str], near: float = NEAR_ZERO_VELOCITY, slow: float =
 
 
 def write_observed(raw: DataFrame, path: str, on_bad: str = "null") -> dict:
-    """Write the clean table, partitioned by date, and return the counts of the rows that went through.
+    """Write the clean table, partitioned by date, and return the counts of the rows that went through: with
+    ``on_bad='drop'`` also those without a timestamp, which are counted and then left out.
 
     Rows are dealt by date; adaptive execution splits a date with many rows and joins small ones."""
     seen = Observation("feasibility")
-    rows = flagged(raw, on_bad).hint("rebalance", "date").observe(seen, *metrics(raw.columns))
+    rows = flagged(raw, "null" if on_bad == "drop" else on_bad).hint("rebalance", "date").observe(seen, *metrics(raw.columns))
+    if on_bad == "drop":
+        rows = rows.where(F.col("timestamp").isNotNull())
     rows.drop(MISSING).write.mode("overwrite").partitionBy("date").parquet(path)
     return dict(seen.get)
 

@@ -1187,3 +1187,130 @@ def q_sql_candidate_bottlenecks(spark, sf):
     obs = _dense(spark, sf)
     _views(spark, obs, D.daily_segment_hour(obs, 1))
     return SQL.run_named(spark, "candidate_bottlenecks", min_days=5, min_obs=10, n=30, digits=DIGITS)
+
+
+# ==========================================================================
+# Inputs on which a report can go wrong: calendars with gaps, limits and
+# thresholds that cut, missing means
+# ==========================================================================
+#: Days are moved apart: after every 5th day three are missing, after every 11th four more.
+_DAY = "date_diff('day', (SELECT MIN(CAST(ts AS DATE)) FROM events), date)"
+_GAPPY = f"""{OBS_D}, clean AS (
+    SELECT CAST(date + CAST(3 * ({_DAY} // 5) + 4 * ({_DAY} // 11) AS INTEGER) AS DATE) AS date FROM observations), {_DATES}"""
+
+
+def _gappy(spark, sf):
+    first = X.events(spark, sf).agg(F.min(F.to_date("ts"))).scalar()
+    day = F.datediff("date", first)
+    moved = (3 * F.floor(day / 5) + 4 * F.floor(day / 11)).cast("int")
+    return _dense(spark, sf).withColumn("date", F.date_add("date", moved))
+
+
+@query("gappy_coverage_summary", f"""
+WITH {_GAPPY}, {_GAPS},
+b AS (SELECT MIN(date) AS first_date, MAX(date) AS last_date, COUNT(*) AS n FROM d),
+g AS (SELECT MAX(date - previous_date) AS largest, COUNT(*) FILTER (WHERE date - previous_date > 1) AS longer
+      FROM gaps WHERE previous_date IS NOT NULL)
+SELECT CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date,
+       CAST(last_date - first_date + 1 AS BIGINT) AS calendar_days_in_range, n AS dates_with_observations,
+       CAST(last_date - first_date + 1 - n AS BIGINT) AS missing_calendar_dates,
+       n / CAST(last_date - first_date + 1 AS DOUBLE) AS coverage_rate,
+       CAST(COALESCE(largest, 0) AS BIGINT) AS largest_gap_between_observed_dates, longer AS gaps_longer_than_one_day
+FROM b, g""")
+def q_gappy_coverage_summary(spark, sf):
+    return present(Q.coverage_summary(_gappy(spark, sf)))
+
+
+@query("gappy_missing_dates", f"""
+WITH {_GAPPY},
+cal AS (SELECT CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d)
+SELECT CAST(date AS VARCHAR) AS missing_date FROM cal WHERE date NOT IN (SELECT date FROM d)""")
+def q_gappy_missing_dates(spark, sf):
+    return present(Q.missing_dates(_gappy(spark, sf)))
+
+
+@query("gappy_date_gaps", f"""
+WITH {_GAPPY}, {_GAPS}
+SELECT CAST(date AS VARCHAR) AS date, CAST(previous_date AS VARCHAR) AS previous_date, CAST(date - previous_date AS BIGINT) AS gap_days
+FROM gaps WHERE previous_date IS NOT NULL""")
+def q_gappy_date_gaps(spark, sf):
+    return present(Q.date_gaps(_gappy(spark, sf)))
+
+
+@query("gappy_largest_date_gaps", f"""
+WITH {_GAPPY}, {_GAPS}
+SELECT CAST(date AS VARCHAR) AS date, CAST(previous_date AS VARCHAR) AS previous_date, CAST(date - previous_date AS BIGINT) AS gap_days
+FROM gaps WHERE previous_date IS NOT NULL ORDER BY gap_days DESC, date LIMIT 4""")
+def q_gappy_largest_date_gaps(spark, sf):
+    return present(Q.largest_date_gaps(_gappy(spark, sf), n=4))
+
+
+_TOP_PROFILE = """
+WITH {obs}
+SELECT osm_id, COUNT(*) AS total_row_count, {avg} AS average_velocity, {mn} AS minimum_velocity, {mx} AS maximum_velocity
+FROM observations GROUP BY osm_id {having}
+ORDER BY {order}, osm_id LIMIT 5"""
+
+
+@query("segment_profile_top5", _TOP_PROFILE.format(obs=OBS_S, avg=rnd("AVG(velocity)"), mn=rnd("MIN(velocity)"), mx=rnd("MAX(velocity)"),
+                                                   having="", order="total_row_count DESC"))
+def q_segment_profile_top5(spark, sf):
+    return P.segment_profile(_sparse(spark, sf), n=5, digits=DIGITS)
+
+
+@query("low_velocity_screen_top5", _TOP_PROFILE.format(obs=OBS_S, avg=rnd("AVG(velocity)"), mn=rnd("MIN(velocity)"), mx=rnd("MAX(velocity)"),
+                                                       having="HAVING COUNT(*) >= 66", order="AVG(velocity) ASC"))
+def q_low_velocity_screen_top5(spark, sf):
+    """About half of the segments lack the support of 66 rows."""
+    return P.low_velocity_screen(_sparse(spark, sf), min_obs=66, n=5, digits=DIGITS)
+
+
+@query("sparse_top_segment_share", f"""
+WITH {OBS_S}, c AS (SELECT osm_id, COUNT(*) AS c FROM observations GROUP BY osm_id),
+top AS (SELECT c FROM c ORDER BY c DESC, osm_id LIMIT 20)
+SELECT 20 AS top_n, CAST((SELECT SUM(c) FROM top) AS BIGINT) AS top_rows, CAST((SELECT SUM(c) FROM c) AS BIGINT) AS total_rows,
+       {rnd('CAST((SELECT SUM(c) FROM top) AS DOUBLE) / (SELECT SUM(c) FROM c)')} AS share""")
+def q_sparse_top_segment_share(spark, sf):
+    return round_doubles(P.top_segment_share(_sparse(spark, sf), n=20))
+
+
+#: Segments have 20 to 30 active days.
+_CUT = 27
+
+
+@query("severity_two_labels", f"""
+WITH {_FIXED}, {_SEV.replace('active_days < 100', f'active_days < {_CUT}')}
+SELECT osm_id, cluster_label, primary_peak, {rnd('candidate_severity')} AS candidate_severity, confidence,
+       {rnd('am_relative_slowdown')} AS am_relative_slowdown, {rnd('am_slowdown_frequency')} AS am_slowdown_frequency,
+       {rnd('pm_relative_slowdown')} AS pm_relative_slowdown, {rnd('pm_slowdown_frequency')} AS pm_slowdown_frequency,
+       observation_count, active_days
+FROM sev2 ORDER BY sev2.candidate_severity DESC NULLS LAST, osm_id LIMIT 60""")
+def q_severity_two_labels(spark, sf):
+    return IN.candidate_severity(_fixed_clusters(spark, sf), low_confidence_days=_CUT, n=60, digits=DIGITS)
+
+
+#: Two of three velocities are missing, so that many daily means are.
+_HOLES = "CASE WHEN event_id % 3 = 0 THEN velocity END"
+
+
+def _holed(spark, sf):
+    return _sparse(spark, sf).withColumn("velocity", F.when(F.col("event_id") % 3 == 0, F.col("velocity")))
+
+
+@query("bottlenecks_missing_means", bottleneck_sql("sparse", 1, 2, 2).replace(
+    O.obs_cte("sparse"), f"{O.obs_cte('sparse', name='full_observations')}, observations AS (SELECT * REPLACE ({_HOLES} AS velocity) FROM full_observations)"))
+def q_bottlenecks_missing_means(spark, sf):
+    return S.candidate_bottlenecks(D.daily_segment_hour(_holed(spark, sf), 1), min_days=2, min_obs=2, n=30, digits=DIGITS)
+
+
+@query("cluster_hours_missing_means", f"""
+WITH {_FIXED}, holed AS (SELECT * REPLACE ({_HOLES} AS velocity) FROM observations),
+{O.daily_cte(CLUS['min_daily'], name='holed_daily', source='holed')},
+dsh AS (SELECT d.osm_id, d.hour, d.daily_average_velocity, c.cluster_label FROM holed_daily d JOIN clusters c ON d.osm_id = c.osm_id),
+seg_hourly AS (SELECT osm_id, cluster_label, hour, AVG(daily_average_velocity) AS v FROM dsh GROUP BY ALL),
+seg_base AS (SELECT osm_id, AVG(daily_average_velocity) AS baseline_velocity FROM dsh GROUP BY osm_id)
+SELECT cluster_label, hour, {rnd('AVG(b.baseline_velocity - h.v)')} AS relative_slowdown
+FROM seg_hourly h JOIN seg_base b ON h.osm_id = b.osm_id GROUP BY cluster_label, hour""")
+def q_cluster_hours_missing_means(spark, sf):
+    daily = D.daily_segment_hour(_holed(spark, sf), CLUS["min_daily"])
+    return IN.cluster_hour_profile(daily, _fixed_clusters(spark, sf), digits=DIGITS)

@@ -11,7 +11,6 @@ the raw scan.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roadpulse.operators import cluster as C
 from roadpulse.operators import daily as D
@@ -70,9 +69,8 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
     """Raw file -> every result table, written under ``out_dir``.
 
     Rows without a usable timestamp raise (``on_bad='fail'``), are kept with NULL
-    time parts ('null'), or are left out of all that follows where that is asked
-    for ('drop'; the clean table keeps them in its partition without a date, and
-    their number is written).  Returns {table name: path}.  Clean observations are written partitioned by
+    time parts ('null'), or are counted and dropped where that is asked for
+    ('drop').  Returns {table name: path}.  Clean observations are written partitioned by
     date; the daily summary, feature table and cluster table are written once
     and re-read by the later stages.  With ``bucket_daily`` (a bucket count)
     the daily summary is saved as a catalog table bucketed by ``osm_id``, so
@@ -90,14 +88,12 @@ def run_all(spark: SparkSession, raw_path: str, out_dir: str, t: Thresholds = Th
     raw, rejected = RAW.read_checked(spark, raw_path)
     written["traffic_clean"] = f"{out}/traffic_clean"
     # one pass over the raw text: the clean table, and the counts of all its rows (rows without a timestamp too)
-    counts = FZ.write_observed(raw, written["traffic_clean"], on_bad="fail" if on_bad == "fail" else "null")
+    counts = FZ.write_observed(raw, written["traffic_clean"], on_bad)
     obs = spark.read.parquet(written["traffic_clean"])
     put("feasibility/rejected_lines", rejected)
     for name, df in feasibility_report(raw, obs, counts).items():
         put(f"feasibility/{name}", df)
     put("feasibility/dropped_rows", FZ.as_table(spark, {"rows_without_timestamp_dropped": counts["invalid_timestamp_rows"] if on_bad == "drop" else 0}))
-    if on_bad == "drop":
-        obs = obs.where(F.col("timestamp").isNotNull())
     if bucket_daily:
         from roadpulse.sources.tables import save_bucketed
         daily = save_bucketed(D.daily_segment_hour(obs, t.min_daily_obs), "daily_segment_hour", key="osm_id",

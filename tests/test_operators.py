@@ -163,7 +163,7 @@ def test_kmeans_recovers_separated_blobs(spark):
     assert got == sorted(tuple(int(v) for v in c) for c in centres)
     labels = model.transform(df).groupBy("cluster_id").count().collect()
     assert sorted(r["count"] for r in labels) == [30, 30, 30]
-    fixed, fixed_cost = C.lloyd(df, centres.tolist(), ["a", "b"])
+    fixed, fixed_cost = C.lloyd(df, {0: centres.tolist()}, ["a", "b"])[0]
     assert fixed_cost == pytest.approx(cost, rel=1e-6)
     one = C.kmeans(df, ["a", "b"], k=3, restarts=1, seed=1)[1]
     assert cost <= one + 1e-9 and C.kmeans(df, ["a", "b"], k=4, restarts=5, seed=1)[1] < cost

@@ -21,6 +21,9 @@ def test_run_all_end_to_end(spark):
     # 1,010 raw rows (1,000 + 10 copies); 11 bad dates plus the copy of event 0 (bad and copied) are dropped
     assert read("traffic_clean").count() == 1010 - 12
     assert read("feasibility/validity_report").first()["total_rows"] == 1010
+    assert read("feasibility/dropped_rows").first()["value"] == 12.0
+    assert read("feasibility/rejected_lines").count() == 0
+    assert any(d.startswith("date=") for d in os.listdir(out["traffic_clean"]))
     assert read("daily_segment_hour").count() > 0
     assert read("analysis/candidate_bottlenecks").count() > 0
     feats = read("segment_features")
