@@ -12,7 +12,6 @@ sources    readers, fixture adapters over the supplied tables, table writers
 functions  column expressions (parsing, day type, floors, rounding)
 operators  aggregations, rankings, quality checks, quantiles, clustering
 plans      end-to-end stage compositions (feasibility, analysis, clustering, insights)
-streaming  intentionally empty: the analysed workload is historical batch only
 """
 
 from roadpulse.params import Thresholds, PeakHours, ClusterParams  # noqa: F401

@@ -86,11 +86,3 @@ def sd_from_variance(variance: Column | str, digits: int | None) -> Column:
 def rounded_half_even(col: Column | str, digits: int) -> Column:
     """Half-to-even rounding (the rule of numpy/pandas ``round``), B8."""
     return F.bround(_c(col), digits)
-
-
-def round_float_columns(df, digits: int, half_even: bool = False):
-    """Round every floating column of a frame at once (B8 bulk form)."""
-    from pyspark.sql.types import DoubleType, FloatType
-    fn = rounded_half_even if half_even else rounded
-    return df.select(*[fn(f.name, digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
-                       else F.col(f.name) for f in df.schema.fields])
