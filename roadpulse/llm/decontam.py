@@ -79,8 +79,11 @@ def spans(hashes: Column, starts: Column) -> Column:
     def of(h: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(h) - 1)
         begins = F.filter(at, lambda i: (i % starts == 0) | (F.get(h, i) != F.get(h, i - 1)))
-        return let(begins, lambda b: F.transform(b, lambda i, n: F.struct(
+        runs = let(begins, lambda b: F.transform(b, lambda i, n: F.struct(
             i.alias("k"), (F.coalesce(F.get(b, n + 1), F.size(h)) - 1).alias("last"), F.get(h, i).alias("seed"))))
+        # most rows repeat no hash at all
+        single = F.transform(h, lambda x, i: F.struct(i.alias("k"), i.alias("last"), x.alias("seed")))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), single).otherwise(runs)
 
     none = F.array().cast("array<struct<k:int,last:int,seed:bigint>>")
     return F.when(F.size(hashes) > 0, let(hashes, of)).otherwise(none)
