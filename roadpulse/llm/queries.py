@@ -78,10 +78,6 @@ QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_
 _SPLIT = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 _TERMS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-_SEEDS = [[k for k, m in enumerate(mask) if m == "1"] for mask in decontam.Seeds().masks]
-_SEED_ROWS = " UNION ALL ".join(
-    f"SELECT *, {t} AS mask, list_transform({offsets}, lambda k: w[i + k]) AS seed FROM {{0}}" for t, offsets in enumerate(_SEEDS))
-
 _TERM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 #: CRC-32 of the decimal id, bit by bit
@@ -141,14 +137,15 @@ scored AS (
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10""",
+    # without masks: every diagonal on which enough single words agree is laid
     "op4_decontamination": rf"""
 WITH d AS (SELECT DISTINCT doc_id, {_TERMS} AS w FROM documents),
 b AS (SELECT DISTINCT item_id, {_TERMS} AS w FROM benchmark),
-di AS (SELECT doc_id, w, i FROM d, unnest(range(1, len(w) - 6)) AS r(i) WHERE len(w) >= 8),
-bi AS (SELECT item_id, w, i FROM b, unnest(range(1, len(w) - 6)) AS r(i) WHERE len(w) >= 8),
-ds AS (SELECT doc_id, i, mask, seed FROM ({_SEED_ROWS.format("di")})),
-bs AS (SELECT item_id, i, mask, seed FROM ({_SEED_ROWS.format("bi")})),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS diagonal FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+dw AS (SELECT doc_id, w[i] AS word, i FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+bw AS (SELECT item_id, len(w) AS n, w[i] AS word, i FROM b, unnest(range(1, len(w) + 1)) AS r(i)),
+hits AS (
+  SELECT doc_id, item_id, dw.i - bw.i AS diagonal FROM dw JOIN bw ON dw.word = bw.word
+  GROUP BY doc_id, item_id, dw.i - bw.i, n HAVING count(*) >= least(11, n)),
 laid AS (
   SELECT h.doc_id, h.item_id, h.diagonal, len(b.w) AS n, j,
     CASE WHEN j + h.diagonal BETWEEN 1 AND len(d.w) AND d.w[j + h.diagonal] = b.w[j] THEN 1 ELSE 0 END AS same
