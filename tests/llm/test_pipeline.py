@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from roadpulse.llm import queries
+from .conftest import DOCS
 from .test_simhash import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,40 @@ def test_pipeline_matches_brute_force(spark):
     want, sizes = brute_force(docs)
     assert len(docs) > sizes[0] > sizes[1] > sizes[2] > 0
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want)
+
+
+def held_in(folder, docs, bench):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_on_odd_rows(spark, odd_docs, tmp_path):
+    """Nulls in every column, repeated rows, very long texts and clashing column names: good rows come out, once each group."""
+    good = " ".join(f"word{i % 97}and{i}" for i in range(60))
+    more = [(100 + i, f"{good} {i * 7919}" + " tail" * (i % 3), "en", None if i % 2 else "b", None) for i in range(12)] + [
+        (None, good + " nameless", None, None, None), (None, "other " + good[::-1], "de", "a", 3), (200, good + " nameless", "en", "a", 2),
+        (300, "benchmark passage one two three four five six seven eight nine ten eleven twelve thirteen " + good, "en", "a", 1)]
+    docs = odd_docs.unionByName(spark.createDataFrame(more, DOCS),
+                                allowMissingColumns=True)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen"), (None, None)], "item_id long, text string")
+    sf = held_in(tmp_path, docs, bench)
+    seen = []
+    stage_docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, stage_docs, sf)
+        assert sorted(out.columns) == sorted(docs.columns)
+        out.write.parquet(f"{tmp_path}/stage-{n}")
+        stage_docs = spark.read.parquet(f"{tmp_path}/stage-{n}")
+        seen.append([r.doc_id for r in stage_docs.collect()])
+    assert 300 in seen[1] and 300 not in seen[2]
+    assert 4 in seen[0] and 3 not in seen[0] and 2 not in seen[0]  # the long text passes, null and empty ones do not
+    tokens = corpus_pipeline.STAGES[-1][1](spark, stage_docs, sf).collect()
+    assert len(tokens) == len(seen[3]) > 0 and sorted(t.doc_id or 0 for t in tokens) == sorted(d or 0 for d in seen[3])
+    ends = sorted((t.start, t.start + t.n_tokens) for t in tokens)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_pipeline_on_empty_tables(spark, no_docs, tmp_path):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert corpus_pipeline.run(spark, held_in(tmp_path, no_docs, bench)).collect() == []
