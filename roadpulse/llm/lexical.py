@@ -75,7 +75,7 @@ def blocks(pairs: DataFrame, most: int = BLOCK_POSTINGS) -> tuple[Column, int]:
     """(block of a row, number of blocks): no block of more than ``most`` pairs, unless it is a single item."""
     n = 1
     while True:
-        block = F.pmod(F.xxhash64(F.coalesce("item_id", F.lit(-1))), F.lit(n)).cast("int")
+        block = F.pmod(F.xxhash64(F.col("item_id").isNull(), "item_id"), F.lit(n)).cast("int")
         sizes = pairs.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("a"), F.max("item_id").alias("b"),
                                                         F.count_if(F.col("item_id").isNull()).alias("none"))
         single = F.col("a").eqNullSafe(F.col("b")) & ((F.col("none") == 0) | (F.col("none") == F.col("n")))
