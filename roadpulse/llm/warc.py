@@ -43,7 +43,7 @@ from roadpulse.llm.common import give_back, materialize
 from roadpulse.session import ensure_checkpoint_dir
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT_BYTES = 32 << 20
+SPLIT_BYTES, READ_TASKS = 32 << 20, 50_000
 BLOCK = 1 << 20
 #: A WARC header of more octets than this is none.
 HEADER_LIMIT = 1 << 20
@@ -245,11 +245,11 @@ def described(fields: dict[str, str], block: bytes, whole: bool) -> tuple[int |
 
 
 def splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, start, end) of every byte range, dealt one to a task."""
+    """(path, start, end) of every byte range, dealt one to a task (or evenly to ``READ_TASKS``, if there are more)."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))
     cut = files.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
     cut = cut.select("path", "start", F.least("bytes", F.col("start") + split_bytes).alias("end"))
-    return cut.repartition(max(1, cut.count()))
+    return cut.repartition(min(max(1, cut.count()), READ_TASKS))
 
 
 def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = False) -> DataFrame:
