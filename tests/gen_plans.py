@@ -12,12 +12,9 @@ sf = "/root/testdata/sf0.1"
 def tree(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
-def refinement_join_plan():
-    obs = X.observations(spark, sf, "sparse").select("osm_id", F.col("velocity").alias("_v"), F.lit(1).cast("long").alias("_w"))
-    ranges = obs.groupBy("osm_id").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    rows = QT._with_ranges(obs, ranges, ["osm_id"])
-    b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096), F.lit(4095)).cast("int")
-    return rows.groupBy("osm_id", "lo", "hi", b.alias("bucket")).agg(F.sum("_w").alias("c"), F.min("_v"), F.max("_v"))
+def sketch_plan():
+    obs = X.observations(spark, sf, "sparse").select("osm_id", "velocity")
+    return obs.groupBy("osm_id").agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("velocity", F.lit(QT.SKETCH_K)).alias("sketch"))
 
 sections = [
     ("C1 relative_slowdowns: one pruned scan, partial aggregation, baseline as a window (no join)",
@@ -32,8 +29,12 @@ sections = [
      C.nearest_to_centroid(spark.range(1000).selectExpr("cast(id % 5 as int) as cluster_id",
                                                         "rand(1) as dist_to_centroid",
                                                         "concat('way/', id) as osm_id"), 3)),
-    ("Quantile refinement round: raw rows joined to the size-checked (broadcast) target ranges, "
-     "then map-side combined bucket counts", refinement_join_plan()),
+    ("Quantiles, first pass: one mergeable sketch per key, combined before the shuffle", sketch_plan()),
+    ("G27 duplicate_report: full columns are grouped only for rows whose fingerprint occurs again",
+     RG.QUERIES["duplicate_report"](spark, sf)),
+    ("G34 threshold_grid: one histogram, suffix sums both ways", RG.QUERIES["threshold_grid"](spark, sf)),
+    ("G23 distinct_sketches per date, to be stored and merged",
+     RG.Q.distinct_sketches(X.observations(spark, sf, "dense"), ["date"], ["velocity", "osm_id"])),
 ]
 out = ["# Physical plans of representative queries", "",
        "Generated by `explain` (initial AQE plan) at sf0.1 on `local[8]`; regenerate with",
