@@ -51,7 +51,7 @@ def write_observed(raw: DataFrame, path: str, on_bad: str = "null") -> dict:
     rows = flagged(raw, "null" if on_bad == "drop" else on_bad).hint("rebalance", "date").observe(seen, *metrics(raw.columns))
     if on_bad == "drop":
         rows = rows.where(F.col("timestamp").isNotNull())
-    rows.drop(MISSING).write.mode("overwrite").partitionBy("date").parquet(path)
+    rows.drop(MISSING).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(path)
     return dict(seen.get)
 
 

@@ -23,7 +23,7 @@ def load(clean: DataFrame, table: str, name: str) -> None:
     if not name or "/" in name:
         raise ValueError(f"a load's name is one folder: {name!r}")
     dealt = clean.hint("rebalance", "date")
-    dealt.write.mode("overwrite").partitionBy("date").parquet(f"{table.rstrip('/')}/load={name}")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("date").parquet(f"{table.rstrip('/')}/load={name}")
 
 
 def loaded(spark: SparkSession, table: str) -> DataFrame:
@@ -56,7 +56,8 @@ def daily_state(observations: DataFrame) -> DataFrame:
 
 def rebuild_daily(observations: DataFrame, summary: str) -> None:
     """Write the summary of all dates anew."""
-    daily_state(observations).hint("rebalance", "date").write.mode("overwrite").partitionBy("date").parquet(summary)
+    daily_state(observations).hint("rebalance", "date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").partitionBy("date").parquet(summary)
 
 
 def refresh_daily(observations: DataFrame, summary: str, dates: DataFrame) -> None:
