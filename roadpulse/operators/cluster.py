@@ -8,14 +8,16 @@ arbitrary, so readable labels come from a rule on the unscaled cluster means.
 
 from __future__ import annotations
 
-import json
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadpulse.functions.columns import rounded
 from roadpulse.operators.quantile import exact_quantiles
@@ -71,6 +73,12 @@ def feature_volume_corr(df: DataFrame, cols: list[str] = FEATURES, volume: str =
         for i, c in enumerate(cols)])).alias("s")).select("s.*")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in equal parts, one for each core.  What a fit does with a row (models x centres x passes) does not show
+    in the table's bytes, by which Spark would leave a small cohort to one task or a few."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def assemble(scaled: DataFrame, cols: list[str] = FEATURES, out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=[scaled_name(c) for c in cols], outputCol=out).transform(scaled)
 
@@ -146,16 +154,6 @@ def kmeans(scaled: DataFrame, cols: list[str] = FEATURES, k: int = 5, restarts:
 # of a sweep) are one more dimension of each pass, so a pass is one job whatever
 # their number; what comes back to the driver are centres, bounded by parameters.
 
-def _models(models: dict[int, list[list[float]]], name: str) -> Column:
-    """One row per model (``name``: id ``m`` and centres ``c``): a literal, as the centres are bounded by parameters."""
-    text = json.dumps([{"m": m, "c": c} for m, c in sorted(models.items())])
-    return F.explode(F.from_json(F.lit(text), "array<struct<m: int, c: array<array<double>>>>")).alias(name)
-
-
-def _sq_distance(cols: list[str], centre) -> Column:
-    return reduce(lambda a, b: a + b, [(F.col(scaled_name(c)) - centre[j]) * (F.col(scaled_name(c)) - centre[j]) for j, c in enumerate(cols)])
-
-
 def seeded_centres(scaled: DataFrame, k: int, restarts: int, seed: int = 42, cols: list[str] = FEATURES,
                    key: str = "osm_id") -> dict[int, list[list[float]]]:
     """Up to ``k`` starting centres for each restart by D-squared sampling.
@@ -164,16 +162,34 @@ def seeded_centres(scaled: DataFrame, k: int, restarts: int, seed: int = 42, col
     -ln(u) / d2 wins, where d2 is the squared distance to the nearest centre so
     far (1 for the first) and u in (0, 1) is a hash of key, seed, restart and
     step.  No state of a random generator depends on the partitioning, and the
-    winner is a ``min_by``.  The first j centres of a restart are its centres
+    winner is a ``min_by`` of what the batches let through.  The first j centres of a restart are its centres
     for k = j.  Fewer than k centres are found if fewer rows differ."""
     starts: dict[int, list[list[float]]] = {r: [] for r in range(restarts)}
+    names = [scaled_name(c) for c in cols]
+    drawn = T.StructType([scaled.schema[key], *T.StructType.fromDDL(", ".join(f"`{c}` double" for c in names)), *T.StructType.fromDDL("m long, u double, d2 double")])
     for step in range(k):
-        rows = scaled.select(key, *[scaled_name(c) for c in cols], _models(starts, "s")).select("*", "s.m", "s.c")
-        d2 = F.coalesce(F.array_min(F.transform("c", lambda v: _sq_distance(cols, v))), F.lit(1.0))
-        u = F.md5(F.concat_ws(":", F.col(key), F.lit(str(seed)), F.col("m").cast("string"), F.lit(str(step))))
-        u = (F.conv(F.substring(u, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-        raced = rows.withColumn("d2", d2).where(F.col("d2") > 0).withColumn("race", -F.ln(u) / F.col("d2"))
-        won = raced.groupBy("m").agg(F.min_by(F.array(*[scaled_name(c) for c in cols]), F.struct("race", key)).alias("x")).collect()
+        def first(batches, centres={r: list(c) for r, c in starts.items()}):
+            """Of each batch and restart the rows that may win: numpy's logarithm is not the JVM's to the last bit."""
+            for batch in batches:
+                xs = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+                us = batch.column("u").flatten().to_numpy().reshape(len(xs[0]), len(centres))
+                for r, found in centres.items():
+                    d2 = np.ones(len(xs[0]))
+                    if found:
+                        d2 = reduce(np.fmin, [sum((x - v) ** 2 for x, v in zip(xs, centre)) for centre in found])
+                    can = np.flatnonzero((d2 > 0) | np.isnan(d2))
+                    race = -np.log(us[can, r]) / d2[can]
+                    can = can[~(race > np.fmin.reduce(race, initial=np.nan) * (1 + 1e-9))]
+                    rows = batch.select([key, *names]).take(pa.array(can))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(can), r)), pa.array(us[can, r]), pa.array(d2[can])], names=drawn.names)
+
+        def u(m: Column) -> Column:
+            digest = F.md5(F.concat_ws(":", F.col(key), F.lit(str(seed)), m.cast("string"), F.lit(str(step))))
+            return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+        rows = scaled.select(key, *names, F.transform(F.array(*map(F.lit, starts)), u).alias("u"))
+        raced = rows.mapInArrow(first, drawn).withColumn("race", -F.ln("u") / F.col("d2"))
+        won = raced.groupBy("m").agg(F.min_by(F.array(*names), F.struct("race", key)).alias("x")).collect()
         for r in won:
             starts[r["m"]].append(list(r["x"]))
         if len(won) < restarts:
@@ -181,10 +197,39 @@ def seeded_centres(scaled: DataFrame, k: int, restarts: int, seed: int = 42, col
     return starts
 
 
-def _nearest(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[str]) -> DataFrame:
-    rows = scaled.select(*[scaled_name(c) for c in cols], _models(models, "s")).select("*", "s.m", "s.c")
-    near = F.array_min(F.transform("c", lambda v, i: F.struct(_sq_distance(cols, v).alias("d2"), i.alias("i"))))
-    return rows.withColumn("near", near)
+def _pass(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[str]) -> DataFrame:
+    """A pass over the rows: for each model ``m`` and centre ``i`` the rows nearest to it (``n``; of equally near centres
+    the first has the row), the sums of their features (``x0`` ...) and of their squared distances (``d2``).  Features are
+    not null.
+
+    A row is measured against all centres of all models (540 in the default sweep), so the tasks do that with numpy on
+    Arrow batches; a task hands over one row for each centre, whatever its rows."""
+    centres = {m: np.array(c) for m, c in sorted(models.items())}
+    names = [scaled_name(c) for c in cols]
+    out = ["m", "i", "n", *[f"x{j}" for j in range(len(cols))], "d2"]
+
+    def measure(batches):
+        sums = {m: np.zeros((2 + len(names), len(c))) for m, c in centres.items()}
+        for batch in batches:
+            xs = [batch.column(name).to_numpy(zero_copy_only=False) for name in names]
+            for m, model in centres.items():
+                near, best = np.zeros(len(xs[0]), dtype=np.intp), None
+                for i, centre in enumerate(model):
+                    d2 = sum((x - v) ** 2 for x, v in zip(xs, centre))
+                    if best is None:
+                        best = d2
+                    else:  # NaN is the largest distance, as in Spark
+                        closer = (d2 < best) | (np.isnan(best) & ~np.isnan(d2))
+                        near[closer] = i
+                        best = np.where(closer, d2, best)
+                for j, values in enumerate([None, *xs, best]):
+                    sums[m][j] += np.bincount(near, values, minlength=len(model))
+        held = np.concatenate([[np.full(len(c), m), np.arange(len(c)), *sums[m]] for m, c in centres.items()], axis=1)
+        held = held[:, held[2] > 0]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held[:3].astype(np.int64)), *map(pa.array, held[3:])], names=out)
+
+    ddl = "m long, i long, n long, " + ", ".join(f"{c} double" for c in out[3:])
+    return scaled.select(*names).mapInArrow(measure, ddl).groupBy("m", "i").agg(*[F.sum(c).alias(c) for c in out[2:]])
 
 
 def lloyd(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[str] = FEATURES, max_iter: int = 300,
@@ -198,10 +243,9 @@ def lloyd(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[st
     for _ in range(max_iter):
         if not active:
             break
-        means = _nearest(scaled, active, cols).groupBy("m", "near.i").agg(*[F.avg(scaled_name(c)).alias(f"x{j}") for j, c in enumerate(cols)]).collect()
         moved = {m: [list(v) for v in c] for m, c in active.items()}
-        for r in means:
-            moved[r["m"]][r["i"]] = [r[f"x{j}"] for j in range(len(cols))]
+        for r in _pass(scaled, active, cols).collect():
+            moved[r["m"]][r["i"]] = [r[f"x{j}"] / r["n"] for j in range(len(cols))]
         for m, c in moved.items():
             shift = sum((a - b) ** 2 for old, new in zip(active[m], c) for a, b in zip(old, new))
             models[m] = c
@@ -211,7 +255,7 @@ def lloyd(scaled: DataFrame, models: dict[int, list[list[float]]], cols: list[st
                 active[m] = c
     if not models:
         return {}
-    costs = {r["m"]: r["cost"] for r in _nearest(scaled, models, cols).groupBy("m").agg(F.sum("near.d2").alias("cost")).collect()}
+    costs = {r["m"]: r["cost"] for r in _pass(scaled, models, cols).groupBy("m").agg(F.sum("d2").alias("cost")).collect()}
     return {m: (c, costs.get(m, 0.0)) for m, c in models.items()}
 
 
@@ -278,22 +322,21 @@ def silhouette_sq_euclidean(df: DataFrame, cols: list[str] = FEATURES, cluster_c
     if not summ:
         return df.select(F.lit(None).cast("double").alias("s")).agg(F.avg("s").alias("silhouette"))
     own = F.col(cluster_col)
-    mean_d = {}
-    for r in summ:
+    totals, a, b = [], None, None
+    for i, r in enumerate(summ):
+        cid, n = r[cluster_col], int(r["n"])
         dot = sum((xs[j] * F.lit(float(r[f"s{j}"])) for j in range(1, len(xs))), xs[0] * F.lit(float(r["s0"])))
-        total = F.lit(float(r["n"])) * norm2 - F.lit(2.0) * dot + F.lit(float(r["q"]))
-        mean_d[r[cluster_col]] = (total, int(r["n"]))
-    a = None
-    b = None
-    for cid, (total, n) in mean_d.items():
-        a_c = F.when(own == F.lit(cid), total / F.lit(float(max(n - 1, 1))))
+        totals.append((F.lit(float(n)) * F.col("__norm2") - F.lit(2.0) * dot + F.lit(float(r["q"]))).alias(f"__t{i}"))
+        a_c = F.when(own == F.lit(cid), F.col(f"__t{i}") / F.lit(float(max(n - 1, 1))))
         a = a_c if a is None else F.coalesce(a, a_c)
-        b_c = F.when(own != F.lit(cid), total / F.lit(float(n)))
+        b_c = F.when(own != F.lit(cid), F.col(f"__t{i}") / F.lit(float(n)))
         b = b_c if b is None else F.least(b, b_c)
-    size = F.element_at(F.create_map(*[x for cid, (_, n) in mean_d.items() for x in (F.lit(cid), F.lit(n))]), own)
-    s = F.when((size <= 1) | b.isNull(), F.lit(0.0)).otherwise(
-        F.try_divide(b - a, F.greatest(a, b)))
-    return df.select(F.coalesce(s, F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
+    size = F.element_at(F.create_map(*[x for r in summ for x in (F.lit(r[cluster_col]), F.lit(int(r["n"])))]), own)
+    # a step each: in one expression every mention of a and b would hold all totals again, in a method too long to compile
+    rows = df.select(cluster_col, *xs, norm2.alias("__norm2")).select(cluster_col, *totals).select(size.alias("size"), a.alias("a"), b.alias("b"))
+    s = F.when((F.col("size") <= 1) | F.col("b").isNull(), F.lit(0.0)).otherwise(
+        F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
+    return rows.select(F.coalesce(s, F.lit(0.0)).alias("s")).agg(F.avg("s").alias("silhouette"))
 
 
 # ---------------------------------------------------------------------------
@@ -345,7 +388,7 @@ def segment_clusters(features: DataFrame, params: ClusterParams = ClusterParams(
     Returns (clusters DataFrame, model, cost).  ``params.seeding='mllib'`` takes
     MLlib's randomly seeded fits instead."""
     cols = list(params.features)
-    scaled = materialize(scale(features.na.drop("any"), cols), "scaled-cohort")
+    scaled = materialize(dealt(scale(features.na.drop("any"), cols)), "scaled-cohort")
     if initial is not None:
         fits = lloyd(scaled, {0: initial}, cols, params.max_iter, params.tol)
         model = CentroidModel(*fits[0], cols) if fits else CentroidModel([], 0.0, cols)
@@ -370,7 +413,7 @@ def k_sweep(features: DataFrame, params: ClusterParams = ClusterParams(), digits
     ``sweep_restarts``, or, for the k in ``initial``, from those centres.  All
     fits share their passes; the silhouettes are submitted together."""
     cols = list(params.features)
-    scaled = materialize(scale(features.na.drop("any"), cols).select("osm_id", *[scaled_name(c) for c in cols]), "k-sweep")
+    scaled = materialize(dealt(scale(features.na.drop("any"), cols).select("osm_id", *[scaled_name(c) for c in cols])), "k-sweep")
     spark = features.sparkSession
     if initial is not None:
         models = {k: CentroidModel(*fit, cols) for k, fit in lloyd(scaled, initial, cols, params.max_iter, params.tol).items()}

@@ -227,3 +227,63 @@ def test_threshold_grid_of_any_size(spark):
     assert len(got) == 30 * 23
     for r in got:
         assert r["surviving_segments"] == sum(a >= r["min_observations"] and b >= r["min_active_days"] for a, b in rows)
+
+
+def _plain_fits(rows, ks, restarts, seed, steps):
+    """Inertia of the best fit of each k by plain loops; rows: (key, point)."""
+    import hashlib
+    import math
+
+    def sq(x, c):
+        return sum((a - b) ** 2 for a, b in zip(x, c))
+
+    def nearest(x, centres):
+        return min((sq(x, c), i) for i, c in enumerate(centres))
+
+    def race(key, x, r, step, found):
+        u = (int(hashlib.md5(f"{key}:{seed}:{r}:{step}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0 ** 52
+        d2 = nearest(x, found)[0] if found else 1.0
+        return -math.log(u) / d2 if d2 > 0 else math.inf
+
+    best = {}
+    for r in range(restarts):
+        found = []
+        for step in range(max(ks)):
+            found.append(min((race(key, x, r, step, found), key, x) for key, x in rows)[2])
+        for k in ks:
+            centres = found[:k]
+            for _ in range(steps):
+                own = [nearest(x, centres)[1] for _, x in rows]
+                moved = [[sum(v) / len(v) for v in zip(*[x for (_, x), o in zip(rows, own) if o == i])] or c for i, c in enumerate(centres)]
+                shift, centres = sum(map(sq, moved, centres)), moved
+                if shift <= 1e-4:
+                    break
+            best[k] = min(best.get(k, math.inf), sum(nearest(x, centres)[0] for _, x in rows))
+    return best
+
+
+def test_fits_of_a_small_cohort_use_all_cores_and_equal_plain_loops(spark, monkeypatch):
+    import numpy as np
+    pts = np.round(np.random.default_rng(3).normal(size=(120, 6)) + np.arange(120)[:, None] % 4 * 2, 2)
+    pts[100:] = pts[:20]  # equal rows, so that some draws have distance 0
+    cols = "osm_id string, " + ", ".join(f"{c} double" for c in C.FEATURES)
+    feats = spark.createDataFrame([(f"way/{i}", *map(float, x)) for i, x in enumerate(pts)], cols).coalesce(1)
+    written, passes, write, one = [], [], C.materialize, C._pass
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(C, "_pass", lambda *a: passes.append(one(*a)) or passes[-1])
+    got = {r["k"]: r["inertia"] for r in C.k_sweep(feats, ClusterParams(sweep_k=(2, 5), sweep_restarts=3, max_iter=25), digits=None).collect()}
+    # a table of a few KB, yet one part for each core
+    assert written[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    # what a pass shuffles is bounded by the centres: no row is multiplied by the models
+    assert "Generate" not in passes[0]._jdf.queryExecution().executedPlan().toString()
+    scaled = (pts - pts.mean(axis=0)) / pts.std(axis=0)
+    want = _plain_fits([(f"way/{i}", [float(v) for v in x]) for i, x in enumerate(scaled)], (2, 5), 3, 42, 25)
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_nearest_centre_on_ties_and_nan(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (2.0, 0.0), (float("nan"), 1.0)], "a_scaled double, b_scaled double")
+    rows = C._pass(df, {7: [[1.0, 0.0], [1.0, 0.0], [float("nan"), 0.0]], 9: [[float("nan"), 0.0], [3.0, 0.0]]}, ["a", "b"]).collect()
+    got = {(r["m"], r["i"]): (r["n"], r["x1"]) for r in rows}
+    # of equally near centres the first; NaN is farther than any distance
+    assert got == {(7, 0): (3, 1.0), (9, 0): (1, 1.0), (9, 1): (2, 0.0)}
